@@ -1,9 +1,12 @@
 """The queries of this package, by name, and the SQL that gives the same rows."""
 
-from . import decontaminate
+from . import decontaminate, mixing, sharding, warc
 
 _ALL = {
     "op1_decontamination": decontaminate,
+    "op3_sharding": sharding,
+    "op9_mixing": mixing,
+    "op10_warc": warc,
 }
 
 QUERIES = {name: module.query for name, module in _ALL.items()}
