@@ -1,10 +1,13 @@
 """The queries of this package, by name, and the SQL that gives the same rows."""
 
-from . import decontaminate, mixing, sharding, warc
+from . import decontaminate, language, lm, mixing, quality, sharding, warc
 
 _ALL = {
     "op1_decontamination": decontaminate,
+    "op2_quality": quality,
     "op3_sharding": sharding,
+    "op5_cross_entropy": lm,
+    "op6_language": language,
     "op9_mixing": mixing,
     "op10_warc": warc,
 }
