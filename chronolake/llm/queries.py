@@ -1,6 +1,6 @@
 """The queries of this package, by name, and the SQL that gives the same rows."""
 
-from . import decontaminate, language, lm, mixing, quality, sharding, warc
+from . import decontaminate, language, lm, mixing, neardup, quality, sharding, warc
 
 _ALL = {
     "op1_decontamination": decontaminate,
@@ -8,6 +8,7 @@ _ALL = {
     "op3_sharding": sharding,
     "op5_cross_entropy": lm,
     "op6_language": language,
+    "op8_near_duplicates": neardup,
     "op9_mixing": mixing,
     "op10_warc": warc,
 }
