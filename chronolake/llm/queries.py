@@ -1,13 +1,15 @@
 """The queries of this package, by name, and the SQL that gives the same rows."""
 
-from . import decontaminate, language, lm, mixing, neardup, quality, sharding, warc
+from . import chat, decontaminate, language, lm, mixing, neardup, quality, sharding, toxicity, warc
 
 _ALL = {
     "op1_decontamination": decontaminate,
     "op2_quality": quality,
     "op3_sharding": sharding,
+    "op4_toxicity": toxicity,
     "op5_cross_entropy": lm,
     "op6_language": language,
+    "op7_chat": chat,
     "op8_near_duplicates": neardup,
     "op9_mixing": mixing,
     "op10_warc": warc,
