@@ -3,8 +3,8 @@
 ``sketch`` takes the set of distinct word shingles of every text, KEYS minima of it under multiplicative hashes, a
 hash per band of minima, and the low bits of all minima packed into longs.  Texts with equal sets are one class with
 one representative, so copies cost nothing further.  Representatives that share a band are candidates; the packed
-bits estimate their similarity, corrected for chance agreement, by counting bits; what the estimate does not rule
-out is confirmed on the full sets of both texts.
+bits estimate their similarity, corrected for chance agreement, by counting bits; an odd sketch of the set
+bounds the difference from below; what neither rules out is confirmed on the full sets of both texts.
 
 Pairs inside a band's bucket are not written out.  First every member is compared with the smallest one; then,
 as links have joined most members, with other members that the buckets pick, where the two are not
@@ -33,6 +33,8 @@ from .common import LOWER, stored, table, words
 BANDS, ROWS, BITS = 32, 5, 2
 KEYS = BANDS * ROWS
 LONGS = KEYS * BITS // 64
+#: Longs of the odd sketch: bit i tells whether an odd number of shingles hash to i.
+ODD = 32
 #: Standard deviations of the estimate by which a pair may fall short of the threshold and still be confirmed;
 #: rounds of picked members before the rest is joined.
 SLACK, ROUNDS = 5.0, 3
@@ -88,14 +90,20 @@ def packed(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, 1).view(np.int64)
 
 
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    bits = np.bincount((found & np.uint64(64 * ODD - 1)).astype(np.int64), minlength=64 * ODD) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def sketch(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (hash of the whole set), bands, low (packed bits) of every row, stored."""
+    """doc_id, n_shingles, set_a and set_b (hash of the whole set), bands, low (packed bits), odd (odd sketch) of every
+    row, stored."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def make(batches):
         hashes, by = _Hashes(), _multipliers()
         for batch in batches:
-            n, a, b, bands, low = [], [], [], [], []
+            n, a, b, bands, low, odd = [], [], [], [], [], []
             for text in pa.compute.cast(batch.column(1), pa.binary()):
                 found = shingles(text.as_py(), hashes, size)
                 whole = xxhash.xxh128_digest(found.tobytes())
@@ -105,10 +113,11 @@ def sketch(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "
                 b.append(int.from_bytes(whole[8:], "little", signed=True))
                 bands.append(band_hashes(least))
                 low.append(packed(least))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, a, b)), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, low))], names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "low"])
+                odd.append(odd_sketch(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, a, b)), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, low, odd))], names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "low", "odd"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stored(rows.mapInArrow(make, f"doc_id {id_type}, n_shingles long, set_a long, set_b long, bands array<long>, low array<long>"), "sketches")
+    return stored(rows.mapInArrow(make, f"doc_id {id_type}, n_shingles long, set_a long, set_b long, bands array<long>, low array<long>, odd array<long>"), "sketches")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -124,13 +133,19 @@ def estimate(a: Column, b: Column) -> Column:
     return (1 - differ / F.lit(float(KEYS)) - chance) / (1 - chance)
 
 
-def _likely(threshold: float, n_a: str, n_b: str, low_a: str, low_b: str) -> Column:
-    """Neither the sizes nor the bits rule the pair out."""
+def _likely(threshold: float, a: str, b: str) -> Column:
+    """Neither the sizes nor the bits rule the pair of signature structs out.
+
+    The odd sketches differ in no more bits than the sets in shingles, so they never rule out a link."""
     chance = 1 / (1 << BITS)
     p = chance + (1 - chance) * threshold
     least = threshold - SLACK * (p * (1 - p) / KEYS) ** 0.5 / (1 - chance)
-    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * round(100 * threshold)
-    return sizes & (estimate(F.col(low_a), F.col(low_b)) >= least)
+    share, n_a, n_b = round(100 * threshold), F.col(f"{a}.n"), F.col(f"{b}.n")
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * share
+    differ = F.lit(0)
+    for k in range(ODD):
+        differ = differ + F.bit_count(F.col(f"{a}.odd")[k].bitwiseXOR(F.col(f"{b}.odd")[k]))
+    return sizes & (estimate(F.col(f"{a}.low"), F.col(f"{b}.low")) >= least) & (differ * (100 + share) <= (n_a + n_b) * (100 - share))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -183,41 +198,38 @@ def linked_components(docs: DataFrame, threshold: float = 0.8, size: int = 5, id
     rows = sketch(docs, size, id_col, text_col)
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = stored(some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "bands", "low").dropDuplicates(["doc_id"]), "representatives")
+    reps = stored(some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "bands", "low", "odd").dropDuplicates(["doc_id"]), "representatives")
     each = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     several = stored(each.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).where("m > 1"), "buckets")
     members = stored(each.join(several, ["band", "key"]), "members")
     ids = stored(members.select("doc_id").distinct(), "member_ids")
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = stored(text.join(ids.hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    signs = stored(reps.join(ids, "doc_id", "left_semi").select("doc_id", "n", "low"), "signs")
-
-    def with_signs(pairs: DataFrame) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(signs.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("low").alias(f"low_{side}")), side)
-        return pairs.where(_likely(threshold, "n_a", "n_b", "low_a", "low_b"))
+    signs = stored(reps.join(ids, "doc_id", "left_semi").select("doc_id", F.struct("n", "low", "odd").alias("sign")), "signs")
 
     id_type = docs.schema[id_col].dataType.simpleString()
     labels = spark.createDataFrame([], f"node {id_type}, comp {id_type}")
     tested = spark.createDataFrame([], f"a {id_type}, b {id_type}")
     for step in range(ROUNDS + 2):
         if step == 0:
-            pairs = with_signs(members.where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct())
+            met = members.where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+            for side in "ab":
+                met = met.join(signs.select(F.col("doc_id").alias(side), F.col("sign").alias(f"sign_{side}")), side)
+            pairs = met.where(_likely(threshold, "sign_a", "sign_b"))
         else:
             at = _labelled(members.where("m > 2"), "doc_id", labels, "comp")  # the one pair of two is tested
-            open_ = at.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(F.xxhash64("doc_id", "band", F.lit(step)).alias("h"), "doc_id", "comp")).alias("pick")).where("c0 != c1").select("band", "key", "pick")
-            at = stored(at.join(open_, ["band", "key"]), "open")
+            open_ = at.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("band", "key")
+            at = stored(at.join(open_, ["band", "key"]).join(signs, "doc_id").select("band", "key", "doc_id", "comp", "sign"), "open")
             if at.isEmpty():
                 break
-            order = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
             if step <= ROUNDS:
-                some_pairs = at.where("comp != pick.comp").select(F.col("pick.doc_id").alias("x"), F.col("doc_id").alias("y")).select(*order).distinct()
-                pairs = with_signs(some_pairs.join(tested, ["a", "b"], "left_anti"))
+                picks = at.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("doc_id", "band", F.lit(step)).alias("h"), F.col("doc_id").alias("other"), F.col("comp").alias("other_comp"), F.col("sign").alias("other_sign"))).alias("pick")).select("band", "key", "pick.*")
+                met = at.join(picks, ["band", "key"]).where((F.col("comp") != F.col("other_comp")) & _likely(threshold, "sign", "other_sign"))
             else:
-                signed = stored(at.join(signs, "doc_id"), "signed")
-                side = lambda s, p: signed.select("band", "key", F.col("doc_id").alias(s), F.col("comp").alias(f"c_{p}"), F.col("n").alias(f"n_{p}"), F.col("low").alias(f"low_{p}"))
-                met = side("x", "a").join(side("y", "b"), ["band", "key"]).where((F.col("c_a") < F.col("c_b")) & _likely(threshold, "n_a", "n_b", "low_a", "low_b"))
-                pairs = met.select(*order).distinct().join(tested, ["a", "b"], "left_anti")
+                other = at.select("band", "key", *(F.col(c).alias(f"other_{c}") for c in ("comp", "sign")), F.col("doc_id").alias("other"))
+                met = at.join(other, ["band", "key"]).where((F.col("comp") < F.col("other_comp")) & _likely(threshold, "sign", "other_sign"))
+            met = met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+            pairs = met.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs.select("a", "b"), "pairs")
         tested = tested.unionByName(pairs)
         links = stored(confirmed(pairs, texts, threshold, size), "links")
