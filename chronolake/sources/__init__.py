@@ -1,0 +1,15 @@
+"""Tables as Parquet; session times are UTC."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; timestamps without a zone are taken as UTC instants of the session."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"}) if any(t == "timestamp_ntz" for _, t in df.dtypes) else df
+
+
+def archive(rows: DataFrame, payload: str) -> DataFrame:
+    """Content-addressed payloads: sha256, size, once each."""
+    return rows.select(F.sha2(F.col(payload).cast("binary"), 256).alias("sha256"), F.octet_length(payload).cast("long").alias("size")).dropDuplicates(["sha256"])
