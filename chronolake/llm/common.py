@@ -13,10 +13,10 @@ _made: list[tuple[SparkSession, str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("chronolake.shared.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="chronolake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.conf.set("chronolake.shared.dir", folder)
     return folder.rstrip("/")
 
 
