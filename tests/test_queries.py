@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from chronolake.operators import ledger
 from chronolake.plans import registry
+from chronolake.streaming import receipts
 
 DATA = "/root/testdata/sf0.01"
 
@@ -43,3 +44,14 @@ def test_ledger_golden(spark):
     got = {r.account: r for r in ledger.fold(spark.createDataFrame(events, schema), "account").collect()}
     assert (got["a"].cash, got["a"].position, got["a"].error) == (862, 3, None)
     assert got["b"].error == "negative cash"
+
+
+def test_first_receipts_of_a_stream(spark, tmp_path):
+    """Retries within the delay are dropped, in one micro-batch or over two."""
+    at = "cast('2024-01-01' as timestamp) + make_dt_interval(0, 0, id)"
+    spark.range(40).selectExpr("id % 10 AS record", f"{at} AS received_at").coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    spark.range(40, 60).selectExpr("id % 20 AS record", f"{at} AS received_at").coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    stream = spark.readStream.schema("record long, received_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    run = receipts.first_receipts(stream, ["record"], "received_at", "2 hours").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+    assert run.awaitTermination(100)
+    assert sorted(r.record for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(20))
