@@ -1,10 +1,10 @@
-"""Queries over journals, paged captures, delayed labels and action resets, with the SQL that gives the same rows."""
+"""Queries over journals, paged captures, delayed labels, action resets and tick grids, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronolake.operators import actions, journals, outcomes
+from chronolake.operators import actions, futures, journals, outcomes
 from chronolake.sources import read
 
 AS_OF = "1995-06-17"
@@ -38,7 +38,14 @@ def action_reset(spark, d):
     return actions.usable_lookback(days.withColumn("available_at", F.col("day")), split, "event_type", 5)
 
 
-QUERIES = {f.__name__: f for f in (outcome_queue, journal_breaks, page_states, declared_gaps, action_reset)}
+def futures_pnl(spark, d):
+    line = read(spark, d, "lineitem")
+    signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    pnl = futures.gross_pnl(F.col("l_tax"), F.col("l_discount"), "50", signed)
+    return line.groupBy("l_suppkey").agg(F.count_if(futures.on_grid(F.col("l_extendedprice"), "0.25")).alias("on_grid"), F.sum(pnl.cast("decimal(28,6)")).cast("double").alias("pnl"))
+
+
+QUERIES = {f.__name__: f for f in (outcome_queue, journal_breaks, page_states, declared_gaps, action_reset, futures_pnl)}
 
 SQL = {
     "outcome_queue": f"""WITH o AS (SELECT l_orderkey, arg_max(CASE l_returnflag WHEN 'A' THEN 'validated' WHEN 'R' THEN 'quarantined' ELSE 'unavailable' END, (l_shipdate, l_linenumber, l_partkey, l_suppkey)) AS status
@@ -57,4 +64,6 @@ SQL = {
     "action_reset": """WITH b AS (SELECT event_type, day, row_number() OVER (PARTITION BY event_type ORDER BY day) AS rn FROM (SELECT DISTINCT event_type, ts::DATE AS day FROM events)),
   r AS (SELECT x.event_type, x.day, x.rn, max(a.day) AS reset FROM b x LEFT JOIN b a ON a.event_type = x.event_type AND a.rn > greatest(1, x.rn - 4) AND a.rn <= x.rn AND day(a.day) IN (9, 18, 27) AND a.day + 1 <= x.day GROUP BY ALL)
   SELECT r.event_type, r.day, count(*) AS usable FROM r JOIN b y ON y.event_type = r.event_type AND y.rn BETWEEN r.rn - 4 AND r.rn AND (reset IS NULL OR y.day >= reset) GROUP BY ALL""",
+    "futures_pnl": """SELECT l_suppkey, count(*) FILTER (l_extendedprice::DECIMAL(18,6) % 0.25 = 0) AS on_grid,
+  sum(((l_discount::DECIMAL(15,6) - l_tax::DECIMAL(15,6)) * 50 * CASE l_returnflag WHEN 'R' THEN -l_quantity::INT ELSE l_quantity::INT END)::DECIMAL(28,6))::DOUBLE AS pnl FROM lineitem GROUP BY 1""",
 }
