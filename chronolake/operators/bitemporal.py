@@ -49,3 +49,45 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, value: str, tolerance
 def split_duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """All rows with reason: 'duplicate' for every member of a key that occurs more than once, else null."""
     return rows.withColumn("reason", F.when(F.count("*").over(Window.partitionBy(*keys)) > 1, "duplicate"))
+
+
+def snapshots_for(requests: DataFrame, snapshots: DataFrame, request: str, keys: list[str], value: str) -> DataFrame:
+    """request, status, value: what each request (request, keys, effective_at, as_of) finds among snapshots.
+
+    snapshots: keys, valid_from, valid_to, known_at, value.  Of each valid_from the version last known at as_of counts, before
+    its end is looked at; then exactly one has to hold effective_at, else the status is unknown or ambiguous and the value null."""
+    seen = requests.join(snapshots, keys).where("known_at <= as_of AND valid_from <= effective_at")
+    last = seen.groupBy(request, "effective_at", "valid_from").agg(F.max_by(F.struct("valid_to", value), F.struct("known_at", value)).alias("_v"))
+    held = last.where("_v.valid_to IS NULL OR effective_at < _v.valid_to").groupBy(request).agg(F.count("*").alias("_n"), F.max(F.col("_v")[value]).alias(value))
+    status = F.when(F.col("_n") == 1, "resolved").when(F.col("_n") > 1, "ambiguous").otherwise("unknown")
+    return requests.select(request).join(held, request, "left").select(request, status.alias("status"), F.when(F.col("_n") == 1, F.col(value)).alias(value))
+
+
+def containing(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, value: str, out: str) -> DataFrame:
+    """Each point with the interval [start, end) of its key that holds it, or null; the intervals of a key do not overlap."""
+    spans = intervals.select(key, F.col(start).alias("_from"), F.struct(F.col(value).alias("value"), F.col(end).alias("end")).alias("_span"))
+    found = as_of_join(points, spans, key, at, "_from", "_span", "_held")
+    inside = F.col("_held.end").isNull() | (F.col(at) < F.col("_held.end"))
+    return found.withColumn(out, F.when(inside, F.col("_held.value"))).drop("_held")
+
+
+def coverage(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, status: both, left_only or right_only; exact coverage has only both."""
+    sides = left.select(*keys, F.lit(1).alias("_side")).unionByName(right.select(*keys, F.lit(2).alias("_side")))
+    found = sides.groupBy(*keys).agg(F.min("_side").alias("a"), F.max("_side").alias("b"))
+    return found.select(*keys, F.when(F.col("a") < F.col("b"), "both").when(F.col("a") == 1, "left_only").otherwise("right_only").alias("status"))
+
+
+def colliding(rows: DataFrame, *identities: list[str]) -> DataFrame:
+    """Rows with collides: another row has the same value of any identity (a list of columns); nulls collide with nothing."""
+    same = F.lit(False)
+    for columns in identities:
+        known = F.forall(F.array(*[F.col(c).isNotNull() for c in columns]), lambda x: x)
+        same = same | (known & (F.count("*").over(Window.partitionBy(*columns)) > 1))
+    return rows.withColumn("collides", same)
+
+
+def overlaps_earlier(ranges: DataFrame, key: str, start: str, end: str, tie: str) -> DataFrame:
+    """Ranges [start, end] with overlaps: one that starts before, or at once with a smaller tie, reaches into it."""
+    before = Window.partitionBy(key).orderBy(start, tie).rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.withColumn("overlaps", F.coalesce(F.max(end).over(before) >= F.col(start), F.lit(False)))

@@ -34,3 +34,20 @@ def missing_kinds(known: DataFrame, keys: list[str], kind: str, required: list[s
     """keys, missing: the required kinds that a key lacks, in order, for keys that lack some."""
     absent = F.array_except(F.array(*map(F.lit, required)), F.collect_set(kind))
     return known.groupBy(*keys).agg(absent.alias("missing")).where("size(missing) > 0")
+
+
+def chain_breaks(journal: DataFrame, key: str, sequence: str, digest: str, previous: str) -> DataFrame:
+    """All rows with unchained: ``previous`` is not the ``digest`` of the row before; the first row has none."""
+    before = F.lag(digest).over(Window.partitionBy(key).orderBy(sequence))
+    return journal.withColumn("unchained", ~F.col(previous).eqNullSafe(before))
+
+
+def append_once(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, outcome of the incoming keys: new, same or conflict (differs from the stored row, or within the batch).
+
+    Only new rows are appended: ``incoming.dropDuplicates(keys)`` joined to them.  Stored rows are reduced to digests first."""
+    fields = sorted(set(incoming.columns) - set(keys))
+    body = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in fields]), {"ignoreNullFields": "false"}), 256)
+    both = incoming.select(*keys, body.alias("_sha"), F.lit(True).alias("_new")).unionByName(existing.select(*keys, body.alias("_sha"), F.lit(False).alias("_new")))
+    found = both.groupBy(*keys).agg(F.min("_sha").alias("a"), F.max("_sha").alias("b"), F.bool_or("_new").alias("came"), F.bool_and("_new").alias("fresh"))
+    return found.where("came").select(*keys, F.when(F.col("a") != F.col("b"), "conflict").when(F.col("fresh"), "new").otherwise("same").alias("outcome"))

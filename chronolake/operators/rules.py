@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,17 @@ def next_open_fill(bars: DataFrame, key: str, cost: str) -> DataFrame:
     """key, day, fill: the next open times ``cost``; days without a next session give no row."""
     following = F.lead("open").over(Window.partitionBy(key).orderBy("day"))
     return bars.select(key, "day", (following * F.lit(cost).cast("decimal(8,4)")).cast("decimal(18,6)").alias("fill")).where("fill is not null")
+
+
+def partition_of(at: Column, bounds: list[tuple[str, str, str]], horizon_days: int) -> Column:
+    """The name of the partition [start, end] of a day; ``embargo`` where its label ends after the partition, else null.
+
+    The bounds are given in time order, and each must start after the labels of the one before have ended."""
+    from datetime import date, timedelta
+
+    for (_, _, end), (name, start, _) in zip(bounds, bounds[1:]):
+        if date.fromisoformat(end) + timedelta(horizon_days) >= date.fromisoformat(start):
+            raise ValueError(f"partition {name} starts before earlier labels have ended")
+    day = lambda d: F.lit(d).cast("date")
+    within = [F.when(at.between(day(s), day(e)), F.when(F.date_add(at, horizon_days) <= day(e), name).otherwise("embargo")) for name, s, e in bounds]
+    return F.coalesce(*within)
