@@ -67,3 +67,95 @@ def sessions(pages: DataFrame, zone: str, first: str, last: str) -> DataFrame:
         ("session_must_open_before_close", F.col("opens_at") >= F.col("closes_at")),
         ("duplicate_calendar_date", twice)))
     return each.drop("_text").unionByName(broken, allowMissingColumns=True)
+
+
+PATH_SEGMENT = r"^[A-Za-z0-9_.-]{1,255}$"
+
+
+def relative_path(text: Column) -> Column:
+    """Whether a text is a plain relative path: up to 16 segments, none empty or of dots only; null is not."""
+    parts = F.split(text, "/")
+    fine = F.forall(parts, lambda p: p.rlike(PATH_SEGMENT) & ~p.isin(".", "..")) & (F.size(parts) <= 16) & (F.length(text) <= 1024)
+    return F.coalesce(fine, F.lit(False))
+
+
+def _day(text: Column) -> Column:
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+
+
+FILING_COLUMNS = ["accessionNumber", "filingDate", "reportDate", "acceptanceDateTime", "form", "primaryDocument"]
+
+
+def filings(pages: DataFrame) -> DataFrame:
+    """import_id, row_index, accession, form, filed, reported, accepted_at, document, issues, reason of each filing.
+
+    pages: import_id, cik (ten digits), payload, received_at; the payload has a filer's filings as aligned column arrays.
+    A payload of another filer, or with arrays missing or not aligned, gives one row without an index.  issues names
+    every fault of a row, reason the first; accession numbers that right rows of a page share are quarantined all."""
+    body = F.from_json("payload", "cik string, filings struct<recent:map<string,array<string>>,files:array<string>>")
+    read = pages.select("import_id", "cik", "received_at", F.when(F.try_parse_json("payload").isNotNull(), body).alias("b"))
+    recent = F.col("b.filings.recent")
+    length = F.size(recent["accessionNumber"])
+    aligned = F.forall(F.map_values(recent), lambda v: F.size(v) == length) & F.col("b.filings.files").isNotNull()
+    for c in FILING_COLUMNS:
+        aligned = aligned & recent[c].isNotNull()
+    whole = F.coalesce((F.lpad("b.cik", 10, "0") == F.col("cik")) & aligned, F.lit(False))
+    read = read.withColumn("whole", whole)
+    broken = read.where("NOT whole").select("import_id", F.lit("invalid_submissions_envelope").alias("reason"))
+    rows = F.arrays_zip(*[recent[c].alias(c) for c in FILING_COLUMNS])
+    each = read.where("whole").select("import_id", "received_at", F.posexplode(rows).alias("row_index", "r"))
+    each = each.select("import_id", "received_at", "row_index", *[F.col("r").getField(c).alias(c) for c in FILING_COLUMNS])
+    each = each.withColumns({"filed": _day(F.col("filingDate")), "reported": _day(F.col("reportDate")), "accepted_at": times.instant(F.col("acceptanceDateTime"))})
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    faults = [
+        ("invalid_accession", no(F.col("accessionNumber").rlike(r"^\d{10}-\d{2}-\d{6}$"))),
+        ("invalid_form", no(F.trim("form") != "")),
+        ("invalid_primary_document_path", ~relative_path(F.col("primaryDocument"))),
+        ("invalid_acceptance_datetime", F.col("accepted_at").isNull()),
+        ("acceptance_after_receipt", F.coalesce(F.col("accepted_at") > F.col("received_at"), F.lit(False))),
+        ("invalid_filing_date", F.col("filed").isNull()),
+        ("invalid_report_date", no(F.col("reported").isNotNull() | (F.col("reportDate") == ""))),
+    ]
+    each = each.withColumn("issues", F.array_compact(F.array(*[F.when(c, name) for name, c in faults])))
+    right = F.when(F.size("issues") == 0, 1)
+    twice = F.count(right).over(Window.partitionBy("import_id", "accessionNumber")) > 1
+    each = each.withColumn("reason", F.coalesce(F.get("issues", F.lit(0)), F.when(twice, "duplicate_accession")))
+    each = each.select("import_id", "row_index", F.col("accessionNumber").alias("accession"), "form", "filed", "reported", "accepted_at", F.col("primaryDocument").alias("document"), "issues", "reason")
+    return each.unionByName(broken, allowMissingColumns=True)
+
+
+ACTION_FIELDS = ["id", "symbol", "process_date", "ex_date", "payable_date", "record_date", "currency", "special", "foreign", "rate", "new_rate", "old_rate"]
+
+
+def actions(pages: DataFrame) -> DataFrame:
+    """import_id, row_path, kind, native_id, process_date, ex_date, payable_date, amount, new_shares, old_shares, blockers, reason.
+
+    pages: import_id, payload, symbol, first, last (days of the request).  The payload groups splits and cash dividends by
+    kind; other kinds, other symbols, days outside the request, special or foreign dividends and splits against their
+    direction are quarantined.  A currency that is not given blocks accounting, but not the row."""
+    keys = F.array_except(F.json_object_keys("payload"), F.array(F.lit("corporate_actions"), F.lit("next_page_token")))
+    body = F.from_json("payload", "corporate_actions map<string,string>")
+    read = pages.select("import_id", "symbol", "first", "last", F.when(F.try_parse_json("payload").isNotNull() & (F.size(keys) == 0), body["corporate_actions"]).alias("groups"))
+    broken = read.where("groups IS NULL").select("import_id", F.lit("$").alias("row_path"), F.lit("invalid_action_envelope").alias("reason"))
+    groups = read.select("import_id", F.col("symbol").alias("asked"), "first", "last", F.explode("groups").alias("kind", "rows")).withColumn("items", F.from_json("rows", "array<string>"))
+    bad = groups.where("items IS NULL").select("import_id", F.col("kind").alias("row_path"), "kind", F.lit("invalid_action_group").alias("reason"))
+    each = groups.where("items IS NOT NULL").select("import_id", "asked", "first", "last", "kind", F.posexplode("items").alias("nth", "item"))
+    each = each.select("import_id", "asked", "first", "last", "kind", F.concat("kind", F.lit("["), "nth", F.lit("]")).alias("row_path"), F.from_json("item", ", ".join(f"`{c}` string" for c in ACTION_FIELDS)).alias("r"))
+    f = lambda c: F.col("r").getField(c)
+    positive = lambda c: F.when(times.number(f(c)) > 0, times.number(f(c)))
+    each = each.withColumns({"native_id": F.lower(f("id")), "process_date": _day(f("process_date")), "ex_date": _day(f("ex_date")), "payable_date": _day(f("payable_date")), "amount": positive("rate"), "new_shares": positive("new_rate"), "old_shares": positive("old_rate")})
+    pays, ratio = F.col("kind") == "cash_dividends", F.col("new_shares") - F.col("old_shares")
+    each = each.withColumn("reason", _first(
+        ("unsupported_action_type", ~F.col("kind").isin("forward_splits", "reverse_splits", "cash_dividends")),
+        ("invalid_native_id", ~F.coalesce(F.col("native_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lit(False))),
+        ("symbol_binding_mismatch", ~f("symbol").eqNullSafe(F.col("asked"))),
+        ("invalid_action_field", F.col("process_date").isNull() | F.col("ex_date").isNull() | (F.col("payable_date").isNull() & f("payable_date").isNotNull()) | (_day(f("record_date")).isNull() & f("record_date").isNotNull())),
+        ("process_date_outside_request", ~F.col("process_date").between(F.col("first"), F.col("last"))),
+        ("unsupported_action_currency", f("currency") != "USD"),
+        ("special_foreign_or_incomplete_dividend_unsupported", pays & ~(f("special").eqNullSafe("false") & f("foreign").eqNullSafe("false"))),
+        ("unsupported_dividend_payment_date", pays & (F.col("payable_date").isNull() | (F.col("payable_date") < F.col("ex_date")))),
+        ("invalid_action_field", F.when(pays, F.col("amount").isNull()).otherwise(ratio.isNull())),
+        ("split_direction_ratio_mismatch", ((F.col("kind") == "forward_splits") & (ratio <= 0)) | ((F.col("kind") == "reverse_splits") & (ratio >= 0)))))
+    each = each.withColumn("blockers", F.when(f("currency").isNull(), F.array(F.lit("provider_currency_unknown"))).otherwise(F.array().cast("array<string>")))
+    each = each.select("import_id", "row_path", "kind", "native_id", "process_date", "ex_date", "payable_date", "amount", "new_shares", "old_shares", "blockers", "reason")
+    return each.unionByName(bad, allowMissingColumns=True).unionByName(broken, allowMissingColumns=True)

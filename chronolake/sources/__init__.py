@@ -13,3 +13,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def archive(rows: DataFrame, payload: str) -> DataFrame:
     """Content-addressed payloads: sha256, size, once each."""
     return rows.select(F.sha2(F.col(payload).cast("binary"), 256).alias("sha256"), F.octet_length(payload).cast("long").alias("size")).dropDuplicates(["sha256"])
+
+
+def _digest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.select(*[F.col(k).cast("string").alias(k) for k in keys], F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(rows.columns)]), {"ignoreNullFields": "false"}), 256).alias("sha256"))
+
+
+def export(rows: DataFrame, keys: list[str], path: str) -> None:
+    """Rows as CSV with a header under ``path``/rows, their digests by key under ``path``/manifest; refuses to overwrite.
+
+    Empty texts and nulls are kept apart; nulls are written as \\\\N, so a text of just that is reported by ``verify``."""
+    rows.write.mode("errorifexists").option("nullValue", "\\N").csv(f"{path}/rows", header=True)
+    _digest(rows, keys).write.mode("errorifexists").parquet(f"{path}/manifest")
+
+
+def verify(spark: SparkSession, schema: str, keys: list[str], path: str) -> DataFrame:
+    """keys, stored, declared of the exported rows whose content and manifest differ; empty when all is as written."""
+    rows = spark.read.schema(schema).option("nullValue", "\\N").option("mode", "FAILFAST").csv(f"{path}/rows", header=True)
+    sides = [_digest(rows, keys).withColumn("_side", F.lit(1)), spark.read.parquet(f"{path}/manifest").withColumn("_side", F.lit(-1))]
+    left = sides[0].unionByName(sides[1]).groupBy(*keys, "sha256").agg(F.sum("_side").alias("n")).where("n <> 0")
+    return left.groupBy(*keys).agg(F.max(F.when(F.col("n") > 0, F.col("sha256"))).alias("stored"), F.max(F.when(F.col("n") < 0, F.col("sha256"))).alias("declared"))
