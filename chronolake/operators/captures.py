@@ -25,28 +25,26 @@ def bars(pages: DataFrame, listings: DataFrame, zone: str) -> DataFrame:
     one row.  Days that a page gives twice for a listing are quarantined all, counted over rows right so far."""
     body = F.when(F.try_parse_json("payload").isNotNull(), F.from_json("payload", "bars map<string,string>"))
     read = pages.select("import_id", "received_at", body["bars"].alias("bars"))
-    broken = read.where("bars IS NULL").select("import_id", F.lit("$").alias("row_path"), F.lit("bars_object_required").alias("reason"))
-    groups = read.select("import_id", "received_at", F.explode("bars").alias("symbol", "rows")).join(listings, "symbol", "left")
-    groups = groups.withColumns({"row_path": F.concat(F.lit("bars/"), _pointer(F.col("symbol"))), "items": F.from_json("rows", "array<string>")})
-    groups = groups.withColumn("reason", _first(("unmapped_symbol", F.col("listing_id").isNull()), ("bar_array_required", F.col("items").isNull())))
-    whole = groups.where("reason IS NOT NULL").select("import_id", "row_path", "reason")
-    each = groups.where("reason IS NULL").select("import_id", "received_at", "listing_id", "row_path", F.posexplode("items").alias("nth", "item"))
-    each = each.withColumns({"row_path": F.concat_ws("/", "row_path", "nth"), "item": F.from_json("item", "t string, o string, h string, l string, c string, v string")})
+    groups = read.select("import_id", "received_at", F.col("bars").isNotNull().alias("read"), F.explode_outer("bars").alias("symbol", "rows")).where("symbol IS NOT NULL OR NOT read")
+    groups = groups.join(listings.select("symbol", "listing_id"), "symbol", "left").withColumn("items", F.from_json("rows", "array<string>"))
+    groups = groups.withColumn("_whole", _first(("bars_object_required", ~F.col("read")), ("unmapped_symbol", F.col("listing_id").isNull()), ("bar_array_required", F.col("items").isNull())))
+    each = groups.select("import_id", "received_at", "listing_id", "symbol", "_whole", F.posexplode_outer(F.when(F.col("_whole").isNull(), F.col("items"))).alias("nth", "item")).where("nth IS NOT NULL OR _whole IS NOT NULL")
+    path = F.when(F.col("symbol").isNull(), "$").otherwise(F.concat_ws("/", F.lit("bars"), _pointer(F.col("symbol")), "nth"))
+    each = each.withColumns({"row_path": path, "item": F.from_json("item", "t string, o string, h string, l string, c string, v string")})
     n = lambda c: times.number(F.col("item")[c])
-    each = each.select("import_id", "received_at", "listing_id", "row_path", times.instant(F.col("item.t")).alias("at"), n("o").alias("open"), n("h").alias("high"), n("l").alias("low"), n("c").alias("close"), n("v").alias("volume"), F.forall(F.array(*[F.col("item")[c] for c in "tohlcv"]), lambda x: x.isNotNull()).alias("whole"))
+    each = each.select("import_id", "received_at", "listing_id", "row_path", "_whole", times.instant(F.col("item.t")).alias("at"), n("o").alias("open"), n("h").alias("high"), n("l").alias("low"), n("c").alias("close"), n("v").alias("volume"), F.forall(F.array(*[F.col("item")[c] for c in "tohlcv"]), lambda x: x.isNotNull()).alias("whole"))
     amounts = ["open", "high", "low", "close", "volume"]
     valid = F.forall(F.array(*amounts), lambda x: x.isNotNull() & (x >= 0)) & (F.least(*amounts[:4]) > 0)
-    each = each.withColumns({"day": times.local_date(F.col("at"), zone), "reason": _first(
+    each = each.withColumns({"day": times.local_date(F.col("at"), zone), "reason": F.coalesce("_whole", _first(
         ("required_bar_fields_missing", ~F.coalesce("whole", F.lit(False))),
         ("invalid_bar_record", F.col("at").isNull()),
         ("bar_timestamp_after_receipt", F.col("at") > F.col("received_at")),
         ("invalid_amount", ~F.coalesce(valid, F.lit(False))),
         ("nonintegral_share_volume", F.col("volume") != F.floor("volume")),
-        ("invalid_ohlc_bounds", (F.col("low") > F.least("open", "close")) | (F.col("high") < F.greatest("open", "close"))))})
+        ("invalid_ohlc_bounds", (F.col("low") > F.least("open", "close")) | (F.col("high") < F.greatest("open", "close")))))})
     same = Window.partitionBy("import_id", "listing_id", "day")
     again = F.count(F.when(F.col("reason").isNull(), 1)).over(same) > 1
-    each = each.withColumn("reason", F.coalesce("reason", F.when(again, "ambiguous_daily_bar"))).drop("received_at", "whole")
-    return each.unionByName(whole, allowMissingColumns=True).unionByName(broken, allowMissingColumns=True)
+    return each.withColumn("reason", F.coalesce("reason", F.when(again, "ambiguous_daily_bar"))).drop("received_at", "whole", "_whole")
 
 
 def sessions(pages: DataFrame, zone: str, first: str, last: str) -> DataFrame:
@@ -56,17 +54,17 @@ def sessions(pages: DataFrame, zone: str, first: str, last: str) -> DataFrame:
     they close are quarantined; so is each day that stands twice in a page, counted over wrong rows too."""
     rows = F.when(F.try_parse_json("payload").isNotNull(), F.from_json("payload", "array<struct<date:string,open:string,close:string>>"))
     read = pages.select("import_id", rows.alias("rows"))
-    broken = read.where("rows IS NULL").select("import_id", F.lit("$").alias("row_path"), F.lit("calendar_array_required").alias("reason"))
-    each = read.select("import_id", F.posexplode("rows").alias("nth", "row"))
+    each = read.select("import_id", F.col("rows").isNotNull().alias("read"), F.posexplode_outer("rows").alias("nth", "row")).where("nth IS NOT NULL OR NOT read")
     at = lambda c: times.strict_utc(F.when(F.col("row")[c].rlike(r"^\d{2}:\d{2}$"), F.try_to_timestamp(F.concat_ws(" ", F.col("row.date"), F.col("row")[c]))), zone)
-    each = each.select("import_id", F.concat(F.lit("/"), "nth").alias("row_path"), F.col("row.date").alias("_text"), F.when(F.col("row.date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("row.date").try_cast("date")).alias("day"), at("open").alias("opens_at"), at("close").alias("closes_at"))
+    each = each.select("import_id", "read", F.coalesce(F.concat(F.lit("/"), "nth"), F.lit("$")).alias("row_path"), F.col("row.date").alias("_text"), F.when(F.col("row.date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("row.date").try_cast("date")).alias("day"), at("open").alias("opens_at"), at("close").alias("closes_at"))
     twice = F.count("_text").over(Window.partitionBy("import_id", "_text")) > 1
     each = each.withColumn("reason", _first(
+        ("calendar_array_required", ~F.col("read")),
         ("date_outside_requested_range", ~F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))),
         ("invalid_calendar_record", F.col("day").isNull() | F.col("opens_at").isNull() | F.col("closes_at").isNull()),
         ("session_must_open_before_close", F.col("opens_at") >= F.col("closes_at")),
         ("duplicate_calendar_date", twice)))
-    return each.drop("_text").unionByName(broken, allowMissingColumns=True)
+    return each.drop("_text", "read")
 
 
 PATH_SEGMENT = r"^[A-Za-z0-9_.-]{1,255}$"
@@ -101,10 +99,9 @@ def filings(pages: DataFrame) -> DataFrame:
         aligned = aligned & recent[c].isNotNull()
     whole = F.coalesce((F.lpad("b.cik", 10, "0") == F.col("cik")) & aligned, F.lit(False))
     read = read.withColumn("whole", whole)
-    broken = read.where("NOT whole").select("import_id", F.lit("invalid_submissions_envelope").alias("reason"))
     rows = F.arrays_zip(*[recent[c].alias(c) for c in FILING_COLUMNS])
-    each = read.where("whole").select("import_id", "received_at", F.posexplode(rows).alias("row_index", "r"))
-    each = each.select("import_id", "received_at", "row_index", *[F.col("r").getField(c).alias(c) for c in FILING_COLUMNS])
+    each = read.select("import_id", "received_at", "whole", F.posexplode_outer(F.when(F.col("whole"), rows)).alias("row_index", "r")).where("row_index IS NOT NULL OR NOT whole")
+    each = each.select("import_id", "received_at", "whole", "row_index", *[F.col("r").getField(c).alias(c) for c in FILING_COLUMNS])
     each = each.withColumns({"filed": _day(F.col("filingDate")), "reported": _day(F.col("reportDate")), "accepted_at": times.instant(F.col("acceptanceDateTime"))})
     no = lambda c: ~F.coalesce(c, F.lit(False))
     faults = [
@@ -116,12 +113,11 @@ def filings(pages: DataFrame) -> DataFrame:
         ("invalid_filing_date", F.col("filed").isNull()),
         ("invalid_report_date", no(F.col("reported").isNotNull() | (F.col("reportDate") == ""))),
     ]
-    each = each.withColumn("issues", F.array_compact(F.array(*[F.when(c, name) for name, c in faults])))
+    each = each.withColumn("issues", F.when(F.col("whole"), F.array_compact(F.array(*[F.when(c, name) for name, c in faults]))))
     right = F.when(F.size("issues") == 0, 1)
     twice = F.count(right).over(Window.partitionBy("import_id", "accessionNumber")) > 1
-    each = each.withColumn("reason", F.coalesce(F.get("issues", F.lit(0)), F.when(twice, "duplicate_accession")))
-    each = each.select("import_id", "row_index", F.col("accessionNumber").alias("accession"), "form", "filed", "reported", "accepted_at", F.col("primaryDocument").alias("document"), "issues", "reason")
-    return each.unionByName(broken, allowMissingColumns=True)
+    each = each.withColumn("reason", F.coalesce(F.when(~F.col("whole"), "invalid_submissions_envelope"), F.get("issues", F.lit(0)), F.when(twice, "duplicate_accession")))
+    return each.select("import_id", "row_index", F.col("accessionNumber").alias("accession"), "form", "filed", "reported", "accepted_at", F.col("primaryDocument").alias("document"), "issues", "reason")
 
 
 ACTION_FIELDS = ["id", "symbol", "process_date", "ex_date", "payable_date", "record_date", "currency", "special", "foreign", "rate", "new_rate", "old_rate"]
@@ -136,16 +132,18 @@ def actions(pages: DataFrame) -> DataFrame:
     keys = F.array_except(F.json_object_keys("payload"), F.array(F.lit("corporate_actions"), F.lit("next_page_token")))
     body = F.from_json("payload", "corporate_actions map<string,string>")
     read = pages.select("import_id", "symbol", "first", "last", F.when(F.try_parse_json("payload").isNotNull() & (F.size(keys) == 0), body["corporate_actions"]).alias("groups"))
-    broken = read.where("groups IS NULL").select("import_id", F.lit("$").alias("row_path"), F.lit("invalid_action_envelope").alias("reason"))
-    groups = read.select("import_id", F.col("symbol").alias("asked"), "first", "last", F.explode("groups").alias("kind", "rows")).withColumn("items", F.from_json("rows", "array<string>"))
-    bad = groups.where("items IS NULL").select("import_id", F.col("kind").alias("row_path"), "kind", F.lit("invalid_action_group").alias("reason"))
-    each = groups.where("items IS NOT NULL").select("import_id", "asked", "first", "last", "kind", F.posexplode("items").alias("nth", "item"))
-    each = each.select("import_id", "asked", "first", "last", "kind", F.concat("kind", F.lit("["), "nth", F.lit("]")).alias("row_path"), F.from_json("item", ", ".join(f"`{c}` string" for c in ACTION_FIELDS)).alias("r"))
+    groups = read.select("import_id", F.col("symbol").alias("asked"), "first", "last", F.col("groups").isNotNull().alias("read"), F.explode_outer("groups").alias("kind", "rows")).where("kind IS NOT NULL OR NOT read")
+    groups = groups.withColumn("items", F.from_json("rows", "array<string>")).withColumn("listed", F.col("items").isNotNull())
+    each = groups.select("import_id", "asked", "first", "last", "read", "kind", "listed", F.posexplode_outer("items").alias("nth", "item")).where("nth IS NOT NULL OR NOT listed")
+    path = F.coalesce(F.concat("kind", F.lit("["), "nth", F.lit("]")), "kind", F.lit("$"))
+    each = each.withColumns({"row_path": path, "r": F.from_json("item", ", ".join(f"`{c}` string" for c in ACTION_FIELDS))})
     f = lambda c: F.col("r").getField(c)
     positive = lambda c: F.when(times.number(f(c)) > 0, times.number(f(c)))
     each = each.withColumns({"native_id": F.lower(f("id")), "process_date": _day(f("process_date")), "ex_date": _day(f("ex_date")), "payable_date": _day(f("payable_date")), "amount": positive("rate"), "new_shares": positive("new_rate"), "old_shares": positive("old_rate")})
     pays, ratio = F.col("kind") == "cash_dividends", F.col("new_shares") - F.col("old_shares")
     each = each.withColumn("reason", _first(
+        ("invalid_action_envelope", ~F.col("read")),
+        ("invalid_action_group", ~F.col("listed")),
         ("unsupported_action_type", ~F.col("kind").isin("forward_splits", "reverse_splits", "cash_dividends")),
         ("invalid_native_id", ~F.coalesce(F.col("native_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lit(False))),
         ("symbol_binding_mismatch", ~f("symbol").eqNullSafe(F.col("asked"))),
@@ -157,5 +155,4 @@ def actions(pages: DataFrame) -> DataFrame:
         ("invalid_action_field", F.when(pays, F.col("amount").isNull()).otherwise(ratio.isNull())),
         ("split_direction_ratio_mismatch", ((F.col("kind") == "forward_splits") & (ratio <= 0)) | ((F.col("kind") == "reverse_splits") & (ratio >= 0)))))
     each = each.withColumn("blockers", F.when(f("currency").isNull(), F.array(F.lit("provider_currency_unknown"))).otherwise(F.array().cast("array<string>")))
-    each = each.select("import_id", "row_path", "kind", "native_id", "process_date", "ex_date", "payable_date", "amount", "new_shares", "old_shares", "blockers", "reason")
-    return each.unionByName(bad, allowMissingColumns=True).unionByName(broken, allowMissingColumns=True)
+    return each.select("import_id", "row_path", "kind", "native_id", "process_date", "ex_date", "payable_date", "amount", "new_shares", "old_shares", "blockers", "reason")
