@@ -2,14 +2,15 @@
 
 A source's rate is its share of the target weights, times the bytes wanted, over the bytes it has.  Each document
 draws its number of copies from the Poisson distribution with that mean: a number in [0, 1) from the hash of
-seed and id is looked up in the cumulative distribution.  Copies are then dealt to partitions by the hash
+seed and id is looked up in the cumulative distribution.  A rate over SINGLE, for which exp(-rate) would vanish, is cut into
+equal parts of at most PART: the sum of independent draws, one of each part, is the draw of the whole rate.  Copies are then dealt to partitions by the hash
 of seed, id and copy, and sorted by it inside: a global shuffle without a sampling pass.  Draws depend
 on nothing but seed, id and rate, so they are the same however rows are partitioned or retried.
 
 Nulls and edges: a null source is a source of its own; a null text weighs 1 byte, as an empty one; rows that
 repeat an id get the same draw, as rows with a null id do; a document may get no copy, that being the method's
 decision; columns of the input named as the added ones (mix_copies, mix_copy, mix_key) give way to
-them; an empty table gives an empty result.  Rates over 600 raise an error: exp(-rate) would vanish.
+them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from .common import stored, table
 #: Target weights of the sources; every source not named has the weight DEFAULT.
 WEIGHTS, DEFAULT, EPOCHS, SEED = {"src0": 4.0, "src1": 2.0}, 1.0, 1.0, "mix-1"
 ADDED = ("mix_copies", "mix_copy", "mix_key")
+#: Largest rate of a single draw, and of each part of a larger one; copies of a row that are listed at once.
+SINGLE, PART, BLOCK = 700.0, 500.0, 1 << 16
 
 
 def rates(docs: DataFrame, weights: dict[str, float], default: float, epochs: float, source_col: str, text_col: str) -> DataFrame:
-    """source, mass (bytes and one per row), rate, cdf: the cumulative Poisson distribution from 0 on, until it is 1."""
+    """source, mass (bytes and one per row), rate, parts (draws to add up), cdf: the cumulative Poisson distribution of a part's rate from 0 on, until it is 1."""
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long") + 1
     mass = stored(docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(size).alias("mass")), "mass")
     weight = F.lit(float(default))
@@ -34,11 +37,12 @@ def rates(docs: DataFrame, weights: dict[str, float], default: float, epochs: fl
     mass = mass.withColumn("weight", weight)
     sums = mass.agg(F.sum("weight").alias("weight"), F.sum("mass").alias("mass")).first()
     rate = F.col("weight") / F.lit(sums.weight) * F.lit(float(epochs)) * F.lit(sums.mass) / F.col("mass")
-    start = F.struct(F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("c"))
-    step = lambda a, k: F.struct((a["p"] * F.col("rate") / k).alias("p"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + a["p"] * F.col("rate") / k)).alias("c"))
-    terms = F.sequence(F.lit(1), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int"))
-    checked = F.when(F.col("rate") > 600, F.raise_error(F.lit("a repetition rate is over 600"))).otherwise(F.aggregate(terms, start, step, lambda a: a["c"]))
-    return mass.withColumn("rate", rate).select("source", "mass", "rate", checked.alias("cdf"))
+    parts = F.when(F.col("rate") <= SINGLE, F.lit(1)).otherwise(F.ceil(F.col("rate") / PART).cast("int"))
+    part = F.col("rate") / F.col("parts")
+    start = F.struct(F.exp(-part).alias("p"), F.array(F.exp(-part)).alias("c"))
+    step = lambda a, k: F.struct((a["p"] * part / k).alias("p"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + a["p"] * part / k)).alias("c"))
+    terms = F.sequence(F.lit(1), F.ceil(part + 12 * F.sqrt(part) + 30).cast("int"))
+    return mass.withColumn("rate", rate).withColumn("parts", parts).select("source", "mass", "rate", "parts", F.aggregate(terms, start, step, lambda a: a["c"]).alias("cdf"))
 
 
 def uniform(*parts: Column) -> Column:
@@ -49,14 +53,19 @@ def uniform(*parts: Column) -> Column:
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default: float = DEFAULT, epochs: float = EPOCHS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with mix_copies (drawn for the row), mix_copy (from 1) and mix_key, shuffled."""
     table_of_rates = stored(rates(docs, WEIGHTS if weights is None else weights, default, epochs, source_col, text_col), "rates")
-    doc_id = F.coalesce(F.col(f"_row.{id_col}").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED]).alias("_row"))
-    rates_of = table_of_rates.select(F.col("source").alias("_source"), "cdf")  # Spark broadcasts it while it is small, and splits skewed partitions otherwise
-    drawn = rows.join(rates_of, F.col(f"_row.{source_col}").eqNullSafe(F.col("_source"))).withColumn("_u", uniform(F.lit(seed), doc_id))
-    copies = drawn.withColumn("mix_copies", F.size(F.filter("cdf", lambda c: c <= F.col("_u")))).where("mix_copies > 0")
-    each = copies.select("_row", "mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
+    names = {c: f"_{k}" for k, c in enumerate(docs.columns) if c not in ADDED}  # none clashes with the added ones
+    doc_id = F.coalesce(F.col(names[id_col]).cast("string"), F.lit(""))
+    rows = docs.select(*[F.col(f"`{c}`").alias(to) for c, to in names.items()])
+    rates_of = table_of_rates.select(F.col("source").alias("_source"), "parts", "cdf")  # Spark broadcasts it while it is small, and splits skewed partitions otherwise
+    drawn = rows.join(rates_of, F.col(names[source_col]).eqNullSafe(F.col("_source"))).withColumn("_u", uniform(F.lit(seed), doc_id))
+    draw = lambda u: F.size(F.filter("cdf", lambda c: c <= u))
+    several = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, k: n + draw(uniform(F.lit(seed), F.lit("part"), k.cast("string"), doc_id)))
+    copies = drawn.withColumn("mix_copies", F.when(F.col("parts") == 1, draw(F.col("_u"))).otherwise(several)).where("mix_copies > 0")
+    blocks = copies.select(*names.values(), "mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies"), F.lit(BLOCK))).alias("_from"))
+    last = F.least(F.col("mix_copies").cast("long"), F.col("_from").cast("long") + (BLOCK - 1)).cast("int")
+    each = blocks.select(*names.values(), "mix_copies", F.explode(F.sequence(F.col("_from"), last)).alias("mix_copy"))
     keyed = each.withColumn("mix_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), doc_id, F.col("mix_copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long"))
-    return keyed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key").select("_row.*", *ADDED)
+    return keyed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key").select(*[F.col(to).alias(c) for c, to in names.items()], *ADDED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

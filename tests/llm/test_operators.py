@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from chronolake.llm import chat, decontaminate, language, lm, mixing, neardup, quality, sharding, toxicity, warc
 
@@ -107,6 +108,27 @@ def test_mixing(docs):
     assert mixing.replicate(docs.limit(0)).count() == 0
 
 
+def test_mixing_gives_every_rate_its_copies(spark):
+    """One row of a source that is tiny beside the others, and a source whose rows are drawn in parts."""
+    rows = [(i, "x" * 49, "rare") for i in range(40)] + [(99, "x" * 249, None)] + [(100 + i, "y" * 19_999, "big") for i in range(600)]
+    got = mixing.replicate(spark.createDataFrame(rows, "doc_id long, text string, source string"), {})
+    n = {r.doc_id: (r.n, r.most, r.copies, r.kinds) for r in got.where("doc_id < 100").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("mix_copy").alias("most"), F.max("mix_copies").alias("copies"), F.countDistinct("mix_copy").alias("kinds")).collect()}
+    total = sum(len(t) + 1 for _, t, _ in rows)
+    rate, one = total / 3 / 2000, total / 3 / 250
+    assert rate > 2000 and one > 16_000 and all(len(set(x)) == 1 for x in n.values())
+    assert abs(n[99][0] - one) < 6 * one**0.5
+    drawn = [n[i][0] for i in range(40)]
+    mean = sum(drawn) / 40
+    assert abs(mean - rate) < 6 * (rate / 40) ** 0.5 and 0.3 < sum((x - mean) ** 2 for x in drawn) / 39 / rate < 2.2
+
+
+def test_mixing_lists_copies_in_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * 50, f"s{i % 2}") for i in range(20)], "doc_id long, text string, source string")
+    whole = sorted(map(str, mixing.replicate(docs, epochs=20.0).collect()))
+    monkeypatch.setattr(mixing, "BLOCK", 3)
+    assert sorted(map(str, mixing.replicate(docs, epochs=20.0).collect())) == whole and len(whole) > 200
+
+
 def test_language(spark, docs):
     rng = random.Random(4)
     said = {"en": "the cat and this house with rain over hills".split(), "de": "der hund und das haus mit regen über berge".split()}
