@@ -35,18 +35,22 @@ def letters(text: str) -> str:
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", passage: int = PASSAGE, passages: int = PASSAGES, dictionary: int = DICTIONARY, languages: int = LANGUAGES) -> dict[str, bytes]:
-    """A raw-content dictionary per language: passages at places that the text's hash decides, of the texts with the smallest hashes.
+    """A raw-content dictionary per language: passages at places that the text's hash decides, of the different texts with the
+    smallest hashes; copies of a text count once.
 
     At most ``languages`` times ``dictionary`` bytes come to the driver, whatever the size of ``docs``."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and length(text) > 0")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    # about three times the rows wanted of each language, then the exact number of them
-    share = stored(sizes.select("lang", (F.lit(3.0 * passages) / F.col("n")).alias("share")), "shares")
-    hashed = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(share), "lang")  # at most `languages` rows
-    part = hashed.where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30))
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    texts = stored(hashed.groupBy("lang", "h").agg(F.count("*").alias("n")), "texts")
+    sizes = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy(F.desc("n"), "lang").limit(languages)
+    # about three times the texts wanted of each language, then the exact number of them
+    share = stored(sizes.select("lang", (F.lit(3.0 * passages) / F.col("texts")).alias("share")), "shares")
+    part = texts.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30))  # at most `languages` rows
+    ranked = part.select("lang", "h", F.row_number().over(Window.partitionBy("lang").orderBy("h")).alias("k"))
+    chosen = stored(ranked.where(F.col("k") <= passages), "chosen")
     start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - F.lit(passage), F.lit(0)) + 1) + 1
-    cut = part.select("lang", "h", F.substr("text", start.cast("int"), F.lit(passage)).alias("piece"))
-    taken = cut.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))).where(F.col("k") <= passages)
+    cut = hashed.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "k", F.substr("text", start.cast("int"), F.lit(passage)).alias("piece"))
+    taken = cut.groupBy("lang", "k").agg(F.min("piece").alias("piece"))
     found: dict[str, list[bytes]] = {}
     for r in sorted(taken.select("lang", "k", "piece").collect()):
         found.setdefault(r.lang, []).append(letters(r.piece).encode())

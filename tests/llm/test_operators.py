@@ -140,6 +140,15 @@ def test_language(spark, docs):
     assert language.identify(docs, learned).count() == docs.count() and language.learn(docs.limit(0)) == {}
 
 
+def test_language_learns_from_different_texts(spark):
+    """A language of 20 texts with 500 copies each, and one text copied 5000 times beside 99 others."""
+    few = spark.range(10_000).select(F.concat(F.lit("few "), F.translate((F.col("id") % 20).cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("few").alias("lang"))
+    hot = spark.range(5_100).select(F.concat(F.lit("hot "), F.translate(F.greatest(F.col("id") - 5_000, F.lit(0)).cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("hot").alias("lang"))
+    got = {k: v.decode().split("\n") for k, v in language.learn(few.unionByName(hot)).items()}
+    assert len(got["few"]) == len(set(got["few"])) == 20
+    assert len(got["hot"]) == len(set(got["hot"])) == 80
+
+
 def test_lm(docs):
     got = lm.cross_entropy_difference(docs, docs.where("doc_id in (3, 5)").select("doc_id"), size=50).collect()
     assert len(got) == docs.count() and {r.score for r in got if r.doc_id in (0, 1)} == {0.0}
