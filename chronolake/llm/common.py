@@ -61,6 +61,12 @@ def words(data: bytes, table: bytes, piece: int = 1 << 22):
     yield flat[start:].split()
 
 
+def row_key(id_col: str, text_col: str = "text") -> Column:
+    """The text's md5 and the id as text: the same for rows that share both, and never null."""
+    hashed = [F.md5(F.col(text_col).cast("string").cast("binary")), F.col(id_col).cast("string")]
+    return F.concat_ws(":", *[F.coalesce(x, F.lit("-")) for x in hashed])
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text."""
     return F.crc32(doc_id.cast("string"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, stored, table, words
+from .common import ALNUM, row_key, stored, table, words
 
 #: Text bytes of a shard, and of the test items that are broadcast at once; more items go in further blocks.
 SHARD_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20
@@ -301,9 +301,12 @@ def contamination(matches: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose text has no window of any item."""
-    bad = contamination(phrase_matches(docs, items, id_col=id_col)).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` whose text has no window of any item.
+
+    A row is named by its id and its text's hash, so rows with null or repeated ids are kept or left out one by one."""
+    keyed = docs.withColumn("_chronolake_row", row_key(id_col))
+    bad = contamination(phrase_matches(keyed, items, id_col="_chronolake_row")).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return keyed.join(bad, keyed["_chronolake_row"] == bad["_bad"], "left_anti").drop("_chronolake_row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

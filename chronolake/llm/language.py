@@ -77,6 +77,23 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def _predict(texts, coders: list, margin: float, piece: int) -> tuple[list, list, list, list]:
+    """Languages, scores, margins, and whether rejected, of an Arrow array of texts."""
+    names, scores, margins = [], [], []
+    for text in texts:
+        text = text.as_py()
+        if not text or not coders or not has_letter(text):
+            found = ("und", 0.0, 0.0)
+        else:
+            sizes = sizes_of(text, coders, piece)
+            first, second = (*sorted(sizes), 2 * max(sizes))[:2]
+            gap = (second - first) / first
+            found = (coders[sizes.index(first)][0], 1 - 0.5 * margin / (margin + gap) if margin else 1.0, gap)
+        for to, x in zip((names, scores, margins), found, strict=True):
+            to.append(x)
+    return names, scores, margins, [n == "und" or m < margin for n, m in zip(names, margins, strict=True)]
+
+
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE, level: int = LEVEL) -> DataFrame:
     """doc_id, lang_pred, score, margin, rejected of every row.  score: 0.5 at margin 0, 0.75 at ``margin``, towards 1."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -85,19 +102,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     def predict(batches):
         coders = _coders(learned.value, level)
         for batch in batches:
-            names, scores, margins = [], [], []
-            for text in batch.column(1):
-                text = text.as_py()
-                if not text or not coders or not has_letter(text):
-                    found = ("und", 0.0, 0.0)
-                else:
-                    sizes = sizes_of(text, coders, piece)
-                    first, second = (*sorted(sizes), 2 * max(sizes))[:2]
-                    gap = (second - first) / first
-                    found = (coders[sizes.index(first)][0], 1 - 0.5 * margin / (margin + gap) if margin else 1.0, gap)
-                for to, x in zip((names, scores, margins), found, strict=True):
-                    to.append(x)
-            rejected = [n == "und" or m < margin for n, m in zip(names, margins, strict=True)]
+            names, scores, margins, rejected = _predict(batch.column(1), coders, margin, piece)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "margin", "rejected"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(predict, f"doc_id {id_type}, lang_pred string, score double, margin double, rejected boolean")
@@ -109,10 +114,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a wide enough margin, learned from the others' lang."""
-    found = identify(docs, learn(docs.where(~held_out(F.col("doc_id")))))
-    bad = found.where("rejected").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` whose language is told with a wide enough margin, learned from the others' lang.
+
+    Each row is answered by its own text, whatever other rows share its id."""
+    learned = docs.sparkSession.sparkContext.broadcast(learn(docs.where(~held_out(F.col("doc_id")))))
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        coders = _coders(learned.value, LEVEL)
+        for batch in batches:
+            rejected = _predict(pa.compute.cast(batch.column(at), pa.string()), coders, MARGIN, PIECE)[3]
+            yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ With BANDS of ROWS, a pair at 0.8 shares no band with a chance of 3e-6; the bits
 
 Nulls and edges: a text without words has the empty set, is its own component, and is kept; one word is
 one shingle; a row with a null doc_id takes no part, has a null component and is kept; rows that repeat an id
-are answered one by one, ``unique`` keeps one of them; other columns are ignored, so names cannot clash; an
+are answered one by one, ``unique`` keeps one of those with one text; other columns are ignored, so names cannot clash; an
 empty table gives an empty result.
 """
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, stored, table, words
+from .common import LOWER, row_key, stored, table, words
 
 BANDS, ROWS, BITS = 32, 5, 2
 KEYS = BANDS * ROWS
@@ -247,16 +247,23 @@ def linked_components(docs: DataFrame, threshold: float = 0.8, size: int = 5, id
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def unique(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the document with the smallest id, once."""
+def _kept(docs: DataFrame, threshold: float, size: int, id_col: str, text_col: str) -> DataFrame:
     bad = linked_components(docs, threshold, size, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_bad")).distinct()
-    left = docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+
+
+def unique(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the document with the smallest id, once.
+
+    Different texts of one id are different documents; of those in one component the one with the smallest hash stays."""
     again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_again"))
     again = stored(again, "repeated_ids")
     if again.isEmpty():
-        return left
-    once = left.join(again, left[id_col] == again["_again"], "left_semi").dropDuplicates([id_col])
-    return left.join(again, left[id_col] == again["_again"], "left_anti").unionByName(once)
+        return _kept(docs, threshold, size, id_col, text_col)
+    named = F.struct(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("text"))
+    left = _kept(docs.withColumn("_chronolake_row", F.when(F.col(id_col).isNotNull(), named)), threshold, size, "_chronolake_row", text_col)
+    once = left.join(again, left[id_col] == again["_again"], "left_semi").dropDuplicates(["_chronolake_row"])
+    return left.join(again, left[id_col] == again["_again"], "left_anti").unionByName(once).drop("_chronolake_row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """The pipeline's stages on a small table: each keeps the columns, and its decisions take effect."""
 
+import random
+
 import corpus_pipeline
-from chronolake.llm import mixing
+from chronolake.llm import decontaminate, language, mixing, neardup
 from tests.llm.test_operators import spark  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
@@ -19,3 +21,41 @@ def test_stages(spark):  # noqa: F811
     assert mixed.columns == columns and mixed.count() == want
     out = corpus_pipeline.sharded(spark, mixed, DATA)
     assert out.count() == mixed.count() and out.select("shard", "slot").distinct().count() == out.count()
+
+
+def _repeated(spark, pairs):  # noqa: F811
+    return spark.createDataFrame([(i, t, k, "s", 1) for i, t, k in pairs], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def _pairs(frame):
+    return sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+
+
+def test_language_decides_by_row(spark):  # noqa: F811
+    """One wrong row of a null or a repeated id leaves the id's good rows."""
+    rng = random.Random(6)
+    said = {"en": "the cat and this house with rain over hills".split(), "de": "der hund und das haus mit regen über berge".split()}
+    good = [(i, " ".join(rng.choice(said[k]) for _ in range(60)), k) for i, k in enumerate(["en", "de"] * 60)]
+    extra = [(None, good[2][1] + " cat", "en"), (None, "12 %", "en"), (7, "34 %", "en"), (900, None, "en")]
+    got = _pairs(language.accepted(_repeated(spark, good + extra)))
+    assert got == sorted([x[:2] for x in [*good, extra[0]]], key=str)
+
+
+def test_benchmark_decides_by_row(spark):  # noqa: F811
+    rng = random.Random(7)
+    text = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(40))
+    passage = " ".join(f"q{k}" for k in range(12))
+    clean = [(None, text(), None), (None, text(), None), (5, text(), None), (6, None, None), (None, None, None)]
+    bad = [(None, text() + " " + passage, None), (5, passage + " " + text(), None), (8, passage, None)]
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    found = decontaminate.clean(_repeated(spark, clean + bad), items)
+    assert found.columns == ["doc_id", "text", "lang", "source", "n_chars"] and _pairs(found) == sorted([x[:2] for x in clean], key=str)
+
+
+def test_near_duplicates_keep_texts_of_one_id(spark):  # noqa: F811
+    """Id 5 has two texts: one is a copy of id 3's, the other stands for id 9's."""
+    rng = random.Random(8)
+    a, b, c = (" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(3))
+    docs = _repeated(spark, [(3, a, None), (5, a, None), (5, b, None), (5, b, None), (9, b + " more", None), (11, c, None), (None, c, None)])
+    found = neardup.unique(docs)
+    assert found.columns == docs.columns and _pairs(found) == sorted([(3, a), (5, b), (11, c), (None, c)], key=str)
