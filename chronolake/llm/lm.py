@@ -1,21 +1,24 @@
-"""Language-model scoring: cross-entropy difference of a target and a background model.
-
-Both are interpolated bigram models over one vocabulary, the ``vocabulary`` most frequent words of the
-whole corpus and one class for all other words.  The target model is counted over the documents labelled good, the
-background model, matched in order, vocabulary and smoothing, over all others.  A document's score is the
-mean over its words of target loss minus background loss: the lower, the closer to the target.
-
-Words and bigrams are counted inside tasks first; a task sends one row per distinct word or bigram, Spark
-adds them up.  The models are dense tables of (vocabulary + 1) squared numbers, so what is broadcast has
-a bound that the corpus cannot move.
-
-A word's probability after h is (c(h, w) + STRENGTH * P(w)) / (c(h) + STRENGTH), with P(w) = (c(w) + 1) / (all +
-classes); the first word has P(w) alone.  Word counts are taken over all words, c(h) over words with a next one.
-
-Nulls and edges: a text without words has zero losses and score; a null label is no target; rows that repeat an
-id are counted and scored one by one; equally frequent words enter the vocabulary in byte order; other columns
-are ignored, so names cannot clash; an empty table gives an empty result; without any target row the
-target model is the uniform one.
+r"""Language-model scoring: cross-entropy difference of a target and a background model.
+
+Both are bigram models over one shared vocabulary, which is every word of the corpus and the boundary that stands before
+and after a text.  The target model counts the documents labelled good, the background model all others; order, smoothing
+and vocabulary match, sizes do not: nothing is left out to make them equal.  A document's score is the mean over
+its words and its end of target loss minus background loss: the lower, the closer to the target.  No document is scored
+by its own words: what it gave to the model of its side is taken out of every count first.
+
+Counts are distributed, and grow with the corpus.  Texts become blocks of about ``BLOCK_BYTES``, stored as word numbers and
+hashes.  A block sends the counts of its different words and word pairs to buckets of the hash range, as packed
+sorted keys; a bucket adds up equal keys over all blocks and sends each block the sums for its keys, in the same order; a
+block then scores its documents.  The number of buckets follows from the number of keys, about ``BUCKET_KEYS`` in each, and
+hashing spreads them evenly: a frequent word is one key a block.  Words and pairs are told apart by 64-bit hashes.
+
+A word's probability after h is (c(h, w) + STRENGTH * P(w)) / (c(h) + STRENGTH), with P(w) = (c(w) + 1) / (all + V), where
+all counts the side's words and ends, and V the different words of the corpus and the boundary.
+
+Nulls and edges: a text without words has zero losses and score, and is in no model; a null label or id is no target; rows that
+repeat an id are counted and scored one by one, each without its own row's words only; very long texts make a block
+of their own; other columns are ignored, so names cannot clash; an empty table gives an empty result; without any target
+row the target model is the uniform one.
 """
 
 from __future__ import annotations
@@ -24,105 +27,195 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ALNUM, table, words
+from .common import ALNUM, stored, table, words
 
-VOCABULARY, STRENGTH = 1023, 50.0
+#: Text bytes and documents of a block, keys of a bucket, and the weight of P(w) in occurrences.
+BLOCK_BYTES, BLOCK_DOCS, BUCKET_KEYS, STRENGTH = 16 << 20, 1 << 16, 2_000_000, 10.0
+#: Stands for the boundary, word number 0 of every block.
+BOUNDARY = np.uint64(0x243F6A8885A308D3)
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, text_col: str = "text") -> list[bytes]:
-    """The ``size`` most frequent words of all texts."""
+def pack(values: np.ndarray) -> bytes:
+    """An array of whole numbers, compressed by planes of equal bytes."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-    def count(batches):
-        for batch in batches:
-            found: dict[bytes, int] = {}
-            for text in pa.compute.cast(batch.column(0), pa.binary()):
-                for part in words(text.as_py() or b"", ALNUM):
-                    for w in part:
-                        found[w] = found.get(w, 0) + 1
-                if len(found) > 1 << 18:
-                    yield rows(found)
-                    found = {}
-            yield rows(found)
 
-    def rows(found):
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
 
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word binary, n long")
-    return [bytes(r.word) for r in counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()]
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    out = (first ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    out = ((out ^ (out >> np.uint64(31))) + second) * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(29))
 
 
-def _classes(text: bytes | None, rank: dict[bytes, int], other: int) -> np.ndarray:
-    parts = list(words(text or b"", ALNUM))
-    return np.fromiter((rank.get(w, other) for w in chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """block, doc_ids, n_words, codes (word numbers, 0 around each text), hashes (of the numbered words), keys; stored."""
+    id_type = docs.schema[id_col].dataType
+    names, first_type = ["block", "doc_ids", "n_words", "codes", "hashes", "keys"], to_arrow_type(id_type)
 
+    def make(batches):
+        task, number = TaskContext.get().partitionId(), 0
+        ids, n, parts, known, size = [], [], [], {}, 0
 
-def bigrams(docs: DataFrame, vocab: list[bytes], target_col: str, text_col: str = "text") -> DataFrame:
-    """first, second, target, background: counts of neighbouring classes over all texts; first is -1 for the counts of
-    single words."""
-    known, other = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(vocab)}), len(vocab)
+        def row():
+            codes = np.concatenate([np.zeros(1, np.uint32), *parts])
+            hashes = np.fromiter(chain([BOUNDARY], map(xxhash.xxh64_intdigest, known)), np.uint64, len(known) + 1)
+            pairs = len(np.unique(codes[:-1].astype(np.int64) * len(hashes) + codes[1:]))
+            values = [(task << 32) + number], [ids], [n], [pack(codes)], [pack(hashes)], [pairs + len(hashes)]
+            types = pa.int64(), pa.list_(first_type), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
 
-    def count(batches):
-        rank, n = known.value, other + 1
-        sums = np.zeros((2, n, n), np.int64)
-        single = np.zeros((2, n), np.int64)
         for batch in batches:
-            for text, target in zip(pa.compute.cast(batch.column(0), pa.binary()), batch.column(1), strict=True):
-                c, side = _classes(text.as_py(), rank, other), 0 if target.as_py() else 1
-                single[side] += np.bincount(c, minlength=n)
-                if len(c) > 1:
-                    np.add.at(sums[side].reshape(-1), c[:-1] * n + c[1:], 1)
-        first, second = np.nonzero(sums.sum(0))
-        seen = np.flatnonzero(single.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.concatenate([first, np.full(len(seen), -1)]), np.concatenate([second, seen]), np.concatenate([sums[0][first, second], single[0][seen]]), np.concatenate([sums[1][first, second], single[1][seen]]))], names=["first", "second", "target", "background"])
-
-    rows = docs.select(F.col(text_col).cast("string"), F.col(target_col)).mapInArrow(count, "first long, second long, target long, background long")
-    return rows.groupBy("first", "second").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def losses(counts: DataFrame, classes: int, strength: float = STRENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """-log P of the first word (2 x classes) and of a word after another (2 x classes x classes); target, then background."""
-    rows = counts.toArrow()  # at most classes * (classes + 1) rows
-    first, second = rows["first"].to_numpy(), rows["second"].to_numpy()
-    pair = first >= 0
-    single, after = np.zeros((2, classes)), np.zeros((2, classes, classes))
-    for side, name in enumerate(("target", "background")):
-        n = rows[name].to_numpy()
-        single[side, second[~pair]] = n[~pair]
-        after[side, first[pair], second[pair]] = n[pair]
-    p = (single + 1) / (single.sum(1, keepdims=True) + classes)
-    return -np.log(p), -np.log((after + strength * p[:, None, :]) / (after.sum(2, keepdims=True) + strength))
-
-
-def score(docs: DataFrame, vocab: list[bytes], models: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for doc_id, text in zip(batch.column(0).to_pylist(), pa.compute.cast(batch.column(1), pa.binary()), strict=True):
+                text = text.as_py() or b""
+                found = [np.fromiter((known.setdefault(w, len(known) + 1) for w in part), np.uint32, len(part)) for part in words(text, ALNUM)]
+                ids.append(doc_id)
+                n.append(sum(map(len, found)))
+                if n[-1]:
+                    parts += [*found, np.zeros(1, np.uint32)]
+                size += len(text)
+                if size >= block_bytes or len(ids) >= BLOCK_DOCS:
+                    yield row()
+                    ids, n, parts, known, size, number = [], [], [], {}, 0, number + 1
+        if ids:
+            yield row()
+
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    return stored(rows.mapInArrow(make, f"block long, doc_ids array<{id_type.simpleString()}>, n_words array<long>, codes binary, hashes binary, keys long"), "blocks")
+
+
+class _Block:
+    """The predictions of a block: each word after the one before it, and the end of each text."""
+
+    def __init__(self, n_words: np.ndarray, codes: bytes, hashes: bytes, targets: np.ndarray):
+        self.s, self.hashes = unpack(codes, np.uint32).astype(np.int64), unpack(hashes, np.uint64)
+        self.n_words, self.with_words = n_words, np.flatnonzero(n_words)
+        length = n_words[self.with_words] + 1
+        self.start = np.cumsum(length) - length
+        self.doc = np.repeat(np.arange(len(length)), length)
+        is_target = np.zeros(len(n_words), bool)
+        is_target[targets] = True
+        self.side = is_target[self.with_words]
+        pairs, self.pair = np.unique(self.s[:-1] * len(self.hashes) + self.s[1:], return_inverse=True)
+        first, second = np.divmod(pairs, len(self.hashes))
+        self.keys = self.hashes, pair_keys(self.hashes[first], self.hashes[second])
+        self.order = [np.argsort(k, kind="stable") for k in self.keys]
+
+    def counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sorted keys, and the counts of target and background at each; of words, then of pairs."""
+        out = []
+        for seen, keys, order in zip((self.s[1:], self.pair), self.keys, self.order, strict=True):
+            each = np.stack([np.bincount(seen[self.side[self.doc] == t], minlength=len(keys)) for t in (True, False)])
+            out.append((keys[order], each[:, order]))
+        return out
+
+
+def requests(marked: DataFrame, buckets: int) -> DataFrame:
+    """bucket, block, kind (0 words, 1 pairs), keys, target, background: packed counts of a block's keys."""
+
+    def send(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                block, out = _Block(np.array(r["n_words"], np.int64), r["codes"], r["hashes"], np.array(r["targets"] or [], np.int64)), []
+                for kind, (keys, n) in enumerate(block.counts()):
+                    cuts = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
+                    for b in np.flatnonzero(np.diff(cuts)):
+                        part = slice(cuts[b], cuts[b + 1])
+                        steps = np.diff(keys[part], prepend=np.uint64(0))
+                        out.append((int(b), r["block"], kind, pack(steps), *(pack(x[part].astype(np.uint32)) for x in n)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["bucket", "block", "kind", "keys", "target", "background"])
+
+    return marked.select("block", "n_words", "codes", "hashes", "targets").mapInArrow(send, "bucket int, block long, kind int, keys binary, target binary, background binary")
+
+
+def sums(asked: DataFrame) -> DataFrame:
+    """block, bucket, kind, target, background: the corpus's counts at the keys that were sent, in their order; words: how many
+    different words the bucket has, in one of its rows; stored."""
+    schema = "block long, bucket int, kind int, target binary, background binary, words long"
+
+    def add(part: pa.Table) -> pa.Table:
+        out = []
+        for kind in (0, 1):
+            rows = part.filter(pa.compute.equal(part["kind"], kind)).to_pylist()
+            if not rows:
+                continue
+            keys = [np.cumsum(unpack(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
+            different, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total = [np.bincount(at, np.concatenate([unpack(r[side], np.uint32) for r in rows]), len(different))[at].astype(np.uint64) for side in ("target", "background")]
+            ends = np.cumsum([0, *map(len, keys)])
+            out += [(r["block"], r["bucket"], kind, *(pack(t[a:b]) for t in total), len(different) if kind == 0 and a == 0 else 0) for r, a, b in zip(rows, ends, ends[1:], strict=False)]
+        types = pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["block", "bucket", "kind", "target", "background", "words"])
+
+    return stored(asked.groupBy("bucket").applyInArrow(add, schema), "sums")
+
+
+def losses(block: _Block, found: list[np.ndarray], totals: np.ndarray, vocabulary: int, strength: float) -> np.ndarray:
+    """Mean losses of the documents with words: target, then background.  found: of words and of pairs, the counts at their
+    sorted keys (2 x keys); totals: words and ends of each side."""
+    at = []
+    for n, order in zip(found, block.order, strict=True):
+        put = np.empty_like(n)
+        put[:, order] = n
+        at.append(put)
+    word, begins = block.s[1:], np.zeros(len(block.doc), bool)
+    begins[block.start] = True
+    own_word, own_pair = (np.unique(block.doc * np.int64(len(k)) + x, return_inverse=True, return_counts=True)[1:] for k, x in zip(block.keys, (word, block.pair), strict=True))
+    own_word, own_pair = own_word[1][own_word[0]], own_pair[1][own_pair[0]]
+    own_before = np.where(begins, 1, np.concatenate([[0], own_word[:-1]]))
+    out = np.empty((2, len(block.start)))
+    length = np.diff(np.concatenate([block.start, [len(block.doc)]]))
+    for side in (0, 1):
+        mine = block.side[block.doc] == (side == 0)
+        total = (totals[side] - np.where(block.side == (side == 0), length, 0))[block.doc]
+        single = (at[0][side][word] - mine * own_word + 1) / (total + vocabulary)
+        p = (at[1][side][block.pair] - mine * own_pair + strength * single) / (at[0][side][block.s[:-1]] - mine * own_before + strength)
+        out[side] = np.add.reduceat(-np.log(p), block.start) / length
+    return out
+
+
+def score(marked: DataFrame, found: DataFrame, totals: tuple[int, int], vocabulary: int, strength: float) -> DataFrame:
     """doc_id, n_words, loss_target, loss_background (means), score of every row."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    model = docs.sparkSession.sparkContext.broadcast(({w: k for k, w in enumerate(vocab)}, len(vocab), *models))
+    id_type = marked.schema["doc_ids"].dataType.elementType
+    first_type, names = to_arrow_type(id_type), ["doc_id", "n_words", "loss_target", "loss_background", "score"]
 
-    def rate(batches):
-        rank, other, start, after = model.value
-        for batch in batches:
-            n, mean = [], np.zeros((2, batch.num_rows))
-            for k, text in enumerate(pa.compute.cast(batch.column(1), pa.binary())):
-                c = _classes(text.as_py(), rank, other)
-                n.append(len(c))
-                if len(c):
-                    for side in range(2):
-                        mean[side, k] = (start[side, c[0]] + after[side, c[:-1], c[1:]].sum()) / len(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], names=["doc_id", "n_words", "loss_target", "loss_background", "score"])
+    def rate(left: pa.Table, right: pa.Table) -> pa.Table:
+        r = left.to_pylist()[0]
+        n, mean = np.array(r["n_words"], np.int64), np.zeros((2, len(r["n_words"])))
+        block = _Block(n, r["codes"], r["hashes"], np.array(r["targets"] or [], np.int64))
+        if len(block.start):
+            rows = sorted(right.to_pylist(), key=lambda x: (x["kind"], x["bucket"]))
+            sent = [np.stack([np.concatenate([unpack(x[s], np.uint64) for x in rows if x["kind"] == kind]) for s in ("target", "background")]).astype(np.int64) for kind in (0, 1)]
+            mean[:, block.with_words] = losses(block, sent, np.array(totals), vocabulary, strength)
+        values = pa.array(r["doc_ids"], first_type), *map(pa.array, (n, mean[0], mean[1], mean[0] - mean[1]))
+        return pa.Table.from_arrays(list(values), names=names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rate, f"doc_id {id_type}, n_words long, loss_target double, loss_background double, score double")
+    return marked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(rate, f"doc_id {id_type.simpleString()}, n_words long, loss_target double, loss_background double, score double")
 
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY, strength: float = STRENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, strength: float = STRENGTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """Scores of all ``docs``; ``targets`` names in its first column the documents that the target model learns from."""
-    ids = targets.select(F.col(targets.columns[0]).alias("_id")).where("_id is not null").distinct().withColumn("_target", F.lit(True))
-    marked = docs.select(F.col(id_col), F.col(text_col)).join(ids.hint("shuffle_merge"), F.col(id_col) == F.col("_id"), "left")  # one plan at every size
-    vocab = vocabulary(docs, size, text_col)
-    models = losses(bigrams(marked, vocab, "_target", text_col), len(vocab) + 1, strength)
-    return score(docs, vocab, models, id_col, text_col)
+    made = blocks(docs, id_col, text_col, block_bytes)
+    ids = targets.select(F.col(targets.columns[0]).alias("_id")).where("_id is not null").distinct()
+    each = made.select("block", F.explode(F.arrays_zip("doc_ids", "n_words", F.sequence(F.lit(0), F.size("n_words") - 1).alias("nth"))).alias("d")).select("block", "d.*")
+    chosen = stored(each.join(ids, F.col("doc_ids") == F.col("_id")).groupBy("block").agg(F.collect_list("nth").alias("targets"), F.sum(F.when(F.col("n_words") > 0, F.col("n_words") + 1)).alias("n")), "targets")
+    size = made.agg(F.sum("keys").alias("keys"), F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, n: a + n + F.when(n > 0, 1).otherwise(0))).alias("n")).first()
+    target = chosen.agg(F.sum("n")).first()[0] or 0
+    marked = made.join(chosen.select("block", "targets"), "block", "left").drop("keys")
+    found = sums(requests(marked, max(1, -(-(size.keys or 0) // bucket_keys))))
+    vocabulary = found.agg(F.sum("words")).first()[0] or 1
+    return score(marked, found.drop("words"), (target, (size.n or 0) - target), vocabulary, strength)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,27 +226,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = rf"""
 WITH w AS (
-  SELECT row_number() OVER () AS r, doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS target,
+  SELECT row_number() OVER () AS r, doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS target,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
   FROM documents),
-t AS (SELECT r, target, i, ws[i] AS word FROM (SELECT r, target, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
-v AS (SELECT word, row_number() OVER (ORDER BY n DESC, encode(word)) - 1 AS c FROM (SELECT word, count(*) AS n FROM t GROUP BY word) ORDER BY n DESC, encode(word) LIMIT {VOCABULARY}),
-k AS (SELECT (SELECT count(*) FROM v) AS other),
-s AS (SELECT r, target, i, coalesce(v.c, (SELECT other FROM k)) AS c FROM t LEFT JOIN v USING (word)),
-p AS (SELECT r, target, i, c, lag(c) OVER (PARTITION BY r ORDER BY i) AS h FROM s),
-classes AS (SELECT unnest(range(0, (SELECT other FROM k) + 1)) AS c),
-one AS (SELECT c, count(*) FILTER (target) AS nt, count(*) FILTER (NOT target) AS nb FROM s GROUP BY c),
-uni AS (
-  SELECT classes.c, (coalesce(nt, 0) + 1) / ((SELECT sum(nt) FROM one) + (SELECT other FROM k) + 1)::DOUBLE AS pt,
-    (coalesce(nb, 0) + 1) / ((SELECT sum(nb) FROM one) + (SELECT other FROM k) + 1)::DOUBLE AS pb
-  FROM classes LEFT JOIN one USING (c)),
-two AS (SELECT h, c, count(*) FILTER (target) AS nt, count(*) FILTER (NOT target) AS nb FROM p WHERE h IS NOT NULL GROUP BY h, c),
-hist AS (SELECT h, sum(nt) AS ht, sum(nb) AS hb FROM two GROUP BY h),
+p AS (
+  SELECT r, target, CASE WHEN i = 1 THEN '' ELSE ws[i - 1] END AS h, CASE WHEN i > len(ws) THEN '' ELSE ws[i] END AS c
+  FROM (SELECT r, coalesce(target, false) AS target, ws, unnest(range(1, len(ws) + 2)) AS i FROM w WHERE len(ws) > 0)),
+v AS (SELECT count(DISTINCT c) AS v FROM p),
+al AS (SELECT count(*) FILTER (target) AS nt, count(*) FILTER (NOT target) AS nb FROM p),
+one AS (SELECT c, count(*) FILTER (target) AS nt, count(*) FILTER (NOT target) AS nb FROM p GROUP BY c),
+two AS (SELECT h, c, count(*) FILTER (target) AS nt, count(*) FILTER (NOT target) AS nb FROM p GROUP BY h, c),
+own2 AS (SELECT r, target, h, c, count(*) AS n FROM p GROUP BY ALL),
+own1 AS (SELECT r, c, count(*) AS n FROM p GROUP BY ALL),
+own AS (SELECT r, count(*) AS n FROM p GROUP BY r),
+x AS (
+  SELECT o.r, o.n, CASE WHEN target THEN 1 ELSE 0 END AS mt, CASE WHEN target THEN 0 ELSE 1 END AS mb,
+    two.nt AS hwt, two.nb AS hwb, o.n AS hw, ow.nt AS wt, ow.nb AS wb, w1.n AS w, oh.nt AS ht, oh.nb AS hb, h1.n AS h, own.n AS d
+  FROM own2 o JOIN two USING (h, c) JOIN one ow ON ow.c = o.c JOIN one oh ON oh.c = o.h JOIN own1 w1 ON w1.r = o.r AND w1.c = o.c
+    JOIN own1 h1 ON h1.r = o.r AND h1.c = o.h JOIN own ON own.r = o.r),
 loss AS (
-  SELECT r, CASE WHEN p.h IS NULL THEN -ln(pt) ELSE -ln((two.nt + {STRENGTH}::DOUBLE * pt) / (ht + {STRENGTH}::DOUBLE)) END AS lt,
-    CASE WHEN p.h IS NULL THEN -ln(pb) ELSE -ln((two.nb + {STRENGTH}::DOUBLE * pb) / (hb + {STRENGTH}::DOUBLE)) END AS lb
-  FROM p JOIN uni USING (c) LEFT JOIN two ON two.h = p.h AND two.c = p.c LEFT JOIN hist ON hist.h = p.h),
-mean AS (SELECT r, avg(lt) AS lt, avg(lb) AS lb FROM loss GROUP BY r)
+  SELECT r, n, -ln((hwt - mt * hw + {STRENGTH}::DOUBLE * ((wt - mt * w + 1) / (al.nt - mt * d + v)::DOUBLE)) / (ht - mt * h + {STRENGTH}::DOUBLE)) AS lt,
+    -ln((hwb - mb * hw + {STRENGTH}::DOUBLE * ((wb - mb * w + 1) / (al.nb - mb * d + v)::DOUBLE)) / (hb - mb * h + {STRENGTH}::DOUBLE)) AS lb
+  FROM x, al, v),
+mean AS (SELECT r, sum(n * lt) / sum(n) AS lt, sum(n * lb) / sum(n) AS lb FROM loss GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(lt, 0), 5) AS loss_target, round(coalesce(lb, 0), 5) AS loss_background, round(coalesce(lt - lb, 0), 5) AS score
 FROM w LEFT JOIN mean USING (r)
 """

@@ -1,7 +1,9 @@
 """Edge cases and brute-force versions of the training-data operators, on small tables."""
 
 import bisect
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import SparkSession
@@ -149,10 +151,32 @@ def test_language_learns_from_different_texts(spark):
     assert len(got["hot"]) == len(set(got["hot"])) == 80
 
 
-def test_lm(docs):
-    got = lm.cross_entropy_difference(docs, docs.where("doc_id in (3, 5)").select("doc_id"), size=50).collect()
-    assert len(got) == docs.count() and {r.score for r in got if r.doc_id in (0, 1)} == {0.0}
-    assert min((r.score, r.doc_id) for r in got if r.doc_id in (3, 4, 5, 6, 7))[1] in (3, 5)
+def brute_losses(rows, targets, strength):
+    """Plain counts of every word and pair; of each row, its own taken out."""
+    seqs = [["", *(w.decode() for part in lm.words((t or "").encode(), lm.ALNUM) for w in part), ""] for _, t in rows]
+    sides = [i in targets for i, _ in rows]
+    pairs = [list(zip(s, s[1:], strict=False)) if len(s) > 2 else [] for s in seqs]
+    vocab, out = len({w for p in pairs for _, w in p}), []
+    for k, own in enumerate(pairs):
+        loss = []
+        for side in (True, False):
+            rest = [x for n, p in enumerate(pairs) if sides[n] is side and n != k for x in p]
+            one, two = Counter(w for _, w in rest), Counter(rest)
+            loss.append(sum(-math.log((two[h, w] + strength * (one[w] + 1) / (len(rest) + vocab)) / (one[h] + strength)) for h, w in own) / max(1, len(own)))
+        out.append((rows[k][0], max(0, len(own) - 1), *loss))
+    return out
+
+
+def test_lm_is_as_plain_counts(docs):
+    short = docs.where("doc_id is null or doc_id <> 12")
+    rows = [(r.doc_id, r.text) for r in short.collect()]
+    want = sorted(brute_losses(rows, {3, 5, 4}, 2.0), key=str)
+    targets = short.where("doc_id in (3, 4, 5)").select("doc_id").unionByName(short.select(F.lit(None).cast("long").alias("doc_id")))
+    for size, keys in ((1 << 20, 1 << 20), (1500, 100)):
+        got = sorted([(r.doc_id, r.n_words, r.loss_target, r.loss_background) for r in lm.cross_entropy_difference(short, targets, 2.0, block_bytes=size, bucket_keys=keys).collect()], key=str)
+        assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(x - y) < 1e-9 for g, w in zip(got, want, strict=True) for x, y in zip(g[2:], w[2:], strict=True))
+    assert len(lm.cross_entropy_difference(docs, targets.limit(0)).collect()) == docs.count()
+    assert lm.cross_entropy_difference(docs.limit(0), targets).count() == 0
 
 
 def test_toxicity_is_exact(spark, docs):
