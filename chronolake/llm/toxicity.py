@@ -1,144 +1,153 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The classifier is fitted on a bounded sample: per class the EXAMPLES labelled documents with the smallest hashes, up to
-EXAMPLE_BYTES of text.  Its terms are words and beginnings of words that tell the classes apart (a log-likelihood
-ratio over LEAST_RATIO), found in LEAST_DOCS examples at least.  The index has a posting list per word, in blocks of
-BLOCK examples, with the largest weight of each block: a block whose bound cannot reach the k-th best cosine is
-skipped, so the k nearest examples are exact.  Their votes weigh by cosine.  Isotonic
-regression on leave-one-out votes, weighted to the classes' frequencies among all labelled rows, turns
-votes into probabilities.  Every document is scored whole; examples with the very text of a document do not
-vote on it.
-
-Nulls and edges: a null or empty text, or one without a word of the vocabulary, has no neighbour and gets the rate of such
-examples; ties in cosine go to the earlier example; labels that are null, or without a document, are not used; rows
-that repeat an id are scored one by one; without examples of both classes every score is the share of toxic ones
-(0 if none); other columns are ignored, so names cannot clash; an empty table gives an empty result.
+The classifier is fitted on a bounded sample: per class the EXAMPLES different labelled texts with the smallest hashes, up
+to EXAMPLE_BYTES in all; longer texts than EXAMPLE_TEXT bytes are no examples.  Every word of the sample is a term; its weight is
+(1 + log tf) * idf, and idf is raised, never lowered, for words that tell the classes apart: by the factor 1 + BOOST * (G - 1)
+where the log-likelihood ratio G is over 1.  A document's words that no example has count with the idf of such words in its length.
+
+The index has a posting list per word, in blocks of BLOCK examples, with the largest weight of each block.  Blocks are
+taken from the largest bound on, and those whose bound cannot reach the k-th best cosine are skipped, so the k nearest examples
+are exact.  Their votes weigh by cosine.  Isotonic regression turns votes into probabilities: it is fitted on votes that
+each fifth of the sample gets from the other four, weights of words included, with the classes weighted to their frequencies
+among all labelled texts.  Every document is scored whole.  A document that is itself an example meets itself.
+
+Nulls and edges: a null or empty text, or one without a word of any example, has no neighbour and the score of vote 0; ties in
+cosine go to the earlier example; labels that are null, without a document, or that differ for one id are not used; a text
+with several labelled copies has the label of most of them, toxic if equal; rows that repeat an id are scored one by one; without
+examples of both classes every score is the share of toxic ones (0 if none); other columns are ignored, so names
+cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ALNUM, crc_of_id, table, words
+from .common import ALNUM, crc_of_id, stored, table, words
 
-EXAMPLES, EXAMPLE_BYTES, LEAST_DOCS, LEAST_RATIO = 1500, 16 << 20, 5, 25.0
-#: Examples of a block, neighbours asked for, and the squared weight of a word without a term in a vector's length.
-BLOCK, NEAREST, OTHER = 64, 15, 0.25
+#: Bounds of the sample: examples of a class, bytes of all and of one, and parts of the sample for the calibration.
+EXAMPLES, EXAMPLE_BYTES, EXAMPLE_TEXT, FOLDS = 1500, 16 << 20, 1 << 16, 5
+#: Examples of a block, blocks taken first, neighbours asked for, and what a word's log-likelihood ratio adds to its weight.
+BLOCK, FIRST_BLOCKS, NEAREST, BOOST = 128, 4, 15, 0.3
 THRESHOLD = 0.7
-#: Bytes of the beginnings of words that are terms of their own.
-STEMS = (4, 5, 6, 7, 8)
-
-
-def examples(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = EXAMPLES, most_bytes: int = EXAMPLE_BYTES) -> list[tuple[int, str, int]]:
-    """doc_id, text, label of the sample; at most 2 * ``per_class`` rows come to the driver."""
-    known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").dropDuplicates(["doc_id"])
-    some = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    chosen = some[0].unionByName(some[1])
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows
-    fits = F.octet_length("text") <= most_bytes // 16  # no single text takes the sample's bytes
-    out, size, seen = [], 0, set()
-    for r in rows.where(fits).orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
-        if r.text in seen:  # copies say nothing new
-            continue
-        seen.add(r.text)
+
+
+def examples(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = EXAMPLES, most_bytes: int = EXAMPLE_BYTES, most_text: int = EXAMPLE_TEXT) -> tuple[list[tuple], float]:
+    """doc_id, text, label of the sample, at most 2 * ``per_class`` different texts; and the share of toxic labelled texts."""
+    label = F.col(label_col).cast("int")
+    known = labels.where(label.isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other AND doc_id IS NOT NULL")
+    text = F.col("text").cast("string")
+    hashed = docs.select("doc_id", F.xxhash64(text).alias("h"), F.octet_length(text).alias("size"))
+    texts = stored(hashed.join(known, "doc_id").groupBy("h").agg(F.min("doc_id").alias("doc_id"), (2 * F.sum("label") >= F.count("*")).cast("int").alias("label"), F.max("size").alias("size")), "labelled")
+    counts = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
+    some = [texts.where((F.col("label") == k) & (F.col("size") <= most_text)).orderBy("h").limit(per_class) for k in (0, 1)]
+    chosen = stored(some[0].unionByName(some[1]).select("h", F.col("doc_id").alias("_id"), "label"), "examples")
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(chosen), "h").where("doc_id = _id")  # 2 * per_class rows
+    out, size = [], 0
+    for r in rows.groupBy("h", "doc_id", "label").agg(F.min("text").alias("text")).orderBy("h").toLocalIterator():
         size += len(r.text.encode())
         if size > most_bytes:
             break
         out.append((r.doc_id, r.text, r.label))
-    return out
+    return out, share
+
 
+def term_counts(text: bytes) -> Counter:
+    found: Counter = Counter()
+    for part in words(text, ALNUM):
+        found.update(part)
+    return found
 
-def terms_of(word: bytes) -> list[bytes]:
-    """The word, and its longer beginnings with a star: inflected forms share them."""
-    return [word, *(word[:n] + b"*" for n in STEMS if n < len(word))]
 
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... up to length[0] of them, then the same of the next ones."""
+    ends = np.cumsum(length)
+    return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
 
-def _counts(text: bytes, vocab: dict[bytes, int], known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Terms, their counts, and the number of words without a term.  known: the terms of words seen before."""
-    found: list[int] = []
-    other = 0
-    for part in words(text, ALNUM):
-        for w in part:
-            own = known.get(w)
-            if own is None:
-                if len(known) > 1 << 18:
-                    known.clear()
-                own = known[w] = [vocab[t] for t in terms_of(w) if t in vocab]
-            if own:
-                found += own
-            else:
-                other += 1
-    return *np.unique(np.array(found, np.int64), return_counts=True), other
-
-
-def _vector(text: bytes, vocab: dict[bytes, int], idf: np.ndarray, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and weights, of a vector of length 1 in which each word without a term has a dimension of its own."""
-    terms, n, other = _counts(text, vocab, known)
-    weights = (1 + np.log(n)) * idf[terms]
-    return terms, weights / max(np.sqrt((weights * weights).sum() + OTHER * other), 1e-12)
-
-
-def vocabulary(texts: list[bytes], labels: np.ndarray) -> tuple[dict[bytes, int], np.ndarray]:
-    """Telling words and their inverse document frequencies."""
-    seen: dict[bytes, list[int]] = {}
-    for text, label in zip(texts, labels, strict=True):
-        for w in {t for part in words(text, ALNUM) for w in set(part) for t in terms_of(w)}:
-            seen.setdefault(w, [0, 0])[label] += 1
-    size = np.bincount(labels, minlength=2).astype(float)
-    frequent = sorted(w for w, n in seen.items() if sum(n) >= LEAST_DOCS)
-    n = np.array([seen[w] for w in frequent], float).reshape(-1, 2)
-    table_ = np.stack([n, size - n])  # with and without the word, by class
-    expected = table_.sum(2, keepdims=True) * size / size.sum()
+
+class Sample:
+    """The examples' words as arrays: one entry for each word of each example."""
+
+    def __init__(self, rows: list[tuple]):
+        rows = sorted(rows, key=lambda r: r[2])  # blocks of one class have tighter bounds
+        counts = [term_counts(t.encode()) for _, t, _ in rows]
+        self.ids, self.labels = [r[0] for r in rows], np.array([r[2] for r in rows], np.int64)
+        self.vocab = {w: k for k, w in enumerate(sorted(set().union(*counts)))}
+        self.example = np.repeat(np.arange(len(rows)), [len(c) for c in counts])
+        self.term = np.fromiter((self.vocab[w] for c in counts for w in c), np.int64, len(self.example))
+        self.tf = 1 + np.log(np.fromiter((n for c in counts for n in c.values()), float, len(self.example)))
+
+
+def term_weights(sample: Sample, used: np.ndarray) -> tuple[np.ndarray, float]:
+    """The weight of every word, from the ``used`` examples; and of a word that none of them has."""
+    y, size = sample.labels, np.bincount(sample.labels[used], minlength=2).astype(float)
+    entry = used[sample.example]
+    having = np.stack([np.bincount(sample.term[entry & (y[sample.example] == k)], minlength=len(sample.vocab)) for k in (0, 1)]).astype(float)
+    df, total = having.sum(0), size.sum()
+    cells = np.stack([having, size[:, None] - having])  # with and without the word, by class
+    expected = cells.sum(1, keepdims=True) * size[None, :, None] / max(total, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * np.nan_to_num(table_ * np.log(table_ / expected)).sum((0, 2))
-    keep = np.flatnonzero(ratio >= LEAST_RATIO)
-    return {frequent[k]: i for i, k in enumerate(keep)}, np.log(1 + size.sum() / n[keep].sum(1))
-
-
-def build_index(rows: list[tuple[int, str, int]]) -> dict:
-    """The block-max index of the examples."""
-    texts, labels = [t.encode() for _, t, _ in rows], np.array([y for *_, y in rows], np.int64)
-    vocab, idf = vocabulary(texts, labels)
-    postings: list[list[tuple[int, float]]] = [[] for _ in vocab]
-    for k, text in enumerate(texts):
-        for t, w in zip(*_vector(text, vocab, idf, {}), strict=True):
-            postings[t].append((k, w))
-    blocks = -(-len(rows) // BLOCK)
-    most, cuts = np.zeros((len(vocab), blocks)), np.zeros((len(vocab), blocks + 1), np.int64)
-    lists = []
-    for t, p in enumerate(postings):
-        at, w = np.array([x for x, _ in p], np.int64), np.array([x for _, x in p])
-        np.maximum.at(most[t], at // BLOCK, w)
-        cuts[t] = np.searchsorted(at, np.arange(blocks + 1) * BLOCK)
-        lists.append((at, w))
-    return {"vocab": vocab, "idf": idf, "most": most, "cuts": cuts, "lists": lists, "labels": labels, "ids": [i for i, *_ in rows], "texts": np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64)}
-
-
-def nearest(index: dict, text: bytes, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-    """The k examples with the largest cosine over 0, nearest first, and their cosines; those with this text left out."""
-    terms, weights = _vector(text, index["vocab"], index["idf"], index.setdefault("known", {}))
-    if not len(terms):
-        return np.zeros(0, np.int64), np.zeros(0)
-    bound = weights @ index["most"][terms]
-    own = np.uint64(xxhash.xxh64_intdigest(text))
-    best, score = np.zeros(0, np.int64), np.zeros(0)
-    for b in np.argsort(-bound, kind="stable"):
-        if bound[b] <= 0 or len(best) == k and bound[b] < score[-1] - 1e-12:
-            break
-        sums = np.zeros(BLOCK)
-        for t, w in zip(terms, weights, strict=True):
-            a, z = index["cuts"][t, b], index["cuts"][t, b + 1]
-            at, v = index["lists"][t]
-            sums[at[a:z] - b * BLOCK] += w * v[a:z]
+        g = 2 * np.nan_to_num(cells * np.log(cells / expected), posinf=0, neginf=0).sum((0, 1))
+    return (np.log((1 + total) / (1 + df)) + 1) * (1 + BOOST * np.maximum(0, g - 1)), float(np.log(1 + total) + 1)
+
+
+def build_index(sample: Sample, used: np.ndarray | None = None) -> dict:
+    """The block-max index of the ``used`` examples, of all by default."""
+    used = np.ones(len(sample.labels), bool) if used is None else used
+    weight, other = term_weights(sample, used)
+    entry = np.flatnonzero(used[sample.example])
+    term, at, value = sample.term[entry], sample.example[entry], sample.tf[entry] * weight[sample.term[entry]]
+    value = value / np.sqrt(np.bincount(at, value * value, len(sample.labels)))[at]
+    order = np.lexsort((at, term))
+    term, at, value = term[order], at[order], value[order]
+    cell = term * (len(sample.labels) // BLOCK + 1) + at // BLOCK
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    most = np.maximum.reduceat(value, first) if len(first) else np.zeros(0)
+    return {
+        "vocab": sample.vocab, "weight": weight, "other": other, "at": at, "value": value, "labels": sample.labels, "ids": sample.ids,
+        "cell_start": first, "cell_size": np.diff(first, append=len(at)), "cell_most": most, "cell_block": at[first] // BLOCK,
+        "term_cells": np.searchsorted(term[first], np.arange(len(sample.vocab) + 1)),
+    }
+
+
+def vector(index: dict, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Known words and their weights, in a vector of length 1 that has the other words too."""
+    term = np.fromiter((index["vocab"].get(w, -1) for w in counts), np.int64, len(counts))
+    tf = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
+    value = tf * np.where(term >= 0, index["weight"][term] if len(index["weight"]) else 0, index["other"])
+    value = value / max(np.sqrt((value * value).sum()), 1e-12)
+    return term[term >= 0], value[term >= 0]
+
+
+def nearest(index: dict, counts: Counter, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+    """The k examples with the largest cosine over 0, nearest first, and their cosines."""
+    term, query = vector(index, counts)
+    none = np.zeros(0, np.int64), np.zeros(0)
+    cells_of = np.diff(index["term_cells"])[term]
+    if not cells_of.sum():
+        return none
+    cell, by = _ranges(index["term_cells"][term], cells_of), np.repeat(query, cells_of)
+    block = index["cell_block"][cell]
+    bound = np.bincount(block, by * index["cell_most"][cell])
+    rank = np.empty(len(bound), np.int64)
+    order = np.argsort(-bound, kind="stable")
+    rank[order] = np.arange(len(bound))
+    done, step, best, score = 0, FIRST_BLOCKS, *none
+    while done < len(order) and bound[order[done]] > 0 and (len(best) < k or bound[order[done]] >= score[-1] - 1e-12):
+        now = (rank[block] >= done) & (rank[block] < done + step)
+        size = index["cell_size"][cell[now]]
+        at = _ranges(index["cell_start"][cell[now]], size)
+        sums = np.bincount(index["at"][at], np.repeat(by[now], size) * index["value"][at])
         found = np.flatnonzero(sums > 0)
-        found = found[index["texts"][found + b * BLOCK] != own]
-        best, score = np.concatenate([best, found + b * BLOCK]), np.concatenate([score, sums[found]])
-        order = np.lexsort((best, -np.round(score, 12)))[:k]
-        best, score = best[order], score[order]
+        best, score = np.concatenate([best, found]), np.concatenate([score, sums[found]])
+        top = np.lexsort((best, -np.round(score, 12)))[:k]
+        best, score, done, step = best[top], score[top], done + step, 2 * step
     return best, score
 
 
@@ -159,30 +168,39 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> dict:
-    """Index and calibration from the labelled rows given."""
-    rows = examples(docs, labels, label_col)
-    counts = {r.label: r.n for r in labels.groupBy(F.col(label_col).cast("int").alias("label")).agg(F.count("*").alias("n")).where("label in (0, 1)").collect()}
-    share = counts.get(1, 0) / max(1, sum(counts.values()))
-    y = np.array([r[2] for r in rows], np.int64)
-    if len(set(y.tolist())) < 2:
+def learn(rows: list[tuple], share: float) -> dict:
+    """Index and calibration from doc_id, text, label rows."""
+    if len({r[2] for r in rows}) < 2:
         return {"share": share}
-    index = build_index(rows)
-    votes = np.array([vote(index, *nearest(index, t.encode())) for _, t, _ in rows])
+    sample = Sample(rows)
+    y, fold, votes = sample.labels, np.arange(len(rows)) % FOLDS, np.zeros(len(rows))
+    counts = [Counter() for _ in rows]
+    names = list(sample.vocab)
+    for k, t, n in zip(sample.example.tolist(), sample.term.tolist(), np.round(np.exp(sample.tf - 1)).astype(int).tolist(), strict=True):
+        counts[k][names[t]] = n
+    for f in range(FOLDS):
+        index = build_index(sample, fold != f)
+        for k in np.flatnonzero(fold == f):
+            votes[k] = vote(index, *nearest(index, counts[k]))
     weight = np.where(y == 1, share / (y == 1).mean(), (1 - share) / (y == 0).mean())
     at, value = isotonic(votes, y.astype(float), weight)
-    return {"share": share, "index": index, "at": at, "value": value}
+    return {"share": share, "index": build_index(sample), "at": at, "value": value}
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> dict:
+    """Index and calibration from the labelled rows given."""
+    return learn(*examples(docs, labels, label_col))
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", shown: int = 3) -> DataFrame:
     """doc_id, score, evidence (the ``shown`` nearest examples with cosine and label) of every row."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    learned = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLE_BYTES
+    id_type = docs.schema[id_col].dataType
+    learned, first_type = docs.sparkSession.sparkContext.broadcast(model), to_arrow_type(id_type)  # bounded by EXAMPLE_BYTES
 
     def rate(batches):
         model = learned.value
         index = model.get("index")
-        arrow = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+        arrow = pa.list_(pa.struct([("doc_id", first_type), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
             scores, evidence = [], []
             for text in pa.compute.cast(batch.column(1), pa.binary()):
@@ -190,12 +208,13 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                     scores.append(model["share"])
                     evidence.append([])
                     continue
-                best, cosine = nearest(index, text.as_py() or b"")
+                best, cosine = nearest(index, term_counts(text.as_py() or b""))
                 scores.append(float(np.interp(vote(index, best, cosine), model["at"], model["value"])))
                 evidence.append([{"doc_id": index["ids"][k], "cosine": float(c), "label": int(index["labels"][k])} for k, c in zip(best[:shown], cosine[:shown], strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, arrow)], names=["doc_id", "score", "evidence"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rate, f"doc_id {id_type}, score double, evidence array<struct<doc_id: long, cosine: double, label: int>>")
+    kind = id_type.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rate, f"doc_id {kind}, score double, evidence array<struct<doc_id: {kind}, cosine: double, label: int>>")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -179,23 +179,61 @@ def test_lm_is_as_plain_counts(docs):
     assert lm.cross_entropy_difference(docs.limit(0), targets).count() == 0
 
 
-def test_toxicity_is_exact(spark, docs):
+def brute_scores(rows, share, texts):
+    """Plain dictionaries: TF-IDF of all words, all cosines, votes, and the calibration of the operator."""
+    counts = [Counter(w for part in toxicity.words(t.encode(), toxicity.ALNUM) for w in part) for _, t, _ in rows]
+
+    def model(used):
+        n = [sum(1 for k in used if rows[k][2] == y) for y in (0, 1)]
+        weight = {}
+        for w in {w for k in used for w in counts[k]}:
+            have = [sum(1 for k in used if rows[k][2] == y and w in counts[k]) for y in (0, 1)]
+            g = 0.0
+            for a, row in ((have, sum(have)), ([n[y] - have[y] for y in (0, 1)], len(used) - sum(have))):
+                g += sum(2 * a[y] * math.log(a[y] / (row * n[y] / len(used))) for y in (0, 1) if a[y])
+            weight[w] = (math.log((1 + len(used)) / (1 + sum(have))) + 1) * (1 + toxicity.BOOST * max(0, g - 1))
+        return weight, math.log(1 + len(used)) + 1
+
+    def unit(c, weight, other):
+        v = {w: (1 + math.log(n)) * weight.get(w, other) for w, n in c.items()}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {w: x / length for w, x in v.items() if w in weight}
+
+    def vote(c, used, weight, other):
+        q = unit(c, weight, other)
+        found = []
+        for k in used:
+            v = unit(counts[k], weight, other)
+            found.append((-round(sum(x * v[w] for w, x in q.items() if w in v), 12), k))
+        near = [(s, k) for s, k in sorted(found)[: toxicity.NEAREST] if s < 0]
+        return sum(-s * (2 * rows[k][2] - 1) for s, k in near) / toxicity.NEAREST
+
+    votes = []
+    for k in range(len(rows)):
+        used = [j for j in range(len(rows)) if j % toxicity.FOLDS != k % toxicity.FOLDS]
+        votes.append(vote(counts[k], used, *model(used)))
+    y = toxicity.np.array([r[2] for r in rows], float)
+    at, value = toxicity.isotonic(toxicity.np.round(votes, 9), y, toxicity.np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
+    whole = model(range(len(rows)))
+    return [float(toxicity.np.interp(vote(Counter(w for part in toxicity.words((t or "").encode(), toxicity.ALNUM) for w in part), range(len(rows)), *whole), at, value)) for t in texts]
+
+
+def test_toxicity_is_as_plain_cosines(spark, docs):
     rng = random.Random(5)
-    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(30)) + (" vile nasty" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(120)]
-    index = toxicity.build_index(rows)
-    text = b"alpha vile thing"
-    best, cosine = toxicity.nearest(index, text, 5)
-    terms, q = toxicity._vector(text, index["vocab"], index["idf"], {})
-    brute = []
-    for k, (_, t, _) in enumerate(rows):
-        at, w = toxicity._vector(t.encode(), index["vocab"], index["idf"], {})
-        own = dict(zip(at.tolist(), w.tolist(), strict=True))
-        brute.append((-round(sum(x * own.get(i, 0.0) for i, x in zip(terms.tolist(), q.tolist(), strict=True)), 12), k))
-    assert [k for _, k in sorted(brute)[:5]] == best.tolist() and abs(-sorted(brute)[0][0] - cosine[0]) < 1e-9
-    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-    model = toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), labels)
-    assert toxicity.score(docs, model).count() == docs.count()
+    rows = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(3)) for _ in range(30)) + (" vile nasty" if i % 4 == 0 else "") + (" vile" if i == 7 else ""), int(i % 4 == 0)) for i in range(60)]
+    texts = [None, "", "alpha0 vile thing", rows[0][1], "nasty", "no word of these", rows[3][1] + " other words"]
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(3, 1), (99, 1), (5, None)], "doc_id long, toxic int")  # 3 has two labels
+    sample, share = toxicity.examples(frame, labels)
+    assert sorted(r[0] for r in sample) == [i for i in range(60) if i != 3] and abs(share - 15 / 59) < 1e-12
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(asked, toxicity.fit(frame, labels)).collect()}
+    want = brute_scores(sorted(sample, key=lambda r: r[2]), share, texts)
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in range(len(texts))), (got, want)
+    assert toxicity.score(docs, toxicity.fit(frame, labels)).count() == docs.count()
     assert toxicity.fit(docs, labels.limit(0)) == {"share": 0.0}
+    copies = spark.createDataFrame([(i, "the same") for i in range(5)] + [(9, "another")], "doc_id long, text string")
+    assert [r[1:] for r in toxicity.examples(copies, spark.createDataFrame([(i, int(i < 3)) for i in range(6)], "doc_id long, toxic int"))[0]] == [("the same", 1)]
 
 
 def test_chat_round_trip(spark):
