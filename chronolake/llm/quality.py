@@ -7,11 +7,12 @@ that no group, however large, meets in one task: rows of a group are dealt by ha
 concentrated over all its rows.  Such a step is an aggregation: distances fall into fine classes, a class table
 gives the distance that covers the wanted share of rows, and sums over the rows inside give the next
 centre and scatter.  One reweighting step follows; a document whose squared distance exceeds the chi-square
-quantile is rejected.  Documents that fail the base rules take no part in the estimates.
+quantile is rejected.  Documents that fail the base rules take no part in the estimates, and a text counts once
+in each language and source however many copies it has.
 
-Groups of fewer than ``least_rows`` rows are judged by their language, languages that small by all rows, and with
-fewer rows still nothing is rejected.  ``FLOOR`` is the resolution of each feature: it is added to the
-scatter, so features that hardly vary, ties and repeated rows cannot make it singular.
+One law holds for groups of every size: the estimate of n texts of a language and source has the weight n / (n + SHRINK) beside that
+of its language, which in turn has such a weight beside that of all texts.  The features vary by nature in every kind of text; ``RIDGE``
+is a rounding error of one percent that only keeps equal rows from a singular scatter.
 
 Nulls and edges: a null or empty text has zero words and fails the base; null lang or source are groups of their own;
 rows that repeat an id are judged one by one; a null doc_id is carried along; other columns are ignored, so
@@ -30,19 +31,19 @@ from pyspark.sql import functions as F
 
 from .common import stored, table, words
 
-#: log(letters per word), log(1 + symbols per 100 words), share of repeated lines, share of words in repeated
-#: windows, log(1 + capitals per 100 letters): resolution of each.
-FLOOR = (0.05, 0.25, 0.15, 0.15, 0.2)
-P = len(FLOOR)
-#: Share of rows that an estimate covers, tail of the chi-square law beyond which a document goes, rows of a cell,
-#: rows that a group needs, random starts in a cell, solutions taken over all rows, steps with these and with the best.
-COVER, TAIL, CELL_ROWS, LEAST_ROWS, STARTS, TAKEN, FIRST_STEPS, STEPS = 0.75, 1e-9, 2000, 200, 20, 3, 2, 4
+#: log(letters per word), log(ASCII punctuation per letter), log(capitals per letter), log(words per different line),
+#: log(different words) / log(words).
+P, RIDGE = 5, 1e-4
+#: Share of rows that an estimate covers, tail of the chi-square law beyond which a document goes, rows that the parent group's
+#: estimate weighs, rows of a cell, random starts in a cell, solutions taken over all rows, steps with these and with the best.
+COVER, TAIL, SHRINK, CELL_ROWS, STARTS, TAKEN, FIRST_STEPS, STEPS = 0.6, 0.001, 50, 2000, 20, 3, 2, 4
 SYMBOLS, CAPITALS, CASED = "#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", bytes(range(256))
+PUNCTUATION = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def text_counts(text: str | None) -> tuple[int, ...]:
-    """The five counts of COUNTS, then lines with a word and ASCII capitals."""
+    """The five counts of COUNTS, then lines with a word, ASCII capitals, ASCII punctuation, and different words."""
     text = text or ""
     raw = text.encode()
     ids: dict[bytes, int] = {}
@@ -60,12 +61,12 @@ def text_counts(text: str | None) -> tuple[int, ...]:
         repeated = int(inside.sum())
     lines = [x for x in text.split("\n") if x.strip(" \t\n\v\f\r")]
     letters = len(text) - sum(map(text.count, " \t\n\v\f\r"))
-    return n, letters, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), len(raw) - len(raw.translate(None, CAPITALS))
+    return n, letters, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), len(raw) - len(raw.translate(None, CAPITALS)), len(raw) - len(raw.translate(None, PUNCTUATION)), len(ids)
 
 
-def features(n, letters, symbols, dup, repeated, lines, capitals) -> tuple[float, ...]:
-    n, letters, lines = max(n, 1), max(letters, 1), max(lines, 1)
-    return math.log(letters / n), math.log1p(100 * symbols / n), dup / lines, repeated / n, math.log1p(100 * capitals / letters)
+def features(n, letters, symbols, dup, repeated, lines, capitals, punctuation, different) -> tuple[float, ...]:
+    n, letters, different = max(n, 2), max(letters, 1), max(different, 1)
+    return math.log(letters / n), math.log((punctuation + 1) / (letters + 1)), math.log((capitals + 1) / (letters + 1)), math.log(n / max(lines - dup, 1)), math.log(different) / math.log(n)
 
 
 def chi2_cdf(x: float, k: float) -> float:
@@ -104,7 +105,7 @@ def _cholesky_inverse(cov: np.ndarray) -> tuple[np.ndarray, float]:
 
 def cell_mcd(x: np.ndarray, seed: int, cover: float = COVER, starts: int = STARTS) -> tuple[np.ndarray, np.ndarray, float]:
     """FAST-MCD over one cell: centre, scatter and log determinant of the best of the random starts."""
-    rng, floor, best = np.random.default_rng(seed), np.diag(np.square(FLOOR)), None
+    rng, floor, best = np.random.default_rng(seed), np.eye(P) * RIDGE, None
     h = math.ceil(cover * len(x))
 
     def step(centre, cov):
@@ -161,7 +162,7 @@ def _from_sums(scale: float):
                 for (i, j), q in zip(_L, r[3 + P :], strict=True):
                     cov[i, j] = cov[j, i] = q / n - s[i] * s[j] / n / n
                 cov[np.diag_indices(P)] = np.maximum(cov.diagonal(), 0)
-                out.append(_estimate_row(r[0], r[1], s / n, cov * scale + np.diag(np.square(FLOOR))))
+                out.append(_estimate_row(r[0], r[1], s / n, cov * scale + np.eye(P) * RIDGE))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in _ESTIMATE.split(", ")])
 
     return solve
@@ -190,37 +191,38 @@ def _group(level: int) -> Column:
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, lang, source, the counts, base_failed and the features of every row, stored."""
+    """doc_id, lang, source, h (hash of the text), the counts, base_failed and the features of every row, stored."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{x} double" for x in _X)
+    schema = f"doc_id {id_type}, lang string, source string, h long, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{x} double" for x in _X)
 
     def count(batches):
         for batch in batches:
-            found = [text_counts(t.as_py()) for t in batch.column(3)]
+            found = [text_counts(t.as_py()) for t in batch.column(4)]
             columns = [pa.array([c[k] for c in found], pa.int64()) for k in range(len(COUNTS))]
             values = [features(*c) for c in found]
             columns += [pa.array([v[k] for v in values], pa.float64()) for k in range(P)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "lang", "source", *COUNTS, *_X])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], names=["doc_id", "lang", "source", "h", *COUNTS, *_X])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, schema)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(count, schema)
     return stored(rows.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")), "counts")
 
 
-def estimates(rows: DataFrame, cover: float = COVER, least_rows: int = LEAST_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Centre and inverse Cholesky factor of every group that is large enough (see ``_group`` for its name)."""
+def estimates(rows: DataFrame, cover: float = COVER, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Centre and inverse Cholesky factor of every group of each level (see ``_group`` for its name), with n, its texts.
+
+    Level 0 is a language and source, level 1 a language, level 2 all."""
     levels = F.array(*[_group(k) for k in range(3)])
-    sizes = stored(rows.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("grp", F.explode(levels)).groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") >= least_rows), "sizes")
-    # a group of a higher level is needed only where a group below is too small
-    placed = _placed(rows.groupBy("lang", "source").agg(F.count("*").alias("_n")), sizes)
-    needed = stored(placed.where("judged_by is not null").select(F.col("judged_by").alias("grp")).distinct().join(sizes, "grp"), "needed")
-    members = stored(rows.select("doc_id", *_X, F.explode(levels).alias("grp")).join(needed, "grp"), "members")
-    cell = F.pmod(F.xxhash64("doc_id", *_X), F.ceil(F.col("n") / F.lit(cell_rows)))
+    texts = rows.groupBy("lang", "source", "h").agg(*[F.min(x).alias(x) for x in _X])
+    members = stored(texts.select("h", *_X, F.explode(levels).alias("grp")), "members")
+    sizes = stored(members.groupBy("grp").agg(F.count("*").alias("n")), "sizes")
+    cell = F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / F.lit(cell_rows)))
 
     def solve(key, part):
-        centre, cov, _ = cell_mcd(part[_X].to_numpy(), 1, cover)
+        centre, cov, _ = cell_mcd(part.sort_values("h")[_X].to_numpy(), 1, cover)
         return pd.DataFrame([_estimate_row(key[0], 0, centre, cov)], columns=[x.split()[0] for x in _ESTIMATE.split(", ")])
 
-    local = members.select("grp", cell.alias("cell"), *_X).groupBy("grp", "cell").applyInPandas(solve, _ESTIMATE)
+    local = members.join(sizes, "grp").select("grp", cell.alias("cell"), "h", *_X).groupBy("grp", "cell").applyInPandas(solve, _ESTIMATE)
     best = Window.partitionBy("grp").orderBy("logdet", *_M)
     found = stored(local.withColumn("cand", F.row_number().over(best).cast("int")).where(F.col("cand") <= TAKEN), "starts")
     vectors = members.select("grp", *_X)
@@ -229,24 +231,52 @@ def estimates(rows: DataFrame, cover: float = COVER, least_rows: int = LEAST_ROW
             found = stored(found.withColumn("nth", F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "cand"))).where("nth = 1").drop("nth"), "best")
         found = _step(vectors, found, cover, consistency(cover) if k == STEPS - 1 else 1.0)
     near = vectors.join(found, "grp").where(_distance() <= chi2_quantile(0.025, P)).select("grp", "cand", *_X)
-    return _moments(near, consistency(0.975))
+    return _moments(near, consistency(0.975)).join(sizes, "grp")
+
+
+_SHAPE = [*_M, *(f"l{i}{j}" for i, j in _L)]
+
+
+def _moments_of(values) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter from the columns _SHAPE."""
+    inverse = np.zeros((P, P))
+    for (i, j), x in zip(_L, values[P:], strict=True):
+        inverse[i, j] = x
+    return np.array(values[:P], float), np.linalg.inv(inverse.T @ inverse)
 
 
-def _placed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """rows with judged_by: the name of the finest group that is among ``sizes``, or null."""
-    for k in range(3):
-        rows = rows.join(sizes.select(F.col("grp").alias(f"_g{k}")), _group(k) == F.col(f"_g{k}"), "left")
-    return rows.withColumn("judged_by", F.coalesce("_g0", "_g1", "_g2")).drop("_g0", "_g1", "_g2")
+def shrunk(rows: DataFrame, found: DataFrame, shrink: float = SHRINK) -> DataFrame:
+    """lang, source and the estimate that judges their rows: their own, their language's and that of all texts, weighed."""
+    level = lambda k: F.col("grp").startswith(str(k))
+    top = [tuple(r) for r in found.where(level(2)).select(*_SHAPE).collect()]  # one row
+    groups = rows.select("lang", "source").distinct().withColumns({"g0": _group(0), "g1": _group(1)})
+    own = [found.where(level(k)).select(F.col("grp").alias(f"g{k}"), F.struct("n", *_SHAPE).alias(f"e{k}")) for k in (0, 1)]
+
+    def weigh(parts):
+        for part in parts:
+            out = []
+            for lang, source, *both in part[["lang", "source", "e1", "e0"]].itertuples(index=False):
+                centre, cov = _moments_of(top[0])
+                for e in both:
+                    m, c = _moments_of([e[x] for x in _SHAPE])
+                    w = e["n"] / (e["n"] + shrink)
+                    centre, cov = w * m + (1 - w) * centre, w * c + (1 - w) * cov
+                out.append([lang, source, *_estimate_row("", 0, centre, cov)[3:]])
+            yield pd.DataFrame(out, columns=["lang", "source", *_SHAPE])
+
+    schema = "lang string, source string, " + ", ".join(f"{x} double" for x in _SHAPE)
+    return stored(groups.join(own[0], "g0").join(own[1], "g1").select("lang", "source", "e0", "e1").mapInPandas(weigh, schema), "shrunk")
 
 
-def judge(docs: DataFrame, tail: float = TAIL, cover: float = COVER, least_rows: int = LEAST_ROWS, cell_rows: int = CELL_ROWS, **names: str) -> DataFrame:
-    """doc_id, the counts, base_failed, distance2 (null if not judged), kept of every row."""
+def judge(docs: DataFrame, tail: float = TAIL, cover: float = COVER, shrink: float = SHRINK, cell_rows: int = CELL_ROWS, **names: str) -> DataFrame:
+    """doc_id, the counts, base_failed, kept, distance2 (null if not judged) of every row."""
     rows = counted(docs, **names)
-    found = estimates(rows.where(~F.col("base_failed")), cover, least_rows, cell_rows)
-    judged = _placed(rows, found).join(found.withColumnRenamed("grp", "judged_by"), "judged_by", "left")
+    passed = rows.where(~F.col("base_failed"))
+    found = shrunk(passed, estimates(passed, cover, cell_rows), shrink).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    judged = rows.join(found, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     d2 = F.when(~F.col("base_failed"), _distance())
-    kept = ~F.col("base_failed") & F.coalesce(d2 <= F.lit(chi2_quantile(tail, P)), F.lit(True))
-    return judged.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), d2.alias("distance2"))
+    kept = ~F.col("base_failed") & (d2 <= F.lit(chi2_quantile(tail, P)))
+    return judged.select("doc_id", *COUNTS, "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), d2.alias("distance2"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

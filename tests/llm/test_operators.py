@@ -72,13 +72,63 @@ def test_decontamination(spark, docs):
     assert decontaminate.phrase_matches(docs.limit(0), items).count() == 0 and decontaminate.phrase_matches(docs, items.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def plain_mcd(x, cover):
+    """FAST-MCD of all rows at once, no cells and no classes of distances; then the reweighting step."""
+    np, p = quality.np, x.shape[1]
+    centre, cov, _ = quality.cell_mcd(x, 1, cover)
+
+    def inside(centre, cov, cut):
+        z = x - centre
+        return x[(z @ np.linalg.inv(cov) * z).sum(1) <= cut]
+
+    near = inside(centre, cov * quality.consistency(cover), quality.chi2_quantile(0.025, p))
+    return near.mean(0), np.cov(near.T, bias=True) * quality.consistency(0.975) + np.eye(p) * quality.RIDGE
+
+
+def brute_verdicts(rows):
+    """doc_id -> squared distance by plain estimates of each language and source, each language, and all, weighed."""
+    np, x, groups = quality.np, {}, {}
+    for i, t, lang, source, *_ in rows:
+        c = quality.text_counts(t)
+        if c[0] >= 50 and 100 * c[4] <= 50 * c[0]:
+            x[i] = quality.features(*c)
+            for g in ((lang, source), (lang,), ()):
+                groups.setdefault(g, {})[source, t] = x[i]
+    found = {g: (len(v), *plain_mcd(np.array(list(v.values())), quality.COVER)) for g, v in groups.items()}
+    out = {}
+    for i, _, lang, source, *_ in rows:
+        if i in x:
+            _, m, c = found[()]
+            for g in ((lang,), (lang, source)):
+                n, m1, c1 = found[g]
+                w = n / (n + quality.SHRINK)
+                m, c = w * m1 + (1 - w) * m, w * c1 + (1 - w) * c
+            z = np.array(x[i]) - m
+            out[i] = float(z @ np.linalg.inv(c) @ z)
+    return out
+
+
 def test_quality_counts_and_verdicts(spark, docs):
-    assert quality.text_counts("a b c\na b c\n\nd #|") == (8, 9, 2, 1, 6, 3, 0)
+    assert quality.text_counts("a b c\na b c\n\nd #|") == (8, 9, 2, 1, 6, 3, 0, 2, 5)
     assert quality.text_counts(None)[:5] == (0, 0, 0, 0, 0)
     rng = random.Random(2)
-    rows = [(i, " ".join(rng.choice(WORDS) + chr(97 + rng.randrange(26)) for _ in range(80)) + (" ###" * 60 if i % 20 == 0 else ""), "en", "s", 1, "", "") for i in range(400)]
-    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, DOC), least_rows=50, cell_rows=100).collect()}
-    assert not any(got[i].kept for i in range(0, 400, 20)) and sum(r.kept for r in got.values()) >= 375
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice((2, 4, 5, 6, 9))))
+    line = lambda: " ".join([word().capitalize(), *(word() for _ in range(rng.randrange(6, 14)))]) + rng.choice((".", ",", "!,"))
+    text = lambda: "\n".join(line() for _ in range(rng.randrange(8, 20)))
+    rows = [(i, text(), "en" if i % 3 else None, f"s{i % 4 // 3}", 1, "", "") for i in range(700)]
+    copy = text() + " #######" * 60
+    rows = [(i, copy, *r) if i % 3 == 1 else (i, t, *r) for i, t, *r in rows]  # a third are copies of one bad text
+    rows[0], lined = (0, rows[0][1] + " ###" * 60, *rows[0][2:]), "\n".join(line() for _ in range(8))
+    rows[3] = (3, lined + ("\n" + lined.split("\n")[0]) * 5 + "\n" + "\n".join(line() for _ in range(3)), *rows[3][2:])
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, DOC)).collect()}
+    want = brute_verdicts(rows)
+    cut = quality.chi2_quantile(quality.TAIL, quality.P)
+    assert {i for i, r in got.items() if r.distance2 is not None} == set(want)
+    clear = [i for i, d in want.items() if not 0.7 < d / cut < 1.4]
+    assert len(clear) > 600 and all(got[i].kept == (want[i] <= cut) for i in clear)
+    assert not any(got[i].kept for i in (0, 1, 4, 7)) and sum(r.kept for i, r in got.items() if i % 3 != 1) >= 0.95 * 466
+    cells = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, DOC), cell_rows=100).collect()}
+    assert sum(cells[i].kept == got[i].kept for i in got) >= 690
     assert len(quality.judge(docs).collect()) == docs.count() and quality.judge(docs.limit(0)).count() == 0
     assert abs(quality.chi2_quantile(0.05, 5) - 11.0705) < 1e-3
 
