@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where the session names none and all is one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("chronolake.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="chronolake-")
         spark.conf.set("chronolake.shared.dir", folder)
     return folder.rstrip("/")
@@ -61,6 +65,17 @@ def words(data: bytes, table: bytes, piece: int = 1 << 22):
     yield flat[start:].split()
 
 
+def pack(values: np.ndarray) -> bytes:
+    """An array of whole numbers, compressed by planes of equal bytes."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def row_key(id_col: str, text_col: str = "text") -> Column:
     """The text's md5 and the id as text: the same for rows that share both, and never null."""
     hashed = [F.md5(F.col(text_col).cast("string").cast("binary")), F.col(id_col).cast("string")]

@@ -28,13 +28,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ALNUM, stored, table, words
+from .common import ALNUM, pack, stored, table, unpack, words
 
 #: Text bytes and documents of a block, keys of a bucket, and the weight of P(w) in occurrences.
 BLOCK_BYTES, BLOCK_DOCS, BUCKET_KEYS, STRENGTH = 16 << 20, 1 << 16, 2_000_000, 10.0
@@ -42,17 +41,6 @@ BLOCK_BYTES, BLOCK_DOCS, BUCKET_KEYS, STRENGTH = 16 << 20, 1 << 16, 2_000_000, 1
 BOUNDARY = np.uint64(0x243F6A8885A308D3)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """An array of whole numbers, compressed by planes of equal bytes."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-
-
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     out = (first ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     out = ((out ^ (out >> np.uint64(31))) + second) * np.uint64(0x94D049BB133111EB)
