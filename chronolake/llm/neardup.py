@@ -14,8 +14,8 @@ With BANDS of ROWS, a pair at 0.8 shares no band with a chance of 3e-6; the bits
 
 Nulls and edges: a text without words has the empty set, is its own component, and is kept; one word is
 one shingle; a row with a null doc_id takes no part, has a null component and is kept; rows that repeat an id
-are answered one by one, ``unique`` keeps one of those with one text; other columns are ignored, so names cannot clash; an
-empty table gives an empty result.
+are answered one by one: a document is an id with the hash of its text, so different texts of one id are linked by
+what they say and not by the id; other columns are ignored, so names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, row_key, stored, table, words
+from .common import LOWER, stored, table, words
 
 BANDS, ROWS, BITS = 32, 5, 2
 KEYS = BANDS * ROWS
@@ -192,22 +192,27 @@ def _labelled(rows: DataFrame, column: str, labels: DataFrame, to: str) -> DataF
     return rows.join(found, F.col(column) == F.col("_node"), "left").withColumn(to, F.coalesce("_comp", column)).drop("_node", "_comp")
 
 
-def linked_components(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def _node(id_col: str, text_col: str) -> Column:
+    """A document: its id, and the hash of its text; the smallest of a group has the smallest id."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+
+
+def _components_of(docs: DataFrame, threshold: float, size: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (see ``_node``), n_shingles, component (the smallest document reachable; null without id) of every row."""
     spark = docs.sparkSession
-    rows = sketch(docs, size, id_col, text_col)
-    some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    text = docs.select(_node(id_col, text_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = sketch(text, size)
+    some = rows.where("n_shingles > 0 AND doc_id.id IS NOT NULL")
     classes = stored(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
     reps = stored(some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "bands", "low", "odd").dropDuplicates(["doc_id"]), "representatives")
     each = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     several = stored(each.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).where("m > 1"), "buckets")
     members = stored(each.join(several, ["band", "key"]), "members")
     ids = stored(members.select("doc_id").distinct(), "member_ids")
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = stored(text.join(ids.hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     signs = stored(reps.join(ids, "doc_id", "left_semi").select("doc_id", F.struct("n", "low", "odd").alias("sign")), "signs")
 
-    id_type = docs.schema[id_col].dataType.simpleString()
+    id_type = text.schema["doc_id"].dataType.simpleString()
     labels = spark.createDataFrame([], f"node {id_type}, comp {id_type}")
     tested = spark.createDataFrame([], f"a {id_type}, b {id_type}")
     for step in range(ROUNDS + 2):
@@ -243,27 +248,29 @@ def linked_components(docs: DataFrame, threshold: float = 0.8, size: int = 5, id
         labels = stored(_labelled(known, "comp", joined, "to").select("node", F.col("to").alias("comp")), "labels")
     found = stored(_labelled(classes, "rep", labels, "component"), "class_components").select("set_a", "set_b", "component")
     out = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(found, ["set_a", "set_b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id.id").isNotNull(), F.coalesce("component", "doc_id")).alias("component"))
 
 
-def _kept(docs: DataFrame, threshold: float, size: int, id_col: str, text_col: str) -> DataFrame:
-    bad = linked_components(docs, threshold, size, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+def linked_components(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable), kept (that is the row's own id, or it has none) of every row."""
+    found = _components_of(docs, threshold, size, id_col, text_col)
+    kept = F.coalesce(F.col("doc_id.id") == F.col("component.id"), F.lit(True))
+    return found.select(F.col("doc_id.id").alias("doc_id"), "n_shingles", F.col("component.id").alias("component_id"), kept.alias("kept"))
 
 
 def unique(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the smallest id, once.
 
     Different texts of one id are different documents; of those in one component the one with the smallest hash stays."""
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_again"))
-    again = stored(again, "repeated_ids")
-    if again.isEmpty():
-        return _kept(docs, threshold, size, id_col, text_col)
-    named = F.struct(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("text"))
-    left = _kept(docs.withColumn("_chronolake_row", F.when(F.col(id_col).isNotNull(), named)), threshold, size, "_chronolake_row", text_col)
-    once = left.join(again, left[id_col] == again["_again"], "left_semi").dropDuplicates(["_chronolake_row"])
-    return left.join(again, left[id_col] == again["_again"], "left_anti").unionByName(once).drop("_chronolake_row")
+    found = stored(_components_of(docs, threshold, size, id_col, text_col).where("doc_id.id IS NOT NULL"), "documents")
+    bad = found.where("doc_id != component").select(F.col("doc_id").alias("_bad")).distinct()
+    again = stored(found.where("doc_id = component").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "repeated")
+    left = docs.withColumn("_chronolake_row", _node(id_col, text_col))
+    left = left.join(bad, F.col("_chronolake_row") == F.col("_bad"), "left_anti")
+    if not again.isEmpty():
+        once = left.join(again, F.col("_chronolake_row") == F.col("_again"), "left_semi").dropDuplicates(["_chronolake_row"])
+        left = left.join(again, F.col("_chronolake_row") == F.col("_again"), "left_anti").unionByName(once)
+    return left.drop("_chronolake_row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,16 @@ def test_near_duplicates(docs):
     assert len(kept) == len(set(kept)) and neardup.linked_components(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Ids with several texts: whichever row comes first, links are those of the texts."""
+    rng = random.Random(9)
+    a, b, c = (" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b + " more"), (3, c), (1, a), (None, a), (4, a + " end"), (4, None)]
+    for order in (rows, rows[::-1], [rows[k] for k in (3, 1, 6, 0, 7, 2, 5, 4)]):
+        got = neardup.linked_components(spark.createDataFrame(order, "doc_id long, text string"), size=2).select("doc_id", "component_id", "n_shingles").collect()
+        assert sorted(map(str, ((r.doc_id, r.component_id, r.n_shingles) for r in got))) == sorted(map(str, [(1, 1, 59), (1, 1, 59), (2, 1, 60), (3, 3, 59), (1, 1, 59), (None, None, 59), (4, 1, 60), (4, 4, 0)]))
+
+
 def test_decontamination(spark, docs):
     rows = docs.collect()
     passage = " ".join(rows[4].text.split()[20:32])
@@ -64,14 +74,35 @@ def test_decontamination(spark, docs):
     got = {r.doc_id: r for r in decontaminate.contamination(decontaminate.phrase_matches(docs, items)).collect()}
     assert (got[4].n_hit, got[4].n_items, got[2].n_hit, got[2].n_items, got[0].n_words) == (12, 1, 1, 1, 0)
     assert not got[7].contaminated and not got[13].contaminated
-    blocks = {r.doc_id: r for r in decontaminate.contamination(decontaminate.phrase_matches(docs, items, block_bytes=40)).collect()}
+    blocks = {r.doc_id: r for r in decontaminate.contamination(decontaminate.phrase_matches(docs, items, block_windows=2, shard_bytes=2000)).collect()}
     assert blocks == got
-    near = decontaminate.near_matches(docs, spark.createDataFrame([(1, " ".join(reversed(passage.split()[:3])))], "item_id long, text string"), slop=3).where("size(items) > 0")
-    assert 4 in [r.doc_id for r in near.collect()]
     assert decontaminate.clean(docs, items).where("doc_id in (2, 4)").count() == 0
     assert decontaminate.phrase_matches(docs.limit(0), items).count() == 0 and decontaminate.phrase_matches(docs, items.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def test_proximity_is_as_brute_force(spark, docs):
+    """Windows whose words all stand near their rarest one, in any order, by looking at every place."""
+    rows = [(r.doc_id, [w for part in decontaminate._terms((r.text or "").encode()) for w in part]) for r in docs.where("doc_id is null or doc_id <> 12").collect()]
+    w = rows[4][1]
+    items = [(1, w[3:7][::-1]), (2, [w[0], w[40]]), (3, w[10:12] + [b"z" * 70]), (4, [w[90], w[90]]), (5, [b"no"])]
+    long = (77, [*w[60:62], b"z" * 70, w[10], w[11]])
+    rows, slop, length = [*rows, long], 4, 3
+    count = Counter(x for _, ws in rows for x in ws)
+    want = {}
+    for n, ws in rows:
+        for item, words in items:
+            for win in decontaminate.windows(words, length):
+                rare = min(((count[x], x, k) for k, x in enumerate(win)))[1]
+                if any(x == rare and all(y in ws[max(0, k - slop) : k + slop + 1] for y in win) for k, x in enumerate(ws)):
+                    want.setdefault((n, len(ws)), set()).add(item)
+    frame = spark.createDataFrame([(n, " ".join(x.decode() for x in ws)) for n, ws in rows], "doc_id long, text string")
+    asked = spark.createDataFrame([(n, " ".join(x.decode() for x in ws)) for n, ws in items], "item_id long, text string")
+    for size in (1, 1 << 17):
+        found = decontaminate.phrase_matches(frame, asked, length, slop=slop, block_windows=size, shard_bytes=1500).where("size(near_items) > 0").collect()
+        assert {(r.doc_id, r.n_words): set(r.near_items) for r in found} == want and {1, 3} <= set().union(*want.values())
+    assert sorted(r.doc_id for r in decontaminate.near_matches(frame, asked, slop, length).where("array_contains(items, 3)").collect()) == [77]
+
+
 def plain_mcd(x, cover):
     """FAST-MCD of all rows at once, no cells and no classes of distances; then the reweighting step."""
     np, p = quality.np, x.shape[1]
