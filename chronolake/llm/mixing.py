@@ -8,7 +8,7 @@ of seed, id and copy, and sorted by it inside: a global shuffle without a sampli
 on nothing but seed, id and rate, so they are the same however rows are partitioned or retried.
 
 Nulls and edges: a null source is a source of its own; a null text weighs 1 byte, as an empty one; rows that
-repeat an id get the same draw, as rows with a null id do; a document may get no copy, that being the method's
+repeat an id get the same draw; a row with a null id is known by the hash of its text instead; a document may get no copy, that being the method's
 decision; columns of the input named as the added ones (mix_copies, mix_copy, mix_key) give way to
 them; an empty table gives an empty result.
 """
@@ -54,7 +54,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, default:
     """The rows of ``docs`` with mix_copies (drawn for the row), mix_copy (from 1) and mix_key, shuffled."""
     table_of_rates = stored(rates(docs, WEIGHTS if weights is None else weights, default, epochs, source_col, text_col), "rates")
     names = {c: f"_{k}" for k, c in enumerate(docs.columns) if c not in ADDED}  # none clashes with the added ones
-    doc_id = F.coalesce(F.col(names[id_col]).cast("string"), F.lit(""))
+    doc_id = F.coalesce(F.col(names[id_col]).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(names[text_col]).cast("string"), F.lit("")).cast("binary"))))
     rows = docs.select(*[F.col(f"`{c}`").alias(to) for c, to in names.items()])
     rates_of = table_of_rates.select(F.col("source").alias("_source"), "parts", "cdf")  # Spark broadcasts it while it is small, and splits skewed partitions otherwise
     drawn = rows.join(rates_of, F.col(names[source_col]).eqNullSafe(F.col("_source"))).withColumn("_u", uniform(F.lit(seed), doc_id))
@@ -83,11 +83,12 @@ cdf AS (
   SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 30)),
+named AS (SELECT *, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS name FROM documents),
 drawn AS (
   SELECT d.*, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source
-      AND cdf.c <= ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / {1 << 52}::DOUBLE)::INT AS mix_copies
-  FROM documents d)
+      AND cdf.c <= ('0x' || substr(md5('{SEED}:' || d.name), 1, 13))::BIGINT / {1 << 52}::DOUBLE)::INT AS mix_copies
+  FROM named d)
 SELECT doc_id, text, lang, source, n_chars, mix_copies, mix_copy::INT AS mix_copy,
-  ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || mix_copy), 1, 15))::BIGINT AS mix_key
+  ('0x' || substr(md5('{SEED}:' || name || ':' || mix_copy), 1, 15))::BIGINT AS mix_key
 FROM (SELECT *, unnest(range(1, mix_copies + 1)) AS mix_copy FROM drawn)
 """
