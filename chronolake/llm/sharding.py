@@ -7,10 +7,10 @@ without seeing every group: Spark sums the sizes in cells of the hash range, the
 capacity and the ends of the shards from below and above, and only cells that a bracket touches are summed
 again in finer cells.  The driver holds a few thousand sums, however many groups there are.  As the
 cuts are hash values, a document finds its shard by comparing; no group is ever moved as a whole, so a group
-that holds a third of all rows is spread over tasks like any others.
+that holds a third of all rows is spread over tasks like any others.  The hash is the first 60 bits of the text's md5.
 
 Nulls and edges: a null text counts as the empty text, size 8, crc32 0; a null doc_id gets a place like any
-other; repeated rows are single rows of one group; ties in size need no rule, as the hash decides; other
+other; repeated rows, which are counted before they are dealt slots, are single rows of one group; ties in size need no rule, as the hash decides; other
 columns are ignored, so their names cannot clash; an empty table gives an empty result.
 """
 
@@ -104,21 +104,55 @@ def smallest_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null) of every row.
 
-    Slots are dealt by buckets of about ``rows_per_bucket`` rows: bucket sizes give each bucket of a shard its
-    first slot, and rows are numbered inside their bucket only."""
+    Slots are dealt by buckets of about ``rows_per_bucket`` rows, by the md5 of id and hash: bucket sizes give each bucket of a
+    shard its first slot, and rows are numbered inside their bucket only.  Rows that share id and text are one row with a count
+    until they have their slots."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.xxhash64(text).bitwiseAND(F.lit((1 << BITS) - 1))
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("key")), "sizes")
-    groups = stored(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
+    start = lambda x, n: F.conv(F.substring(F.md5(x.cast("binary")), 1, n), 16, 10).cast("long")
+    each = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), start(text, BITS // 4).alias("key"))
+    rows = stored(each.groupBy("doc_id", "key").agg(F.min("size").alias("size"), F.min("text_crc32").alias("text_crc32"), F.count("*").alias("n")), "rows")
+    groups = stored(rows.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"), F.sum("n").alias("n")), "groups")
     count = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     _, cuts = smallest_cuts(groups, shards)
     before = F.size(F.filter(F.array([F.lit(c).cast("long") for c in cuts[:-1]]).cast("array<bigint>"), lambda c: c < F.col("key")))
-    bucket = F.pmod(F.xxhash64("doc_id", "key"), F.lit(max(1, -(-count // rows_per_bucket))))
+    bucket = F.pmod(start(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "key"), 8), F.lit(max(1, -(-count // rows_per_bucket))))
     placed = rows.withColumn("shard", before.cast("int")).withColumn("bucket", bucket)
-    first = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).withColumn("first", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).drop("n")
-    slots = placed.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "key")) - 1)
-    return slots.join(first, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    first = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("m")).withColumn("first", F.sum("m").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("m")).drop("m")
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "key").rowsBetween(Window.unboundedPreceding, 0)
+    slots = placed.withColumn("at", F.sum("n").over(inside) - F.col("n")).join(first, ["shard", "bucket"])
+    slot = F.explode(F.sequence(F.col("first") + F.col("at"), F.col("first") + F.col("at") + F.col("n") - 1))
+    return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
+
+
+SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 8 AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS key FROM documents),
+g AS (SELECT key, sum(size)::BIGINT AS bytes FROM d GROUP BY key),
+ends AS (SELECT list(c ORDER BY c) AS cums FROM (SELECT sum(bytes) OVER (ORDER BY key)::BIGINT AS c FROM g)),
+search AS (
+  SELECT 0::BIGINT AS low, (SELECT max(c) FROM (SELECT unnest(cums) AS c FROM ends))::BIGINT AS high
+  UNION ALL
+  SELECT CASE WHEN fits THEN low ELSE mid + 1 END, CASE WHEN fits THEN mid ELSE high END
+  FROM (SELECT low, high, mid, list_reduce(list_prepend(0::BIGINT, range({SHARDS})), lambda s, k: greatest(s, coalesce(list_max(list_filter(cums, lambda x: x <= s + mid)), 0))) >= cums[-1] AS fits
+    FROM (SELECT low, high, (low + high) // 2 AS mid, cums FROM search, ends WHERE low < high))),
+capacity AS (SELECT min(high) AS c FROM search),
+cut AS (
+  SELECT 0 AS shard, 0::BIGINT AS since, coalesce(list_max(list_filter(cums, lambda x: x <= c)), 0)::BIGINT AS until FROM ends, capacity
+  UNION ALL
+  SELECT shard + 1, until, greatest(until, coalesce(list_max(list_filter(cums, lambda x: x <= until + c)), 0))::BIGINT FROM cut, ends, capacity WHERE shard < {SHARDS} - 1),
+home AS (
+  SELECT key, (SELECT min(shard) FROM cut WHERE e <= until) AS shard FROM (SELECT key, sum(bytes) OVER (ORDER BY key)::BIGINT AS e FROM g)),
+codes AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS tab FROM (SELECT unnest(range(256)) AS n)),
+crc AS (
+  SELECT t, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda b: ('0x' || b)::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)))::BIGINT AS text_crc32
+  FROM (SELECT DISTINCT t FROM d), codes),
+dealt AS (
+  SELECT doc_id, t, size, shard, key, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || key), 1, 8))::BIGINT % greatest(1, ((SELECT count(*) FROM d) + {ROWS_PER_BUCKET} - 1) // {ROWS_PER_BUCKET}) AS bucket
+  FROM d JOIN home USING (key))
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, key) - 1 AS slot, NULL::INT AS grown_shard
+FROM dealt JOIN crc USING (t)
+"""
