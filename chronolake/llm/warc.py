@@ -226,3 +226,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     checked = found.where("record_type != 'warcinfo'").withColumn("ok", F.when(~(F.col("block_ok") & F.col("payload_ok")), F.raise_error(F.concat(F.lit("digest differs in "), "record_id"))).otherwise(F.lit(True)))
     return checked.where("ok").select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
+
+
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS largest FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || substr(hex, i // 4 * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1]), '') AS payload_digest,
+  CASE WHEN page_id = largest OR largest IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> largest OR page_id IS NULL THEN largest END AS refers_to
+FROM d
+"""
