@@ -5,6 +5,9 @@ letters of the whole text into pieces, compresses each with every dictionary, ad
 with the smallest sum.  The margin is what the second smallest lies above it, as a share; a document whose margin
 is narrow is rejected, its best guess being returned all the same.
 
+Bounds of the fit: of each language PASSAGES passages of PASSAGE characters, each of a different text, and of those whole
+passages while the dictionary has at most DICTIONARY bytes; the LANGUAGES languages with most rows, others being warned of.
+
 Nulls and edges: a null text, or one without a letter, is ``und``, score 0, and rejected; with equal sizes the first
 language in order of name is taken and the margin is 0; rows that repeat an id are answered one by one; a null
 doc_id is carried along; other columns are ignored, so names cannot clash; an empty table gives an empty
@@ -13,9 +16,10 @@ result; without any learned language every text is ``und``.  Rows without text o
 
 from __future__ import annotations
 
-import re
+import warnings
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,11 +30,11 @@ from .common import crc_of_id, stored, table
 PASSAGE, PASSAGES, DICTIONARY, LANGUAGES = 2000, 80, 100_000, 256
 #: Characters of a piece, compression level, and the margin from which on a document is accepted.
 PIECE, LEVEL, MARGIN = 4000, 6, 0.01
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str) -> str:
-    """The text in lower case with a blank for whatever is no letter: case, digits and symbols tell no language."""
+    """The text in lower case with a blank for whatever is no letter or mark on one: case, digits and symbols tell no language."""
     return _OTHER.sub(" ", text.lower())
 
 
@@ -42,7 +46,10 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", passa
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and length(text) > 0")
     hashed = rows.withColumn("h", F.xxhash64("text"))
     texts = stored(hashed.groupBy("lang", "h").agg(F.count("*").alias("n")), "texts")
-    sizes = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = stored(texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")), "sizes")
+    if (known := sizes.count()) > languages:
+        warnings.warn(f"{known - languages} languages with the fewest rows are not learned", stacklevel=2)
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(languages)
     # about three times the texts wanted of each language, then the exact number of them
     share = stored(sizes.select("lang", (F.lit(3.0 * passages) / F.col("texts")).alias("share")), "shares")
     part = texts.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30))  # at most `languages` rows
@@ -54,7 +61,16 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", passa
     found: dict[str, list[bytes]] = {}
     for r in sorted(taken.select("lang", "k", "piece").collect()):
         found.setdefault(r.lang, []).append(letters(r.piece).encode())
-    return {k: b"\n".join(v)[:dictionary] for k, v in sorted(found.items())}
+    return {k: join(v, dictionary) for k, v in sorted(found.items())}
+
+
+def join(passages: list[bytes], most: int) -> bytes:
+    """The passages as long as they fit, a line each; one that alone is too long is cut between characters."""
+    out = passages[0].decode()[: most // 4].encode() if len(passages[0]) > most else passages[0]
+    for p in passages[1:]:
+        if len(out) + 1 + len(p) <= most:
+            out += b"\n" + p
+    return out
 
 
 def _coders(dictionaries: dict[str, bytes], level: int) -> list[tuple[str, zstandard.ZstdCompressor]]:

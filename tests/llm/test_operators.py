@@ -3,9 +3,13 @@
 import bisect
 import math
 import random
+import zlib
 from collections import Counter
 
 import pytest
+import regex
+import xxhash
+import zstandard
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -223,6 +227,37 @@ def test_language(spark, docs):
     assert language.identify(docs, learned).count() == docs.count() and language.learn(docs.limit(0)) == {}
 
 
+def test_language_is_as_plain_zstandard(spark):
+    """The whole query against dictionaries and sizes made by hand."""
+    rng = random.Random(11)
+    said = {"en": "the cat and this house with rain over hills".split(), "de": "der hund und das haus mit regen über berge".split(), "hi": "\u0915\u093f\u0924\u093e\u092c \u0918\u0930 \u0928\u0926\u0940 \u092e\u0947\u0902 \u0939\u0948".split()}
+    rows = [(i, " ".join(rng.choice(said[k]) for _ in range(rng.randrange(1, 90))), k) for i, k in enumerate([*said] * 25)]
+    rows += [(200, None, "en"), (201, "", "de"), (202, "7 %", "en"), (203, rows[0][1], None), (204, "the hund \u0918\u0930", "en"), (5, rows[1][1], "de")]
+    crc = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    texts = {}
+    for i, t, k in rows:
+        if not crc(i) and k and t:
+            texts.setdefault(k, {})[xxhash.xxh64(t.encode(), seed=42).intdigest()] = t
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    coders = []
+    for k in sorted(texts):
+        data = "\n".join(regex.sub(r"[^\p{L}\p{M}]+", " ", texts[k][h].lower()) for h in sorted(texts[k], key=signed)).encode()
+        coders.append((k, zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)))
+    want = []
+    for i, t, _ in rows:
+        if not t or not any(map(str.isalpha, t)):
+            want.append((i, crc(i), "und", 0.0))
+            continue
+        sizes = sorted((len(c.compress(regex.sub(r"[^\p{L}\p{M}]+", " ", t.lower()).encode())), k) for k, c in coders)
+        gap = (sizes[1][0] - sizes[0][0]) / sizes[0][0]
+        want.append((i, crc(i), sizes[0][1], round(1 - 0.5 * language.MARGIN / (language.MARGIN + gap), 9)))
+    docs = spark.createDataFrame([(i, t, k, "s", 1, "", "") for i, t, k in rows], DOC)
+    found = language.identify(docs, language.learn(docs.where(~language.held_out(F.col("doc_id"))))).collect()
+    held = {r.doc_id: r.h for r in docs.select("doc_id", language.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert sorted(map(str, ((r.doc_id, held[r.doc_id], r.lang_pred, round(r.score, 9)) for r in found))) == sorted(map(str, want))
+    assert language.join([b"ab", b"cd", b"e"], 4) == b"ab\ne" and language.join(["ü".encode() * 9], 8).decode() == "üü"
+
+
 def test_language_learns_from_different_texts(spark):
     """A language of 20 texts with 500 copies each, and one text copied 5000 times beside 99 others."""
     few = spark.range(10_000).select(F.concat(F.lit("few "), F.translate((F.col("id") % 20).cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("few").alias("lang"))
