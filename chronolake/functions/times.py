@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import zoneinfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
-NUMBER = r"^-?(0|[1-9]\d{0,17})(\.\d{1,6})?$"
+NUMBER = r"^-?(0|[1-9]\d{0,19})(\.\d{1,18})?$"
+SYMBOL = r"^[A-Z0-9][A-Z0-9./-]{0,31}$"
 
 
 def instant(text: Column) -> Column:
@@ -15,8 +19,16 @@ def instant(text: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """An exact decimal(24,6) from plain JSON number text; text that would be rounded is null."""
-    return F.when(text.rlike(NUMBER), text.try_cast("decimal(24,6)"))
+    """An exact decimal(38,18) from plain number text; text that would be rounded is null."""
+    return F.when(text.rlike(NUMBER), text.try_cast("decimal(38,18)"))
+
+
+def exact(value: Column) -> Column:
+    """An exact decimal(38,18) from a VARIANT number or number text; what would be rounded, and what is no number, is null.
+
+    JSON numbers keep their digits in a VARIANT, except that one written with an exponent is a double."""
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    return F.when(kind == "DOUBLE", text.try_cast("decimal(38,18)")).when(kind.startswith("DECIMAL") | kind.isin("BIGINT", "STRING"), number(text))
 
 
 def local_date(at: Column, zone: str) -> Column:
@@ -35,3 +47,35 @@ def ceil_millis(at: Column) -> Column:
     """The first whole millisecond at or after an instant."""
     micros = F.unix_micros(at)
     return F.timestamp_micros(micros + F.pmod(-micros, F.lit(1000)))
+
+
+def day_bounds(first: Column, last: Column, zone: str) -> tuple[Column, Column]:
+    """The instants at which the local day ``first`` begins and the local day ``last`` is over."""
+    midnight = lambda day: F.to_utc_timestamp(day.cast("timestamp"), zone)
+    return midnight(first), midnight(F.date_add(last, 1))
+
+
+def known_zone(name: Column) -> Column:
+    """Whether a text names a zone of the time zone database; null does not."""
+    return F.coalesce(name.isin(*sorted(zoneinfo.available_timezones())), F.lit(False))
+
+
+def horizon(at: Column, seconds: Column) -> Column:
+    """The instant so many elapsed seconds later, whatever clocks do meanwhile."""
+    return F.timestamp_micros(F.unix_micros(at) + seconds.cast("long") * 1_000_000)
+
+
+def symbol_list(symbols: Column, most: int = 50) -> Column:
+    """Symbols of an array, sorted and joined by commas; null where one is no symbol, one is twice, or there are none or too many."""
+    fine = F.forall(symbols, lambda s: F.coalesce(s.rlike(SYMBOL), F.lit(False))) & F.size(symbols).between(1, most) & (F.size(F.array_distinct(symbols)) == F.size(symbols))
+    return F.when(fine, F.array_join(F.array_sort(symbols), ","))
+
+
+def canonical_json(**fields: Column) -> Column:
+    """JSON of the fields with sorted keys, no blanks, and nulls written out: equal values have equal text."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def key_text(*parts: str) -> str:
+    """The canonical JSON array of texts, as keys are hashed."""
+    return json.dumps(parts, separators=(",", ":"), ensure_ascii=False)

@@ -23,16 +23,17 @@ def bars(pages: DataFrame, listings: DataFrame, zone: str) -> DataFrame:
     pages: import_id, payload, received_at; listings: symbol, listing_id.  A page that is no JSON (repeated keys are none) or
     has no object ``bars`` gives one row with path ``$``; a symbol without a listing, or without an array, gives
     one row.  Days that a page gives twice for a listing are quarantined all, counted over rows right so far."""
-    body = F.when(F.try_parse_json("payload").isNotNull(), F.from_json("payload", "bars map<string,string>"))
-    read = pages.select("import_id", "received_at", body["bars"].alias("bars"))
+    body = F.try_variant_get(F.try_parse_json("payload"), "$.bars", "map<string,variant>")
+    read = pages.select("import_id", "received_at", body.alias("bars"))
     groups = read.select("import_id", "received_at", F.col("bars").isNotNull().alias("read"), F.explode_outer("bars").alias("symbol", "rows")).where("symbol IS NOT NULL OR NOT read")
-    groups = groups.join(listings.select("symbol", "listing_id"), "symbol", "left").withColumn("items", F.from_json("rows", "array<string>"))
+    groups = groups.join(listings.select("symbol", "listing_id"), "symbol", "left").withColumn("items", F.try_variant_get("rows", "$", "array<variant>"))
     groups = groups.withColumn("_whole", _first(("bars_object_required", ~F.col("read")), ("unmapped_symbol", F.col("listing_id").isNull()), ("bar_array_required", F.col("items").isNull())))
     each = groups.select("import_id", "received_at", "listing_id", "symbol", "_whole", F.posexplode_outer(F.when(F.col("_whole").isNull(), F.col("items"))).alias("nth", "item")).where("nth IS NOT NULL OR _whole IS NOT NULL")
     path = F.when(F.col("symbol").isNull(), "$").otherwise(F.concat_ws("/", F.lit("bars"), _pointer(F.col("symbol")), "nth"))
-    each = each.withColumns({"row_path": path, "item": F.from_json("item", "t string, o string, h string, l string, c string, v string")})
-    n = lambda c: times.number(F.col("item")[c])
-    each = each.select("import_id", "received_at", "listing_id", "row_path", "_whole", times.instant(F.col("item.t")).alias("at"), n("o").alias("open"), n("h").alias("high"), n("l").alias("low"), n("c").alias("close"), n("v").alias("volume"), F.forall(F.array(*[F.col("item")[c] for c in "tohlcv"]), lambda x: x.isNotNull()).alias("whole"))
+    get = lambda c: F.try_variant_get("item", f"$.{c}", "variant")
+    n = lambda c: times.exact(get(c))
+    given = F.forall(F.array(*[F.try_variant_get("item", f"$.{c}", "string") for c in "tohlcv"]), lambda x: x.isNotNull())
+    each = each.select("import_id", "received_at", "listing_id", path.alias("row_path"), "_whole", times.instant(F.try_variant_get("item", "$.t", "string")).alias("at"), n("o").alias("open"), n("h").alias("high"), n("l").alias("low"), n("c").alias("close"), n("v").alias("volume"), given.alias("whole"))
     amounts = ["open", "high", "low", "close", "volume"]
     valid = F.forall(F.array(*amounts), lambda x: x.isNotNull() & (x >= 0)) & (F.least(*amounts[:4]) > 0)
     each = each.withColumns({"day": times.local_date(F.col("at"), zone), "reason": F.coalesce("_whole", _first(
@@ -47,6 +48,18 @@ def bars(pages: DataFrame, listings: DataFrame, zone: str) -> DataFrame:
     return each.withColumn("reason", F.coalesce("reason", F.when(again, "ambiguous_daily_bar"))).drop("received_at", "whole", "_whole")
 
 
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """import_id, token, state of each page (import_id, payload): more_pages with a next token, terminal_page with a null one, unknown
+    without one, with one that is no text or blank, or in a page that is no JSON object."""
+    body = F.try_parse_json("payload")
+    read = pages.select("import_id", body.alias("b"), F.json_object_keys("payload").alias("keys"))
+    kind, token = F.schema_of_variant(F.try_variant_get("b", "$.next_page_token", "variant")), F.try_variant_get("b", "$.next_page_token", "string")
+    there = F.coalesce(F.col("b").isNotNull() & F.array_contains("keys", "next_page_token"), F.lit(False))
+    more = F.coalesce((kind == "STRING") & token.rlike(r"\S"), F.lit(False))
+    state = F.when(there & more, "more_pages").when(there & F.coalesce(kind == "VOID", F.lit(True)), "terminal_page").otherwise("unknown")
+    return read.select("import_id", F.when(there & more, token).alias("token"), state.alias("state"))
+
+
 def sessions(pages: DataFrame, zone: str, first: str, last: str) -> DataFrame:
     """import_id, row_path, day, opens_at, closes_at, reason of each row of calendar pages (import_id, payload).
 
@@ -120,32 +133,39 @@ def filings(pages: DataFrame) -> DataFrame:
     return each.select("import_id", "row_index", F.col("accessionNumber").alias("accession"), "form", "filed", "reported", "accepted_at", F.col("primaryDocument").alias("document"), "issues", "reason")
 
 
-ACTION_FIELDS = ["id", "symbol", "process_date", "ex_date", "payable_date", "record_date", "currency", "special", "foreign", "rate", "new_rate", "old_rate"]
+IDENTITY = ("cusip", "old_cusip", "new_cusip", "isin")
+
+
+def uuid_text(text: Column) -> Column:
+    """A UUID in lower case with hyphens, from any of its usual forms; null where a text is none."""
+    bare = F.replace(F.regexp_replace(F.lower(text), r"^(urn:uuid:)?\{?([0-9a-f-]+)\}?$", "$2"), F.lit("-"), F.lit(""))
+    return F.when(bare.rlike("^[0-9a-f]{32}$"), F.regexp_replace(bare, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
 
 
 def actions(pages: DataFrame) -> DataFrame:
-    """import_id, row_path, kind, native_id, process_date, ex_date, payable_date, amount, new_shares, old_shares, blockers, reason.
+    """import_id, row_path, kind, native_id, process_date, ex_date, payable_date, amount, new_shares, old_shares, blockers, the
+    names of IDENTITY, row_sha256, reason.
 
     pages: import_id, payload, symbol, first, last (days of the request).  The payload groups splits and cash dividends by
     kind; other kinds, other symbols, days outside the request, special or foreign dividends and splits against their
     direction are quarantined.  A currency that is not given blocks accounting, but not the row."""
     keys = F.array_except(F.json_object_keys("payload"), F.array(F.lit("corporate_actions"), F.lit("next_page_token")))
-    body = F.from_json("payload", "corporate_actions map<string,string>")
-    read = pages.select("import_id", "symbol", "first", "last", F.when(F.try_parse_json("payload").isNotNull() & (F.size(keys) == 0), body["corporate_actions"]).alias("groups"))
+    body = F.try_variant_get(F.try_parse_json("payload"), "$.corporate_actions", "map<string,variant>")
+    read = pages.select("import_id", "symbol", "first", "last", F.when(F.size(keys) == 0, body).alias("groups"))
     groups = read.select("import_id", F.col("symbol").alias("asked"), "first", "last", F.col("groups").isNotNull().alias("read"), F.explode_outer("groups").alias("kind", "rows")).where("kind IS NOT NULL OR NOT read")
-    groups = groups.withColumn("items", F.from_json("rows", "array<string>")).withColumn("listed", F.col("items").isNotNull())
+    groups = groups.withColumn("items", F.try_variant_get("rows", "$", "array<variant>")).withColumn("listed", F.col("items").isNotNull())
     each = groups.select("import_id", "asked", "first", "last", "read", "kind", "listed", F.posexplode_outer("items").alias("nth", "item")).where("nth IS NOT NULL OR NOT listed")
     path = F.coalesce(F.concat("kind", F.lit("["), "nth", F.lit("]")), "kind", F.lit("$"))
-    each = each.withColumns({"row_path": path, "r": F.from_json("item", ", ".join(f"`{c}` string" for c in ACTION_FIELDS))})
-    f = lambda c: F.col("r").getField(c)
-    positive = lambda c: F.when(times.number(f(c)) > 0, times.number(f(c)))
-    each = each.withColumns({"native_id": F.lower(f("id")), "process_date": _day(f("process_date")), "ex_date": _day(f("ex_date")), "payable_date": _day(f("payable_date")), "amount": positive("rate"), "new_shares": positive("new_rate"), "old_shares": positive("old_rate")})
+    f = lambda c: F.try_variant_get("item", f"$.{c}", "string")
+    positive = lambda c: F.when(times.exact(F.try_variant_get("item", f"$.{c}", "variant")) > 0, times.exact(F.try_variant_get("item", f"$.{c}", "variant")))
+    due = F.exists(F.map_keys(F.try_variant_get("item", "$", "map<string,variant>")), lambda k: k.startswith("due_bill_"))
+    each = each.withColumns({"row_path": path, "native_id": uuid_text(f("id")), "process_date": _day(f("process_date")), "ex_date": _day(f("ex_date")), "payable_date": _day(f("payable_date")), "amount": positive("rate"), "new_shares": positive("new_rate"), "old_shares": positive("old_rate"), "_due": due})
     pays, ratio = F.col("kind") == "cash_dividends", F.col("new_shares") - F.col("old_shares")
     each = each.withColumn("reason", _first(
         ("invalid_action_envelope", ~F.col("read")),
         ("invalid_action_group", ~F.col("listed")),
         ("unsupported_action_type", ~F.col("kind").isin("forward_splits", "reverse_splits", "cash_dividends")),
-        ("invalid_native_id", ~F.coalesce(F.col("native_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lit(False))),
+        ("invalid_native_id", F.col("native_id").isNull()),
         ("symbol_binding_mismatch", ~f("symbol").eqNullSafe(F.col("asked"))),
         ("invalid_action_field", F.col("process_date").isNull() | F.col("ex_date").isNull() | (F.col("payable_date").isNull() & f("payable_date").isNotNull()) | (_day(f("record_date")).isNull() & f("record_date").isNotNull())),
         ("process_date_outside_request", ~F.col("process_date").between(F.col("first"), F.col("last"))),
@@ -154,5 +174,6 @@ def actions(pages: DataFrame) -> DataFrame:
         ("unsupported_dividend_payment_date", pays & (F.col("payable_date").isNull() | (F.col("payable_date") < F.col("ex_date")))),
         ("invalid_action_field", F.when(pays, F.col("amount").isNull()).otherwise(ratio.isNull())),
         ("split_direction_ratio_mismatch", ((F.col("kind") == "forward_splits") & (ratio <= 0)) | ((F.col("kind") == "reverse_splits") & (ratio >= 0)))))
-    each = each.withColumn("blockers", F.when(f("currency").isNull(), F.array(F.lit("provider_currency_unknown"))).otherwise(F.array().cast("array<string>")))
-    return each.select("import_id", "row_path", "kind", "native_id", "process_date", "ex_date", "payable_date", "amount", "new_shares", "old_shares", "blockers", "reason")
+    blockers = F.array_compact(F.array(F.when(f("currency").isNull(), "provider_currency_unknown"), F.when(F.col("_due"), "due_bill_terms_unreviewed")))
+    each = each.withColumns({"blockers": blockers, "row_sha256": F.sha2(F.to_json("item"), 256), **{c: f(c) for c in IDENTITY}})
+    return each.select("import_id", "row_path", "kind", "native_id", "process_date", "ex_date", "payable_date", "amount", "new_shares", "old_shares", "blockers", *IDENTITY, "row_sha256", "reason")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolake.operators.actions import usable_lookback
+
 
 def daily_bars(ticks: DataFrame, key: str, at: str, value: str, tie: str) -> DataFrame:
     """key, day, open, high, low, close, volume."""
@@ -21,6 +23,36 @@ def close_above_mean(bars: DataFrame, key: str, lookback: int) -> DataFrame:
     return bars.withColumn("decision", decision)
 
 
+def decisions(bars: DataFrame, calendar: DataFrame, key: str, lookback: int, latency_seconds: int, first: str, last: str, actions: DataFrame | None = None) -> DataFrame:
+    """key, day, reason (null: a decision), target, intended_at for the days from ``first`` to ``last``.
+
+    bars: key, day, start, close, available_at; calendar: key, day, known_at (of the session); actions: key, day, known_at.  A decision
+    is made when a bar is available, for the open of the next declared session.  Reasons in order: fewer bars than ``lookback`` since the
+    last known action; one of them was not available yet; a newer one was; no next session; it was not known yet; it opens
+    before the latency is over; it lies after ``last``."""
+    by = Window.partitionBy(key).orderBy("day")
+    window, after = by.rowsBetween(-(lookback - 1), 0), by.rowsBetween(1, Window.unboundedFollowing)
+    rows = bars.select(key, "day", "start", "close", "available_at").withColumns({"_n": F.count("*").over(window), "_sum": F.sum("close").over(window), "_seen": F.max("available_at").over(window), "_newer": F.min("available_at").over(after), "_next": F.lead("day").over(by), "_open": F.lead("start").over(by)})
+    if actions is not None:
+        usable = usable_lookback(bars, actions, key, lookback).select(F.col(key).alias("_k"), F.col("day").alias("_d"), "usable")
+        rows = rows.join(usable, (F.col(key) == F.col("_k")) & (F.col("day") == F.col("_d")), "left").withColumn("_n", F.coalesce("usable", "_n"))
+    sessions = calendar.select(F.col(key).alias("_key"), F.col("day").alias("_session"), F.col("known_at").alias("_known"))
+    rows = rows.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).join(sessions, (F.col(key) == F.col("_key")) & (F.col("_next") == F.col("_session")), "left")
+    at = F.col("available_at")
+    checks = [
+        ("warmup", F.col("_n") < lookback),
+        ("lookback_unavailable_at_decision", F.col("_seen") > at),
+        ("superseded_by_newer_available_bar", F.col("_newer") <= at),
+        ("no_next_declared_session", F.col("_next").isNull()),
+        ("next_session_calendar_unavailable", ~F.coalesce(F.col("_known") <= at, F.lit(False))),
+        ("missed_next_session_open", F.col("_open") < at + F.make_dt_interval(secs=F.lit(latency_seconds))),
+        ("outside_evaluation_partition", F.col("_next") > F.lit(last).cast("date")),
+    ]
+    reason = F.coalesce(*[F.when(c, name) for name, c in checks])
+    target = F.when(F.col("close") * lookback > F.col("_sum"), 1).otherwise(0)
+    return rows.select(key, "day", reason.alias("reason"), F.when(reason.isNull(), target).alias("target"), F.when(reason.isNull(), F.col("_open")).alias("intended_at"))
+
+
 def next_open_fill(bars: DataFrame, key: str, cost: str) -> DataFrame:
     """key, day, fill: the next open times ``cost``; days without a next session give no row."""
     following = F.lead("open").over(Window.partitionBy(key).orderBy("day"))

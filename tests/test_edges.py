@@ -45,7 +45,7 @@ def test_times_and_numbers(spark):  # noqa: F811
     one = spark.range(1)
     texts = {"2024-01-01T00:00:00Z": True, "2024-01-01T00:00:00": False, "2024-01-01T00:00:00.1234567Z": False, "2024-01-01T00:00:00+01:00": True, "2024-02-30T00:00:00Z": False}
     assert [one.select(times.instant(F.lit(t)).isNotNull()).first()[0] for t in texts] == list(texts.values())
-    numbers = {"1.50": True, "1e3": False, "NaN": False, "01": False, "0.1234567": False, "-3": True}
+    numbers = {"1.50": True, "1e3": False, "NaN": False, "01": False, "0.1234567": True, "0.1234567890123456789": False, "-3": True}
     assert [one.select(times.number(F.lit(t)).isNotNull()).first()[0] for t in numbers] == list(numbers.values())
     local = {"2024-03-10 02:30:00": False, "2024-11-03 01:30:00": False, "2024-11-03 03:30:00": True}
     assert [one.select(times.strict_utc(F.lit(t).cast("timestamp"), "America/New_York").isNotNull()).first()[0] for t in local] == list(local.values())
