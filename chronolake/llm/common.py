@@ -2,45 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none and all is one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("chronolake.shared.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="chronolake-")
-        spark.conf.set("chronolake.shared.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends there, so a lost
-    executor costs a reread and nothing that was computed before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chronolake-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(spark: SparkSession) -> None:
-    """Deletes the tables that ``stored`` wrote for this session, when their results are no longer read."""
-    for made in [x for x in _made if x[0] is spark]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(made[1]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _made.remove(made)
-
+from chronolake.sources.shared import drop_stored, made, shared_dir, stored  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
