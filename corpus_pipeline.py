@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chronolake.llm import decontaminate, language, mixing, neardup, sharding
-from chronolake.llm.common import stored, table
+from chronolake.llm.common import drop_stored, made, stored, table
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage stored on its way is deleted when its output is written."""
+    docs, mark = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        drop_stored(spark, mark, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
