@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronolake import sources
 from chronolake.functions import times
-from chronolake.operators import admission, bitemporal, captures, corporate, journals, outcomes, rules
+from chronolake.operators import admission, bitemporal, brokers, captures, corporate, evidence, journals, lineage, outcomes, replay, rules
 from chronolake.streaming import receipts
 from tests.test_queries import spark  # noqa: F401
 
@@ -110,3 +110,77 @@ def test_groups_of_one_instant_in_a_stream(spark, tmp_path):  # noqa: F811
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     assert sorted((r.rows, r.first_id, r.last_id) for r in got) == [(2, n, n + 1) for n in range(0, 2 * len(got), 2)]
     assert len(got) == 19 and max(r.available_at for r in got) == datetime(2024, 1, 1, 0, 18)  # the last instant is still open
+
+
+def test_lineage_of_long_chains_cycles_and_diamonds(spark):  # noqa: F811
+    chain = [(f"c{k}", f"c{k + 1}") for k in range(40)]
+    edges = spark.createDataFrame([*chain, ("x", "y"), ("y", "z"), ("z", "x"), ("z", "w"), ("p", "q1"), ("p", "q2"), ("q1", "r"), ("q2", "r"), ("x", "y"), (None, "x"), ("w", None)], "source string, target string")
+    roots = spark.createDataFrame([("c0",), ("x",), ("p",), (None,), ("lone",)], "node string")
+    got = {}
+    for r in lineage.impacted(edges, roots).collect():
+        got.setdefault(r.root, []).append(r.node)
+    assert {k: sorted(v) for k, v in got.items()} == {"c0": sorted(f"c{k}" for k in range(41)), "x": ["w", "x", "y", "z"], "p": ["p", "q1", "q2", "r"], "lone": ["lone"]}
+    assert sorted(r.node for r in lineage.on_cycles(edges.where("source NOT LIKE 'c%'")).collect()) == ["x", "y", "z"]
+    assert lineage.impacted(edges.limit(0), roots).count() == 4 and lineage.impacted(edges, roots.limit(0)).count() == 0
+
+
+def test_artifacts_incidents_and_corrections(spark):  # noqa: F811
+    t = lambda n: datetime(2024, 1, n)
+    rows = [("a", "model", "1", 2, 2), ("b", "model", "2", 3, 3), ("c", "model", "3", 4, 4), ("d", "model", "", 2, 2), ("e", "model", "5", 5, 4), ("f", "model", "6", 2, 2), ("g", "model", "7", 2, 2), ("h", "model", "8", 2, 2)]
+    artifacts = spark.createDataFrame([(a, k, p.encode(), t(n), t(r)) for a, k, p, n, r in rows], "artifact_id string, kind string, payload binary, known_at timestamp, recorded_at timestamp")
+    deps = spark.createDataFrame([("a", "evidence", "e1", None), ("b", "artifact", "a", None), ("c", "raw", "s1", "e1"), ("c", "artifact", "b", None), ("d", "evidence", "e1", None), ("e", "evidence", "e1", None), ("g", "evidence", "late", None), ("h", "raw", "s2", "e1")], "artifact_id string, kind string, id string, evidence_id string")
+    proof = spark.createDataFrame([("e1", "s1", t(1)), ("late", "s9", t(9))], "evidence_id string, sha256 string, received_at timestamp")
+    got = {r.artifact_id: r.reason for r in lineage.register_artifacts(artifacts, deps, proof).collect()}
+    assert got == {"a": None, "b": None, "c": None, "d": "payload_required", "e": "known_after_record", "f": "dependency_required", "g": "dependency_unavailable", "h": "raw_is_not_its_evidence"}
+    ring = deps.limit(0).union(spark.createDataFrame([("a", "artifact", "b", None), ("b", "artifact", "a", None), ("b", "artifact", "a", None), ("c", "artifact", "b", None)], deps.schema))
+    assert {r.artifact_id: r.reason for r in lineage.register_artifacts(artifacts.where("artifact_id IN ('a', 'b', 'c')"), ring, proof).collect()} == {"a": "dependency_cycle", "b": "duplicate_dependency", "c": None}
+    known = artifacts.selectExpr("artifact_id", "recorded_at AS available_at")
+    bound = deps.withColumn("sha256", F.when(F.col("id") == "e1", "s1").when(F.col("kind") == "raw", F.col("id")))
+    incidents = spark.createDataFrame([("i1", "data", True, t(5), "evidence", "e1"), ("i2", "forecast_loss", True, t(5), "artifact", "b"), ("i3", "policy", True, t(9), "artifact", "h"), ("i4", "data", False, t(5), "raw", "s1")], "incident_id string, category string, confirmed boolean, available_at timestamp, kind string, id string")
+    hit = {}
+    for r in lineage.impact_as_of(known, bound, incidents, F.lit(t(6))).collect():
+        hit.setdefault((r.incident_id, r.invalidates), set()).add(r.artifact_id)
+    assert hit == {("i1", True): set("abcdeh"), ("i2", False): {"b", "c"}, ("i4", False): set("abcde")}
+    assert {r.artifact_id for r in lineage.usable(known, bound, incidents, F.lit(t(3)), F.lit(t(6))).where("usable").collect()} == {"f", "g"}
+    fixes = spark.createDataFrame([(1, "i1", "f", t(6)), (2, "i1", "b", t(6)), (3, "i3", "f", t(6)), (4, "i2", "none", t(6)), (5, "i1", "f", t(20))], "correction_id int, incident_id string, replacement_id string, known_at timestamp")
+    assert {r.correction_id: r.reason for r in lineage.check_corrections(fixes, known, bound, incidents, F.lit(t(8))).collect()} == {1: None, 2: "replacement_is_affected", 3: "incident_not_known", 4: "replacement_not_available"}
+    where_from = lineage.origins(deps, spark.createDataFrame([("e1", "provider"), ("late", "fixture")], "evidence_id string, origin string"), spark.createDataFrame([("c",), ("g",)], "r string"))
+    assert {r.artifact_id: r.origins for r in where_from.collect()} == {"c": ["provider"], "g": ["fixture"]}
+
+
+def test_exact_bar_amounts_and_page_tokens(spark):  # noqa: F811
+    bar = lambda n, day: f'{{"t":"2024-01-{day:02d}T05:00:00Z","o":{n},"h":{n},"l":{n},"c":{n},"v":3}}'
+    numbers = ["12345678.5", "10000000.25", "123456789012.123456", "0.0005", "0.0001", "1e2", '"7.5"', "true", "0.1234567890123456789", "100000000000000000000", "-1", "0"]
+    page = '{"bars":{"a":[' + ",".join(bar(n, k + 1) for k, n in enumerate(numbers)) + "]}}"
+    frame = spark.createDataFrame([(1, page, NOW)], "import_id int, payload string, received_at timestamp")
+    got = [(r.close if r.reason is None else r.reason) for r in captures.bars(frame, spark.createDataFrame([("a", "L")], "symbol string, listing_id string"), "UTC").orderBy("at").collect()]
+    assert got == [Decimal("12345678.5"), Decimal("10000000.25"), Decimal("123456789012.123456"), Decimal("0.0005"), Decimal("0.0001"), Decimal(100), Decimal("7.5"), *["invalid_amount"] * 5]
+    pages = spark.createDataFrame([(1, '{"next_page_token":"x"}'), (2, '{"next_page_token":null}'), (3, "{}"), (4, '{"next_page_token":" "}'), (5, '{"next_page_token":7}'), (6, "["), (7, None)], "import_id int, payload string")
+    assert {r.import_id: (r.state, r.token) for r in captures.page_tokens(pages).collect()} == {1: ("more_pages", "x"), 2: ("terminal_page", None), **{k: ("unknown", None) for k in range(3, 8)}}
+
+
+def test_records_rights_and_small_functions(spark):  # noqa: F811
+    t = lambda n: datetime(2026, 1, n)
+    body = '{{"kind":"{}","listing_id":"l","date":"2026-01-05","start":"2026-01-05T14:30:00Z","end":"2026-01-05T21:00:00Z","currency":"USD","values":{}}}'
+    bar = '{"open":"100","high":"105","low":"95","close":"102","volume":"50","price_kind":"raw"}'
+    made = [("bar", bar), ("session", '{"timezone":"America/New_York"}'), ("split", '{"new_shares":"3","old_shares":"2"}'), ("cash_dividend", '{"amount":"1","payment_date":"2026-01-20"}'), ("bar", bar.replace("105", "101")), ("bar", bar.replace("raw", "adjusted")), ("session", '{"timezone":"Nowhere/X"}'), ("session", '{"timezone":"Asia/Tokyo"}'), ("split", '{"new_shares":"0","old_shares":"2"}'), ("cash_dividend", '{"amount":"1","payment_date":"2026-01-01"}'), ("merger", "{}"), ("bar", "{}"), ("bar", bar.replace('"50"', "50"))]
+    rows = [(k, body.format(*m), t(6), t(6), t(7)) for k, m in enumerate(made)]
+    rows += [(20, rows[0][1], t(8), t(7), t(9)), (21, "[1]", t(6), t(6), t(7)), (22, None, t(6), t(6), t(7)), (23, rows[0][1].replace("USD", "EUR"), t(6), t(6), t(7)), (24, rows[0][1], t(5), t(6), t(7)), (25, rows[0][1][:-1] + ',"more":1}', t(6), t(6), t(7))]
+    frame = spark.createDataFrame(rows, "record_id int, payload string, published_at timestamp, received_at timestamp, processed_at timestamp")
+    got = {r.record_id: r.reason for r in replay.records(frame, spark.createDataFrame([("l", "USD")], "listing_id string, trading_currency string")).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: None, 4: "invalid_ohlc_bounds", 5: "adjusted_price", 6: "unknown_timezone", 7: "session_not_on_its_day", 8: "invalid_amount", 9: "invalid_payment_date", 10: "unsupported_kind", 11: "unexpected_values", 12: "invalid_amount", 20: "times_out_of_order", 21: "invalid_json_object", 22: "invalid_json_object", 23: "listing_or_currency", 24: "published_before_end", 25: "unexpected_fields"}
+    grants = spark.createDataFrame([("s", t(1), ["research"]), ("s", t(5), [])], "source_id string, known_at timestamp, uses array<string>")
+    asks = spark.createDataFrame([(1, "s", "research", t(2)), (2, "s", "research", t(5)), (3, "s", "storage", t(2)), (4, "none", "research", t(9)), (5, None, "research", t(9))], "n int, source_id string, use string, as_of timestamp")
+    assert {r.n: r.allowed for r in evidence.allowed(asks, grants).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
+    one = spark.range(1)
+    first = lambda c: one.select(c).first()[0]
+    ends = times.day_bounds(F.lit("2024-03-10").cast("date"), F.lit("2024-03-10").cast("date"), "America/New_York")
+    assert (first(ends[0]), first(ends[1])) == (datetime(2024, 3, 10, 5), datetime(2024, 3, 11, 4))
+    assert [first(times.symbol_list(F.lit(x).cast("array<string>"))) for x in (["B", "A.C"], ["a"], ["A", "A"], [])] == ["A.C,B", None, None, None]
+    assert first(times.canonical_json(b=F.lit(None).cast("string"), a=F.lit("x"))) == '{"a":"x","b":null}' and first(times.horizon(F.lit(t(1)), F.lit(90))) == datetime(2026, 1, 1, 0, 1, 30)
+    assert [first(evidence.required(F.lit(x).cast("string"))) for x in ("a b", " a", "", None)] == [True, False, False, False]
+    assert first(captures.uuid_text(F.lit("URN:UUID:{0123456789ABCDEF0123456789abcdef}"))) == "01234567-89ab-cdef-0123-456789abcdef"
+    drafts = spark.createDataFrame([("1", "a", "S", "9", "X", "buy", "1.5", "2", "day", "regular", "c"), ("2", "b", "S", "9", "X", "sell", "1", "2", "day", "regular", "c"), ("3", "z", "S", "9", "X", "sell", "1", "2", "day", "regular", "c")], "intent_id string, account string, symbol string, native_id string, venue string, side string, quantity string, price string, tif string, session string, client_id string")
+    formats = spark.createDataFrame([("a", "paper", "synthetic-contract-paper"), ("b", "live", "synthetic-symbol-paper")], "account string, environment string, adapter_id string")
+    sent = {r.intent_id: (r.reason, r.payload) for r in brokers.encode(drafts, formats).collect()}
+    assert sent["1"] == (None, '{"account":"a","action":"BUY","contract_id":"9","duration":"DAY","exchange":"X","limit_price":"2","order_type":"LIMIT","reference":"c","session":"regular","units":"1.5"}') and [sent[k][0] for k in "23"] == ["paper_only", "no_adapter"]
