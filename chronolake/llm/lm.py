@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import ALNUM, pack, stored, table, unpack, words
 
 #: Text bytes and documents of a block, keys of a bucket, and the weight of P(w) in occurrences.
-BLOCK_BYTES, BLOCK_DOCS, BUCKET_KEYS, STRENGTH = 16 << 20, 1 << 16, 2_000_000, 10.0
+BLOCK_BYTES, BLOCK_DOCS, BUCKET_KEYS, STRENGTH = 8 << 20, 1 << 16, 2_000_000, 10.0
 #: Stands for the boundary, word number 0 of every block.
 BOUNDARY = np.uint64(0x243F6A8885A308D3)
 
