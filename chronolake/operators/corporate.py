@@ -13,15 +13,17 @@ def valuation(days: DataFrame, key: str, cash: str, shares: str) -> DataFrame:
 
     days: key, day, close, new_shares, old_shares (a split, or null), dividend (a share, or null), payment_date.  A day's split
     comes first, then the entitlement on the shares after it, then payments due on the first day at or after their
-    date, then the value at the close.  exact is false from a split on whose result has more than six decimals.
+    date, then the value at the close.  Ratios are exact to four decimals; exact is false from a split on whose ratio has more, or whose
+    result has more than six.
     Splits of a key are few, so each row carries those up to its day; payments are rows of the same running sum."""
     up_to = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    split = F.when(F.col("new_shares").isNotNull(), F.struct(F.col("new_shares").cast("decimal(9,0)").alias("new"), F.col("old_shares").cast("decimal(9,0)").alias("old")))
+    kept = F.coalesce(*[F.when(~F.coalesce(F.col(c).cast("decimal(9,4)") == F.col(c), F.lit(False)), False) for c in ("new_shares", "old_shares")], F.lit(True))
+    split = F.when(F.col("new_shares").isNotNull(), F.struct(F.col("new_shares").cast("decimal(9,4)").alias("new"), F.col("old_shares").cast("decimal(9,4)").alias("old"), kept.alias("kept")))
     start = F.struct(F.lit(shares).cast("decimal(20,6)").alias("n"), F.lit(True).alias("exact"))
 
     def step(s, x):
         after = (s["n"] * x["new"] / x["old"]).cast("decimal(20,6)")
-        return F.struct(after.alias("n"), (s["exact"] & (after * x["old"] == s["n"] * x["new"])).alias("exact"))
+        return F.struct(after.alias("n"), (s["exact"] & x["kept"] & F.coalesce(after * x["old"] == s["n"] * x["new"], F.lit(False))).alias("exact"))
 
     held = days.withColumn("_held", F.aggregate(F.collect_list(split).over(up_to), start, step))
     held = held.select(key, "day", "close", "payment_date", F.col("_held.n").alias("shares"), F.col("_held.exact").alias("exact"), (F.col("_held.n") * F.col("dividend").cast("decimal(12,6)")).cast(MONEY).alias("_due"))
