@@ -133,8 +133,8 @@ def check_identifiers(incoming: DataFrame, versions: DataFrame, permissions: Dat
     received_at.  In order: a text is missing, the interval is empty, the evidence is unknown at known_at, its source may not
     be used for research then."""
     texts = reduce(lambda a, b: a & b, [required(F.col(c)) for c in ("mapping_id", "provider", "value", "listing_id")])
-    rows = incoming.join(versions.select("evidence_id", F.col("source_id").alias("_source"), F.col("received_at").alias("_received")), "evidence_id", "left")
-    rows = allowed(rows.withColumn("_use", F.lit("research")), permissions.withColumnRenamed("source_id", "_source"), source="_source", use="_use", at="known_at")
+    rows = incoming.join(versions.select("evidence_id", F.col("source_id").alias("_of"), F.col("received_at").alias("_received")), "evidence_id", "left")
+    rows = allowed(rows.withColumn("_use", F.lit("research")), permissions.withColumnRenamed("source_id", "_of"), source="_of", use="_use", at="known_at")
     reason = first_reason(
         ("required_text_missing", ~texts),
         ("empty_interval", F.col("valid_from").isNull() | (F.col("valid_to") <= F.col("valid_from"))),

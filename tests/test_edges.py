@@ -187,3 +187,20 @@ def test_records_rights_and_small_functions(spark):  # noqa: F811
     formats = spark.createDataFrame([("a", "paper", "synthetic-contract-paper"), ("b", "live", "synthetic-symbol-paper")], "account string, environment string, adapter_id string")
     sent = {r.intent_id: (r.reason, r.payload) for r in brokers.encode(drafts, formats).collect()}
     assert sent["1"] == (None, '{"account":"a","action":"BUY","contract_id":"9","duration":"DAY","exchange":"X","limit_price":"2","order_type":"LIMIT","reference":"c","session":"regular","units":"1.5"}') and [sent[k][0] for k in "23"] == ["paper_only", "no_adapter"]
+
+
+def test_evidence_as_of_identifiers_and_inventory(spark):  # noqa: F811
+    t = lambda n: datetime(2026, 1, n)
+    one, two = b"one", b"two"
+    sha = lambda p: __import__("hashlib").sha256(p).hexdigest()
+    versions = spark.createDataFrame([("e1", "s", "r", sha(one), t(2)), ("e2", "s", "r", sha(two), t(5)), ("e3", "s", "q", sha(b"lost"), t(2))], "evidence_id string, source_id string, record_id string, sha256 string, received_at timestamp")
+    raw = spark.createDataFrame([(sha(one), one), (sha(two), b"other")], "sha256 string, payload binary")
+    sources = spark.createDataFrame([("s", "fixture")], "source_id string, origin string")
+    grants = spark.createDataFrame([("s", t(1), ["research"]), ("s", t(8), [])], "source_id string, known_at timestamp, uses array<string>")
+    asks = spark.createDataFrame([(1, "s", "r", t(3)), (2, "s", "r", t(6)), (3, "s", "r", t(9)), (4, "s", "r", t(1)), (5, "s", "q", t(3)), (6, "z", "r", t(3))], "request int, source_id string, record_id string, as_of timestamp")
+    got = {r.request: (r.status, r.evidence_id, r.origin) for r in evidence.evidence_as_of(versions, sources, raw, grants, asks).collect()}
+    assert got == {1: ("known", "e1", "fixture"), 2: ("payload_corrupt", "e2", None), 3: ("use_not_allowed", None, None), 4: ("unknown", None, None), 5: ("payload_corrupt", "e3", None), 6: ("use_not_allowed", None, None)}
+    rows = [("m", t(3), "p", "v", "l", t(1), None, "e1"), ("m", t(3), "p", " v", "l", t(1), None, "e1"), ("m", t(3), "p", "v", "l", t(2), t(2), "e1"), ("m", t(3), "p", "v", "l", t(1), None, "e2"), ("m", t(9), "p", "v", "l", t(1), None, "e2"), ("m", t(3), "p", "v", "l", t(1), None, "none")]
+    puts = spark.createDataFrame([(str(k), *r[1:]) for k, r in enumerate(rows)], "mapping_id string, known_at timestamp, provider string, value string, listing_id string, valid_from timestamp, valid_to timestamp, evidence_id string")
+    assert {r.mapping_id: r.reason for r in evidence.check_identifiers(puts, versions, grants).collect()} == {"0": None, "1": "required_text_missing", "2": "empty_interval", "3": "evidence_not_known", "4": "use_not_allowed", "5": "evidence_not_known"}
+    assert {r.name: (r.rows, r.latest) for r in evidence.inventory(versions=versions, sources=sources, none=grants.limit(0)).collect()} == {"versions": (3, t(5)), "sources": (1, None), "none": (0, None)}
