@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import zoneinfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
@@ -49,6 +49,16 @@ def ceil_millis(at: Column) -> Column:
     return F.timestamp_micros(micros + F.pmod(-micros, F.lit(1000)))
 
 
+def delivery_windows(rows: DataFrame, key: str, at: str, today: Column) -> DataFrame:
+    """key, collides, first_day, last_day, replayable: instants that are delivered in whole milliseconds, rounded up.
+
+    collides: distinct instants share a millisecond, so their groups could not be told apart.  The window runs from the day before the
+    earliest instant to the day of the last delivery, and may be replayed once that day is over.  Null instants are left out."""
+    each = rows.where(F.col(at).isNotNull()).groupBy(key, ceil_millis(F.col(at)).alias("_sent")).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
+    whole = each.groupBy(key).agg(F.bool_or(F.col("_a") < F.col("_b")).alias("collides"), F.date_sub(F.to_date(F.min("_a")), 1).alias("first_day"), F.to_date(F.max("_sent")).alias("last_day"))
+    return whole.withColumn("replayable", F.col("last_day") < today)
+
+
 def day_bounds(first: Column, last: Column, zone: str) -> tuple[Column, Column]:
     """The instants at which the local day ``first`` begins and the local day ``last`` is over."""
     midnight = lambda day: F.to_utc_timestamp(day.cast("timestamp"), zone)

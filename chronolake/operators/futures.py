@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolake.operators.bitemporal import containing, overlaps_earlier, snapshots_for
+
 
 def on_grid(price: Column, tick: str | Column) -> Column:
     """Whether a price, negative ones too, is a whole number of ticks; null stays null."""
@@ -67,3 +69,33 @@ def drafts(intents: DataFrame) -> DataFrame:
     ]
     client = F.substring(F.sha2(F.to_json(F.array("account", "intent_id")), 256), 1, 32)
     return intents.select("intent_id", client.alias("client_id"), F.coalesce(*[F.when(~passes, name) for name, passes in checks]).alias("reason"))
+
+
+def session_of(points: DataFrame, sessions: DataFrame, key: str, at: str) -> DataFrame:
+    """points with session (the start of the declared session [opens_at, closes_at) that holds them, or null) and is_open.
+
+    sessions: key, opens_at, closes_at, in order and without overlaps (see ``session_faults``).  Breaks between sessions are closed."""
+    spans = sessions.select(key, "opens_at", "closes_at")
+    found = containing(points, spans.withColumn("_start", F.col("opens_at")), key, at, "opens_at", "closes_at", "_start", "session")
+    return found.withColumn("is_open", F.col("session").isNotNull())
+
+
+def session_faults(sessions: DataFrame, key: str) -> DataFrame:
+    """Sessions that are empty or begin before an earlier one has ended; touching ones are fine."""
+    last = sessions.withColumn("_last", F.col("closes_at") - F.expr("INTERVAL 1 MICROSECOND"))
+    marked = overlaps_earlier(last, key, "opens_at", "_last", "closes_at").drop("_last")
+    return marked.where(F.col("overlaps") | ~F.coalesce(F.col("opens_at") < F.col("closes_at"), F.lit(False))).drop("overlaps")
+
+
+def terms_for(requests: DataFrame, contracts: DataFrame, products: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """request, root, venue_mic, quote_currency, status, tick_size, multiplier, settlement, last_trade_at, entry_cutoff_at.
+
+    requests: request, contract_id, effective_at, as_of.  contracts: contract_id, product_id.  products: product_id, root, venue_mic, quote_currency.
+    snapshots: contract_id, valid_from, valid_to, known_at and the terms.  status is that of the terms as known at as_of for
+    effective_at: resolved, unknown or ambiguous; unknown_contract where the contract or its product is not registered."""
+    terms = ("tick_size", "multiplier", "settlement", "last_trade_at", "entry_cutoff_at")
+    known = contracts.select("contract_id", "product_id").join(products.select("product_id", "root", "venue_mic", "quote_currency"), "product_id")
+    found = snapshots_for(requests, snapshots.withColumn("_terms", F.struct(*terms)), "request", ["contract_id"], "_terms")
+    rows = requests.select("request", "contract_id").join(known, "contract_id", "left").join(found, "request")
+    unknown = F.col("root").isNull()
+    return rows.select("request", "root", "venue_mic", "quote_currency", F.when(unknown, "unknown_contract").otherwise(F.col("status")).alias("status"), *[F.when(~unknown, F.col("_terms")[t]).alias(t) for t in terms])
