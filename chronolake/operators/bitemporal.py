@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 def latest_as_of(log: DataFrame, keys: list[str], known_at: str, cutoff: Column, ties: list[str]) -> DataFrame:
     """The last row of each key with ``known_at`` up to ``cutoff``; ``ties`` decide between equal times."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(known_at), *[F.desc(t) for t in ties])
-    rows = log.where(F.col(known_at) <= cutoff).withColumn("_nth", F.row_number().over(order))
-    return rows.where("_nth = 1").drop("_nth")
+    rows = log.where(F.col(known_at) <= cutoff).groupBy(*keys)  # partial maxima: a key that holds most rows is reduced before the shuffle
+    return rows.agg(F.max_by(F.struct(*log.columns), F.struct(known_at, *ties)).alias("_row")).select("_row.*")
 
 
 def valid_report(intervals: DataFrame, key: str, start: str, end: str, at: Column) -> DataFrame:
@@ -30,13 +29,26 @@ def compare_cutoffs(log: DataFrame, keys: list[str], known_at: str, early: Colum
     return sums.withColumn("status", F.when(F.col("early").isNull(), "new").when(F.col("early") < F.col("late"), "changed").otherwise("same"))
 
 
+def by_day(at: Column, kind: str) -> Column:
+    """The day of an instant, as a part of a key that may hold most rows; other kinds of order have one part."""
+    return F.to_date(at) if kind.startswith(("timestamp", "date")) else F.lit(0)
+
+
 def as_of_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, value: str, out: str) -> DataFrame:
-    """Each left row with the value of the last right row of its key up to its time: one sort, no row pairs."""
+    """Each left row with the value of the last right row of its key up to its time, null values passed over; no row pairs.
+
+    Rows are sorted inside a key's day; what the days before gave is one row a day, so a key that holds most rows is dealt to many tasks."""
+    part = by_day(F.col("_at"), dict(left.dtypes)[left_at])
     both = left.select("*", F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
-    other = right.select(F.col(key), F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_value"))
-    before = Window.partitionBy(key).orderBy("_at", "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
-    rows = both.unionByName(other, allowMissingColumns=True).withColumn(out, F.last("_value", ignorenulls=True).over(before))
-    return rows.where("_side = 1").drop("_at", "_side", "_value")
+    other = right.where(F.col(right_at).isNotNull()).select(F.col(key), F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_value"))
+    rows = both.unionByName(other, allowMissingColumns=True).withColumn("_part", part)
+    order = F.struct("_at", "_value")
+    days = rows.select(key, "_part", "_at", "_value").groupBy(key, "_part").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), order)).alias("_last"))
+    carried = days.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.last("_last", ignorenulls=True).over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before")).where("_before IS NOT NULL")
+    inside = Window.partitionBy(key, "_part").orderBy("_at", "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_in", F.last("_value", ignorenulls=True).over(inside)).where("_side = 1")
+    found = found.join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_part").eqNullSafe(F.col("_p")), "left")
+    return found.withColumn(out, F.coalesce("_in", "_before")).drop("_at", "_side", "_value", "_part", "_in", "_before", "_k", "_p")
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:
@@ -46,9 +58,17 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, value: str, tolerance
     return both.withColumn("agrees", F.abs(F.col("left_value") - F.col("right_value")) <= F.lit(tolerance))
 
 
+def repeated(rows: DataFrame, keys: list[str], mark: str) -> DataFrame:
+    """rows with ``mark``: another row has the same keys, nulls being equal.  Keys are counted in tasks first, then joined to the rows."""
+    names = {k: f"_{mark}_{n}" for n, k in enumerate(keys)}
+    several = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(n) for k, n in names.items()], F.lit(True).alias(mark))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return rows.join(several, same, "left").drop(*names.values()).withColumn(mark, F.coalesce(mark, F.lit(False)))
+
+
 def split_duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """All rows with reason: 'duplicate' for every member of a key that occurs more than once, else null."""
-    return rows.withColumn("reason", F.when(F.count("*").over(Window.partitionBy(*keys)) > 1, "duplicate"))
+    return repeated(rows, keys, "_again").withColumn("reason", F.when(F.col("_again"), "duplicate")).drop("_again")
 
 
 def snapshots_for(requests: DataFrame, snapshots: DataFrame, request: str, keys: list[str], value: str) -> DataFrame:
@@ -81,13 +101,22 @@ def coverage(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def colliding(rows: DataFrame, *identities: list[str]) -> DataFrame:
     """Rows with collides: another row has the same value of any identity (a list of columns); nulls collide with nothing."""
     same = F.lit(False)
-    for columns in identities:
+    for n, columns in enumerate(identities):
         known = F.forall(F.array(*[F.col(c).isNotNull() for c in columns]), lambda x: x)
-        same = same | (known & (F.count("*").over(Window.partitionBy(*columns)) > 1))
-    return rows.withColumn("collides", same)
+        rows = repeated(rows, columns, f"_same{n}")
+        same = same | (known & F.col(f"_same{n}"))
+    return rows.withColumn("collides", same).drop(*[f"_same{n}" for n in range(len(identities))])
 
 
 def overlaps_earlier(ranges: DataFrame, key: str, start: str, end: str, tie: str) -> DataFrame:
-    """Ranges [start, end] with overlaps: one that starts before, or at once with a smaller tie, reaches into it."""
-    before = Window.partitionBy(key).orderBy(start, tie).rowsBetween(Window.unboundedPreceding, -1)
-    return ranges.withColumn("overlaps", F.coalesce(F.max(end).over(before) >= F.col(start), F.lit(False)))
+    """Ranges [start, end] with overlaps: one that starts before, or at once with a smaller tie, reaches into it.
+
+    Ranges are sorted inside a key's day; how far those of earlier days reach is one row a day."""
+    rows = ranges.withColumn("_part", by_day(F.col(start), dict(ranges.dtypes)[start]))
+    days = rows.groupBy(key, "_part").agg(F.max(end).alias("_last"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.max("_last").over(earlier).alias("_reach"))
+    before = Window.partitionBy(key, "_part").orderBy(start, tie).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.max(end).over(before)).join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_part").eqNullSafe(F.col("_p")), "left")
+    reaches = F.greatest("_in", "_reach") >= F.col(start)
+    return rows.withColumn("overlaps", F.coalesce(reaches, F.lit(False))).drop("_part", "_in", "_reach", "_k", "_p")

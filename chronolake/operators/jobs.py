@@ -84,7 +84,7 @@ def inspect(prices: DataFrame, sessions: DataFrame, expected: DataFrame) -> Data
 
 def scope_reason(scope: dict[str, Column]) -> Column:
     """The first fault of a review's scope: source ids, first and last day (text), feed, and a lower-case SHA-256; null for none."""
-    day = lambda c: F.coalesce(F.date_format(F.try_to_date(c, F.lit("yyyy-MM-dd")), "yyyy-MM-dd") == c, F.lit(False))
+    day = lambda c: F.coalesce(F.date_format(F.try_to_date(c, "yyyy-MM-dd"), "yyyy-MM-dd") == c, F.lit(False))
     texts = reduce(lambda a, b: a & b, [F.coalesce(c.rlike(r"(?s)^\S(.*\S)?$"), F.lit(False)) for c in scope.values()])
     return first_reason(
         ("required_text_missing", ~texts),

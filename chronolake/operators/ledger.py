@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolake.operators.bitemporal import by_day
+
 AMOUNT = r"^(0|[1-9][0-9]{0,24})(\.[0-9]{1,18})?$"
 #: What each kind of event has besides event_id, kind, occurred_at, observed_at, currency, origin and source_ref.
 FIELDS = {"opening_cash": ("amount",), "buy": ("instrument_id", "quantity", "price", "fee"), "sell": ("instrument_id", "quantity", "price", "fee"), "split": ("instrument_id", "numerator", "denominator"), "dividend": ("instrument_id", "amount")}
@@ -20,9 +22,16 @@ _FOLDED = ["sequence", "kind", "occurred_at", "currency", "origin", "instrument_
 
 
 def running_cash(events: DataFrame, account: str, order: list[str], amount: Column) -> DataFrame:
-    """Events with cash: the decimal running sum of the signed amounts of an account."""
-    w = Window.partitionBy(account).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("cash", F.sum(amount).over(w))
+    """Events with cash: the decimal running sum of the signed amounts of an account; null amounts add nothing.
+
+    Events are sorted inside an account's day, and earlier days are one sum each, so an account with most events is dealt to many tasks."""
+    rows = events.withColumns({"_amount": amount, "_part": by_day(F.col(order[0]), dict(events.dtypes)[order[0]])})
+    days = rows.groupBy(account, "_part").agg(F.sum("_amount").alias("_sum"))
+    earlier = Window.partitionBy(account).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(F.col(account).alias("_a"), F.col("_part").alias("_p"), F.sum("_sum").over(earlier).alias("_before"))
+    inside = Window.partitionBy(account, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_in", F.sum("_amount").over(inside)).join(carried, F.col(account).eqNullSafe(F.col("_a")) & F.col("_part").eqNullSafe(F.col("_p")), "left")
+    return rows.withColumn("cash", F.coalesce(F.col("_before") + F.col("_in"), "_before", "_in")).drop("_amount", "_part", "_before", "_in", "_a", "_p")
 
 
 def validate(events: DataFrame) -> DataFrame:

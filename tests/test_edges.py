@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronolake import sources
 from chronolake.functions import times
-from chronolake.operators import admission, bitemporal, brokers, captures, corporate, evidence, journals, lineage, outcomes, replay, rules
+from chronolake.operators import admission, bitemporal, brokers, captures, corporate, evidence, futures, jobs, journals, ledger, lineage, outcomes, replay, rules, trials
 from chronolake.streaming import receipts
 from tests.test_queries import spark  # noqa: F401
 
@@ -204,3 +204,45 @@ def test_evidence_as_of_identifiers_and_inventory(spark):  # noqa: F811
     puts = spark.createDataFrame([(str(k), *r[1:]) for k, r in enumerate(rows)], "mapping_id string, known_at timestamp, provider string, value string, listing_id string, valid_from timestamp, valid_to timestamp, evidence_id string")
     assert {r.mapping_id: r.reason for r in evidence.check_identifiers(puts, versions, grants).collect()} == {"0": None, "1": "required_text_missing", "2": "empty_interval", "3": "evidence_not_known", "4": "use_not_allowed", "5": "evidence_not_known"}
     assert {r.name: (r.rows, r.latest) for r in evidence.inventory(versions=versions, sources=sources, none=grants.limit(0)).collect()} == {"versions": (3, t(5)), "sources": (1, None), "none": (0, None)}
+
+
+def test_lookups_with_nulls_ties_and_hot_keys(spark):  # noqa: F811
+    """Days carry over; null times are never taken; nulls are equal as keys of duplicates and collide with nothing."""
+    t = lambda d, h=0: datetime(2026, 1, d, h)
+    left = spark.createDataFrame([(1, "k", t(5)), (2, "k", t(5, 9)), (3, "k", t(9)), (4, None, t(9)), (5, "k", None), (6, "z", t(1)), (7, "k", t(1))], "n int, key string, at timestamp")
+    right = spark.createDataFrame([("k", t(2), 10), ("k", t(5), 20), ("k", t(5), 30), ("k", t(6), None), (None, t(3), 40), ("k", None, 99)], "key string, at timestamp, v int")
+    got = {r.n: r.v for r in bitemporal.as_of_join(left, right, "key", "at", "at", "v", "v").collect()}
+    assert got == {1: 30, 2: 30, 3: 30, 4: 40, 5: None, 6: None, 7: None}
+    log = spark.createDataFrame([("a", t(1), 1, "x"), ("a", t(2), 1, "y"), ("a", t(2), 2, None), ("a", t(9), 3, "w"), (None, t(1), 1, "n"), ("b", None, 1, "q")], "key string, at timestamp, tie int, V string")
+    assert sorted(map(str, bitemporal.latest_as_of(log, ["key"], "at", F.lit(t(5)), ["tie"]).select("key", "V", "tie").collect())) == sorted(["Row(key='a', V=None, tie=2)", "Row(key=None, V='n', tie=1)"])
+    pairs = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, None, 1), (4, None, 1), (5, "b", 2)], "n int, x string, y int")
+    assert {r.n for r in bitemporal.split_duplicates(pairs, ["x", "y"]).collect() if r.reason} == {1, 2, 3, 4}
+    assert {r.n for r in bitemporal.colliding(pairs, ["x", "y"]).collect() if r.collides} == {1, 2} and bitemporal.colliding(pairs.limit(0), ["x"]).count() == 0
+    spans = spark.createDataFrame([(1, "k", t(1), t(8)), (2, "k", t(3), t(4)), (3, "k", t(8), t(9)), (4, "k", t(10), t(11)), (5, "k", t(10), t(10)), (6, "z", t(3), t(3))], "n int, key string, a timestamp, b timestamp")
+    assert {r.n for r in bitemporal.overlaps_earlier(spans, "key", "a", "b", "n").collect() if r.overlaps} == {2, 3, 5}
+    cash = spark.createDataFrame([(1, t(1), "5.00"), (2, t(1, 2), None), (3, t(4), "-7.25"), (4, None, "1.00")], "n int, at timestamp, v string").withColumn("who", F.lit(None).cast("string"))
+    assert {r.n: str(r.cash) for r in ledger.running_cash(cash, "who", ["at", "n"], F.col("v").cast("decimal(18,2)")).collect()} == {4: "1.00", 1: "6.00", 2: "6.00", 3: "-1.25"}
+
+
+def test_jobs_and_protocols_with_nulls(spark):  # noqa: F811
+    t = lambda d: datetime(2026, 1, d)
+    asked = spark.createDataFrame([(k, 3, 100, 1, 9) for k in range(1, 9)], "job_id int, max_pages int, max_bytes int, first_day int, last_day int")
+    page = lambda job, n, sent, state, token, size=10, bad=0: (job, n, sent, token, state, size, bad)
+    pages = [page(1, 0, None, "more_pages", "a"), page(1, 1, "a", "terminal_page", None), page(1, 2, None, "terminal_page", None), page(2, 0, None, "more_pages", "a"), page(2, 1, "a", "more_pages", "a"), page(3, 0, None, "more_pages", "a", 90), page(3, 1, "a", "terminal_page", None, 11), page(4, 0, None, "more_pages", "a"), page(4, 2, "a", "terminal_page", None), page(5, 0, None, "terminal_page", None, None, None), page(6, 0, "x", "terminal_page", None), page(7, 0, None, "more_pages", "a"), page(7, 1, "a", "terminal_page", None), page(77, 0, None, "terminal_page", None)]
+    frame = spark.createDataFrame(pages, "job_id int, page int, sent_token string, next_token string, token_state string, bytes int, quarantined int")
+    rows = spark.createDataFrame([(1, 0, "l", 1), (1, 0, "l", 1), (1, 1, "l", 2), (1, 2, "l", 99), (5, 0, "l", None), (7, 0, "l", 3), (7, 1, "l", 3)], "job_id int, page int, listing_id string, day int")
+    got = {r.job_id: (r.pages, r.bytes, r.state, r.reason) for r in jobs.results(asked, frame, rows).collect()}
+    assert got == {1: (2, 20, "complete_pages", "terminal_page"), 2: (2, 20, "incomplete", "pagination_cycle"), 3: (1, 90, "incomplete", "byte_limit"), 4: (1, 10, "incomplete", "interrupted_previous_run"), 5: (1, 0, "quarantined", "response_outside_request"), 6: (1, 10, "quarantined", "page_token_mismatch"), 7: (2, 20, "quarantined", "duplicate_cross_page_bar"), 8: (0, 0, "incomplete", "interrupted_previous_run")}
+    day = date(2026, 1, 1)
+    asks = [(1, "i", t(1), day, date(2026, 2, 1)), (2, "i", t(2), date(2026, 2, 1), date(2026, 3, 1)), (3, "i", t(3), date(2026, 2, 2), date(2026, 2, 9)), (4, None, t(1), day, day), (5, "i", t(4), None, day), (6, "i", t(5), date(2026, 5, 2), date(2026, 5, 1)), (7, "i", t(6), date(2025, 1, 1), date(2027, 1, 1))]
+    periods = spark.createDataFrame(asks, "n int, instrument string, at timestamp, start date, end date")
+    assert {r.n: r.consumed for r in trials.consume(periods, "instrument", ["at", "n"], "start", "end").collect()} == {1: True, 2: False, 3: True, 4: True, 5: False, 6: False, 7: False}
+    assert trials.consume(periods.limit(0), "instrument", ["at"], "start", "end").count() == 0
+    good = {"price_source_id": "p", "calendar_source_id": "c", "start_date": "2026-01-05", "end_date": "2026-01-06", "feed": "iex", "capture_snapshot_sha256": "a" * 64}
+    reason = lambda **more: spark.range(1).select(jobs.scope_reason({k: F.lit(v).cast("string") for k, v in (good | more).items()})).first()[0]
+    assert [reason(), reason(feed=None), reason(calendar_source_id="p"), reason(end_date="2026-1-6"), reason(feed="x"), reason(capture_snapshot_sha256="A" * 64)] == [None, "required_text_missing", "distinct_sources_required", "canonical_dates_required", "invalid_interval_or_feed", "exact_sha256_required"]
+    made = spark.createDataFrame([("d", "1", "t", "u", "b", "p", "c", 60, "paper_fills"), ("d", "2", " ", "u", "b", "p", "c", 60, "paper_fills"), ("d", "3", "t", "u", "b", "p", "c", None, "paper_fills"), ("d", "4", "t", "u", "b", "p", "c", 60, None)], "definition_id string, version_id string, target string, unit string, benchmark string, price_convention string, cost_convention string, horizon_seconds long, outcome_origin string")
+    assert {r.version_id: r.reason for r in trials.check_definitions(made).collect()} == {"1": None, "2": "required_text_missing", "3": "positive_horizon_required", "4": "unknown_origin"}
+    sessions = spark.createDataFrame([("s", t(1), t(2)), ("s", t(2), t(3)), ("s", t(2), t(2)), ("z", t(5), None)], "key string, opens_at timestamp, closes_at timestamp")
+    assert sorted((r.key, r.opens_at.day, r.closes_at and r.closes_at.day) for r in futures.session_faults(sessions, "key").collect()) == [("s", 2, 2), ("z", 5, None)]
+    assert [r[0] for r in spark.createDataFrame([("mutual_fund",), ("index",), ("equity",)], "k string").select(trials.execution_model(F.col("k"))).collect()] == ["nav_subscription_redemption", "reference_only", "exchange_orderbook"]
