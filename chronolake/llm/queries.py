@@ -1,6 +1,6 @@
 """The queries of this package, by name, and the SQL that gives the same rows."""
 
-from . import chat, decontaminate, language, lm, mixing, neardup, quality, sharding, toxicity, warc
+from . import chat, conversations, decontaminate, language, lm, mixing, neardup, phrases, pivots, quality, sharding, toxicity, warc
 
 _ALL = {
     "op1_decontamination": decontaminate,
@@ -13,6 +13,9 @@ _ALL = {
     "op8_near_duplicates": neardup,
     "op9_mixing": mixing,
     "op10_warc": warc,
+    "op11_pivot_search": pivots,
+    "op12_phrases": phrases,
+    "op13_conversation_repair": conversations,
 }
 
 QUERIES = {name: module.query for name, module in _ALL.items()}
