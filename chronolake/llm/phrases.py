@@ -26,33 +26,56 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SUPPORT, LONGEST, TOP, COVERED, SCALE = 30, 4, 2000, 80, 2_000_000
-#: Counters and bits of each bitmap (a multiple of 8); counters of a row on the way to their sum; phrases and words that a task holds; bytes read at once.
-BUCKETS, CHUNK, FLUSH, KNOWN, PART = 1 << 22, 1 << 12, 1 << 18, 1 << 19, 1 << 21
-#: A-Z to lower case; the marks ``[.,;:!?\x0A-\x0D]`` all become ``.``, which no word can hold.
-FOLD = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Counters and bits of each bitmap (a multiple of 8); counters of a row on the way to their sum; phrases that a task holds; bytes read at once.
+BUCKETS, CHUNK, FLUSH, PART = 1 << 22, 1 << 12, 1 << 18, 1 << 20
+#: A-Z to lower case; tabs become blanks, the marks ``[.,;:!?\x0A-\x0D]`` all become ``.``, which no word can hold.
+FOLD = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 COUNTS, SUMS = "lang string, phrase string, a long", "chunk int, counts binary"
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 
 
-def tokens(texts: list[bytes], longest: int, part: int = PART):
-    """(words, fresh): words of the texts with a ``.`` between pieces; the words before ``fresh`` were there in the list before and are repeated for the phrases that go over."""
+def pieces(texts: list[bytes], longest: int, part: int = PART):
+    """(flat, fresh): words of the texts joined by one blank, with a ``.`` between pieces; the first ``fresh`` words were there in the part before and are repeated for the phrases that go over."""
     flat = b" . ".join(texts).translate(FOLD).replace(b".", b" . ")
-    start, kept = 0, []
-    while start < len(flat):
-        end = len(flat) if len(flat) - start <= part else flat.find(b" ", start + part)
+    while b"  " in flat:
+        flat = flat.replace(b"  ", b" ")
+    flat = flat.strip(b" ")
+    start, fresh, after = 0, 0, 0
+    while after < len(flat):
+        end = -1 if len(flat) - after <= part else flat.find(b" ", after + part)
         end = len(flat) if end < 0 else end
-        new = flat[start:end].split()
-        yield [*kept, *new], len(kept)
-        kept, start = ([*kept, *new])[-(longest - 1) :] if longest > 1 else [], end
+        yield flat[start:end], fresh
+        start, fresh, after = end + 1, 0, end + 1
+        while fresh < longest - 1 and start > 0:
+            start, fresh = flat.rfind(b" ", 0, start - 1) + 1, fresh + 1
 
 
-class _Hashes(dict):
-    """64 hashed bits of each word that was asked for, 0 of a mark; forgotten when there are too many."""
+def hashed(flat: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of ``flat``, and 64 hashed bits of each; 0 of a mark.  Equal words have equal bits wherever they stand."""
+    data = np.frombuffer(flat, np.uint8)
+    gaps = np.flatnonzero(data == 32)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
+    powers, back = _powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTERS[data] * powers[: len(data)], out=sums[1:])
+    words = _mix((sums[ends] - sums[starts]) * back[starts]) | np.uint64(1)
+    words[data[starts] == 46] = 0
+    return starts, ends, words
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        value = self[word] = 0 if word == b"." else xxhash.xxh64_intdigest(word, 7) | 1
-        return value
+
+_LETTERS = np.array([xxhash.xxh64_intdigest(bytes([c]), 7) for c in range(256)], np.uint64)
+_tables: dict[str, np.ndarray] = {}
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, in 64 bits."""
+    if len(_tables.get("powers", ())) < size:
+        for name, base in (("powers", _BASE), ("back", _BACK)):
+            factors = np.full(max(size, PART + (1 << 16)), base, np.uint64)
+            factors[0] = 1
+            _tables[name] = np.cumprod(factors, dtype=np.uint64)
+    return _tables["powers"], _tables["back"]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -117,7 +140,7 @@ def passed(texts: DataFrame, n: int, longest: int, support: int, parts: np.ndarr
     def count(batches):
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
         parts, heavy = given.value
-        known, counted, sums = _Hashes(), {}, _Buckets(support, buckets) if n < longest else None
+        counted, sums = {}, _Buckets(support, buckets) if n < longest else None
 
         def flush():
             for lang, found in counted.items():
@@ -131,12 +154,17 @@ def passed(texts: DataFrame, n: int, longest: int, support: int, parts: np.ndarr
                 by_lang.setdefault(lang, []).append(text)
             for lang, some in by_lang.items():
                 seed, found = xxhash.xxh64_intdigest(lang.encode()), counted.setdefault(lang, Counter())
-                for words, fresh in tokens(some, n + 1):
-                    hashes = grams(np.array([known[w] for w in words], np.uint64), seed, min(n + 1, longest))
+                for flat, fresh in pieces(some, n + 1):
+                    starts, ends, words = hashed(flat)
+                    hashes = grams(words, seed, min(n + 1, longest))
                     may = survivors(hashes, n, parts, heavy)
                     at = np.flatnonzero(may)
-                    at = at[at >= max(fresh - n + 1, 0)] if fresh else at
-                    found.update(map(words.__getitem__, at.tolist()) if n == 1 else [b" ".join(words[i : i + n]) for i in at.tolist()])
+                    at = at[at >= fresh - n + 1] if fresh else at
+                    if n == 1:
+                        found.update(flat.split(b" ")[fresh:])
+                        found.pop(b".", None)
+                    else:
+                        found.update([flat[i:j] for i, j in zip(starts[at].tolist(), ends[at + n - 1].tolist(), strict=True)])
                     if sums is not None and len(hashes[n]):
                         both = may[:-1] & may[1:]
                         both[: max(fresh - n, 0)] = False
@@ -184,11 +212,10 @@ def members(phrases: DataFrame, n: int, buckets: int = BUCKETS) -> np.ndarray:
     """``buckets`` bits: the buckets that the phrases of n words (lang, phrase) fall into."""
 
     def mark(batches):
-        known, marked = _Hashes(), _Buckets(1, buckets)
+        marked = _Buckets(1, buckets)
         for batch in batches:
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
-                words = np.array([known[w] for w in phrase.encode().split(b" ")], np.uint64)
-                marked.add(grams(words, xxhash.xxh64_intdigest(lang.encode()), n)[n - 1])
+                marked.add(grams(hashed(phrase.encode())[2], xxhash.xxh64_intdigest(lang.encode()), n)[n - 1])
         rows = list(marked.rows())
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["chunk", "counts"])
 

@@ -124,15 +124,24 @@ def test_phrases_are_as_counted_by_hand(spark, monkeypatch, buckets):
     assert {(r.lang, r.rank, r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got.collect()} == brute_phrases(docs, 5)
 
 
-def test_tokens_overlap_where_a_text_is_cut():
-    texts = [b"A b c d. e f", b"g " * 50, b""]
-    whole = next(phrases.tokens(texts, 4))[0]
+def test_parts_overlap_where_a_text_is_cut():
+    texts = [b"A b  c d. e\tf ", b"g " * 50, b"", b"x" * 30]
+    whole = next(phrases.pieces(texts, 4))[0].split()
     for part in (1, 3, 7, 20):
         seen = []
-        for words, fresh in phrases.tokens(texts, 4, part):
+        for flat, fresh in phrases.pieces(texts, 4, part):
+            words = flat.split(b" ")
             assert words[:fresh] == (seen[-fresh:] if fresh else [])
             seen += words[fresh:]
         assert seen == whole and whole[:6] == [b"a", b"b", b"c", b"d", b".", b"e"]
+    assert list(phrases.pieces([b"", b" \t"], 4)) == [(b".", 0)] and list(phrases.pieces([], 4)) == []
+
+
+def test_equal_words_have_equal_hashes():
+    starts, ends, words = phrases.hashed("ab été . ab b . été".encode())
+    assert words[0] == words[3] and words[1] == words[6] and words[2] == words[5] == 0 and len(set(words.tolist())) == 4
+    assert ends.tolist()[0] == 2 and starts.tolist()[1] == 3
+    assert phrases.hashed("été".encode())[2][0] == words[1]
 
 
 def test_phrases_of_an_empty_table(spark):
@@ -141,7 +150,7 @@ def test_phrases_of_an_empty_table(spark):
 
 def test_cut_texts_give_the_same_counts(spark, monkeypatch):
     docs = phrase_docs()
-    monkeypatch.setattr(phrases.tokens, "__defaults__", (40,))
+    monkeypatch.setattr(phrases.pieces, "__defaults__", (40,))
     monkeypatch.setattr(phrases, "FLUSH", 10)
     df = spark.createDataFrame([(i, t, lang, "p", 1) for i, (lang, t) in enumerate(docs)], DOC).repartition(2)
     got = phrases.scored(*phrases.frequent(df, support=5, buckets=256))
