@@ -6,6 +6,8 @@ superseded row never comes back.  Null cutoff columns are unknown and never take
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,16 +73,103 @@ def split_duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return repeated(rows, keys, "_again").withColumn("reason", F.when(F.col("_again"), "duplicate")).drop("_again")
 
 
+def _same(keys: list[str], names: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+
+
+def running_sums(rows: DataFrame, keys: list[str], at: str, measures: dict[str, Column], totals: dict[str, Column] | None = None) -> DataFrame:
+    """rows with the sums of ``measures`` over the rows of the same keys that are not later, and of ``totals`` over all of them.
+
+    Rows are sorted inside a key's day; the days before give one row a day.  Rows without a time come before all."""
+    totals = totals or {}
+    rows = rows.withColumn("_part", by_day(F.col(at), dict(rows.dtypes)[at])).withColumns({f"_m{n}": m for n, m in enumerate([*measures.values(), *totals.values()])})
+    names, count = [f"_k{n}" for n in range(len(keys))], len(measures)
+    every = [f"_m{n}" for n in range(count + len(totals))]
+    days = rows.groupBy(*keys, "_part").agg(*[F.sum(m).alias(m) for m in every])
+    of = Window.partitionBy(*keys)
+    earlier = of.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_part").alias("_p"), *[F.sum(m).over(earlier).alias(f"{m}b") for m in every[:count]], *[F.sum(m).over(of).alias(f"{m}t") for m in every[count:]])
+    inside = Window.partitionBy(*keys, "_part").orderBy(at)  # rows of one time are counted together
+    rows = rows.withColumns({f"_m{n}i": F.sum(f"_m{n}").over(inside) for n in range(count)}).join(carried, _same([*keys, "_part"], [*names, "_p"]))
+    sums = {name: F.coalesce(f"_m{n}i", F.lit(0)) + F.coalesce(f"_m{n}b", F.lit(0)) for n, name in enumerate(measures)}
+    sums |= {name: F.coalesce(f"_m{n}t", F.lit(0)) for n, name in enumerate(totals, count)}
+    return rows.withColumns(sums).drop("_part", "_p", *names, *every, *[f"_m{n}{x}" for n in range(len(every)) for x in "ibt"])
+
+
+def until_next(rows: DataFrame, keys: list[str], at: str, out: str) -> DataFrame:
+    """rows with ``out``: the next later time of the same keys, or null; the times of a key differ.  Sorted inside a key's day, with one row a day for what comes after."""
+    rows = rows.withColumn("_part", by_day(F.col(at), dict(rows.dtypes)[at]))
+    names = [f"_k{n}" for n in range(len(keys))]
+    days = rows.groupBy(*keys, "_part").agg(F.min(at).alias("_first"))
+    carried = days.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_part").alias("_p"), F.lead("_first").over(Window.partitionBy(*keys).orderBy("_part")).alias("_after"))
+    inside = rows.withColumn("_in", F.lead(at).over(Window.partitionBy(*keys, "_part").orderBy(at)))
+    return inside.join(carried, _same([*keys, "_part"], [*names, "_p"])).withColumn(out, F.coalesce("_in", "_after")).drop("_part", "_p", "_in", "_after", *names)
+
+
+def live_nodes(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """points and spans, each with _level and _node: a point meets a span under equal keys, level and node exactly when start <= at < end, and once.
+
+    The times of a key become ranks; a span of ranks is cut into binary ranges, at most two of a level, and a point belongs to one range of each
+    level.  Rows grow with the logarithm of what a key holds; nothing is compared that does not meet.  Rows with a null key or
+    time, and empty spans, meet nothing and are left out; a span is known by its columns, equal ones are one."""
+    there = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    spans = spans.where(there & F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(start))))
+    whole, none = F.struct(*spans.columns), F.lit(None).cast(spans.select(F.struct(*spans.columns).alias("s")).schema["s"].dataType)
+    point, nothing = F.struct(*points.columns), F.lit(None).cast(points.select(F.struct(*points.columns).alias("p")).schema["p"].dataType)
+    rows = points.where(there & F.col(at).isNotNull()).select(*keys, F.col(at).alias("_t"), F.lit(0).alias("_kind"), point.alias("_point"), none.alias("_span"))
+    for kind, time in ((1, start), (2, end)):
+        rows = rows.unionByName(spans.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("_t"), F.lit(kind).alias("_kind"), nothing.alias("_point"), whole.alias("_span")))
+    edge = F.when(F.col("_kind") > 0, F.lit(1)).otherwise(F.lit(0))
+    rows = running_sums(rows, keys, "_t", {"_rank": edge}, {"_all": edge})
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.col("_all") + 2)).cast("int"))
+    low = rows.where("_kind = 0 AND _rank > 0").select(*keys, "_point", F.explode(F.transform(levels, lambda n: F.struct(n.alias("level"), F.floor(F.col("_rank") / F.pow(F.lit(2.0), n)).cast("long").alias("node")))).alias("n"))
+    both = rows.where("_kind > 0").groupBy(*keys, "_span").agg(F.max(F.when(F.col("_kind") == 1, F.col("_rank"))).alias("_a"), F.coalesce(F.max(F.when(F.col("_kind") == 2, F.col("_rank"))), F.max("_all") + 1).alias("_b"))
+
+    def cut(n):
+        a, b = F.ceil(F.col("_a") / F.pow(F.lit(2.0), n)).cast("long"), F.floor(F.col("_b") / F.pow(F.lit(2.0), n)).cast("long")
+        left = F.when((a < b) & (a % 2 == 1), F.struct(n.alias("level"), a.alias("node")))
+        right = F.when((a < b) & (b % 2 == 1), F.struct(n.alias("level"), (b - 1).alias("node")))
+        return F.array_compact(F.array(left, right))
+
+    spread = F.sequence(F.lit(0), F.ceil(F.log2(F.col("_b") - F.col("_a") + 1)).cast("int"))
+    high = both.select(*keys, "_span", F.explode(F.flatten(F.transform(spread, cut))).alias("n"))
+    flat = lambda df, s: df.select(f"{s}.*", F.col("n.level").alias("_level"), F.col("n.node").alias("_node"))
+    return flat(low, "_point"), flat(high, "_span")
+
+
+def _number(time: Column, kind: str) -> Column:
+    whole = F.unix_micros(time) if kind.startswith("timestamp") else F.unix_date(time) if kind == "date" else time
+    return whole.cast("decimal(38,0)")
+
+
 def snapshots_for(requests: DataFrame, snapshots: DataFrame, request: str, keys: list[str], value: str) -> DataFrame:
     """request, status, value: what each request (request, keys, effective_at, as_of) finds among snapshots.
 
     snapshots: keys, valid_from, valid_to, known_at, value.  Of each valid_from the version last known at as_of counts, before
-    its end is looked at; then exactly one has to hold effective_at, else the status is unknown or ambiguous and the value null."""
-    seen = requests.join(snapshots, keys).where("known_at <= as_of AND valid_from <= effective_at")
-    last = seen.groupBy(request, "effective_at", "valid_from").agg(F.max_by(F.struct("valid_to", value), F.struct("known_at", value)).alias("_v"))
-    held = last.where("_v.valid_to IS NULL OR effective_at < _v.valid_to").groupBy(request).agg(F.count("*").alias("_n"), F.max(F.col("_v")[value]).alias(value))
-    status = F.when(F.col("_n") == 1, "resolved").when(F.col("_n") > 1, "ambiguous").otherwise("unknown")
-    return requests.select(request).join(held, request, "left").select(request, status.alias("status"), F.when(F.col("_n") == 1, F.col(value)).alias(value))
+    its end is looked at; then exactly one has to hold effective_at, else the status is unknown or ambiguous and the value null.
+
+    A version is known from its time to that of the next, so it is a rectangle over both times.  Requests and versions meet in the binary ranges of ``live_nodes`` along knowledge; along
+    validity running sums count how many versions begin, less those that end, and add up their times, which name the one that
+    is left.  No request is joined with the versions of its key, so a key that holds most rows does not square."""
+    kinds = dict(snapshots.dtypes)
+    said = snapshots.where("valid_from IS NOT NULL AND known_at IS NOT NULL").groupBy(*keys, "valid_from", "known_at").agg(F.max_by(F.struct("valid_to", value), F.col(value)).alias("_v"))
+    spans = until_next(said.select(*keys, "valid_from", "known_at", F.col("_v.valid_to").alias("valid_to"), F.col(f"_v.{value}").alias(value)), [*keys, "valid_from"], "known_at", "_known_to")
+    spans = spans.where("valid_to IS NULL OR valid_to > valid_from")
+    asked = requests.select(F.col(request).alias("_request"), *keys, "effective_at", "as_of").where("effective_at IS NOT NULL")
+    points, live = live_nodes(asked, spans.select(*keys, "valid_from", "valid_to", "known_at", "_known_to"), keys, "as_of", "known_at", "_known_to")
+    cell, zero = [*keys, "_level", "_node"], F.lit(0).cast("decimal(38,0)")
+    sums = {"_n": F.lit(1), "_from": _number(F.col("valid_from"), kinds["valid_from"]), "_known": _number(F.col("known_at"), kinds["known_at"])}
+    none = F.lit(None).cast(asked.schema["_request"].dataType)
+    begin = live.select(*cell, F.col("valid_from").alias("_t"), none.alias("_request"), *[c.cast("decimal(38,0)").alias(n) for n, c in sums.items()])
+    stop = live.where("valid_to IS NOT NULL").select(*cell, F.col("valid_to").alias("_t"), none.alias("_request"), *[(-c.cast("decimal(38,0)")).cast("decimal(38,0)").alias(n) for n, c in sums.items()])
+    ask = points.select(*cell, F.col("effective_at").alias("_t"), "_request", *[zero.alias(n) for n in sums]).withColumn("_asks", F.lit(True))
+    rows = ask.unionByName(begin.unionByName(stop).withColumn("_asks", F.lit(False)))
+    found = running_sums(rows, cell, "_t", {f"{n}_sum": F.col(n) for n in sums}).where("_asks")
+    held = found.groupBy("_request", *keys).agg(*[F.sum(F.col(f"{n}_sum").cast("decimal(38,0)")).cast("decimal(38,0)").alias(n) for n in sums])
+    named = spans.select(*[F.col(k).alias(f"_s{n}") for n, k in enumerate(keys)], sums["_from"].alias("_sf"), sums["_known"].alias("_sk"), value)
+    one = held.where("_n = 1").join(named, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_s{n}") for n, k in enumerate(keys)]) & (F.col("_from") == F.col("_sf")) & (F.col("_known") == F.col("_sk")), "left")
+    answers = held.where("_n > 1").select("_request", F.lit("ambiguous").alias("status"), F.lit(None).cast(spans.schema[value].dataType).alias(value)).unionByName(one.select("_request", F.lit("resolved").alias("status"), value))
+    return requests.select(request).join(answers, F.col(request) == F.col("_request"), "left").select(request, F.coalesce("status", F.lit("unknown")).alias("status"), value)
 
 
 def containing(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, value: str, out: str) -> DataFrame:

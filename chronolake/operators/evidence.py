@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolake.operators.bitemporal import as_of_join, live_nodes, until_next
+
 
 def required(text: Column) -> Column:
     """Whether a text is not empty and has no blank at its ends; null is not."""
@@ -40,13 +42,12 @@ def evidence_id(*parts: str) -> Column:
 def allowed(requests: DataFrame, permissions: DataFrame, source: str = "source_id", use: str = "use", at: str = "as_of") -> DataFrame:
     """requests with allowed: the latest permission row of the source up to the request's time names its use.
 
-    permissions: source, known_at, uses (array).  A source without any row yet, or a null one, is denied; an empty array
-    takes back what was allowed before.  Requests of equal source and time share one look-up."""
-    asked = requests.select(F.col(source).alias("_source"), F.col(at).alias("_at")).distinct()
-    known = asked.join(permissions.select(F.col(source).alias("_source"), "known_at", "uses"), "_source").where("known_at <= _at")
-    latest = known.groupBy("_source", "_at").agg(F.max_by("uses", "known_at").alias("_uses"))
-    found = requests.join(latest, (F.col(source) == F.col("_source")) & (F.col(at) == F.col("_at")), "left")
-    return found.withColumn("allowed", F.coalesce(F.array_contains("_uses", F.col(use)), F.lit(False))).drop("_source", "_at", "_uses")
+    permissions: source, known_at, uses (array).  A source without any row yet, or a null one, is denied; an empty or null array
+    takes back what was allowed before.  One pass over the days of each source, no pairs of requests and permissions."""
+    said = permissions.select(F.col(source), F.col("known_at").alias("_known"), F.coalesce("uses", F.array().cast("array<string>")).alias("_uses"))
+    found = as_of_join(requests, said, source, at, "_known", "_uses", "_found")
+    yes = F.col(source).isNotNull() & F.array_contains("_found", F.col(use))
+    return found.withColumn("allowed", F.coalesce(yes, F.lit(False))).select(*requests.columns, "allowed")
 
 
 def register(existing: DataFrame, incoming: DataFrame, keys: list[str], references: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
@@ -117,8 +118,10 @@ def evidence_as_of(versions: DataFrame, sources: DataFrame, raw: DataFrame, perm
     versions: evidence_id, source_id, record_id, sha256, received_at; sources: source_id, origin; raw: sha256, payload.  status:
     use_not_allowed, unknown, payload_corrupt (the archived bytes do not have their digest), or known."""
     asked = allowed(requests.withColumn("_use", F.lit(use)), permissions, use="_use").drop("_use")
-    seen = asked.where("allowed").join(versions.select("source_id", "record_id", "evidence_id", "sha256", "received_at"), ["source_id", "record_id"]).where("received_at <= as_of")
-    last = seen.groupBy("request").agg(F.max_by(F.struct("evidence_id", "sha256"), "received_at").alias("e"))
+    record = F.when(F.col("source_id").isNotNull() & F.col("record_id").isNotNull(), F.struct("source_id", "record_id"))
+    named = versions.select(record.alias("_record"), F.col("received_at").alias("_received"), F.struct("evidence_id", "sha256").alias("_e")).where("_record IS NOT NULL")
+    seen = as_of_join(asked.where("allowed").select("request", record.alias("_record"), "as_of"), named, "_record", "as_of", "_received", "_e", "e")
+    last = seen.select("request", "e").distinct()
     whole = raw.select("sha256", (F.sha2("payload", 256) == F.col("sha256")).alias("_whole"))
     rows = asked.join(last, "request", "left").select("request", "source_id", "allowed", F.col("e.evidence_id").alias("evidence_id"), F.col("e.sha256").alias("sha256"))
     rows = rows.join(whole, "sha256", "left").join(sources.select("source_id", "origin"), "source_id", "left")
@@ -147,15 +150,18 @@ def check_identifiers(incoming: DataFrame, versions: DataFrame, permissions: Dat
 def resolve_identifiers(requests: DataFrame, versions: DataFrame) -> DataFrame:
     """request, status, listings, listing_id: what the identifiers of many requests meant, each at its own times.
 
-    requests: request, provider, value, effective_at, as_of; versions: mapping_id, known_at, provider, value, listing_id, valid_from,
+    request (unique), provider, value, effective_at, as_of; versions: mapping_id, known_at, provider, value, listing_id, valid_from,
     valid_to.  Of each mapping the version last known at as_of counts, before provider, value and validity are looked at; the
-    status is resolved, unknown or ambiguous by the number of different listings that are left."""
-    named = versions.select("provider", "value", "mapping_id").distinct()
-    all_of = versions.select("mapping_id", "known_at", F.struct("provider", "value", "listing_id", "valid_from", "valid_to").alias("_v"))
-    asked = requests.join(named, ["provider", "value"]).join(all_of, "mapping_id").where("known_at <= as_of")
-    last = asked.groupBy("request", "provider", "value", "effective_at", "mapping_id").agg(F.max_by("_v", "known_at").alias("v"))
-    holds = last.where("v.provider = provider AND v.value = value AND v.valid_from <= effective_at AND (v.valid_to IS NULL OR effective_at < v.valid_to)")
-    found = holds.groupBy("request").agg(F.count_distinct("v.listing_id").alias("listings"), F.max("v.listing_id").alias("listing_id"))
+    status is resolved, unknown or ambiguous by the number of different listings that are left.
+
+    One sort gives each version the time up to which it is the last one known; a request then meets, in the binary ranges of its identifier's times, only
+    versions that are the last known of their mapping at its own time."""
+    said = versions.where("known_at IS NOT NULL").groupBy("mapping_id", "known_at").agg(F.max(F.struct("provider", "value", "listing_id", "valid_from", "valid_to")).alias("v"))
+    spans = until_next(said.select("mapping_id", "known_at", "v.*"), ["mapping_id"], "known_at", "_known_to")
+    points, live = live_nodes(requests.select("request", "provider", "value", "effective_at", "as_of"), spans, ["provider", "value"], "as_of", "known_at", "_known_to")
+    met = points.join(live.drop("known_at", "_known_to", "mapping_id").distinct(), ["provider", "value", "_level", "_node"])
+    holds = met.where("valid_from <= effective_at AND (valid_to IS NULL OR effective_at < valid_to)")
+    found = holds.groupBy("request").agg(F.count_distinct("listing_id").alias("listings"), F.max("listing_id").alias("listing_id"))
     n = F.coalesce("listings", F.lit(0))
     status = F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unknown")
     return requests.select("request").join(found, "request", "left").select("request", status.alias("status"), n.alias("listings"), F.when(n == 1, F.col("listing_id")).alias("listing_id"))
