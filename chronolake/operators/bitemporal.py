@@ -11,6 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolake.sources.shared import stored
+
+#: Rows of a key that one task may sort; a key with more of them is dealt to tasks by day.
+HOT = 1 << 20
+
 
 def latest_as_of(log: DataFrame, keys: list[str], known_at: str, cutoff: Column, ties: list[str]) -> DataFrame:
     """The last row of each key with ``known_at`` up to ``cutoff``; ``ties`` decide between equal times."""
@@ -77,33 +82,42 @@ def _same(keys: list[str], names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
 
 
-def running_sums(rows: DataFrame, keys: list[str], at: str, measures: dict[str, Column], totals: dict[str, Column] | None = None) -> DataFrame:
+def parted(rows: DataFrame, keys: list[str], at: str, hot: int) -> tuple[DataFrame, list[str]]:
+    """rows with _part, and the names _k0, .. for keys: the day for keys of more than ``hot`` rows, which several tasks may share; null for all others."""
+    names = [f"_k{n}" for n in range(len(keys))]
+    many = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).withColumn("_hot", F.lit(True)).drop("_n")
+    day = by_day(F.col(at), dict(rows.dtypes)[at])
+    found = rows.join(F.broadcast(many), _same(keys, names), "left")  # at most one row for each `hot` rows
+    return found.withColumn("_part", F.when(F.col("_hot"), day)).drop(*names), names
+
+
+def running_sums(rows: DataFrame, keys: list[str], at: str, measures: dict[str, Column], totals: dict[str, Column] | None = None, hot: int = HOT) -> DataFrame:
     """rows with the sums of ``measures`` over the rows of the same keys that are not later, and of ``totals`` over all of them.
 
-    Rows are sorted inside a key's day; the days before give one row a day.  Rows without a time come before all."""
+    A key of more than ``hot`` rows is sorted inside its days, and the days before give one row a day.  Rows without a time come before all."""
     totals = totals or {}
-    rows = rows.withColumn("_part", by_day(F.col(at), dict(rows.dtypes)[at])).withColumns({f"_m{n}": m for n, m in enumerate([*measures.values(), *totals.values()])})
-    names, count = [f"_k{n}" for n in range(len(keys))], len(measures)
+    rows, names = parted(rows.withColumns({f"_m{n}": m for n, m in enumerate([*measures.values(), *totals.values()])}), keys, at, hot)
+    count = len(measures)
     every = [f"_m{n}" for n in range(count + len(totals))]
-    days = rows.groupBy(*keys, "_part").agg(*[F.sum(m).alias(m) for m in every])
+    days = rows.where("_hot").groupBy(*keys, "_part").agg(*[F.sum(m).alias(m) for m in every])
     of = Window.partitionBy(*keys)
     earlier = of.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_part").alias("_p"), *[F.sum(m).over(earlier).alias(f"{m}b") for m in every[:count]], *[F.sum(m).over(of).alias(f"{m}t") for m in every[count:]])
-    inside = Window.partitionBy(*keys, "_part").orderBy(at)  # rows of one time are counted together
-    rows = rows.withColumns({f"_m{n}i": F.sum(f"_m{n}").over(inside) for n in range(count)}).join(carried, _same([*keys, "_part"], [*names, "_p"]))
+    carried = days.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_part").alias("_p"), F.lit(True).alias("_carried"), *[F.sum(m).over(earlier).alias(f"{m}b") for m in every[:count]], *[F.sum(m).over(of).alias(f"{m}t") for m in every[count:]])
+    part = Window.partitionBy(*keys, "_part")
+    rows = rows.withColumns({f"{m}i": F.sum(m).over(part.orderBy(at)) for m in every[:count]} | {f"{m}i": F.sum(m).over(part) for m in every[count:]})  # rows of one time are counted together
+    rows = rows.join(carried, F.col("_hot") & _same([*keys, "_part"], [*names, "_p"]), "left")
     sums = {name: F.coalesce(f"_m{n}i", F.lit(0)) + F.coalesce(f"_m{n}b", F.lit(0)) for n, name in enumerate(measures)}
-    sums |= {name: F.coalesce(f"_m{n}t", F.lit(0)) for n, name in enumerate(totals, count)}
-    return rows.withColumns(sums).drop("_part", "_p", *names, *every, *[f"_m{n}{x}" for n in range(len(every)) for x in "ibt"])
+    sums |= {name: F.coalesce(f"_m{n}t", f"_m{n}i", F.lit(0)) for n, name in enumerate(totals, count)}
+    return rows.withColumns(sums).drop("_part", "_p", "_hot", "_carried", *names, *every, *[f"{m}{x}" for m in every for x in "ibt"])
 
 
-def until_next(rows: DataFrame, keys: list[str], at: str, out: str) -> DataFrame:
-    """rows with ``out``: the next later time of the same keys, or null; the times of a key differ.  Sorted inside a key's day, with one row a day for what comes after."""
-    rows = rows.withColumn("_part", by_day(F.col(at), dict(rows.dtypes)[at]))
-    names = [f"_k{n}" for n in range(len(keys))]
-    days = rows.groupBy(*keys, "_part").agg(F.min(at).alias("_first"))
+def until_next(rows: DataFrame, keys: list[str], at: str, out: str, hot: int = HOT) -> DataFrame:
+    """rows with ``out``: the next later time of the same keys, or null; the times of a key differ.  A key of more than ``hot`` rows is sorted inside its days, with one row a day for what comes after."""
+    rows, names = parted(rows, keys, at, hot)
+    days = rows.where("_hot").groupBy(*keys, "_part").agg(F.min(at).alias("_first"))
     carried = days.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_part").alias("_p"), F.lead("_first").over(Window.partitionBy(*keys).orderBy("_part")).alias("_after"))
     inside = rows.withColumn("_in", F.lead(at).over(Window.partitionBy(*keys, "_part").orderBy(at)))
-    return inside.join(carried, _same([*keys, "_part"], [*names, "_p"])).withColumn(out, F.coalesce("_in", "_after")).drop("_part", "_p", "_in", "_after", *names)
+    return inside.join(carried, F.col("_hot") & _same([*keys, "_part"], [*names, "_p"]), "left").withColumn(out, F.coalesce("_in", "_after")).drop("_part", "_hot", "_p", "_in", "_after", *names)
 
 
 def live_nodes(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str) -> tuple[DataFrame, DataFrame]:
@@ -120,19 +134,15 @@ def live_nodes(points: DataFrame, spans: DataFrame, keys: list[str], at: str, st
     for kind, time in ((1, start), (2, end)):
         rows = rows.unionByName(spans.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("_t"), F.lit(kind).alias("_kind"), nothing.alias("_point"), whole.alias("_span")))
     edge = F.when(F.col("_kind") > 0, F.lit(1)).otherwise(F.lit(0))
-    rows = running_sums(rows, keys, "_t", {"_rank": edge}, {"_all": edge})
-    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.col("_all") + 2)).cast("int"))
-    low = rows.where("_kind = 0 AND _rank > 0").select(*keys, "_point", F.explode(F.transform(levels, lambda n: F.struct(n.alias("level"), F.floor(F.col("_rank") / F.pow(F.lit(2.0), n)).cast("long").alias("node")))).alias("n"))
+    rows = stored(running_sums(stored(rows, "times"), keys, "_t", {"_rank": edge}, {"_all": edge}), "ranks")
+    places = "transform(sequence(0, cast(ceil(log2(_all + 2)) AS int)), n -> named_struct('level', n, 'node', shiftright(_rank, n)))"
+    low = rows.where("_kind = 0 AND _rank > 0").select(*keys, "_point", F.explode(F.expr(places)).alias("n"))
     both = rows.where("_kind > 0").groupBy(*keys, "_span").agg(F.max(F.when(F.col("_kind") == 1, F.col("_rank"))).alias("_a"), F.coalesce(F.max(F.when(F.col("_kind") == 2, F.col("_rank"))), F.max("_all") + 1).alias("_b"))
-
-    def cut(n):
-        a, b = F.ceil(F.col("_a") / F.pow(F.lit(2.0), n)).cast("long"), F.floor(F.col("_b") / F.pow(F.lit(2.0), n)).cast("long")
-        left = F.when((a < b) & (a % 2 == 1), F.struct(n.alias("level"), a.alias("node")))
-        right = F.when((a < b) & (b % 2 == 1), F.struct(n.alias("level"), (b - 1).alias("node")))
-        return F.array_compact(F.array(left, right))
-
-    spread = F.sequence(F.lit(0), F.ceil(F.log2(F.col("_b") - F.col("_a") + 1)).cast("int"))
-    high = both.select(*keys, "_span", F.explode(F.flatten(F.transform(spread, cut))).alias("n"))
+    first, last = "shiftright(_a + shiftleft(1L, n) - 1, n)", "shiftright(_b, n)"
+    left = f"CASE WHEN {first} < {last} AND {first} % 2 = 1 THEN named_struct('level', n, 'node', {first}) END"
+    right = f"CASE WHEN {first} < {last} AND {last} % 2 = 1 THEN named_struct('level', n, 'node', {last} - 1) END"
+    ranges = f"array_compact(flatten(transform(sequence(0, cast(ceil(log2(_b - _a + 1)) AS int)), n -> array({left}, {right}))))"
+    high = both.select(*keys, "_span", F.explode(F.expr(ranges)).alias("n"))
     flat = lambda df, s: df.select(f"{s}.*", F.col("n.level").alias("_level"), F.col("n.node").alias("_node"))
     return flat(low, "_point"), flat(high, "_span")
 
@@ -154,16 +164,16 @@ def snapshots_for(requests: DataFrame, snapshots: DataFrame, request: str, keys:
     kinds = dict(snapshots.dtypes)
     said = snapshots.where("valid_from IS NOT NULL AND known_at IS NOT NULL").groupBy(*keys, "valid_from", "known_at").agg(F.max_by(F.struct("valid_to", value), F.col(value)).alias("_v"))
     spans = until_next(said.select(*keys, "valid_from", "known_at", F.col("_v.valid_to").alias("valid_to"), F.col(f"_v.{value}").alias(value)), [*keys, "valid_from"], "known_at", "_known_to")
-    spans = spans.where("valid_to IS NULL OR valid_to > valid_from")
+    spans = stored(spans.where("valid_to IS NULL OR valid_to > valid_from"), "spans")
     asked = requests.select(F.col(request).alias("_request"), *keys, "effective_at", "as_of").where("effective_at IS NOT NULL")
     points, live = live_nodes(asked, spans.select(*keys, "valid_from", "valid_to", "known_at", "_known_to"), keys, "as_of", "known_at", "_known_to")
     cell, zero = [*keys, "_level", "_node"], F.lit(0).cast("decimal(38,0)")
     sums = {"_n": F.lit(1), "_from": _number(F.col("valid_from"), kinds["valid_from"]), "_known": _number(F.col("known_at"), kinds["known_at"])}
     none = F.lit(None).cast(asked.schema["_request"].dataType)
-    begin = live.select(*cell, F.col("valid_from").alias("_t"), none.alias("_request"), *[c.cast("decimal(38,0)").alias(n) for n, c in sums.items()])
-    stop = live.where("valid_to IS NOT NULL").select(*cell, F.col("valid_to").alias("_t"), none.alias("_request"), *[(-c.cast("decimal(38,0)")).cast("decimal(38,0)").alias(n) for n, c in sums.items()])
-    ask = points.select(*cell, F.col("effective_at").alias("_t"), "_request", *[zero.alias(n) for n in sums]).withColumn("_asks", F.lit(True))
-    rows = ask.unionByName(begin.unionByName(stop).withColumn("_asks", F.lit(False)))
+    ends = F.explode(F.expr("filter(array(named_struct('t', valid_from, 's', 1), named_struct('t', valid_to, 's', -1)), x -> x.t IS NOT NULL)"))
+    edges = live.select("*", ends.alias("e")).select(*cell, F.col("e.t").alias("_t"), none.alias("_request"), *[(c.cast("decimal(38,0)") * F.col("e.s")).cast("decimal(38,0)").alias(n) for n, c in sums.items()], F.lit(False).alias("_asks"))
+    ask = points.select(*cell, F.col("effective_at").alias("_t"), "_request", *[zero.alias(n) for n in sums], F.lit(True).alias("_asks"))
+    rows = stored(ask.unionByName(edges), "edges")
     found = running_sums(rows, cell, "_t", {f"{n}_sum": F.col(n) for n in sums}).where("_asks")
     held = found.groupBy("_request", *keys).agg(*[F.sum(F.col(f"{n}_sum").cast("decimal(38,0)")).cast("decimal(38,0)").alias(n) for n in sums])
     named = spans.select(*[F.col(k).alias(f"_s{n}") for n, k in enumerate(keys)], sums["_from"].alias("_sf"), sums["_known"].alias("_sk"), value)

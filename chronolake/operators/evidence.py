@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.operators.bitemporal import as_of_join, live_nodes, until_next
+from chronolake.sources.shared import stored
 
 
 def required(text: Column) -> Column:
@@ -158,6 +159,7 @@ def resolve_identifiers(requests: DataFrame, versions: DataFrame) -> DataFrame:
     versions that are the last known of their mapping at its own time."""
     said = versions.where("known_at IS NOT NULL").groupBy("mapping_id", "known_at").agg(F.max(F.struct("provider", "value", "listing_id", "valid_from", "valid_to")).alias("v"))
     spans = until_next(said.select("mapping_id", "known_at", "v.*"), ["mapping_id"], "known_at", "_known_to")
+    spans = stored(spans.where("provider IS NOT NULL AND value IS NOT NULL AND (valid_to IS NULL OR valid_to > valid_from)"), "spans")
     points, live = live_nodes(requests.select("request", "provider", "value", "effective_at", "as_of"), spans, ["provider", "value"], "as_of", "known_at", "_known_to")
     met = points.join(live.drop("known_at", "_known_to", "mapping_id").distinct(), ["provider", "value", "_level", "_node"])
     holds = met.where("valid_from <= effective_at AND (valid_to IS NULL OR effective_at < valid_to)")

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronolake.operators import bitemporal, evidence
@@ -28,7 +29,10 @@ def brute_snapshots(asks, log):
     return out
 
 
-def test_snapshots_are_as_by_hand(spark):  # noqa: F811
+@pytest.mark.parametrize("hot", [20, 1 << 20])
+def test_snapshots_are_as_by_hand(spark, monkeypatch, hot):  # noqa: F811
+    for f in (bitemporal.running_sums, bitemporal.until_next):
+        monkeypatch.setattr(f, "__defaults__", (*f.__defaults__[:-1], hot))
     rng = random.Random(4)
     some = lambda most: None if rng.random() < 0.05 else rng.randrange(most)
     log = [(rng.choice("kkkab"), some(30), some(40), some(25), n) for n in range(400)]
@@ -82,7 +86,8 @@ def test_a_mapping_of_thousands_of_versions_meets_each_request_once(spark):  # n
 
 def test_running_sums_and_next_times(spark):  # noqa: F811
     rows = spark.createDataFrame([("a", t(0), 1), ("a", t(0), 2), ("a", t(9), 4), ("b", t(3), 8), (None, t(1), 16), ("a", t(20), 32)], "k string, at timestamp, v int")
-    got = {(r.k, r.v): (r.s, r.n) for r in bitemporal.running_sums(rows, ["k"], "at", {"s": F.col("v")}, {"n": F.lit(1)}).collect()}
-    assert got == {("a", 1): (3, 4), ("a", 2): (3, 4), ("a", 4): (7, 4), ("a", 32): (39, 4), ("b", 8): (8, 1), (None, 16): (16, 1)}
-    after = {r.v: r.u for r in bitemporal.until_next(rows.where("v <> 2"), ["k"], "at", "u").collect()}
-    assert after == {1: t(9), 4: t(20), 32: None, 8: None, 16: None}
+    for hot in (0, 2, 100):
+        got = {(r.k, r.v): (r.s, r.n) for r in bitemporal.running_sums(rows, ["k"], "at", {"s": F.col("v")}, {"n": F.lit(1)}, hot).collect()}
+        assert got == {("a", 1): (3, 4), ("a", 2): (3, 4), ("a", 4): (7, 4), ("a", 32): (39, 4), ("b", 8): (8, 1), (None, 16): (16, 1)}
+        after = {r.v: r.u for r in bitemporal.until_next(rows.where("v <> 2"), ["k"], "at", "u", hot).collect()}
+        assert after == {1: t(9), 4: t(20), 32: None, 8: None, 16: None}
