@@ -86,6 +86,28 @@ def canonical_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+def canonical_text(text: Column, ascii_only: bool = True) -> Column:
+    """The canonical form of a JSON text of any depth: sorted keys, no blanks, one spelling of strings and numbers; null where it is no JSON, or an object names a key twice.
+
+    Numbers without an exponent lose zeros at their end and keep every other digit (38 at most); others become the shortest text of the double they name.  With
+    ``ascii_only`` characters beyond ``~`` are written as escapes of UTF-16 units, else as themselves; control characters are lower-case escapes in both."""
+    plain = F.to_json(F.try_parse_json(text))
+    parts = F.split(plain, r"\\\\")  # between escaped backslashes, so that what follows a backslash is an escape
+
+    def lowered(part: Column) -> Column:
+        for c in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+            part = F.replace(part, F.lit(f"\\u{c:04X}"), F.lit(f"\\u{c:04x}"))
+        return part
+
+    whole = F.array_join(F.transform(parts, lowered), "\\\\")
+    if not ascii_only:
+        return whole
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    code = F.ascii
+    escaped = lambda c: F.when(code(c) < 127, c).when(code(c) < 65536, unit(code(c))).otherwise(F.concat(unit(F.lit(0xD7C0) + F.shiftright(code(c), 10)), unit(F.lit(0xDC00) + code(c) % 1024)))
+    return F.when(whole.rlike(r"[^\x00-\x7e]"), F.array_join(F.transform(F.split(whole, ""), escaped), "")).otherwise(whole)
+
+
 def key_text(*parts: str) -> str:
     """The canonical JSON array of texts, as keys are hashed."""
     return json.dumps(parts, separators=(",", ":"), ensure_ascii=False)

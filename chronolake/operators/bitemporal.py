@@ -15,6 +15,8 @@ from chronolake.sources.shared import stored
 
 #: Rows of a key that one task may sort; a key with more of them is dealt to tasks by day.
 HOT = 1 << 20
+#: Versions of a key that each of its requests may be joined with; keys with more are swept.
+PAIRED = 128
 
 
 def latest_as_of(log: DataFrame, keys: list[str], known_at: str, cutoff: Column, ties: list[str]) -> DataFrame:
@@ -152,15 +154,43 @@ def _number(time: Column, kind: str) -> Column:
     return whole.cast("decimal(38,0)")
 
 
-def snapshots_for(requests: DataFrame, snapshots: DataFrame, request: str, keys: list[str], value: str) -> DataFrame:
+def snapshots_for(requests: DataFrame, snapshots: DataFrame, request: str, keys: list[str], value: str, paired: int = PAIRED) -> DataFrame:
     """request, status, value: what each request (request, keys, effective_at, as_of) finds among snapshots.
 
     snapshots: keys, valid_from, valid_to, known_at, value.  Of each valid_from the version last known at as_of counts, before
     its end is looked at; then exactly one has to hold effective_at, else the status is unknown or ambiguous and the value null.
 
+    Keys of at most ``paired`` versions are joined with their requests, so a request meets no more than these; all other keys are swept (``_swept``), so a key
+    that holds most rows does not square."""
+    names = [f"_l{n}" for n in range(len(keys))]
+    large = stored(snapshots.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.count("*").alias("_n")).where(F.col("_n") > paired).drop("_n").withColumn("_large", F.lit(True)), "large")
+    if large.isEmpty():
+        return _answered(requests, _joined(requests, snapshots, keys, value, request), request, value)
+    split = lambda df: df.join(large, reduce(lambda a, b: a & b, [F.col(k) == F.col(n) for k, n in zip(keys, names, strict=True)]), "left").drop(*names)
+    asked, said = split(requests.select(request, *keys, "effective_at", "as_of")), split(snapshots)
+    few = _joined(asked.where("_large IS NULL"), said.where("_large IS NULL").drop("_large"), keys, value, request)
+    many = _swept(asked.where("_large").drop("_large"), said.where("_large").drop("_large"), request, keys, value)
+    return _answered(requests, few.unionByName(many), request, value)
+
+
+def _answered(requests: DataFrame, answers: DataFrame, request: str, value: str) -> DataFrame:
+    return requests.select(request).join(answers, F.col(request) == F.col("_request"), "left").select(request, F.coalesce("status", F.lit("unknown")).alias("status"), value)
+
+
+def _joined(requests: DataFrame, snapshots: DataFrame, keys: list[str], value: str, request: str) -> DataFrame:
+    """_request, status, value of requests that find something, each joined with the versions of its key."""
+    seen = requests.select(F.col(request).alias("_request"), *keys, "effective_at", "as_of").join(snapshots.select(*keys, "valid_from", "valid_to", "known_at", value), keys).where("known_at <= as_of AND valid_from <= effective_at")
+    last = seen.groupBy("_request", "effective_at", "valid_from").agg(F.max_by(F.struct("valid_to", value), F.struct("known_at", value)).alias("_v"))
+    held = last.where("_v.valid_to IS NULL OR effective_at < _v.valid_to").groupBy("_request").agg(F.count("*").alias("_n"), F.max(F.col("_v")[value]).alias(value))
+    return held.select("_request", F.when(F.col("_n") == 1, "resolved").otherwise("ambiguous").alias("status"), F.when(F.col("_n") == 1, F.col(value)).alias(value))
+
+
+def _swept(requests: DataFrame, snapshots: DataFrame, request: str, keys: list[str], value: str) -> DataFrame:
+    """_request, status, value of requests that find something, without a join of requests with versions.
+
     A version is known from its time to that of the next, so it is a rectangle over both times.  Requests and versions meet in the binary ranges of ``live_nodes`` along knowledge; along
     validity running sums count how many versions begin, less those that end, and add up their times, which name the one that
-    is left.  No request is joined with the versions of its key, so a key that holds most rows does not square."""
+    is left."""
     kinds = dict(snapshots.dtypes)
     said = snapshots.where("valid_from IS NOT NULL AND known_at IS NOT NULL").groupBy(*keys, "valid_from", "known_at").agg(F.max_by(F.struct("valid_to", value), F.col(value)).alias("_v"))
     spans = until_next(said.select(*keys, "valid_from", "known_at", F.col("_v.valid_to").alias("valid_to"), F.col(f"_v.{value}").alias(value)), [*keys, "valid_from"], "known_at", "_known_to")
@@ -179,7 +209,7 @@ def snapshots_for(requests: DataFrame, snapshots: DataFrame, request: str, keys:
     named = spans.select(*[F.col(k).alias(f"_s{n}") for n, k in enumerate(keys)], sums["_from"].alias("_sf"), sums["_known"].alias("_sk"), value)
     one = held.where("_n = 1").join(named, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_s{n}") for n, k in enumerate(keys)]) & (F.col("_from") == F.col("_sf")) & (F.col("_known") == F.col("_sk")), "left")
     answers = held.where("_n > 1").select("_request", F.lit("ambiguous").alias("status"), F.lit(None).cast(spans.schema[value].dataType).alias(value)).unionByName(one.select("_request", F.lit("resolved").alias("status"), value))
-    return requests.select(request).join(answers, F.col(request) == F.col("_request"), "left").select(request, F.coalesce("status", F.lit("unknown")).alias("status"), value)
+    return answers
 
 
 def containing(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, value: str, out: str) -> DataFrame:

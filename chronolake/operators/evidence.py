@@ -148,27 +148,63 @@ def check_identifiers(incoming: DataFrame, versions: DataFrame, permissions: Dat
     return rows.withColumn("reason", reason).select(*incoming.columns, "reason")
 
 
-def resolve_identifiers(requests: DataFrame, versions: DataFrame) -> DataFrame:
-    """request, status, listings, listing_id: what the identifiers of many requests meant, each at its own times.
-
-    request (unique), provider, value, effective_at, as_of; versions: mapping_id, known_at, provider, value, listing_id, valid_from,
-    valid_to.  Of each mapping the version last known at as_of counts, before provider, value and validity are looked at; the
-    status is resolved, unknown or ambiguous by the number of different listings that are left.
-
-    One sort gives each version the time up to which it is the last one known; a request then meets, in the binary ranges of its identifier's times, only
-    versions that are the last known of their mapping at its own time."""
-    said = versions.where("known_at IS NOT NULL").groupBy("mapping_id", "known_at").agg(F.max(F.struct("provider", "value", "listing_id", "valid_from", "valid_to")).alias("v"))
+def identifier_matches(requests: DataFrame, versions: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """request, as_of, mapping_id, known_at, listing_id, valid_from, valid_to and ``carried`` columns of every version that answers a request (request, provider, value, effective_at, as_of).
+
+    versions: mapping_id, known_at, provider, value, listing_id, valid_from, valid_to.  Of each mapping the version last known at as_of counts, before provider, value and
+    validity are looked at.  One sort gives each version the time up to which it is the last one known; a request then meets, in the binary
+    ranges of its identifier's times, only versions that are the last known of their mapping at its own time."""
+    body = ["provider", "value", "listing_id", "valid_from", "valid_to", *carried]
+    said = versions.where("known_at IS NOT NULL").groupBy("mapping_id", "known_at").agg(F.max(F.struct(*body)).alias("v"))
     spans = until_next(said.select("mapping_id", "known_at", "v.*"), ["mapping_id"], "known_at", "_known_to")
     spans = stored(spans.where("provider IS NOT NULL AND value IS NOT NULL AND (valid_to IS NULL OR valid_to > valid_from)"), "spans")
     points, live = live_nodes(requests.select("request", "provider", "value", "effective_at", "as_of"), spans, ["provider", "value"], "as_of", "known_at", "_known_to")
-    met = points.join(live.drop("known_at", "_known_to", "mapping_id").distinct(), ["provider", "value", "_level", "_node"])
-    holds = met.where("valid_from <= effective_at AND (valid_to IS NULL OR effective_at < valid_to)")
-    found = holds.groupBy("request").agg(F.count_distinct("listing_id").alias("listings"), F.max("listing_id").alias("listing_id"))
+    met = points.join(live.drop("_known_to"), ["provider", "value", "_level", "_node"])
+    return met.where("valid_from <= effective_at AND (valid_to IS NULL OR effective_at < valid_to)").drop("_level", "_node")
+
+
+def resolve_identifiers(requests: DataFrame, versions: DataFrame) -> DataFrame:
+    """request, status, listings, listing_id: what the identifiers of many requests meant, each at its own times.
+
+    The status is resolved, unknown or ambiguous by the number of different listings among the versions of ``identifier_matches``; request is unique."""
+    found = identifier_matches(requests, versions).groupBy("request").agg(F.count_distinct("listing_id").alias("listings"), F.max("listing_id").alias("listing_id"))
     n = F.coalesce("listings", F.lit(0))
     status = F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unknown")
     return requests.select("request").join(found, "request", "left").select("request", status.alias("status"), n.alias("listings"), F.when(n == 1, F.col("listing_id")).alias("listing_id"))
 
 
+def listing_identities(listings: DataFrame, instruments: DataFrame, kinds: tuple[str, ...] = ("equity", "etf")) -> DataFrame:
+    """listings with the columns of their instrument and supported: it is there and of one of ``kinds``."""
+    found = listings.join(instruments, "instrument_id", "left")
+    return found.withColumn("supported", F.coalesce(F.col("kind").isin(*kinds), F.lit(False)))
+
+
+def identifier_lineage(requests: DataFrame, versions: DataFrame, evidence: DataFrame, raw: DataFrame, permissions: DataFrame, listings: DataFrame, instruments: DataFrame) -> DataFrame:
+    """request, status, listing_id, entity_id, versions, manifest_sha256: what an identifier meant, and whether all that says so still holds.
+
+    versions also have evidence_id; evidence: evidence_id, source_id, sha256, published_at, received_at; raw: sha256, payload; permissions as in ``allowed``; listings: listing_id,
+    instrument_id; instruments: instrument_id, entity_id, kind.  In order: unknown, ambiguous, evidence_unknown, use_not_allowed (of any source, at as_of), evidence_times
+    (received after it was asserted, or published after receipt), payload_corrupt (the archived bytes do not have their digest), unsupported_instrument, or
+    verified.  The manifest of a verified request is the digest of the sorted digests of its versions and their payloads.  Every payload is digested once; a
+    request's list is as long as the versions that answer it."""
+    matches = identifier_matches(requests, versions, ("evidence_id",))
+    whole = raw.select("sha256", (F.sha2(F.col("payload").cast("binary"), 256) == F.col("sha256")).alias("_whole"))
+    proofs = evidence.select("evidence_id", "source_id", "sha256", "published_at", "received_at").join(whole, "sha256", "left")
+    rows = matches.join(proofs, "evidence_id", "left")
+    rows = allowed(rows.withColumn("_use", F.lit("research")), permissions, use="_use")
+    micros = lambda c: F.unix_micros(c).alias(c)
+    mapping = F.to_json(F.struct("evidence_id", micros("known_at"), "listing_id", "mapping_id", "provider", micros("valid_from"), micros("valid_to"), "value"), {"ignoreNullFields": "false"})
+    fault = F.when(F.col("received_at").isNull(), 1).when(~F.col("allowed"), 2).when((F.col("received_at") > F.col("known_at")) | ~F.coalesce(F.col("published_at") <= F.col("received_at"), F.lit(False)), 3).when(~F.coalesce("_whole", F.lit(False)), 4)
+    digest = F.concat(F.sha2(mapping, 256), F.lit(":"), F.col("sha256"))
+    found = rows.groupBy("request").agg(F.count_distinct("listing_id").alias("_listings"), F.max("listing_id").alias("listing_id"), F.count("*").alias("versions"), F.min(fault).alias("_fault"), F.array_sort(F.collect_list(digest)).alias("_digests"))
+    known = listing_identities(listings.select("listing_id", "instrument_id"), instruments.select("instrument_id", "entity_id", "kind")).select("listing_id", "entity_id", "supported")
+    joined = requests.select("request").join(found, "request", "left").join(known, "listing_id", "left")
+    faults = F.element_at(F.array(*map(F.lit, ("evidence_unknown", "use_not_allowed", "evidence_times", "payload_corrupt"))), F.col("_fault"))
+    status = F.when(F.col("_listings").isNull(), "unknown").when(F.col("_listings") > 1, "ambiguous").when(F.col("_fault").isNotNull(), faults).when(~F.coalesce("supported", F.lit(False)), "unsupported_instrument").otherwise("verified")
+    good = lambda c: F.when(status == "verified", c)
+    return joined.select("request", status.alias("status"), good(F.col("listing_id")).alias("listing_id"), good(F.col("entity_id")).alias("entity_id"), F.coalesce("versions", F.lit(0)).cast("long").alias("versions"), good(F.sha2(F.array_join("_digests", "\n"), 256)).alias("manifest_sha256"))
+
+
 def inventory(**tables: DataFrame) -> DataFrame:
     """name, rows, latest: the number of rows of each table, and its largest known_at or received_at where it has one."""
     counts = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,37 @@ def chain_breaks(journal: DataFrame, key: str, sequence: str, digest: str, previ
     return journal.withColumn("unchained", ~F.col(previous).eqNullSafe(before))
 
 
+def entry_digest(key: str, sequence: Column, body: str, previous: str) -> Column:
+    """What the digest of a journal's entry has to be: of its key, place, body and the digest of the entry before, as canonical JSON."""
+    content = F.sha2(F.coalesce(F.col(body).cast("string"), F.lit("")).cast("binary"), 256)
+    return F.sha2(F.to_json(F.struct(content.alias("body"), F.col(key).cast("string").alias("key"), F.col(previous).alias("previous"), sequence.cast("long").alias("sequence")), {"ignoreNullFields": "false"}), 256)
+
+
+def verify_chain(journal: DataFrame, heads: DataFrame, key: str, sequence: str, body: str, digest: str, previous: str, first: int = 0) -> DataFrame:
+    """key, sequence, fault of every entry, and of heads that are not there: what was done to a journal, with all digests computed again.
+
+    heads: key, sequence, digest of the last entry that is known to have been written.  Faults in order: repeated (the place is taken twice), swapped (the digest is
+    right for the place before or after), altered (it is right for neither), first_with_previous, gap (no entry before), unchained (``previous`` is not the digest of the entry before), and tail_cut or
+    tail_altered for a head that is missing or different; null where all is well.  An entry is checked from itself and the one before, found by a
+    join on key and place, so a journal of any length is checked in parallel."""
+    at = F.col(sequence).cast("long")
+    good = lambda shift: F.col(digest).eqNullSafe(entry_digest(key, at + shift, body, previous))
+    rows = journal.select(F.col(key).alias("_key"), at.alias("_at"), F.col(digest).alias("_digest"), F.col(previous).alias("_previous"), good(0).alias("_good"), (good(1) | good(-1)).alias("_near"))
+    places = rows.groupBy("_key", "_at").agg(F.count("*").alias("_n"), F.max("_digest").alias("_before"))
+    earlier = places.select(F.col("_key").alias("_k"), (F.col("_at") + 1).alias("_a"), "_before")
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_at") == F.col("_a"))
+    found = rows.join(places.where("_n > 1").select(F.col("_key").alias("_k2"), F.col("_at").alias("_a2"), F.lit(True).alias("_twice")), F.col("_key").eqNullSafe(F.col("_k2")) & F.col("_at").eqNullSafe(F.col("_a2")), "left").join(earlier, same, "left")
+    fault = (
+        F.when(F.col("_twice"), "repeated").when(~F.col("_good") & F.col("_near"), "swapped").when(~F.col("_good"), "altered")
+        .when(F.col("_at") == first, F.when(F.col("_previous").isNotNull(), "first_with_previous")).when(F.col("_before").isNull(), "gap").when(~F.col("_previous").eqNullSafe(F.col("_before")), "unchained")
+    )
+    entries = found.select(F.col("_key").alias(key), F.col("_at").alias(sequence), fault.alias("fault"))
+    last = heads.select(F.col(key).alias("_k"), F.col(sequence).cast("long").alias("_a"), F.col(digest).alias("_head"))
+    ends = last.join(places, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_at") == F.col("_a")), "left")
+    tail = F.when(F.col("_at").isNull(), "tail_cut").when(~F.col("_before").eqNullSafe(F.col("_head")), "tail_altered")
+    return entries.unionByName(ends.select(F.col("_k").alias(key), F.col("_a").alias(sequence), tail.alias("fault")).where("fault IS NOT NULL"))
+
+
 def append_once(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """keys, outcome of the incoming keys: new, same or conflict (differs from the stored row, or within the batch).
 

@@ -40,10 +40,11 @@ def lock_predictions(locked: DataFrame, incoming: DataFrame, definitions: DataFr
     locked never changes: another input under its id is a conflict, as are two in one batch."""
     inputs = ["prediction_id", "definition_id", "version_id", "artifact_id", "artifact_sha256", "action", "value"]
     met = append_once(locked.select(*inputs), incoming.select(*inputs), ["prediction_id"]).withColumnRenamed("outcome", "_met")
-    defined = definitions.select("definition_id", "version_id", F.col("known_at").alias("_defined"), "horizon_seconds")
-    made = artifacts.select("artifact_id", "artifact_sha256", F.col("known_at").alias("_made"))
+    defined = definitions.groupBy("definition_id", "version_id").agg(F.min_by(F.struct("known_at", "horizon_seconds"), F.struct("known_at", "horizon_seconds")).alias("d")).select("definition_id", "version_id", F.col("d.known_at").alias("_defined"), "d.horizon_seconds")
+    made = artifacts.groupBy("artifact_id", "artifact_sha256").agg(F.min("known_at").alias("_made"))  # repeated ones count from their first time
     rows = incoming.groupBy(*inputs).agg(F.min("known_at").alias("known_at"))  # a retry is the same prediction
-    rows = rows.join(defined, ["definition_id", "version_id"], "left").join(made, ["artifact_id", "artifact_sha256"], "left").join(met, "prediction_id")
+    rows = rows.join(defined, ["definition_id", "version_id"], "left").join(made, ["artifact_id", "artifact_sha256"], "left")
+    rows = rows.join(met.withColumnRenamed("prediction_id", "_id"), F.col("prediction_id").eqNullSafe(F.col("_id"))).drop("_id")
     known = lambda c: F.coalesce(F.col(c) <= F.col("known_at"), F.lit(False))
     reason = first_reason(
         ("required_text_missing", ~required(F.col("prediction_id").cast("string"))),
