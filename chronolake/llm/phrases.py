@@ -16,6 +16,7 @@ cannot clash; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SUPPORT, LONGEST, TOP, COVERED, SCALE = 30, 4, 2000, 80, 2_000_000
-#: Counters and bits of each bitmap (a multiple of 8); counters of a row on the way to their sum; phrases that a task holds; bytes read at once.
-BUCKETS, CHUNK, FLUSH, PART = 1 << 22, 1 << 12, 1 << 18, 1 << 20
+#: Counters and bits of each bitmap (a multiple of 8); counters of a row on the way to their sum; phrases that a task holds, and hands on at once; bytes read at once.
+BUCKETS, CHUNK, FLUSH, OUT, PART = 1 << 22, 1 << 12, 1 << 17, 1 << 14, 1 << 19
 #: A-Z to lower case; tabs become blanks, the marks ``[.,;:!?\x0A-\x0D]`` all become ``.``, which no word can hold.
 FOLD = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 COUNTS, SUMS = "lang string, phrase string, a long", "chunk int, counts binary"
@@ -144,8 +145,10 @@ def passed(texts: DataFrame, n: int, longest: int, support: int, parts: np.ndarr
 
         def flush():
             for lang, found in counted.items():
-                phrases = [p.decode("utf-8", "replace") for p in found]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(phrases, pa.string()), pa.array(list(found.values()), pa.int64()), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())], schema=schema)
+                rows = iter(found.items())
+                while some := list(islice(rows, OUT)):
+                    phrases = [p.decode("utf-8", "replace") for p, _ in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(phrases, pa.string()), pa.array([a for _, a in some], pa.int64()), pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary())], schema=schema)
             counted.clear()
 
         for batch in batches:
