@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from chronolake.llm import conversations, phrases, pivots
+from chronolake.llm import conversations, language, mixing, phrases, pivots
 
 
 @pytest.fixture(scope="session")
@@ -252,3 +252,29 @@ def test_settled_rows_leave_memory_and_the_audit_stays_the_same():
             assert edits == list(conversations.cheapest(iter(rows), most_open=10**9))
     calm = [("user", None), ("assistant", None)] * 4000
     assert "".join(e for e, _, _ in conversations.cheapest(iter(calm), most_open=16)) == "K" * 8000
+
+
+# -- every language, weights of nothing
+
+
+def test_three_hundred_languages_are_all_learned(spark):
+    """More languages than a pass holds: none is left out, and blocks of any size answer alike."""
+    rng = random.Random(11)
+    words = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for n in range(300)}
+    text = lambda n: " ".join(rng.choice(words[n]) for _ in range(40))
+    train = spark.createDataFrame([(n, text(n), f"l{n:03}") for n in range(300) for _ in range(2)], "doc_id long, text string, lang string").repartition(4)
+    probe = spark.createDataFrame([*[(n, text(n), "?") for n in range(300)], (300, None, "?"), (301, "123", "?"), (7, text(7), "?")], "doc_id long, text string, margin string").repartition(4)
+    got = language.identify(probe, language.learn_blocks(train)).collect()
+    assert len(got) == 303 and {r.lang_pred for r in got if r.doc_id >= 300} == {"und"}
+    assert all(r.lang_pred == f"l{r.doc_id:03}" and not r.rejected for r in got if r.doc_id < 300)
+    few = train.where("lang < 'l010'")
+    whole = sorted(map(str, language.identify(probe, language.learn(few)).collect()))
+    assert whole == sorted(map(str, language.identify(probe, language.learn_blocks(few, languages=4)).collect()))
+    assert language.told(probe, language.learn_blocks(few, languages=4)).columns[:2] == ["doc_id", "text"]
+
+
+def test_weights_of_nothing_and_below_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, "c", None)], "doc_id long, text string, source string")
+    assert mixing.replicate(docs, {"s": 0.0}, default=0.0).count() == 0
+    with pytest.raises(ValueError, match="s"):
+        mixing.replicate(docs, {"s": -1.0})
