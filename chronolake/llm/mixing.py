@@ -10,7 +10,7 @@ on nothing but seed, id and rate, so they are the same however rows are partitio
 Nulls and edges: a null source is a source of its own; a null text weighs 1 byte, as an empty one; rows that
 repeat an id get the same draw; a row with a null id is known by the hash of its text instead; a document may get no copy, that being the method's
 decision; columns of the input named as the added ones (mix_copies, mix_copy, mix_key) give way to
-them; an empty table gives an empty result.
+them; an empty table gives an empty result; where all weights that apply are 0 there are no copies, and a negative weight is refused by name.
 """
 
 from __future__ import annotations
@@ -31,12 +31,15 @@ def rates(docs: DataFrame, weights: dict[str, float], default: float, epochs: fl
     """source, mass (bytes and one per row), rate, parts (draws to add up), cdf: the cumulative Poisson distribution of a part's rate from 0 on, until it is 1."""
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long") + 1
     mass = stored(docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(size).alias("mass")), "mass")
+    if bad := sorted(name for name, w in {**weights, "(default)": default}.items() if not w >= 0):
+        raise ValueError(f"weights must not be negative: {', '.join(bad)}")
     weight = F.lit(float(default))
     for name, w in weights.items():
         weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
     mass = mass.withColumn("weight", weight)
     sums = mass.agg(F.sum("weight").alias("weight"), F.sum("mass").alias("mass")).first()
-    rate = F.col("weight") / F.lit(sums.weight) * F.lit(float(epochs)) * F.lit(sums.mass) / F.col("mass")
+    share = F.col("weight") / F.lit(sums.weight) if sums.weight else F.lit(0.0)
+    rate = share * F.lit(float(epochs)) * F.lit(sums.mass) / F.col("mass")
     parts = F.when(F.col("rate") <= SINGLE, F.lit(1)).otherwise(F.ceil(F.col("rate") / PART).cast("int"))
     part = F.col("rate") / F.col("parts")
     start = F.struct(F.exp(-part).alias("p"), F.array(F.exp(-part)).alias("c"))
