@@ -1,6 +1,6 @@
 """Tables as Parquet; session times are UTC."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"}) if any(t == "timestamp_ntz" for _, t in df.dtypes) else df
 
 
+def page_of(key: str, number: str, size: int) -> Column:
+    """The page of a key that a row is on: pages hold the rows of ``size`` numbers in a row, so none grows with the key."""
+    return F.concat_ws("-", F.col(key).cast("string"), F.expr(f"{number} div {size}").cast("string"))
+
+
 def archive(rows: DataFrame, payload: str) -> DataFrame:
     """Content-addressed payloads: sha256, size, once each."""
     return rows.select(F.sha2(F.col(payload).cast("binary"), 256).alias("sha256"), F.octet_length(payload).cast("long").alias("size")).dropDuplicates(["sha256"])
