@@ -1,7 +1,7 @@
 """Artifacts and what they depend on: closures, incidents and what these invalidate.
 
-Closures grow by a frontier: each round joins only what was reached last with the edges, drops what is known, and stores the
-rest in the shared folder.  A chain of any length, a cycle and a diamond each end when nothing new is reached; every pair is met once.
+Closures grow by a frontier: each round joins only what was reached last with the edges, follows ways without branches by doubled jumps, drops what is known, and stores the
+rest in the shared folder.  A chain of any length, a cycle and a diamond each end when nothing new is reached.
 """
 
 from __future__ import annotations
@@ -24,30 +24,84 @@ def impacted(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return closure(steps, start.select("root", F.col("root").alias("node")))
 
 
+def _single(steps: DataFrame) -> DataFrame:
+    """node, to: nodes with one way out, and where it leads."""
+    return stored(steps.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("n"), F.max("target").alias("to")).where("n = 1").drop("n"), "single")
+
+
+def jumps(steps: DataFrame) -> list[DataFrame]:
+    """Tables (node, to) of 1, 2, 4, .. steps along ways that do not branch; the last is the first one without rows, or long enough to have gone round every cycle."""
+    out = [_single(steps)]
+    for _ in range(max(out[0].count(), 1).bit_length()):
+        if out[-1].isEmpty():
+            break
+        far = out[-1].select(F.col("node").alias("to"), F.col("to").alias("_to"))
+        out.append(stored(out[-1].join(far, "to").select("node", F.col("_to").alias("to")), "jump"))
+    return out
+
+
 def closure(steps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """root, node: the pairs, and what is reached from their nodes over ``steps`` (source, target)."""
+    """root, node: the pairs, and what is reached from their nodes over ``steps`` (source, target).
+
+    A round takes one step from what was reached last, then follows ways that do not branch in jumps of 1, 2, 4, .. steps: rounds
+    are as many as branchings on the longest way, and a chain or a cycle of n nodes takes about log n joins."""
+    ways = jumps(steps)
     frontier = stored(pairs.select("root", "node").distinct(), "frontier")
     reached = frontier
     while not frontier.isEmpty():
         further = frontier.join(steps, F.col("node") == F.col("source")).select("root", F.col("target").alias("node")).distinct()
+        further = stored(further.join(reached, ["root", "node"], "left_anti"), "further")
+        if further.isEmpty():
+            break
+        for jump in ways[:-1]:
+            ahead = further.join(jump, "node").select("root", F.col("to").alias("node"))
+            further = stored(further.unionByName(ahead).distinct(), "further")
         frontier = stored(further.join(reached, ["root", "node"], "left_anti"), "frontier")
-        reached = reached.unionByName(frontier)
+        reached = stored(reached.unionByName(frontier), "reached")
     return reached
 
 
+def _ends(steps: DataFrame) -> DataFrame:
+    """node, to, open: where the way from each node with one way out ends, at a node with none or several; open where it never does, and ``to`` then lies on a cycle."""
+    single = _single(steps)
+    there = single.select(F.col("node").alias("to"), F.lit(True).alias("open"))
+    ends = stored(single.join(there, "to", "left").select("node", "to", F.coalesce("open", F.lit(False)).alias("open")), "ends")
+    for _ in range(single.count().bit_length() + 1):
+        if ends.where("open").isEmpty():
+            break
+        further = ends.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("open").alias("_open"))
+        going = ends.where("open").join(further, "to").select("node", F.col("_to").alias("to"), F.col("_open").alias("open"))
+        ends = stored(ends.where("NOT open").unionByName(going), "ends")
+    return ends
+
+
 def on_cycles(edges: DataFrame) -> DataFrame:
     """node: those that lie on a cycle of edges (source, target).
 
-    Nodes without a way in or out are peeled off first, round by round, so closures are taken of what may be cyclic only."""
+    Ways that do not branch and end nowhere are taken off at once, in both directions, as are cycles that nothing leaves; each round does so by
+    pointers that double.  Only what then still branches and returns is closed over."""
     rest = stored(edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct(), "edges")
-    count = rest.count()
+    found, count = None, rest.count()
     while count:
-        fed = rest.join(rest.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-        kept = stored(fed.join(fed.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "core")
-        before, count, rest = count, kept.count(), kept
+        before = count
+        for forward in (True, False):
+            way = rest if forward else rest.select(F.col("target").alias("source"), F.col("source").alias("target"))
+            ends = _ends(way)
+            loops = stored(ends.where("open").select(F.col("to").alias("node")).distinct(), "loops")
+            found = loops if found is None else found.unionByName(loops)
+            sources = way.select(F.col("source").alias("to")).distinct()
+            dead = ends.where("NOT open").join(sources, "to", "left_anti").select("node")
+            gone = stored(dead.unionByName(loops).distinct(), "gone")
+            kept = way.join(way.select(F.col("source").alias("target")).distinct(), "target", "left_semi")  # a node without a way out is on none
+            for side in ("source", "target"):
+                kept = kept.join(gone.select(F.col("node").alias(side)), side, "left_anti")
+            way = stored(kept.select("source", "target"), "core")
+            rest = way if forward else way.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        count = rest.count()
         if count == before:
             break
-    return closure(rest, rest.select(F.col("source").alias("root"), F.col("target").alias("node"))).where("root = node").select("node").distinct()
+    core = closure(rest, rest.select(F.col("source").alias("root"), F.col("target").alias("node"))).where("root = node").select("node")
+    return (core if found is None else core.unionByName(found)).distinct()
 
 
 def register_artifacts(artifacts: DataFrame, dependencies: DataFrame, evidence: DataFrame) -> DataFrame:

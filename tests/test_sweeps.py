@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolake.functions import times
-from chronolake.operators import bitemporal, evidence, journals, trials
+from chronolake.operators import bitemporal, evidence, journals, lineage, trials
 
 from .test_queries import spark  # noqa: F401
 
@@ -173,3 +173,33 @@ def test_a_prediction_without_an_id_is_refused_not_lost(spark):  # noqa: F811
     artifacts = spark.createDataFrame([("a", "s", t(1)), ("a", "s", t(2))], "artifact_id string, artifact_sha256 string, known_at timestamp")
     got = sorted((str(r.prediction_id), r.outcome, r.reason) for r in trials.lock_predictions(spark.createDataFrame([], schema), incoming, definitions, artifacts).collect())
     assert got == [("None", "refused", "required_text_missing"), ("p", "new", None)]
+
+
+def test_chains_and_cycles_of_thousands_in_few_rounds(spark, monkeypatch):  # noqa: F811
+    """5000 nodes in a row, 5000 in a ring, and a way into the ring: joins grow with the logarithm, not with the length."""
+    made = []
+    real = lineage.stored
+    monkeypatch.setattr(lineage, "stored", lambda df, name: made.append(name) or real(df, name))
+    n = 5000
+    line = spark.range(n - 1).selectExpr("concat('c', id) AS source", "concat('c', id + 1) AS target")
+    ring = spark.range(n).selectExpr("concat('r', id) AS source", f"concat('r', (id + 1) % {n}) AS target")
+    edges = line.unionByName(ring).unionByName(spark.createDataFrame([("in", "r0"), ("in", "c9")], "source string, target string"))
+    got = lineage.impacted(edges, spark.createDataFrame([("c0",), ("r7",)], "root string")).groupBy("root").count().collect()
+    assert {r.root: r["count"] for r in got} == {"c0": n, "r7": n} and len(made) < 50
+    made.clear()
+    nodes = lineage.on_cycles(edges)
+    assert nodes.count() == n and nodes.where("node LIKE 'r%'").count() == n and len(made) < 80
+
+
+def test_closures_and_cycles_of_random_graphs(spark):  # noqa: F811
+    rng = random.Random(1)
+    for size, many in ((12, 20),):
+        pairs = {(rng.randrange(size), rng.randrange(size)) for _ in range(many)}
+        reach = {a: {b for x, b in pairs if x == a} for a in range(size)}
+        for _ in range(size):
+            for a in reach:
+                reach[a] |= set().union(*[reach[b] for b in reach[a]], set())
+        edges = spark.createDataFrame(sorted(pairs), "source int, target int")
+        assert {r.node for r in lineage.on_cycles(edges).collect()} == {a for a in reach if a in reach[a]}
+        got = {(r.root, r.node) for r in lineage.impacted(edges, spark.createDataFrame([(0,), (1,)], "root int")).collect()}
+        assert got == {(a, b) for a in (0, 1) for b in reach[a] | {a}}
