@@ -5,7 +5,7 @@ counter stops at the support, which changes no answer to the question whether it
 support and both of whose parts of n words did: these are looked up in a bitmap of the same size that the counted phrases were hashed into.  Bitmaps are
 the only thing broadcast, BUCKETS bits each at every size of the input.  They let too much pass, never too little; what passes is counted as text, so counts are exact.
 
-Tasks count in a dictionary that is handed on when it holds FLUSH phrases; Spark adds up the rest, with partial sums before the shuffle.  Scores join
+Tasks count in a dictionary that is handed on when it holds FLUSH phrases, OUT at once; Spark adds up the rest, with partial sums before the shuffle.  Scores join
 each candidate with the counts of its parts, all of which are frequent themselves.  Products are decimals of 38 digits.
 
 Nulls and edges: a null text is empty, a null language is ``und``; languages with no words have no rows; equal rows count as often as they are there; a piece may run
