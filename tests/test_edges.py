@@ -62,7 +62,7 @@ def test_valuation_golden(spark):  # noqa: F811
     assert got["a", d(4)].exact and not got["b", d(1)].exact
     half = spark.createDataFrame([("c", d(1), Decimal(10), Decimal("1.5"), Decimal(1)), ("d", d(1), Decimal(10), Decimal("1.00001"), Decimal(1))], "k string, day date, close decimal(18,2), new_shares decimal(18,6), old_shares decimal(18,6)").selectExpr("*", "cast(null as decimal(12,6)) AS dividend", "cast(null as date) AS payment_date")
     got = {r.k: r for r in corporate.valuation(half, "k", "0", "10").collect()}
-    assert (got["c"].shares, got["c"].wealth, got["c"].exact, got["d"].exact) == (15, 150, True, False)
+    assert (got["c"].shares, got["c"].wealth, got["c"].exact, got["d"].exact, str(got["d"].shares)) == (15, 150, True, True, "10.000100")
 
 
 def test_snapshots_and_late_corrections(spark):  # noqa: F811
