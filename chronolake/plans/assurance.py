@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronolake.operators import bundles, corporate, references, reviews, rules
+from chronolake.operators import bundles, corporate, imports, references, reviews, rules
 from chronolake.operators.jobs import AXES
 from chronolake.sources import read
 
@@ -189,7 +189,58 @@ def draft_references(spark, d):
     return references.prepared(intents, snapshots).select("intent_id", F.coalesce("reason", F.lit("prepared")).alias("reason"), F.coalesce(F.size("snapshot_ids"), F.lit(0)).alias("snapshots"))
 
 
-QUERIES = {f.__name__: f for f in (review_record, capture_review, bundle_prepare, bundle_lines, frozen_reports, exact_valuation, intent_preview, draft_references)}
+def import_retries(spark, d):
+    """Orders as imports, two ids an import; every seventh id was taken before, some by an older version or with another request."""
+    o, k, c = read(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    received = F.col("o_orderdate").cast("timestamp")
+    rows = o.select(_text("o_custkey").alias("source_id"), _text(F.floor(k / 2)).alias("import_id"), F.lit("3").alias("version"), F.when(k % 37 != 0, F.col("o_orderpriority").cast("binary")).otherwise(F.lit(b"")).alias("payload"), received.alias("received_at"), F.when(k % 41 == 0, received - F.expr("INTERVAL 1 DAY")).otherwise(received + F.expr("INTERVAL 1 HOUR")).alias("processed_at"), F.lit("{}").alias("request"), k.alias("k"))
+    taken = rows.where("CAST(import_id AS bigint) % 7 = 0").groupBy("source_id", "import_id").agg(F.min(F.struct("k", F.sha2("payload", 256).alias("raw_sha256"), "received_at", "processed_at")).alias("r"))
+    taken = taken.select("source_id", "import_id", F.when(F.col("r.k") % 5 == 0, "1").otherwise("2").alias("version"), "r.raw_sha256", "r.received_at", "r.processed_at", F.when(F.col("r.k") % 3 == 0, "[]").otherwise("{}").alias("request"))
+    customers = read(spark, d, "customer")
+    grants = customers.select(_text("c_custkey").alias("source_id"), _at("1992-06-01").alias("known_at"), F.when(F.col("c_custkey") % 10 == 0, _uses("storage")).otherwise(_uses("storage", "research")).alias("uses"))
+    found = imports.attempts(taken, rows, grants, ["2", "3"])
+    return found.select("k", "outcome", F.coalesce("kept_version", F.lit("")).alias("version"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def job_resumption(spark, d):
+    """Orders as jobs, their line numbers as journal pages; some journals, results and requests were changed."""
+    o, line, k = read(spark, d, "orders"), read(spark, d, "lineitem"), F.col("job_id")
+    pages = line.groupBy(F.col("l_orderkey").alias("job_id"), (F.col("l_linenumber") - 1).cast("long").alias("page")).agg(F.sum("l_partkey").alias("n")).where("NOT (job_id % 11 = 0 AND page = 1)")
+    body = _text("n")
+    pages = pages.select("job_id", "page", body.alias("body"), F.when((k % 13 == 0) & (F.col("page") == 0), "x").otherwise(F.sha2(body, 256)).alias("sha256"), F.when(F.col("n") % 4 != 0, body).alias("next_token"))
+    jobs = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderkey") % 17 == 0, "old").otherwise("asked").alias("request"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    results = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).cast("timestamp").alias("available_at"))
+    stated = pages.where("job_id % 3 = 0 AND NOT (job_id % 19 = 0 AND page = 0)").select("job_id", "page", "sha256")
+    found = imports.resumption(o.select(F.col("o_orderkey").alias("job_id"), F.lit("asked").alias("request")), jobs, pages, results, stated, _at("1998-01-01"))
+    return found.select("job_id", "action", "next_page", F.coalesce("token", F.lit("")).alias("token"))
+
+
+def native_bindings(spark, d):
+    """Line items as a broker's names for parts: their currency, venue and lots are held against the part."""
+    line, part, n = read(spark, d, "lineitem"), read(spark, d, "part"), F.col("l_partkey")
+    kind = lambda key: F.when(key % 3 == 0, "future").otherwise("equity")
+    targets = part.where("p_partkey % 13 <> 0").select(kind(F.col("p_partkey")).alias("asset_kind"), _text("p_partkey").alias("internal_id"), F.lit("USD").alias("currency"), F.when(F.col("p_size") % 2 == 0, "XNAS").otherwise("XNYS").alias("venue_mic"))
+    venue = line.join(part.select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey", "left")
+    bindings = venue.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", kind(n).alias("asset_kind"), _text("l_partkey").alias("internal_id"), F.when(F.col("l_suppkey") % 23 == 0, " ").otherwise(_text("l_suppkey")).alias("native_id"), F.lit("s").alias("symbol"), F.when(F.col("l_orderkey") % 29 == 0, "EUR").otherwise("USD").alias("currency"), F.when((F.col("p_size") % 2 == 0) != (F.col("l_orderkey") % 31 == 0), "XNAS").otherwise("XNYS").alias("venue_mic"), _text(F.col("l_linenumber") - 1).alias("price_tick"), F.when(F.col("l_linenumber") == 3, "0.5").otherwise("1").alias("quantity_step"), F.lit("1").alias("minimum_quantity"))
+    return imports.native_faults(bindings, targets).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def snapshot_evidence(spark, d):
+    """Line items as snapshots that rest on their order, as evidence of the order's customer."""
+    line, o = read(spark, d, "lineitem"), read(spark, d, "orders")
+    evidence = o.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("evidence_id"), (F.col("o_custkey") % 5).alias("source_id"), F.col("o_orderdate").cast("timestamp").alias("received_at"), F.sha2(_text("o_totalprice"), 256).alias("sha256"))
+    rows = line.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"), "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_orderkey").alias("evidence_id"), F.when(F.col("l_linenumber") == 5, -1).otherwise(F.col("o_custkey") % 5).alias("source_id"), F.when(F.col("l_partkey") % 9 == 0, F.col("o_orderdate") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("l_shipdate")).cast("timestamp").alias("known_at"))
+    found = imports.beside_evidence(rows, evidence)
+    return found.groupBy(F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("evidence_source", F.lit(-9)).cast("long").alias("source")).agg(F.count("*").alias("n"), F.count_distinct("raw_sha256").alias("payloads"))
+
+
+def set_relations(spark, d):
+    """For each user, the days with views beside the days with clicks."""
+    e = read(spark, d, "events").withColumn("day", F.to_date("ts"))
+    return imports.set_relations(e.where("event_type = 'view' AND user_id % 3 <> 0"), e.where("event_type = 'click'"), "user_id", "day")
+
+
+QUERIES = {f.__name__: f for f in (review_record, capture_review, bundle_prepare, bundle_lines, frozen_reports, exact_valuation, intent_preview, draft_references, import_retries, job_resumption, native_bindings, snapshot_evidence, set_relations)}
 
 _BARS = """b AS (SELECT user_id, ts::DATE AS day, arg_min(value::DECIMAL(18,2), (ts, event_id)) AS open, max(value::DECIMAL(18,2)) AS high,
   min(value::DECIMAL(18,2)) AS low, arg_max(value::DECIMAL(18,2), (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY ALL)"""
@@ -241,4 +292,21 @@ SQL = {
   WHEN c % 19 = 0 THEN 'instrument_unknown' WHEN c % 7 = 0 THEN 'ambiguous_native_identity' WHEN q < 1 OR ((fut OR c % 3 <> 0) AND q <> floor(q)) THEN 'lot_or_fraction' WHEN p % 0.05 <> 0 THEN 'off_tick' WHEN fut AND n = 7 THEN 'terms_unknown' WHEN fut AND n % 5 = 1 AND p % 0.25 <> 0 THEN 'off_tick_of_terms'
   WHEN fut AND (d >= '1998-01-01' OR (n % 4 = 0 AND d >= '1997-01-01')) THEN 'outside_settlement_or_entry' ELSE 'prepared' END AS reason FROM o)
   SELECT k AS intent_id, reason, CASE WHEN reason <> 'prepared' THEN 0 WHEN fut THEN 3 ELSE 2 END::INT AS snapshots FROM f""",
+    "import_retries": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey // 2 AS i, o_orderdate AS d, CASE WHEN o_orderkey % 37 = 0 THEN '' ELSE o_orderpriority END AS p, o_orderkey % 41 = 0 AS back FROM orders),
+  r AS (SELECT o.*, CASE WHEN p = '' THEN 'payload_required' WHEN back THEN 'processed_before_receipt' WHEN c_custkey IS NULL OR c % 10 = 0 OR d < '1992-06-01' THEN 'use_not_permitted' END AS wrong, first_value({'k': k, 'p': p, 'd': d, 'back': back}) OVER (PARTITION BY c, i ORDER BY k) AS f FROM o LEFT JOIN customer ON c_custkey = c),
+  g AS (SELECT *, count(DISTINCT (p, d)) FILTER (wrong IS NULL) OVER (PARTITION BY c, i) AS n FROM r),
+  h AS (SELECT *, i % 7 = 0 AS old, CASE WHEN wrong IS NOT NULL THEN wrong WHEN i % 7 = 0 AND f.k % 5 = 0 THEN 'unsupported_archived_version' WHEN i % 7 = 0 AND (f.k % 3 = 0 OR f.p <> p OR f.d <> d OR f.back) THEN 'import_id_of_changed_input' WHEN i % 7 <> 0 AND n > 1 THEN 'import_id_of_changed_input' ELSE '' END AS reason FROM g)
+  SELECT k, CASE WHEN reason <> '' THEN 'refused' WHEN old THEN 'retried' ELSE 'new' END AS outcome, CASE WHEN reason <> '' THEN '' WHEN old THEN '2' ELSE '3' END AS version, reason FROM h""",
+    "job_resumption": """WITH p AS (SELECT l_orderkey AS k, l_linenumber - 1 AS page, sum(l_partkey)::BIGINT AS n FROM lineitem WHERE NOT (l_orderkey % 11 = 0 AND l_linenumber = 2) GROUP BY ALL),
+  j AS (SELECT k, count(*) AS c, min(page) AS a, max(page) AS b, arg_max(n, page) AS last, bool_or(page = 0) AS zero FROM p GROUP BY k),
+  x AS (SELECT o_orderkey AS k, o_orderdate AS d, c, last, o_orderkey % 3 = 0 AS done, CASE WHEN o_orderkey % 5 = 0 THEN 'start' WHEN o_orderkey % 17 = 0 THEN 'request_changed' WHEN o_orderdate > '1998-01-01' OR (o_orderkey % 3 = 0 AND o_orderdate + INTERVAL 30 DAY > '1998-01-01') THEN 'not_yet_available'
+    WHEN c IS NOT NULL AND (a <> 0 OR b <> c - 1 OR (o_orderkey % 13 = 0 AND zero)) THEN 'journal_altered' WHEN o_orderkey % 3 = 0 AND o_orderkey % 19 = 0 AND zero THEN 'result_differs' WHEN o_orderkey % 3 = 0 THEN 'finished' WHEN c IS NOT NULL AND last % 4 = 0 THEN 'ended' ELSE 'resume' END AS action FROM orders LEFT JOIN j ON k = o_orderkey)
+  SELECT k AS job_id, action, CASE action WHEN 'start' THEN 0 WHEN 'resume' THEN coalesce(c, 0) END::BIGINT AS next_page, CASE WHEN action = 'resume' THEN coalesce(last::VARCHAR, '') ELSE '' END AS token FROM x""",
+    "native_bindings": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_suppkey % 23 = 0 THEN 'required_text_missing' WHEN p_partkey IS NULL OR p_partkey % 13 = 0 THEN 'unknown_target' WHEN l_orderkey % 29 = 0 OR l_orderkey % 31 = 0 THEN 'currency_or_venue_differs'
+  WHEN l_linenumber = 1 THEN 'amounts_not_positive' WHEN l_partkey % 3 = 0 AND l_linenumber = 3 THEN 'fractional_lots_of_a_future' ELSE '' END AS reason FROM lineitem LEFT JOIN part ON p_partkey = l_partkey""",
+    "snapshot_evidence": """SELECT CASE WHEN l_orderkey % 7 = 0 THEN 'evidence_unknown' WHEN l_linenumber = 5 THEN 'evidence_of_another_source' WHEN l_partkey % 9 = 0 OR l_shipdate < o_orderdate THEN 'known_before_receipt' ELSE '' END AS reason, CASE WHEN l_orderkey % 7 = 0 THEN -9 ELSE o_custkey % 5 END::BIGINT AS source,
+  count(*) AS n, count(DISTINCT CASE WHEN l_orderkey % 7 <> 0 THEN o_totalprice END) AS payloads FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL""",
+    "set_relations": """WITH m AS (SELECT user_id, ts::DATE AS day, bool_or(event_type = 'view' AND user_id % 3 <> 0) AS l, bool_or(event_type = 'click') AS r FROM events GROUP BY ALL),
+  s AS (SELECT user_id, count(*) FILTER (l AND NOT r) AS only_left, count(*) FILTER (r AND NOT l) AS only_right, count(*) FILTER (l AND r) AS "both" FROM m WHERE l OR r GROUP BY 1)
+  SELECT *, CASE WHEN only_left = 0 AND only_right = 0 THEN 'equal' WHEN only_left = 0 THEN 'subset' WHEN only_right = 0 THEN 'superset' WHEN "both" = 0 THEN 'disjoint' ELSE 'overlapping' END AS relation FROM s""",
 }

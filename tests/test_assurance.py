@@ -8,7 +8,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from chronolake.operators import bundles, corporate, references, reviews
+from chronolake.operators import bundles, corporate, imports, references, reviews
 from chronolake.operators.jobs import AXES
 from tests.test_queries import spark  # noqa: F401
 
@@ -201,3 +201,60 @@ def test_an_identity_clashes_only_while_both_hold(spark):  # noqa: F811
     intents = spark.createDataFrame([(n, "a", "paper", "equity", "1", t(n), t(n + 1), t(n), "raw_contract", "day", "regular", Decimal(2), Decimal("1.5")) for n in (2, 6, 9)], order)
     got = {r.intent_id: (r.reason, r.snapshot_ids) for r in references.prepared(intents, spark.createDataFrame(rows, SNAPSHOT)).collect()}
     assert got == {2: (None, ["c", "i1"]), 6: ("ambiguous_native_identity", None), 9: (None, ["c", "i1"])}
+
+
+def test_imports_that_are_tried_again(spark):  # noqa: F811
+    """A retry keeps its first version; changed input, lost rights and nulls are refused; attempts of a batch that differ are refused both."""
+    grants = world(spark)[0]
+    row = lambda n, payload=b"p", version="3", source="s", request="{}", at=T: (source, n, version, None if payload is None else bytearray(payload), at, at, request)
+    kind = "source_id string, import_id string, version string, payload binary, received_at timestamp, processed_at timestamp, request string"
+    first = imports.attempts(spark.createDataFrame([], kind).withColumn("raw_sha256", F.lit("")).drop("payload"), spark.createDataFrame([row("a", version="2"), row("o", version="1")], kind), grants, ["2", "3"])
+    taken = first.select("source_id", "import_id", "version", "received_at", "processed_at", "request", "raw_sha256")
+    assert {r.outcome for r in first.collect()} == {"new"}
+    again = [row("a"), row("o"), row("b"), row("b"), row("c"), row("c", b"q"), row("n", None), row("t", source="t"), row(None), row("x", request=None), row("y", at=datetime(2023, 1, 1)), row("z", at=None)]
+    got = {}
+    for r in imports.attempts(taken, spark.createDataFrame(again, kind), grants, ["2", "3"]).collect():
+        got.setdefault(r.import_id, []).append((r.outcome, r.kept_version, r.reason))
+    no = lambda reason: ("refused", None, reason)
+    assert got == {"a": [("retried", "2", None)], "o": [no("unsupported_archived_version")], "b": [("new", "3", None)] * 2, "c": [no("import_id_of_changed_input")] * 2, "n": [no("payload_required")], "t": [no("use_not_permitted")], None: [no("required_text_missing")], "x": [no("required_text_missing")], "y": [no("use_not_permitted")], "z": [no("processed_before_receipt")]}
+    changed = imports.attempts(taken, spark.createDataFrame([row("a", b"q"), row("a", request="[]")], kind), grants, ["2"])
+    assert {r.reason for r in changed.collect()} == {"import_id_of_changed_input"}
+
+
+def test_symbols_and_native_names(spark):  # noqa: F811
+    listings = spark.createDataFrame([("L", "USD"), ("M", "EUR"), ("N", "USD")], "listing_id string, trading_currency string")
+    rows = [(1, "A", "L", "USD"), (2, "A", "L", "USD"), (2, "B", "L", "USD"), (3, "A", "M", "USD"), (4, "A", "Z", "USD"), (5, "A", "L", "USD"), (5, "A", "N", "USD"), (6, None, "L", "USD"), (6, " x", "N", "USD")]
+    got = {r.import_id: r.reasons for r in imports.binding_faults(spark.createDataFrame(rows, "import_id int, symbol string, listing_id string, currency string"), listings).collect()}
+    assert got == {2: ["symbols_share_a_listing"], 3: ["currency_differs"], 4: ["unknown_listing"], 5: ["symbol_of_several_listings"], 6: ["required_text_missing"]}
+
+
+def test_jobs_that_were_broken_off(spark):  # noqa: F811
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    asks = spark.createDataFrame([(n, "q") for n in range(1, 11)] + [(None, "q")], "job_id int, request string")
+    jobs = spark.createDataFrame([(n, "old" if n == 2 else "q", datetime(2025, 1, 1) if n == 3 else T) for n in range(2, 11)], "job_id int, request string, created_at timestamp")
+    page = lambda job, n, token, digest=None: (job, n, f"{job}-{n}", digest or sha(f"{job}-{n}"), token)
+    pages = spark.createDataFrame([page(4, 0, "t", "0"), page(5, 0, "t"), page(5, 2, None), page(6, 0, "t"), page(6, 1, "u"), page(7, 0, "t"), page(7, 1, None), page(8, 0, "t"), page(8, 1, None), page(9, 0, None)], "job_id int, page long, body string, sha256 string, next_token string")
+    results = spark.createDataFrame([(8, T), (9, T)], "job_id int, available_at timestamp")
+    stated = spark.createDataFrame([(8, 0, sha("8-0")), (8, 1, sha("8-1")), (9, 0, sha("9-0")), (9, 1, sha("9-1"))], "job_id int, page long, sha256 string")
+    got = {r.job_id: (r.action, r.next_page, r.token) for r in imports.resumption(asks, jobs, pages, results, stated, F.lit(datetime(2024, 2, 1))).collect()}
+    still = lambda action: (action, None, None)
+    assert got == {1: ("start", 0, None), 2: still("request_changed"), 3: still("not_yet_available"), 4: still("journal_altered"), 5: still("journal_altered"), 6: ("resume", 2, "u"), 7: still("ended"), 8: still("finished"), 9: still("result_differs"), 10: ("resume", 0, None), None: ("start", 0, None)}
+
+
+def test_sets_of_both_sides(spark):  # noqa: F811
+    side = lambda rows: spark.createDataFrame(rows, "g int, m int")
+    left, right = side([(1, 1), (1, 1), (1, None), (2, 1), (3, 1), (3, 2), (4, 1), (5, 1), (5, 2)]), side([(1, 1), (1, None), (2, 1), (2, 2), (3, 1), (4, 2), (5, 2), (5, 3), (6, 1)])
+    got = {r.g: (r.only_left, r.only_right, r["both"], r.relation) for r in imports.set_relations(left, right, "g", "m").collect()}
+    assert got == {1: (0, 0, 2, "equal"), 2: (0, 1, 1, "subset"), 3: (1, 0, 1, "superset"), 4: (1, 1, 0, "disjoint"), 5: (1, 1, 1, "overlapping"), 6: (0, 1, 0, "subset")}
+
+
+def test_a_frozen_report_that_was_altered(spark):  # noqa: F811
+    at = lambda h, d=2: datetime(2024, 1, d, h)
+    row = lambda report, n, d, **change: tuple(({"report": report, "index": n, "economic_date": f"2024-01-0{d}", "listing_id": "L", "currency": "USD", "calendar_start": at(14, d), "calendar_end": at(21, d), "published_at": None, "available_at": at(23, d), "price_received_at": at(22, d), "price_processed_at": at(23, d), "calendar_processed_at": at(21, d), "open": "2", "high": "3", "low": "1", "close": "2", "volume": "0"} | change).values())
+    kind = "report int, index long, economic_date string, listing_id string, currency string, calendar_start timestamp, calendar_end timestamp, published_at timestamp, available_at timestamp, price_received_at timestamp, price_processed_at timestamp, calendar_processed_at timestamp, open string, high string, low string, close string, volume string"
+    frozen = spark.createDataFrame([row(r, n, n + 2) for r in range(1, 8) for n in (0, 1)], kind)
+    now = spark.createDataFrame([row(1, 0, 2), row(1, 1, 3), row(2, 0, 2, close="2.5"), row(2, 1, 3), row(3, 0, 3), row(3, 1, 2), row(4, 1, 3), row(5, 0, 2, high="1.5"), row(5, 1, 3), row(6, 0, 2, published_at=at(1)), row(6, 1, 3, price_processed_at=None)], kind)
+    heads = bundles.report_digest(frozen).selectExpr("report", "'L' AS listing_id", "'USD' AS currency", "timestamp'2024-02-01' AS checked_at", "true AS inspection_only", *[f"false AS {n}" for n in bundles.UNVERIFIED], "sha256")
+    groups = frozen.select("report", "available_at", "index")
+    got = {r.report: r.faults for r in bundles.report_faults(heads, now, groups).collect()}
+    assert got == {1: [], 2: ["digest_differs"], 3: ["dates_not_increasing", "digest_differs", "groups_differ"], 4: ["digest_differs", "groups_differ", "index_not_dense"], 5: ["digest_differs", "price_outside_range"], 6: ["availability_differs", "digest_differs", "processed_before_receipt", "publication_claimed"], 7: ["digest_differs", "groups_differ", "index_not_dense"]}
