@@ -27,6 +27,8 @@ from .common import stored, table
 #: Bits of the hash; bits that the first cells and each finer level resolve.
 BITS, FIRST, FINER = 60, 12, 6
 SHARDS, ROWS_PER_BUCKET = 24, 100_000
+#: Slots that a row with many equal ones lists at a time.
+BLOCK = 1 << 16
 
 
 class _Cells:
@@ -101,12 +103,12 @@ def smallest_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     return capacity, [cells.rows[bisect_left(cells.ends, e)][1] if cells.rows else 0 for e in ends]
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET, block: int = BLOCK) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null) of every row.
 
     Slots are dealt by buckets of about ``rows_per_bucket`` rows, by the md5 of id and hash: bucket sizes give each bucket of a
     shard its first slot, and rows are numbered inside their bucket only.  Rows that share id and text are one row with a count
-    until they have their slots."""
+    until they have their slots, which are listed ``block`` at a time, so no row grows with its copies."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     start = lambda x, n: F.conv(F.substring(F.md5(x.cast("binary")), 1, n), 16, 10).cast("long")
     each = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), start(text, BITS // 4).alias("key"))
@@ -120,8 +122,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     first = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("m")).withColumn("first", F.sum("m").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("m")).drop("m")
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "key").rowsBetween(Window.unboundedPreceding, 0)
     slots = placed.withColumn("at", F.sum("n").over(inside) - F.col("n")).join(first, ["shard", "bucket"])
-    slot = F.explode(F.sequence(F.col("first") + F.col("at"), F.col("first") + F.col("at") + F.col("n") - 1))
-    return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    begin = F.col("first") + F.col("at")
+    blocks = slots.withColumns({"begin": begin, "until": begin + F.col("n")}).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {block}"))))
+    start_of = F.col("begin") + F.col("block") * block
+    slot = F.explode(F.sequence(start_of, F.least(start_of + block, F.col("until")) - 1))
+    return blocks.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

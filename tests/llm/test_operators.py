@@ -188,6 +188,12 @@ def test_sharding_is_minimax(spark, docs):
     assert len({r.shard for r in got if r.doc_id in (3, 9)}) == 1 and sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_slots_of_copies_are_listed_in_blocks(spark):
+    same = spark.createDataFrame([(1, "copy")] * 7 + [(2, "other"), (None, None)], "doc_id long, text string")
+    got = sharding.shard(same, 1, block=3).collect()
+    assert sorted(r.slot for r in got) == list(range(9)) and len({r.slot for r in got if r.doc_id == 1}) == 7
+
+
 def test_mixing(docs):
     got = mixing.replicate(docs, {"s0": 3.0}, epochs=4.0)
     assert got.columns == [*docs.columns, *mixing.ADDED]
