@@ -11,7 +11,7 @@ assistant is to learn.  ``render`` sorts the turns of each conversation within a
 about PIECE characters, so a conversation of any length is held one turn at a time.  The filter ``guard`` breaks
 up control strings inside texts, and ``unguard`` restores them.  ``read_back`` parses the rendered text again.
 
-Nulls and edges: a null text or role is empty; a null conv_id is a conversation of its own; turns that are equal, or
+Nulls and edges: conv_id keeps its type, be it a number or text; a null text or role is empty; a null conv_id is a conversation of its own; turns that are equal, or
 null (first), are taken by role and text; repeated rows are turns of their own; other columns are ignored, so
 names cannot clash; an empty table gives an empty result.
 """
@@ -26,6 +26,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stored, table
 
@@ -34,7 +35,6 @@ TEMPLATE = """{% for m in messages %}{% if m.role == 'user' %}{{ '[INST]' + ' '
 {% elif m.role == 'assistant' %} {% generation %}{{ m.text | guard }}{% endgeneration %}</s>\
 {% else %}<|{{ m.role | guard }}|>{{ m.text | guard }}<|end|>{% endif %}{% endfor %}"""
 PIECE = 4096
-ROW = "conv_id long, seq long, text string, loss array<struct<start: int, end: int>>"
 _BROKEN = re.compile("|".join([r"\\", *map(re.escape, CONTROL)]))
 
 
@@ -346,10 +346,12 @@ def _sorted_rows(batches, *names: str) -> Iterator[tuple]:
 def render(conversations: DataFrame, template: str = TEMPLATE, piece: int = PIECE) -> DataFrame:
     """conv_id, seq, text, loss: the formatted conversations in pieces, with the spans to learn in each."""
     compile_template(template)  # a template that is wrong fails here
+    id_type = conversations.schema["conv_id"].dataType
+    first_type = to_arrow_type(id_type)
 
     def write(batches):
         to_text = compile_template(template)
-        schema = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+        schema = pa.schema([("conv_id", first_type), ("seq", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
         out: list[dict] = []
         for conv_id, rows in groupby(_sorted_rows(batches, "conv_id", "role", "text"), key=lambda r: r[0]):
             seq, parts, spans, size = 0, [], [], 0
@@ -370,8 +372,8 @@ def render(conversations: DataFrame, template: str = TEMPLATE, piece: int = PIEC
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     none = F.lit("")
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), none).alias("role"), F.coalesce(F.col("text").cast("string"), none).alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(write, ROW)
+    rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), none).alias("role"), F.coalesce(F.col("text").cast("string"), none).alias("text"))
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(write, f"conv_id {id_type.simpleString()}, seq long, text string, loss array<struct<start: int, end: int>>")
 
 
 _TURN = re.compile(r"\[INST\] (?P<user>.*?) \[/INST\]|<\|(?P<role>.*?)\|>(?P<other>.*?)<\|end\|>| (?P<assistant>.*?)</s>", re.S)
@@ -394,6 +396,11 @@ def read_turns(pieces: Iterable[str]) -> Iterator[tuple[str, str]]:
 
 def read_back(rendered: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the formatted text and its spans."""
+    id_type = rendered.schema["conv_id"].dataType
+    first_type = to_arrow_type(id_type)
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(v, first_type if n == "conv_id" else None) for n, v in out.items()], names=list(out))
 
     def read(batches):
         out: dict[str, list] = {n: [] for n in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
@@ -416,13 +423,13 @@ def read_back(rendered: DataFrame) -> DataFrame:
             for name, value in zip(out, (conv_id, count, turns.hexdigest(), chars, loss.hexdigest(), size), strict=True):
                 out[name].append(value)
             if len(out["conv_id"]) >= 4096:
-                yield pa.RecordBatch.from_pydict(out)
+                yield batch_of(out)
                 out = {n: [] for n in out}
         if out["conv_id"]:
-            yield pa.RecordBatch.from_pydict(out)
+            yield batch_of(out)
 
     rows = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "seq").select("conv_id", "text", "loss")
-    return rows.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(read, f"conv_id {id_type.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
