@@ -2,9 +2,10 @@ r"""Language-model scoring: cross-entropy difference of a target and a backgroun
 
 Both are bigram models over one shared vocabulary, which is every word of the corpus and the boundary that stands before
 and after a text.  The target model counts the documents labelled good, the background model all others; order, smoothing
-and vocabulary match, sizes do not: nothing is left out to make them equal.  A document's score is the mean over
-its words and its end of target loss minus background loss: the lower, the closer to the target.  No document is scored
-by its own words: what it gave to the model of its side is taken out of every count first.
+and vocabulary match, and so do sizes: nothing is left out, but all counts of the larger side are scaled down to the mass of the
+smaller one, so that smoothing weighs alike in both, and a background that repeats the target scores 0.  A document's score is the
+mean over its words and its end of target loss minus background loss: the lower, the closer to the target.  No document is scored
+by its own words: what it gave to the model of its side is taken out of every count, and of the mass, first.
 
 Counts are distributed, and grow with the corpus.  Texts become blocks of about ``BLOCK_BYTES``, stored as word numbers and
 hashes.  A block sends the counts of its different words and word pairs to buckets of the hash range, as packed
@@ -12,8 +13,9 @@ sorted keys; a bucket adds up equal keys over all blocks and sends each block th
 block then scores its documents.  The number of buckets follows from the number of keys, about ``BUCKET_KEYS`` in each, and
 hashing spreads them evenly: a frequent word is one key a block.  Words and pairs are told apart by 64-bit hashes.
 
-A word's probability after h is (c(h, w) + STRENGTH * P(w)) / (c(h) + STRENGTH), with P(w) = (c(w) + 1) / (all + V), where
-all counts the side's words and ends, and V the different words of the corpus and the boundary.
+A word's probability after h is (f * c(h, w) + STRENGTH * P(w)) / (f * c(h) + STRENGTH), with P(w) = (f * c(w) + 1) / (m + V), where
+m is the smaller of both sides' words and ends, f is m over the side's own, and V the different words of the corpus and the boundary.
+If one side has no words but a document's own, m is 0, both models are uniform, and the score is 0.
 
 Nulls and edges: a text without words has zero losses and score, and is in no model; a null label or id is no target; rows that
 repeat an id are counted and scored one by one, each without its own row's words only; very long texts make a block
@@ -164,11 +166,13 @@ def losses(block: _Block, found: list[np.ndarray], totals: np.ndarray, vocabular
     own_before = np.where(begins, 1, np.concatenate([[0], own_word[:-1]]))
     out = np.empty((2, len(block.start)))
     length = np.diff(np.concatenate([block.start, [len(block.doc)]]))
+    rest = np.stack([totals[side] - np.where(block.side == (side == 0), length, 0) for side in (0, 1)])
+    mass = rest.min(0)
     for side in (0, 1):
         mine = block.side[block.doc] == (side == 0)
-        total = (totals[side] - np.where(block.side == (side == 0), length, 0))[block.doc]
-        single = (at[0][side][word] - mine * own_word + 1) / (total + vocabulary)
-        p = (at[1][side][block.pair] - mine * own_pair + strength * single) / (at[0][side][block.s[:-1]] - mine * own_before + strength)
+        f = np.divide(mass, rest[side], out=np.zeros(len(mass)), where=rest[side] > 0)[block.doc]
+        single = (f * (at[0][side][word] - mine * own_word) + 1) / (mass[block.doc] + vocabulary)
+        p = (f * (at[1][side][block.pair] - mine * own_pair) + strength * single) / (f * (at[0][side][block.s[:-1]] - mine * own_before) + strength)
         out[side] = np.add.reduceat(-np.log(p), block.start) / length
     return out
 
@@ -229,13 +233,14 @@ own1 AS (SELECT r, c, count(*) AS n FROM p GROUP BY ALL),
 own AS (SELECT r, count(*) AS n FROM p GROUP BY r),
 x AS (
   SELECT o.r, o.n, CASE WHEN target THEN 1 ELSE 0 END AS mt, CASE WHEN target THEN 0 ELSE 1 END AS mb,
-    two.nt AS hwt, two.nb AS hwb, o.n AS hw, ow.nt AS wt, ow.nb AS wb, w1.n AS w, oh.nt AS ht, oh.nb AS hb, h1.n AS h, own.n AS d
+    two.nt AS hwt, two.nb AS hwb, o.n AS hw, ow.nt AS wt, ow.nb AS wb, w1.n AS w, oh.nt AS ht, oh.nb AS hb, h1.n AS h,
+    least(al.nt - mt * own.n, al.nb - mb * own.n) AS m, CASE WHEN al.nt > mt * own.n THEN m::DOUBLE / (al.nt - mt * own.n) ELSE 0 END AS ft, CASE WHEN al.nb > mb * own.n THEN m::DOUBLE / (al.nb - mb * own.n) ELSE 0 END AS fb
   FROM own2 o JOIN two USING (h, c) JOIN one ow ON ow.c = o.c JOIN one oh ON oh.c = o.h JOIN own1 w1 ON w1.r = o.r AND w1.c = o.c
-    JOIN own1 h1 ON h1.r = o.r AND h1.c = o.h JOIN own ON own.r = o.r),
+    JOIN own1 h1 ON h1.r = o.r AND h1.c = o.h JOIN own ON own.r = o.r CROSS JOIN al),
 loss AS (
-  SELECT r, n, -ln((hwt - mt * hw + {STRENGTH}::DOUBLE * ((wt - mt * w + 1) / (al.nt - mt * d + v)::DOUBLE)) / (ht - mt * h + {STRENGTH}::DOUBLE)) AS lt,
-    -ln((hwb - mb * hw + {STRENGTH}::DOUBLE * ((wb - mb * w + 1) / (al.nb - mb * d + v)::DOUBLE)) / (hb - mb * h + {STRENGTH}::DOUBLE)) AS lb
-  FROM x, al, v),
+  SELECT r, n, -ln((ft * (hwt - mt * hw) + {STRENGTH}::DOUBLE * ((ft * (wt - mt * w) + 1) / (m + v)::DOUBLE)) / (ft * (ht - mt * h) + {STRENGTH}::DOUBLE)) AS lt,
+    -ln((fb * (hwb - mb * hw) + {STRENGTH}::DOUBLE * ((fb * (wb - mb * w) + 1) / (m + v)::DOUBLE)) / (fb * (hb - mb * h) + {STRENGTH}::DOUBLE)) AS lb
+  FROM x, v),
 mean AS (SELECT r, sum(n * lt) / sum(n) AS lt, sum(n * lb) / sum(n) AS lb FROM loss GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(lt, 0), 5) AS loss_target, round(coalesce(lb, 0), 5) AS loss_background, round(coalesce(lt - lb, 0), 5) AS score
 FROM w LEFT JOIN mean USING (r)
