@@ -8,8 +8,11 @@ bounds the difference from below; what neither rules out is confirmed on the ful
 
 Pairs inside a band's bucket are not written out.  First every member is compared with the smallest one; then,
 as links have joined most members, with other members that the buckets pick, where the two are not
-connected yet; at last all pairs that share a bucket and are still unconnected, the bit estimate being
-part of the join's condition.  What is never compared is connected already, so components are those of all links.
+connected yet; at last all pairs that are still unconnected and share a bucket of up to BUCKET members, the bit estimate
+being part of the join's condition.  Texts of larger buckets meet by their rarest shingles instead (``rare_pairs``): two
+sets can only be similar enough if the first few of each, in one order of all shingles, have one in common, so none is
+missed, and a family of texts that share a template but not enough of it hardly meets.  What is never
+compared is connected already or too different, so components are those of all links.
 With BANDS of ROWS, a pair at 0.8 shares no band with a chance of 3e-6; the bits rule one out with less than 1e-6.
 
 Nulls and edges: a text without words has the empty set, is its own component, and is kept; one word is
@@ -25,7 +28,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, stored, table, words
@@ -36,8 +39,8 @@ LONGS = KEYS * BITS // 64
 #: Longs of the odd sketch: bit i tells whether an odd number of shingles hash to i.
 ODD = 32
 #: Standard deviations of the estimate by which a pair may fall short of the threshold and still be confirmed;
-#: rounds of picked members before the rest is joined.
-SLACK, ROUNDS = 5.0, 3
+#: rounds of picked members before the rest is joined; members of a bucket up to which its pairs are joined there.
+SLACK, ROUNDS, BUCKET = 5.0, 3, 256
 
 
 class _Hashes(dict):
@@ -148,6 +151,46 @@ def _likely(threshold: float, a: str, b: str) -> Column:
     return sizes & (estimate(F.col(f"{a}.low"), F.col(f"{b}.low")) >= least) & (differ * (100 + share) <= (n_a + n_b) * (100 - share))
 
 
+def rare_pairs(members: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """a, b: every pair of ``members`` (doc_id, comp, sign) of different comp that can reach ``threshold``; none that does is missed.
+
+    Shingles are ordered by the number of members that have them.  Of n shingles, similar sets share one of the first
+    n - ceil(t n) + 1 of the one and, the other being no larger, of the first m - ceil(2 t m / (1 + t)) + 1 of its m.
+    Under a shingle whose members are mostly connected, only those outside the largest component meet all others."""
+    share, id_type = round(100 * threshold), members.schema["doc_id"].dataType.simpleString()
+
+    def spread(batches):
+        hashes = _Hashes()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                found = shingles(pa.compute.cast(batch.column(1).slice(row, 1), pa.binary())[0].as_py(), hashes, size).view(np.int64)
+                for k in range(0, len(found), 1 << 16):
+                    part = pa.array(found[k : k + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(part), row))), part], names=["doc_id", "shingle"])
+
+    of_texts = texts.select("doc_id", "text").join(members.select("doc_id"), "doc_id", "left_semi")
+    each = stored(of_texts.mapInArrow(spread, f"doc_id {id_type}, shingle long"), "shingles")
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "shingle"))
+    first = each.join(often, "shingle").withColumn("nth", rank).join(members, "doc_id")
+    n = F.col("sign.n")
+    first = first.where((F.col("often") > 1) & (F.col("nth") <= n - F.ceil(n * share / 100) + 1))
+    first = first.withColumn("small", F.col("nth") <= n - F.ceil(n * (2 * share) / (100 + share)) + 1).select("shingle", "nth", "small", "doc_id", "comp", "sign")
+    main = first.groupBy("shingle", "comp").count().groupBy("shingle").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("shingle", F.col("m.comp").alias("main"))
+    first = stored(first.join(main, "shingle").select("*", (F.col("comp") == F.col("main")).alias("inside")).drop("main"), "first_shingles")
+
+    def meet(large: DataFrame, small: DataFrame) -> DataFrame:
+        small = small.where("small").select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("nth", "comp", "sign")), F.col("doc_id").alias("other"))
+        n, m = F.col("sign.n"), F.col("other_sign.n")
+        ordered = (m < n) | ((m == n) & (F.col("other") < F.col("doc_id")))
+        left = 1 + F.least(n - F.col("nth"), m - F.col("other_nth"))
+        reach = left * (100 + share) >= (n + m) * share
+        return large.join(small, "shingle").where((F.col("comp") != F.col("other_comp")) & ordered & reach & _likely(threshold, "sign", "other_sign"))
+
+    met = meet(first.where("NOT inside"), first).unionByName(meet(first.where("inside"), first.where("NOT inside")))
+    return met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
     """The pairs a, b whose full shingle sets have a similarity of at least ``threshold``."""
     share, id_type = round(100 * threshold), pairs.schema["a"].dataType.simpleString()
@@ -224,17 +267,20 @@ def _components_of(docs: DataFrame, threshold: float, size: int, id_col: str, te
         else:
             at = _labelled(members.where("m > 2"), "doc_id", labels, "comp")  # the one pair of two is tested
             open_ = at.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("band", "key")
-            at = stored(at.join(open_, ["band", "key"]).join(signs, "doc_id").select("band", "key", "doc_id", "comp", "sign"), "open")
+            at = stored(at.join(open_, ["band", "key"]).join(signs, "doc_id").select("band", "key", "m", "doc_id", "comp", "sign"), "open")
             if at.isEmpty():
                 break
             if step <= ROUNDS:
                 picks = at.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("doc_id", "band", F.lit(step)).alias("h"), F.col("doc_id").alias("other"), F.col("comp").alias("other_comp"), F.col("sign").alias("other_sign"))).alias("pick")).select("band", "key", "pick.*")
                 met = at.join(picks, ["band", "key"]).where((F.col("comp") != F.col("other_comp")) & _likely(threshold, "sign", "other_sign"))
             else:
-                other = at.select("band", "key", *(F.col(c).alias(f"other_{c}") for c in ("comp", "sign")), F.col("doc_id").alias("other"))
-                met = at.join(other, ["band", "key"]).where((F.col("comp") < F.col("other_comp")) & _likely(threshold, "sign", "other_sign"))
-            met = met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-            pairs = met.join(tested, ["a", "b"], "left_anti")
+                few, many = at.where(F.col("m") <= BUCKET), stored(at.where(F.col("m") > BUCKET).select("doc_id", "comp", "sign").dropDuplicates(["doc_id"]), "in_large")
+                other = few.select("band", "key", *(F.col(c).alias(f"other_{c}") for c in ("comp", "sign")), F.col("doc_id").alias("other"))
+                met = few.join(other, ["band", "key"]).where((F.col("comp") < F.col("other_comp")) & _likely(threshold, "sign", "other_sign"))
+            met = met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
+            if step > ROUNDS and not many.isEmpty():
+                met = met.unionByName(rare_pairs(many, texts, threshold, size))
+            pairs = met.distinct().join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs.select("a", "b"), "pairs")
         tested = tested.unionByName(pairs)
         links = stored(confirmed(pairs, texts, threshold, size), "links")

@@ -61,6 +61,31 @@ def test_near_duplicates(docs):
     assert len(kept) == len(set(kept)) and neardup.linked_components(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_large_buckets(spark, docs, monkeypatch):
+    """Texts of large buckets meet by their rarest shingles: all links, and few pairs of a family that is not similar enough."""
+    monkeypatch.setattr(neardup, "BUCKET", 2)
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    rng = random.Random(3)
+    template = [f"t{k}" for k in range(60)]
+    rows = []
+    for i in range(90):
+        text = list(template)
+        for k in rng.sample(range(60), rng.choice((1, 3, 4, 5, 6))):
+            text[k] = f"u{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text[: rng.choice((60, 60, 52))])))
+    got = neardup.linked_components(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows, 2) and len({r.component_id for r in got}) > 10
+
+    family = [(i, " ".join(template[:40] + [f"u{i}x{k}" for k in range(20)])) for i in range(200)]
+    frame = neardup.sketch(spark.createDataFrame(family, "doc_id long, text string"), 2)
+    members = frame.select("doc_id", F.col("doc_id").alias("comp"), F.struct(F.col("n_shingles").alias("n"), "low", "odd").alias("sign"))
+    texts = spark.createDataFrame(family, "doc_id long, text string")
+    assert neardup.rare_pairs(members, texts, 0.8, 2).count() == 0
+    near = spark.createDataFrame([(i, t if i else family[1][1] + " more") for i, t in family], "doc_id long, text string")
+    members = neardup.sketch(near, 2).select("doc_id", F.col("doc_id").alias("comp"), F.struct(F.col("n_shingles").alias("n"), "low", "odd").alias("sign"))
+    assert [tuple(r) for r in neardup.rare_pairs(members, near, 0.8, 2).collect()] == [(0, 1)]
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Ids with several texts: whichever row comes first, links are those of the texts."""
     rng = random.Random(9)
@@ -280,11 +305,15 @@ def brute_losses(rows, targets, strength):
     pairs = [list(zip(s, s[1:], strict=False)) if len(s) > 2 else [] for s in seqs]
     vocab, out = len({w for p in pairs for _, w in p}), []
     for k, own in enumerate(pairs):
-        loss = []
+        loss, models = [], []
         for side in (True, False):
             rest = [x for n, p in enumerate(pairs) if sides[n] is side and n != k for x in p]
             one, two = Counter(w for _, w in rest), Counter(rest)
-            loss.append(sum(-math.log((two[h, w] + strength * (one[w] + 1) / (len(rest) + vocab)) / (one[h] + strength)) for h, w in own) / max(1, len(own)))
+            models.append((len(rest), one, two))
+        mass = min(m[0] for m in models)
+        for words_, one, two in models:
+            f = mass / words_ if words_ else 0
+            loss.append(sum(-math.log((f * two[h, w] + strength * (f * one[w] + 1) / (mass + vocab)) / (f * one[h] + strength)) for h, w in own) / max(1, len(own)))
         out.append((rows[k][0], max(0, len(own) - 1), *loss))
     return out
 
@@ -301,6 +330,18 @@ def test_lm_is_as_plain_counts(docs):
     assert lm.cross_entropy_difference(docs.limit(0), targets).count() == 0
 
 
+def test_lm_sizes_are_matched(spark):
+    """A background that is the target several times over scores nothing; without a background nothing scores."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(8)]
+    rows = [(i, t) for i, t in enumerate(texts * 4)] + [(99, "alpha of its own " + texts[0])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.cross_entropy_difference(frame, frame.where("doc_id < 8").select("doc_id")).collect()}
+    assert abs(got[99].score) < 1e-12 and got[99].loss_target > 0 and got[0].score > 0 > got[8].score
+    alone = lm.cross_entropy_difference(frame, frame.select("doc_id")).collect()
+    assert {r.score for r in alone} == {0.0} and len(alone) == len(rows)
+
+
 def brute_scores(rows, share, texts):
     """Plain dictionaries: TF-IDF of all words, all cosines, votes, and the calibration of the operator."""
     counts = [Counter(w for part in toxicity.words(t.encode(), toxicity.ALNUM) for w in part) for _, t, _ in rows]
@@ -365,6 +406,10 @@ def test_chat_round_trip(spark):
     got = {r.conv_id: r for r in chat.read_back(chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), piece=5)).collect()}
     assert (got[1].n_turns, got[1].loss_chars, got[None].n_turns) == (4, 12, 1)
     assert chat.fold(chat.parse("a{{ 'b' + 'c' }}{% if 1 == 2 %}x{% else %}d{% endif %}")) == [("text", "abcd")]
+    named = spark.createDataFrame([(str(a), *b) for a, *b in rows], "conv_id string, turn long, role string, text string")
+    told = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_sha256) for r in chat.read_back(chat.render(named)).collect()}
+    assert told == {str(k): (r.n_turns, r.turns_sha256, r.loss_sha256) for k, r in got.items()}
+    assert chat.read_back(chat.render(named.limit(0))).count() == 0
     for bad in ("{{ x.__class__() }}", "{% for a in b %}{% endfor %}", "{% if 1 %}"):
         with pytest.raises(chat.TemplateError):
             chat.compile_template(bad)
