@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronolake.operators import bitemporal, ledger, lineage, rules
-from chronolake.plans import assurance, intents, journals, market, protocols, records
+from chronolake.plans import assurance, intents, journals, market, protocols, records, stores
 from chronolake.sources import archive, read
 
 CUT, LATE = "2024-01-15", "2024-01-20"
@@ -113,7 +113,7 @@ def notional_margin(spark, d):
     return read(spark, d, "lineitem").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.sum(n).cast("double").alias("notional"))
 
 
-QUERIES = {f.__name__: f for f in (asof_latest, version_trap, rights_gate, compare_cutoffs, interval_exactly_one, pit_asof_join, fullouter_recon, dup_quarantine, reason_histogram, sha_cas, ledger_window, daily_bar, sma_rule, next_open_fill, impact_set, client_id, availability_groups, notional_margin)} | journals.QUERIES | market.QUERIES | intents.QUERIES | records.QUERIES | protocols.QUERIES | assurance.QUERIES
+QUERIES = {f.__name__: f for f in (asof_latest, version_trap, rights_gate, compare_cutoffs, interval_exactly_one, pit_asof_join, fullouter_recon, dup_quarantine, reason_histogram, sha_cas, ledger_window, daily_bar, sma_rule, next_open_fill, impact_set, client_id, availability_groups, notional_margin)} | journals.QUERIES | market.QUERIES | intents.QUERIES | records.QUERIES | protocols.QUERIES | assurance.QUERIES | stores.QUERIES
 
 _BARS = """bars AS (SELECT event_type, ts::DATE AS day, arg_min(value::DECIMAL(18,2), (ts, event_id)) AS open, max(value::DECIMAL(18,2)) AS high,
   min(value::DECIMAL(18,2)) AS low, arg_max(value::DECIMAL(18,2), (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY ALL)"""
@@ -138,4 +138,4 @@ SQL = {
     "client_id": "SELECT o_orderkey, substr(sha256(o_orderkey::VARCHAR), 1, 32) AS client_id FROM orders",
     "availability_groups": "SELECT ts::DATE AS day, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1",
     "notional_margin": "SELECT CASE WHEN l_quantity > 40 THEN 'quantity_limit' WHEN n > 1000000 THEN 'notional_limit' ELSE 'accepted' END AS reason, count(*) AS n, sum(n)::DOUBLE AS notional FROM (SELECT l_quantity, l_quantity::DECIMAL(9,2) * l_extendedprice::DECIMAL(12,2) AS n FROM lineitem) GROUP BY 1",
-} | journals.SQL | market.SQL | intents.SQL | records.SQL | protocols.SQL | assurance.SQL
+} | journals.SQL | market.SQL | intents.SQL | records.SQL | protocols.SQL | assurance.SQL | stores.SQL
