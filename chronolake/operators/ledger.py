@@ -187,3 +187,24 @@ def reconcile(states: DataFrame, expected: DataFrame, key: str, cash_tolerance:
     tolerance = F.when(instrument.isNull(), F.lit(cash_tolerance).cast("decimal(37,12)")).otherwise(F.lit(quantity_tolerance).cast("decimal(37,12)"))
     same = F.coalesce(F.col("_actual_currency") == F.col("_declared_currency"), F.lit(True))
     return both.select(F.coalesce(key, "_key").alias(key), instrument.alias("instrument_id"), "actual", "declared", off.alias("difference"), (same & (F.abs(off) <= tolerance)).alias("agrees"))
+
+
+def reconciliation(states: DataFrame, expected: DataFrame, key: str, cash_tolerance: str, quantity_tolerance: str) -> DataFrame:
+    """key, status, cash_difference, instruments, off of every account of either side: whether a declared snapshot agrees with the ledger.
+
+    Inputs as in ``reconcile``.  status in order: not_opened (the ledger has no row), not_declared, currency_differs (the sides name other or
+    several currencies; nothing is compared then), mismatch, or matches.  instruments counts the instruments of either side, off those
+    beyond the tolerance; an account agrees only if its cash and all of them do.  All sums are partial ones, so an account of any size is no single task's list."""
+    each = reconcile(states, expected, key, cash_tolerance, quantity_tolerance).groupBy(key).agg(
+        F.bool_and("agrees").alias("_agrees"),
+        F.coalesce(F.max(F.when(F.col("instrument_id").isNull(), F.col("difference"))), F.lit(0).cast("decimal(38,12)")).alias("cash_difference"),
+        F.count("instrument_id").alias("instruments"),
+        F.count_if(F.col("instrument_id").isNotNull() & ~F.col("agrees")).alias("off"),
+    )
+    named = states.select(key, F.lit("a").alias("_side"), "currency").unionByName(expected.select(key, F.lit("b").alias("_side"), "currency"))
+    of = lambda s, c: F.when(F.col("_side") == s, c)
+    sides = named.groupBy(F.col(key).alias("_key")).agg(F.count(of("a", F.lit(1))).alias("_a"), F.count(of("b", F.lit(1))).alias("_b"), F.min("currency").alias("_low"), F.max("currency").alias("_high"))
+    rows = each.join(sides, F.col(key).eqNullSafe(F.col("_key")))
+    status = F.when(F.col("_a") == 0, "not_opened").when(F.col("_b") == 0, "not_declared").when(F.col("_low").isNull() | (F.col("_low") != F.col("_high")), "currency_differs").when(F.col("_agrees"), "matches").otherwise("mismatch")
+    compared = lambda c: F.when(status.isin("matches", "mismatch"), F.col(c))
+    return rows.select(key, status.alias("status"), compared("cash_difference").alias("cash_difference"), "instruments", compared("off").alias("off"))

@@ -59,6 +59,26 @@ def next_open_fill(bars: DataFrame, key: str, cost: str) -> DataFrame:
     return bars.select(key, "day", (following * F.lit(cost).cast("decimal(8,4)")).cast("decimal(18,6)").alias("fill")).where("fill is not null")
 
 
+def expected_fills(decided: DataFrame, key: str, units: int, spread_bps: str, slippage_bps: str, fee: str) -> DataFrame:
+    """key, day, intended_at, quantity, price, fee: the orders that a frozen rule's targets ask for, filled at the next open with costs.
+
+    decided: key, day (unique together), target (0 or 1; null where no decision was made), intended_at, open (decimal, at most 6 digits after the point, of the session at
+    intended_at).  A row without target, or without an open, is no decision and leaves the position as it was.  The position starts at zero; where a target
+    changes it, ``units`` are bought or sold at the open plus, or minus, half the spread and the slippage (basis points, up to 4 digits after the point).  Prices are exact
+    decimals.  A key has at most one row a day, so its window is as long as its calendar."""
+    from decimal import Decimal
+
+    adverse = (Decimal(spread_bps) / 2 + Decimal(slippage_bps)) / 10000
+    if adverse < 0 or adverse >= 1 or Decimal(fee) < 0:
+        raise ValueError("costs must not be negative, nor take the whole price")
+    rate = lambda x: F.lit(format(x, "f")).cast("decimal(14,9)")
+    rows = decided.where(F.col("target").isNotNull() & F.col("open").isNotNull())
+    before = F.coalesce(F.lag("target").over(Window.partitionBy(key).orderBy("day")), F.lit(0))
+    rows = rows.withColumn("quantity", ((F.col("target") - before) * units).cast("long")).where("quantity <> 0")
+    price = F.col("open").cast("decimal(18,6)") * F.when(F.col("quantity") > 0, rate(1 + adverse)).otherwise(rate(1 - adverse))
+    return rows.select(key, "day", "intended_at", "quantity", price.alias("price"), F.lit(fee).cast("decimal(18,6)").alias("fee"))
+
+
 def partition_of(at: Column, bounds: list[tuple[str, str, str]], horizon_days: int) -> Column:
     """The name of the partition [start, end] of a day; ``embargo`` where its label ends after the partition, else null.
 

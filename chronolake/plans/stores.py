@@ -1,10 +1,11 @@
-"""Queries over snapshots that are put and captures that are read back, with the SQL that gives the same rows."""
+"""Queries over snapshots that are put, captures that are read back, fills and declared accounts, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronolake.operators import stores
+from chronolake.operators import ledger, rules, stores
 from chronolake.sources import read
 
 
@@ -53,7 +54,30 @@ def captures_as_of(spark, d):
     return found.select("request", "status", "quarantined", F.sha2("result_json", 256).alias("result_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (snapshot_put, captures_as_of)}
+def expected_fills(spark, d):
+    """Ten units by a rule of three daily closes of each user's events, filled at the next day's first value."""
+    by = Window.partitionBy("user_id").orderBy("day")
+    bars = rules.close_above_mean(rules.daily_bars(read(spark, d, "events"), "user_id", "ts", "value", "event_id"), "user_id", 3)
+    target = F.when(F.col("decision") == "target_1", 1).when(F.col("decision") == "target_0", 0)
+    decided = bars.select("user_id", "day", target.alias("target"), F.lead("day").over(by).alias("intended_at"), F.lead("open").over(by).alias("open"))
+    found = rules.expected_fills(decided, "user_id", 10, "3", "2", "1.25")
+    return found.select("user_id", "day", "intended_at", "quantity", F.col("price").cast("decimal(18,7)").cast("double").alias("price"), F.col("fee").cast("double").alias("fee"))
+
+
+def account_reconciliation(spark, d):
+    """Users' purchases as cash and their events by type as positions, against statements of which some are wrong, in another currency, or missing."""
+    e, u = read(spark, d, "events"), F.col("user_id")
+    amount = F.col("value").cast("decimal(18,2)")
+    cash = e.groupBy("user_id").agg((-F.sum(F.when(F.col("event_type") == "purchase", amount).otherwise(0))).alias("amount")).withColumn("instrument_id", F.lit(None).cast("string"))
+    held = e.groupBy("user_id", F.col("event_type").alias("instrument_id")).agg(F.count("*").cast("decimal(18,2)").alias("amount"))
+    states = cash.unionByName(held).where(u % 17 != 0).select("user_id", "instrument_id", F.lit("USD").alias("currency"), "amount")
+    off = F.when(F.col("instrument_id").isNull() & (u % 7 == 0), 3).when(F.col("instrument_id").isNull() & (u % 3 == 0), F.lit("0.01").cast("decimal(4,2)")).when((F.col("instrument_id") == "view") & (u % 5 == 0), 1).otherwise(0)
+    expected = cash.unionByName(held).where(u % 13 != 0).select("user_id", "instrument_id", F.when(u % 11 == 0, "EUR").otherwise("USD").alias("currency"), (F.col("amount") + off).alias("amount"))
+    found = ledger.reconciliation(states, expected, "user_id", "0.01", "0")
+    return found.select("user_id", "status", F.col("cash_difference").cast("decimal(18,2)").cast("double").alias("cash_difference"), "instruments", "off")
+
+
+QUERIES = {f.__name__: f for f in (snapshot_put, captures_as_of, expected_fills, account_reconciliation)}
 
 _DENIED = "(c % 25 % 6 = 0 OR (c % 25 % 4 = 0 AND {at} >= '1996-01-01'))"
 
@@ -73,4 +97,13 @@ SQL = {
       WHEN o_custkey % 23 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer) THEN 'payload_corrupt' WHEN o_orderkey % 29 = 0 AND n > 0 THEN 'journal_changed' ELSE 'available' END AS status
     FROM (SELECT *, o_orderdate + to_days(CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE 10 END) AS seen FROM orders) LEFT JOIN l ON l.k = o_orderkey)
   SELECT k AS request, status, CASE WHEN status = 'available' THEN n END AS quarantined, CASE WHEN status = 'available' THEN sha256(result) END AS result_sha256 FROM r""",
+    "expected_fills": """WITH b AS (SELECT user_id, ts::DATE AS day, arg_min(value::DECIMAL(18,2), (ts, event_id)) AS open, arg_max(value::DECIMAL(18,2), (ts, event_id)) AS close FROM events GROUP BY ALL),
+  s AS (SELECT *, lead(day) OVER w AS intended_at, lead(open) OVER w AS nxt, count(*) OVER r AS n, sum(close) OVER r AS total FROM b WINDOW w AS (PARTITION BY user_id ORDER BY day), r AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+  t AS (SELECT *, CASE WHEN close * 3 > total THEN 1 ELSE 0 END AS target FROM s WHERE n = 3 AND nxt IS NOT NULL),
+  f AS (SELECT *, 10 * (target - coalesce(lag(target) OVER (PARTITION BY user_id ORDER BY day), 0)) AS quantity FROM t)
+  SELECT user_id, day, intended_at, quantity::BIGINT AS quantity, (nxt * CASE WHEN quantity > 0 THEN 1.00035 ELSE 0.99965 END)::DECIMAL(18,7)::DOUBLE AS price, 1.25::DOUBLE AS fee FROM f WHERE quantity <> 0""",
+    "account_reconciliation": """WITH c AS (SELECT user_id AS u, -sum(CASE WHEN event_type = 'purchase' THEN value::DECIMAL(18,2) ELSE 0 END) AS cash, count(DISTINCT coalesce(event_type, '')) AS n, bool_or(event_type = 'view') AS views FROM events GROUP BY 1),
+  s AS (SELECT *, CASE WHEN u % 17 = 0 THEN 'not_opened' WHEN u % 13 = 0 THEN 'not_declared' WHEN u % 11 = 0 THEN 'currency_differs' WHEN u % 7 = 0 OR (u % 5 = 0 AND views) THEN 'mismatch' ELSE 'matches' END AS status FROM c WHERE NOT (u % 17 = 0 AND u % 13 = 0))
+  SELECT u AS user_id, status, CASE WHEN status IN ('matches', 'mismatch') THEN CASE WHEN u % 7 = 0 THEN -3 WHEN u % 3 = 0 THEN -0.01 ELSE 0 END END::DOUBLE AS cash_difference, n AS instruments,
+    CASE WHEN status IN ('matches', 'mismatch') THEN CASE WHEN u % 5 = 0 AND views THEN 1 ELSE 0 END END::BIGINT AS off FROM s""",
 }

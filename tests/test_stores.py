@@ -1,11 +1,13 @@
 """Snapshots put once and captures read back: each reason, ties, nulls and empty tables."""
 
 import hashlib
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from chronolake.operators import stores
+from chronolake.operators import ledger, rules, stores
 from tests.test_queries import spark  # noqa: F401
 
 T = datetime(2024, 1, 10)
@@ -67,3 +69,28 @@ def test_captures_are_checked_when_read(spark):  # noqa: F811
     assert {k: r.status for k, r in got.items()} == want
     assert (got["good"].quarantined, got["good"].result_json, got["none"].quarantined, got["early"].result_json) == (2, result, 0, None)
     assert stores.captures_as_of(requests, captures.limit(0), raw, journal, grants).where("status = 'available'").count() == 0
+
+
+def test_fills_have_costs(spark):  # noqa: F811
+    days = [date(2024, 1, k) for k in range(1, 8)]
+    targets = [0, 1, None, 1, 0, 1, 1]
+    opens = ["10.00", "20.00", "30.00", "40.00", "33.333333", None, "50.00"]
+    rows = [("a", day, t, datetime(2024, 1, 1 + k), o and Decimal(o)) for k, (day, t, o) in enumerate(zip(days, targets, opens, strict=True))] + [("b", days[0], None, None, None), (None, days[0], 1, None, Decimal(8))]
+    frame = spark.createDataFrame(rows, "k string, day date, target int, intended_at timestamp, open decimal(18,6)")
+    got = [(r.k, r.day.day, r.quantity, r.price, r.fee) for r in rules.expected_fills(frame, "k", 5, "1.5", "0.25", "2").orderBy("k", "day").collect()]
+    up, down = Decimal("1.0001"), Decimal("0.9999")
+    assert got == [(None, 1, 5, 8 * up, 2), ("a", 2, 5, 20 * up, 2), ("a", 5, -5, Decimal("33.333333") * down, 2), ("a", 7, 5, 50 * up, 2)]
+    assert rules.expected_fills(frame.limit(0), "k", 5, "0", "0", "0").count() == 0
+    with pytest.raises(ValueError):
+        rules.expected_fills(frame, "k", 5, "-1", "0", "0")
+
+
+def test_accounts_are_reconciled_whole(spark):  # noqa: F811
+    schema = "k string, instrument_id string, currency string, amount decimal(18,6)"
+    d = Decimal
+    states = [("same", None, "USD", d(10)), ("same", "X", "USD", d(1)), ("cash", None, "USD", d(10)), ("near", None, "USD", d("10.01")), ("held", None, "USD", d(10)), ("held", "X", "USD", d(1)), ("euro", None, "USD", d(10)), ("alone", None, "USD", d(10)), (None, None, "USD", d(1)), ("nil", None, None, d(1))]
+    stated = [("same", None, "USD", d(10)), ("same", "X", "USD", d(1)), ("cash", None, "USD", d(12)), ("near", None, "USD", d(10)), ("held", None, "USD", d(10)), ("held", "Y", "USD", d(1)), ("euro", None, "EUR", d(10)), ("new", "X", "USD", d(3)), (None, None, "USD", d(1)), ("nil", None, None, d(1))]
+    a, b = spark.createDataFrame(states, schema), spark.createDataFrame(stated, schema)
+    got = {r.k: (r.status, r.cash_difference, r.instruments, r.off) for r in ledger.reconciliation(a, b, "k", "0.01", "0").collect()}
+    assert got == {"same": ("matches", 0, 1, 0), "cash": ("mismatch", -2, 0, 0), "near": ("matches", d("0.01"), 0, 0), "held": ("mismatch", 0, 2, 2), "euro": ("currency_differs", None, 0, None), "alone": ("not_declared", None, 0, None), "new": ("not_opened", None, 1, None), None: ("matches", 0, 0, 0), "nil": ("currency_differs", None, 0, None)}
+    assert ledger.reconciliation(a.limit(0), b.limit(0), "k", "0", "0").count() == 0
