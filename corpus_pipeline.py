@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
 the next one's docs.  All but the last return the columns of ``documents``.
+
+Nulls and edges: a document without text or letters has no language and goes with the first stage; one with a null id is
+judged by its own text in each stage, but is no near duplicate of another; rows that repeat an id are documents by their texts, and of
+repeats of one such document the second stage keeps one; texts of any length are read whole; ties go to the smallest id;
+extra columns are carried along to the last stage, but for those named as the mixing stage's own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
