@@ -1,4 +1,7 @@
-"""Captured JSON pages to rows: each row is accepted (reason null) or quarantined with its path and reason."""
+"""Captured JSON pages to rows: each row is accepted (reason null) or quarantined with its path and reason.
+
+Where a column offset is given, the pages of an import are parts of it, and offset is how many rows (of a symbol, where a page has
+several arrays) stand before the part: rows are numbered, and repeated ones found, over the whole import."""
 
 from __future__ import annotations
 
@@ -17,19 +20,28 @@ def _pointer(name: Column) -> Column:
     return F.replace(F.replace(name, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
 
+def _parts(pages: DataFrame) -> DataFrame:
+    return pages if "offset" in pages.columns else pages.withColumn("offset", F.lit(0))
+
+
+def _told(fault: Column, *keys: str) -> Column:
+    """Whether a fault (null: none) of whole parts with these keys stands on another row, which is kept; it shares a shuffle with windows over the keys."""
+    return F.coalesce(F.lag(fault).over(Window.partitionBy(*keys).orderBy(fault.asc_nulls_last())) == fault, F.lit(False))
+
+
 def bars(pages: DataFrame, listings: DataFrame, zone: str) -> DataFrame:
-    """import_id, row_path, listing_id, day, at, open, high, low, close, volume, reason of each bar of each page.
+    """import_id, row_path, listing_id, day, at, open, high, low, close, volume, reason of each bar of each import.
 
-    pages: import_id, payload, received_at; listings: symbol, listing_id.  A page that is no JSON (repeated keys are none) or
-    has no object ``bars`` gives one row with path ``$``; a symbol without a listing, or without an array, gives
-    one row.  Days that a page gives twice for a listing are quarantined all, counted over rows right so far."""
+    pages: import_id, payload, received_at, perhaps offset; listings: symbol, listing_id.  Pages that are no JSON (repeated keys are
+    none) or have no object ``bars`` give one row of their import with path ``$``; a symbol without a listing, or without an array,
+    gives one row.  Days that an import gives twice for a listing are quarantined all, counted over rows right so far."""
     body = F.try_variant_get(F.try_parse_json("payload"), "$.bars", "map<string,variant>")
-    read = pages.select("import_id", "received_at", body.alias("bars"))
-    groups = read.select("import_id", "received_at", F.col("bars").isNotNull().alias("read"), F.explode_outer("bars").alias("symbol", "rows")).where("symbol IS NOT NULL OR NOT read")
+    read = _parts(pages).select("import_id", "received_at", "offset", body.alias("bars"))
+    groups = read.select("import_id", "received_at", "offset", F.col("bars").isNotNull().alias("read"), F.explode_outer("bars").alias("symbol", "rows")).where("symbol IS NOT NULL OR NOT read")
     groups = groups.join(listings.select("symbol", "listing_id"), "symbol", "left").withColumn("items", F.try_variant_get("rows", "$", "array<variant>"))
     groups = groups.withColumn("_whole", _first(("bars_object_required", ~F.col("read")), ("unmapped_symbol", F.col("listing_id").isNull()), ("bar_array_required", F.col("items").isNull())))
-    each = groups.select("import_id", "received_at", "listing_id", "symbol", "_whole", F.posexplode_outer(F.when(F.col("_whole").isNull(), F.col("items"))).alias("nth", "item")).where("nth IS NOT NULL OR _whole IS NOT NULL")
-    path = F.when(F.col("symbol").isNull(), "$").otherwise(F.concat_ws("/", F.lit("bars"), _pointer(F.col("symbol")), "nth"))
+    each = groups.select("import_id", "received_at", "offset", "listing_id", "symbol", "_whole", F.posexplode_outer(F.when(F.col("_whole").isNull(), F.col("items"))).alias("nth", "item")).where("nth IS NOT NULL OR _whole IS NOT NULL")
+    path = F.when(F.col("symbol").isNull(), "$").otherwise(F.concat_ws("/", F.lit("bars"), _pointer(F.col("symbol")), F.col("nth") + F.col("offset")))
     get = lambda c: F.try_variant_get("item", f"$.{c}", "variant")
     n = lambda c: times.exact(get(c))
     given = F.forall(F.array(*[F.try_variant_get("item", f"$.{c}", "string") for c in "tohlcv"]), lambda x: x.isNotNull())
@@ -45,7 +57,9 @@ def bars(pages: DataFrame, listings: DataFrame, zone: str) -> DataFrame:
         ("invalid_ohlc_bounds", (F.col("low") > F.least("open", "close")) | (F.col("high") < F.greatest("open", "close")))))})
     same = Window.partitionBy("import_id", "listing_id", "day")
     again = F.count(F.when(F.col("reason").isNull(), 1)).over(same) > 1
-    return each.withColumn("reason", F.coalesce("reason", F.when(again, "ambiguous_daily_bar"))).drop("received_at", "whole", "_whole")
+    told = _told(F.when(F.col("_whole").isNotNull(), F.concat_ws(" ", "_whole", "row_path")), "import_id", "listing_id", "day")
+    each = each.withColumns({"reason": F.coalesce("reason", F.when(again, "ambiguous_daily_bar")), "_told": told}).where("NOT _told")
+    return each.drop("received_at", "whole", "_whole", "_told")
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolake.functions import times
 from chronolake.operators import admission, bitemporal, captures, corporate, journals, outcomes, rules
-from chronolake.sources import page_of, read
+from chronolake.sources import page_of, parts_of, read
 
 ZONE = "America/New_York"
 PARTITIONS = [("train", "2024-01-01", "2024-01-12"), ("validation", "2024-01-14", "2024-01-20"), ("final_test", "2024-01-22", "2024-01-30")]
@@ -19,12 +19,12 @@ def _at(day: str):
 
 
 def bar_import(spark, d):
-    """Pages of JSON for each user, of 10000 event numbers each, one symbol for each type, some rows wrong on purpose."""
+    """An import of JSON for each user, one symbol for each type, in parts of bounded size, some rows wrong on purpose."""
     v, i = F.col("value").cast("decimal(18,2)"), F.col("event_id")
     row = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"), v.alias("o"), F.when(i % 11 == 0, v - F.expr("0.5")).otherwise(v + 1).alias("h"), (v - 1).alias("l"), F.when(i % 13 != 0, v).alias("c"), F.when(i % 7 == 0, i + F.expr("0.5")).otherwise(i).alias("v"))
-    e = read(spark, d, "events").withColumn("symbol", F.concat("event_type", F.lit("/US"))).withColumn("import_id", page_of("user_id", "event_id", 10000))
-    groups = e.groupBy("import_id", "symbol").agg(F.array_sort(F.collect_list(F.struct("event_id", row.alias("row")))).alias("rows"))
-    pages = groups.groupBy("import_id").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("symbol", "rows.row"))).alias("bars"))).alias("payload"))
+    e = read(spark, d, "events").withColumn("symbol", F.concat("event_type", F.lit("/US")))
+    groups = parts_of(e, ["user_id", "symbol"], "event_id", 10000).groupBy("user_id", "symbol", "offset").agg(F.array_sort(F.collect_list(F.struct(i.isNull(), i, row.alias("row")))).alias("rows"))
+    pages = groups.select(F.col("user_id").alias("import_id"), "offset", F.to_json(F.struct(F.create_map("symbol", "rows.row").alias("bars"))).alias("payload"))
     listings = e.where("event_type <> 'error'").select("symbol", F.col("event_type").alias("listing_id")).distinct()
     return captures.bars(pages.withColumn("received_at", _at("2024-01-25")), listings, ZONE).select("import_id", "row_path", F.coalesce("reason", F.lit("accepted")).alias("reason"), F.col("close").cast("double").alias("close"))
 
@@ -121,13 +121,13 @@ def gap_report(spark, d):
 QUERIES = {f.__name__: f for f in (bar_import, calendar_import, corporate_valuation, review_admission, identity_schedule, interval_join, coverage_join, native_collision, consumed_overlap, hash_chain, append_once, outcome_checks, partition_assign, local_times, json_extract, gap_report)}
 
 SQL = {
-    "bar_import": f"""WITH e AS (SELECT *, user_id || '-' || event_id // 10000 AS page, value::DECIMAL(18,2) AS v, row_number() OVER (PARTITION BY user_id, event_id // 10000, event_type ORDER BY event_id) - 1 AS n FROM events WHERE event_type <> 'error'),
-  r AS (SELECT page, event_type, n, CASE WHEN event_id % 13 <> 0 THEN v END AS close, ((date_trunc('second', ts) AT TIME ZONE 'UTC') AT TIME ZONE '{ZONE}')::DATE AS day,
+    "bar_import": f"""WITH e AS (SELECT *, value::DECIMAL(18,2) AS v, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS n FROM events WHERE event_type <> 'error'),
+  r AS (SELECT user_id, event_type, n, CASE WHEN event_id % 13 <> 0 THEN v END AS close, ((date_trunc('second', ts) AT TIME ZONE 'UTC') AT TIME ZONE '{ZONE}')::DATE AS day,
     CASE WHEN event_id % 13 = 0 THEN 'required_bar_fields_missing' WHEN date_trunc('second', ts) > '2024-01-25' THEN 'bar_timestamp_after_receipt' WHEN v - 1 <= 0 THEN 'invalid_amount'
     WHEN event_id % 7 = 0 THEN 'nonintegral_share_volume' WHEN event_id % 11 = 0 THEN 'invalid_ohlc_bounds' END AS reason FROM e)
-  SELECT page AS import_id, 'bars/' || event_type || '~1US/' || n AS row_path, close::DOUBLE AS close,
-    coalesce(reason, CASE WHEN count(*) FILTER (reason IS NULL) OVER (PARTITION BY page, event_type, day) > 1 THEN 'ambiguous_daily_bar' END, 'accepted') AS reason FROM r
-  UNION ALL SELECT DISTINCT user_id || '-' || event_id // 10000, 'bars/error~1US', NULL::DOUBLE, 'unmapped_symbol' FROM events WHERE event_type = 'error'""",
+  SELECT user_id AS import_id, 'bars/' || event_type || '~1US/' || n AS row_path, close::DOUBLE AS close,
+    coalesce(reason, CASE WHEN count(*) FILTER (reason IS NULL) OVER (PARTITION BY user_id, event_type, day) > 1 THEN 'ambiguous_daily_bar' END, 'accepted') AS reason FROM r
+  UNION ALL SELECT DISTINCT user_id, 'bars/error~1US', NULL::DOUBLE, 'unmapped_symbol' FROM events WHERE event_type = 'error'""",
     "calendar_import": f"""SELECT user_id || '-' || event_id // 10000 AS import_id, '/' || (row_number() OVER (PARTITION BY user_id, event_id // 10000 ORDER BY event_id) - 1) AS row_path, epoch((ts::DATE + TIME '09:30') AT TIME ZONE '{ZONE}')::BIGINT AS opens,
   CASE WHEN ts::DATE NOT BETWEEN '2024-01-03' AND '2024-01-28' THEN 'date_outside_requested_range' WHEN event_type = 'click' THEN 'session_must_open_before_close'
   WHEN count(*) OVER (PARTITION BY user_id, event_id // 10000, ts::DATE) > 1 THEN 'duplicate_calendar_date' ELSE 'accepted' END AS reason FROM events""",
