@@ -75,15 +75,16 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def sessions(pages: DataFrame, zone: str, first: str, last: str) -> DataFrame:
-    """import_id, row_path, day, opens_at, closes_at, reason of each row of calendar pages (import_id, payload).
+    """import_id, row_path, day, opens_at, closes_at, reason of each row of calendar pages (import_id, payload, perhaps offset).
 
     Days outside ``first``..``last``, local times that a clock change skips or repeats, and sessions that do not open before
-    they close are quarantined; so is each day that stands twice in a page, counted over wrong rows too."""
+    they close are quarantined; so is each day that stands twice in an import, counted over wrong rows too.  Pages that are no
+    array of rows give one row of their import with path ``$``."""
     rows = F.when(F.try_parse_json("payload").isNotNull(), F.from_json("payload", "array<struct<date:string,open:string,close:string>>"))
-    read = pages.select("import_id", rows.alias("rows"))
-    each = read.select("import_id", F.col("rows").isNotNull().alias("read"), F.posexplode_outer("rows").alias("nth", "row")).where("nth IS NOT NULL OR NOT read")
+    read = _parts(pages).select("import_id", "offset", rows.alias("rows"))
+    each = read.select("import_id", "offset", F.col("rows").isNotNull().alias("read"), F.posexplode_outer("rows").alias("nth", "row")).where("nth IS NOT NULL OR NOT read")
     at = lambda c: times.strict_utc(F.when(F.col("row")[c].rlike(r"^\d{2}:\d{2}$"), F.try_to_timestamp(F.concat_ws(" ", F.col("row.date"), F.col("row")[c]))), zone)
-    each = each.select("import_id", "read", F.coalesce(F.concat(F.lit("/"), "nth"), F.lit("$")).alias("row_path"), F.col("row.date").alias("_text"), F.when(F.col("row.date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("row.date").try_cast("date")).alias("day"), at("open").alias("opens_at"), at("close").alias("closes_at"))
+    each = each.select("import_id", "read", F.coalesce(F.concat(F.lit("/"), F.col("nth") + F.col("offset")), F.lit("$")).alias("row_path"), F.col("row.date").alias("_text"), F.when(F.col("row.date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("row.date").try_cast("date")).alias("day"), at("open").alias("opens_at"), at("close").alias("closes_at"))
     twice = F.count("_text").over(Window.partitionBy("import_id", "_text")) > 1
     each = each.withColumn("reason", _first(
         ("calendar_array_required", ~F.col("read")),
@@ -91,7 +92,8 @@ def sessions(pages: DataFrame, zone: str, first: str, last: str) -> DataFrame:
         ("invalid_calendar_record", F.col("day").isNull() | F.col("opens_at").isNull() | F.col("closes_at").isNull()),
         ("session_must_open_before_close", F.col("opens_at") >= F.col("closes_at")),
         ("duplicate_calendar_date", twice)))
-    return each.drop("_text", "read")
+    told = _told(F.when(~F.col("read"), F.col("row_path")), "import_id", "_text")
+    return each.withColumn("_told", told).where("NOT _told").drop("_text", "read", "_told")
 
 
 PATH_SEGMENT = r"^[A-Za-z0-9_.-]{1,255}$"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolake.functions import times
 from chronolake.operators import admission, bitemporal, captures, corporate, journals, outcomes, rules
-from chronolake.sources import page_of, parts_of, read
+from chronolake.sources import parts_of, read
 
 ZONE = "America/New_York"
 PARTITIONS = [("train", "2024-01-01", "2024-01-12"), ("validation", "2024-01-14", "2024-01-20"), ("final_test", "2024-01-22", "2024-01-30")]
@@ -30,8 +30,10 @@ def bar_import(spark, d):
 
 
 def calendar_import(spark, d):
+    """A calendar for each user, one row for each event, in parts of bounded size."""
     row = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.lit("09:30").alias("open"), F.when(F.col("event_type") == "click", "09:00").otherwise("16:00").alias("close"))
-    pages = read(spark, d, "events").groupBy(page_of("user_id", "event_id", 10000).alias("import_id")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("event_id", row.alias("row")))), lambda x: x["row"])).alias("payload"))
+    rows = F.array_sort(F.collect_list(F.struct(F.isnull("event_id"), "event_id", row.alias("row"))))
+    pages = parts_of(read(spark, d, "events"), ["user_id"], "event_id", 10000).groupBy(F.col("user_id").alias("import_id"), "offset").agg(F.to_json(F.transform(rows, lambda x: x["row"])).alias("payload"))
     found = captures.sessions(pages, ZONE, "2024-01-03", "2024-01-28")
     return found.select("import_id", "row_path", F.coalesce("reason", F.lit("accepted")).alias("reason"), F.unix_seconds("opens_at").alias("opens"))
 
@@ -128,9 +130,9 @@ SQL = {
   SELECT user_id AS import_id, 'bars/' || event_type || '~1US/' || n AS row_path, close::DOUBLE AS close,
     coalesce(reason, CASE WHEN count(*) FILTER (reason IS NULL) OVER (PARTITION BY user_id, event_type, day) > 1 THEN 'ambiguous_daily_bar' END, 'accepted') AS reason FROM r
   UNION ALL SELECT DISTINCT user_id, 'bars/error~1US', NULL::DOUBLE, 'unmapped_symbol' FROM events WHERE event_type = 'error'""",
-    "calendar_import": f"""SELECT user_id || '-' || event_id // 10000 AS import_id, '/' || (row_number() OVER (PARTITION BY user_id, event_id // 10000 ORDER BY event_id) - 1) AS row_path, epoch((ts::DATE + TIME '09:30') AT TIME ZONE '{ZONE}')::BIGINT AS opens,
+    "calendar_import": f"""SELECT user_id AS import_id, '/' || (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) AS row_path, epoch((ts::DATE + TIME '09:30') AT TIME ZONE '{ZONE}')::BIGINT AS opens,
   CASE WHEN ts::DATE NOT BETWEEN '2024-01-03' AND '2024-01-28' THEN 'date_outside_requested_range' WHEN event_type = 'click' THEN 'session_must_open_before_close'
-  WHEN count(*) OVER (PARTITION BY user_id, event_id // 10000, ts::DATE) > 1 THEN 'duplicate_calendar_date' ELSE 'accepted' END AS reason FROM events""",
+  WHEN count(*) OVER (PARTITION BY user_id, ts::DATE) > 1 THEN 'duplicate_calendar_date' ELSE 'accepted' END AS reason FROM events""",
     "corporate_valuation": """WITH b AS (SELECT event_type, ts::DATE AS day, arg_max(value::DECIMAL(18,2), (ts, event_id)) AS close FROM events GROUP BY ALL),
   s AS (SELECT *, 100 * (2 ** count(*) FILTER (day(day) = 10) OVER w) * (1.5 ** count(*) FILTER (day(day) = 20) OVER w) AS shares FROM b WINDOW w AS (PARTITION BY event_type ORDER BY day)),
   v AS (SELECT *, (SELECT coalesce(sum(shares * 0.25), 0) FROM s t WHERE t.event_type = s.event_type AND day(t.day) IN (5, 15) AND t.day <= s.day) AS owed,

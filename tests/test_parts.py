@@ -53,3 +53,15 @@ def test_bars_repeat_over_a_whole_import(spark, tmp_path):  # noqa: F811
     pages = spark.createDataFrame([(1, 0, '{"bars":{"A":[%s,{}],"X":[]}}' % bar), (1, 2, '{"bars":{"A":[%s],"X":[]}}' % bar), (1, 3, "{"), (1, 4, "{"), (2, 0, '{"bars":{"A":[%s]}}' % bar)], "import_id int, offset long, payload string")
     got = captures.bars(pages.withColumn("received_at", F.lit("2024-02-01").cast("timestamp")), spark.createDataFrame([("A", "a")], "symbol string, listing_id string"), "UTC")
     assert sorted((r.import_id, r.row_path, r.reason or "accepted") for r in got.collect()) == [(1, "$", "bars_object_required"), (1, "bars/A/0", "ambiguous_daily_bar"), (1, "bars/A/1", "required_bar_fields_missing"), (1, "bars/A/2", "ambiguous_daily_bar"), (1, "bars/X", "unmapped_symbol"), (2, "bars/A/0", "accepted")]
+
+
+def test_days_repeat_over_a_whole_calendar(spark, tmp_path):  # noqa: F811
+    """A day that stands twice is a duplicate however far the numbers of its rows are apart."""
+    spec = [(1, 1, "view", 0), (20002, 1, "view", 0), (40001, 1, "view", 1), (5, 2, "view", 0)] + [(50000 + n, 3, "view", n % 15) for n in range(25000)]
+    found = same_as_sql(spark, "calendar_import", tmp_path, "events", EVENTS, events(spec))
+    assert {r.row_path: r.reason for r in found if r.import_id == 1} == {"/0": "duplicate_calendar_date", "/1": "duplicate_calendar_date", "/2": "accepted"}
+    assert {r.row_path for r in found if r.import_id == 3} == {f"/{n}" for n in range(25000)}
+    row = '[{"date":"2024-01-05","open":"09:30","close":"16:00"}]'
+    pages = spark.createDataFrame([(1, 0, row), (1, 1, row), (1, 2, "{"), (1, 3, "{"), (2, 0, row)], "import_id int, offset long, payload string")
+    got = captures.sessions(pages, "UTC", "2024-01-01", "2024-12-31").collect()
+    assert sorted((r.import_id, r.row_path, r.reason or "accepted") for r in got) == [(1, "$", "calendar_array_required"), (1, "/0", "duplicate_calendar_date"), (1, "/1", "duplicate_calendar_date"), (2, "/0", "accepted")]
