@@ -116,11 +116,11 @@ FILING_COLUMNS = ["accessionNumber", "filingDate", "reportDate", "acceptanceDate
 def filings(pages: DataFrame) -> DataFrame:
     """import_id, row_index, accession, form, filed, reported, accepted_at, document, issues, reason of each filing.
 
-    pages: import_id, cik (ten digits), payload, received_at; the payload has a filer's filings as aligned column arrays.
-    A payload of another filer, or with arrays missing or not aligned, gives one row without an index.  issues names
-    every fault of a row, reason the first; accession numbers that right rows of a page share are quarantined all."""
+    pages: import_id, cik (ten digits), payload, received_at, perhaps offset; the payload has a filer's filings as aligned column
+    arrays.  Payloads of another filer, or with arrays missing or not aligned, give one row of their import without an index.  issues
+    names every fault of a row, reason the first; accession numbers that right rows of an import share are quarantined all."""
     body = F.from_json("payload", "cik string, filings struct<recent:map<string,array<string>>,files:array<string>>")
-    read = pages.select("import_id", "cik", "received_at", F.when(F.try_parse_json("payload").isNotNull(), body).alias("b"))
+    read = _parts(pages).select("import_id", "cik", "received_at", "offset", F.when(F.try_parse_json("payload").isNotNull(), body).alias("b"))
     recent = F.col("b.filings.recent")
     length = F.size(recent["accessionNumber"])
     aligned = F.forall(F.map_values(recent), lambda v: F.size(v) == length) & F.col("b.filings.files").isNotNull()
@@ -129,8 +129,8 @@ def filings(pages: DataFrame) -> DataFrame:
     whole = F.coalesce((F.lpad("b.cik", 10, "0") == F.col("cik")) & aligned, F.lit(False))
     read = read.withColumn("whole", whole)
     rows = F.arrays_zip(*[recent[c].alias(c) for c in FILING_COLUMNS])
-    each = read.select("import_id", "received_at", "whole", F.posexplode_outer(F.when(F.col("whole"), rows)).alias("row_index", "r")).where("row_index IS NOT NULL OR NOT whole")
-    each = each.select("import_id", "received_at", "whole", "row_index", *[F.col("r").getField(c).alias(c) for c in FILING_COLUMNS])
+    each = read.select("import_id", "received_at", "offset", "whole", F.posexplode_outer(F.when(F.col("whole"), rows)).alias("nth", "r")).where("nth IS NOT NULL OR NOT whole")
+    each = each.select("import_id", "received_at", "whole", (F.col("nth") + F.col("offset")).alias("row_index"), *[F.col("r").getField(c).alias(c) for c in FILING_COLUMNS])
     each = each.withColumns({"filed": _day(F.col("filingDate")), "reported": _day(F.col("reportDate")), "accepted_at": times.instant(F.col("acceptanceDateTime"))})
     no = lambda c: ~F.coalesce(c, F.lit(False))
     faults = [
@@ -146,6 +146,7 @@ def filings(pages: DataFrame) -> DataFrame:
     right = F.when(F.size("issues") == 0, 1)
     twice = F.count(right).over(Window.partitionBy("import_id", "accessionNumber")) > 1
     each = each.withColumn("reason", F.coalesce(F.when(~F.col("whole"), "invalid_submissions_envelope"), F.get("issues", F.lit(0)), F.when(twice, "duplicate_accession")))
+    each = each.withColumn("_told", _told(F.when(~F.col("whole"), F.col("reason")), "import_id", "accessionNumber")).where("NOT _told")
     return each.select("import_id", "row_index", F.col("accessionNumber").alias("accession"), "form", "filed", "reported", "accepted_at", F.col("primaryDocument").alias("document"), "issues", "reason")
 
 

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronolake.operators import captures, futures
-from chronolake.sources import page_of, read
+from chronolake.sources import page_of, parts_of, read
 
 
 def filings_import(spark, d):
-    """Pages of column arrays for each customer, of 10000 order numbers each, one filing for each order."""
+    """An import of column arrays for each customer, one filing for each order, in parts of bounded size."""
     o, key = read(spark, d, "orders"), F.col("o_orderkey")
     row = F.struct(F.when(key % 7 == 0, "bad").otherwise(F.concat_ws("-", F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.date_format("o_orderdate", "yy"), F.lpad(F.quarter("o_orderdate").cast("string"), 6, "0"))).alias("a"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"), F.col("o_orderstatus").alias("f"), F.when(key % 11 == 0, "../x").otherwise(F.concat(F.lit("a/"), key, F.lit(".htm"))).alias("p"))
-    pages = o.groupBy("o_custkey", page_of("o_custkey", "o_orderkey", 10000).alias("import_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))).alias("r"))
+    pages = parts_of(o, ["o_custkey"], "o_orderkey", 10000).groupBy("o_custkey", "offset").agg(F.array_sort(F.collect_list(F.struct(key.isNull(), key, row.alias("r")))).alias("r"))
     recent = F.struct(F.col("r.r.a").alias("accessionNumber"), F.col("r.r.d").alias("filingDate"), F.transform("r", lambda _: F.lit("")).alias("reportDate"), F.col("r.r.t").alias("acceptanceDateTime"), F.col("r.r.f").alias("form"), F.col("r.r.p").alias("primaryDocument"))
     body = F.to_json(F.struct(F.col("o_custkey").alias("cik"), F.struct(recent.alias("recent"), F.array().cast("array<string>").alias("files")).alias("filings")))
     asked = F.when(F.col("o_custkey") % 50 == 0, F.lit("9999999999")).otherwise(F.lpad(F.col("o_custkey").cast("string"), 10, "0"))
-    pages = pages.select("import_id", asked.alias("cik"), body.alias("payload"), F.lit("1998-01-01 00:00:00").cast("timestamp").alias("received_at"))
+    pages = pages.select(F.col("o_custkey").alias("import_id"), "offset", asked.alias("cik"), body.alias("payload"), F.lit("1998-01-01 00:00:00").cast("timestamp").alias("received_at"))
     return captures.filings(pages).select("import_id", F.col("row_index").cast("long").alias("row_index"), F.coalesce("reason", F.lit("accepted")).alias("reason"), F.coalesce(F.size("issues"), F.lit(0)).cast("long").alias("n_issues"))
 
 
@@ -58,10 +58,10 @@ def draft_prepare(spark, d):
 QUERIES = {f.__name__: f for f in (filings_import, actions_import, futures_preview, draft_prepare)}
 
 SQL = {
-    "filings_import": """WITH r AS (SELECT *, o_custkey || '-' || o_orderkey // 10000 AS page, row_number() OVER (PARTITION BY o_custkey, o_orderkey // 10000 ORDER BY o_orderkey) - 1 AS n, (o_orderkey % 7 = 0)::INT + (o_orderkey % 11 = 0)::INT + (o_orderdate > '1998-01-01')::INT AS n_issues FROM orders WHERE o_custkey % 50 <> 0)
-  SELECT page AS import_id, n AS row_index, n_issues::BIGINT AS n_issues, CASE WHEN o_orderkey % 7 = 0 THEN 'invalid_accession' WHEN o_orderkey % 11 = 0 THEN 'invalid_primary_document_path' WHEN o_orderdate > '1998-01-01' THEN 'acceptance_after_receipt'
-  WHEN count(*) FILTER (n_issues = 0) OVER (PARTITION BY page, year(o_orderdate), quarter(o_orderdate)) > 1 THEN 'duplicate_accession' ELSE 'accepted' END AS reason FROM r
-  UNION ALL SELECT DISTINCT o_custkey || '-' || o_orderkey // 10000, NULL::BIGINT, 0::BIGINT, 'invalid_submissions_envelope' FROM orders WHERE o_custkey % 50 = 0""",
+    "filings_import": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n, (o_orderkey % 7 = 0)::INT + (o_orderkey % 11 = 0)::INT + (o_orderdate > '1998-01-01')::INT AS n_issues FROM orders WHERE o_custkey % 50 <> 0)
+  SELECT o_custkey AS import_id, n AS row_index, n_issues::BIGINT AS n_issues, CASE WHEN o_orderkey % 7 = 0 THEN 'invalid_accession' WHEN o_orderkey % 11 = 0 THEN 'invalid_primary_document_path' WHEN o_orderdate > '1998-01-01' THEN 'acceptance_after_receipt'
+  WHEN count(*) FILTER (n_issues = 0) OVER (PARTITION BY o_custkey, year(o_orderdate), quarter(o_orderdate)) > 1 THEN 'duplicate_accession' ELSE 'accepted' END AS reason FROM r
+  UNION ALL SELECT DISTINCT o_custkey, NULL::BIGINT, 0::BIGINT, 'invalid_submissions_envelope' FROM orders WHERE o_custkey % 50 = 0""",
     "actions_import": """WITH l AS (SELECT *, CASE WHEN l_returnflag = 'N' THEN 'cash_dividends' WHEN l_returnflag = 'R' THEN 'spin_offs' WHEN l_linestatus = 'O' THEN 'forward_splits' ELSE 'reverse_splits' END AS kind FROM lineitem)
   SELECT l_suppkey || '-' || l_orderkey // 5000 AS import_id, kind || '[' || (row_number() OVER (PARTITION BY l_suppkey, l_orderkey // 5000, kind ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate) - 1) || ']' AS row_path, l_linenumber = 3 AS blocked,
   CASE WHEN kind = 'spin_offs' THEN 'unsupported_action_type' WHEN l_linenumber = 7 THEN 'invalid_native_id' WHEN l_shipdate::DATE NOT BETWEEN '1993-01-01' AND '1997-12-31' THEN 'process_date_outside_request'

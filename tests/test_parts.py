@@ -65,3 +65,14 @@ def test_days_repeat_over_a_whole_calendar(spark, tmp_path):  # noqa: F811
     pages = spark.createDataFrame([(1, 0, row), (1, 1, row), (1, 2, "{"), (1, 3, "{"), (2, 0, row)], "import_id int, offset long, payload string")
     got = captures.sessions(pages, "UTC", "2024-01-01", "2024-12-31").collect()
     assert sorted((r.import_id, r.row_path, r.reason or "accepted") for r in got) == [(1, "$", "calendar_array_required"), (1, "/0", "duplicate_calendar_date"), (1, "/1", "duplicate_calendar_date"), (2, "/0", "accepted")]
+
+
+def test_accessions_repeat_over_a_whole_import(spark, tmp_path):  # noqa: F811
+    """Accession numbers of a customer are duplicates however far their orders are apart, and a payload of another filer is told once."""
+    order = lambda i, who, day: (i, who, "F", 1.0, datetime.datetime(1995, 1, 1) + datetime.timedelta(day), "1-URGENT")
+    rows = [order(1, 1, 0), order(20002, 1, 1), order(40003, 1, 200), order(5, 50, 0), order(30001, 50, 0), order(6, 2, 0)]
+    rows += [order(50000 + n, 3, n % 700) for n in range(25000)] + [order(80000 + n, 100, 0) for n in range(25000)]
+    found = same_as_sql(spark, "filings_import", tmp_path, "orders", "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string", rows)
+    assert {r.row_index: r.reason for r in found if r.import_id == 1} == {0: "duplicate_accession", 1: "duplicate_accession", 2: "accepted"}
+    assert [(r.row_index, r.reason) for r in found if r.import_id in (50, 100)] == [(None, "invalid_submissions_envelope")] * 2
+    assert {r.row_index for r in found if r.import_id == 3} == set(range(25000))
