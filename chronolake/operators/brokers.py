@@ -71,31 +71,36 @@ def assets(bundles: DataFrame) -> DataFrame:
     bundles: import_id, assets (JSON array).  A payload that is no array gives one row without nth.  Assets that share an id, or symbol and
     exchange, with another right one of the bundle are quarantined all.  The state of a right one is unmapped_reference if it is
     active and tradable, else restricted_reference: no asset is mapped to a listing here."""
-    read = bundles.select("import_id", F.try_parse_json("assets").alias("b")).withColumn("items", F.try_variant_get("b", "$", "array<variant>"))
-    rows = read.select("import_id", F.col("b").isNotNull().alias("_json"), F.col("items").isNotNull().alias("_array"), F.posexplode_outer("items").alias("nth", "v")).where("nth IS NOT NULL OR NOT _array")
-    flags, wrong = _flags("v", ASSET_FLAGS)
-    numbers = {n: times.exact(F.try_variant_get("v", f"$.{n}", "variant")) for n in INCREMENTS}
+    fields = ("id", "class", "asset_class", "exchange", "symbol", "status", *ASSET_FLAGS, *INCREMENTS)
+    item = f"struct<{', '.join(f'{n}: variant' for n in fields)}>"
+    # By bundle once, as all that is counted below is counted inside a bundle.  Fields are taken out once, as paths in each rule would be read for each; an item that is no object is null, and only then are items read one by one.
+    read = bundles.select("import_id", "assets").repartition("import_id").select("import_id", F.try_parse_json("assets").alias("b"))
+    read = read.withColumn("items", F.coalesce(F.try_variant_get("b", "$", f"array<{item}>"), F.transform(F.try_variant_get("b", "$", "array<variant>"), lambda v: F.try_variant_get(v, "$", item))))
+    whole = F.when(F.col("b").isNull(), "invalid_json").when(F.col("items").isNull(), "assets_array_required")
+    rows = read.select("import_id", whole.alias("_whole"), F.posexplode_outer("items").alias("nth", "f")).where("nth IS NOT NULL OR _whole IS NOT NULL")
+    of = lambda n: F.col("f")[n]
+    given = lambda n: F.coalesce(F.schema_of_variant(of(n)), F.lit("VOID")) != "VOID"
+    text = lambda n: F.when(F.schema_of_variant(of(n)) == "STRING", F.try_variant_get(of(n), "$", "string"))
+    wrong = F.exists(F.array(*[F.schema_of_variant(of(n)) for n in ASSET_FLAGS]), lambda kind: ~F.coalesce(kind, F.lit("VOID")).isin("BOOLEAN", "VOID"))
+    flags, numbers = {n: F.try_variant_get(of(n), "$", "boolean") for n in ASSET_FLAGS}, {n: times.exact(of(n)) for n in INCREMENTS}
+    texts = {"_id": text("id"), "_one": text("class"), "_other": text("asset_class"), "exchange": text("exchange"), "symbol": text("symbol"), "status": text("status")}
+    rows = rows.select("import_id", "nth", F.coalesce("_whole", F.when(F.col("f").isNull(), "asset_object_required")).alias("_shape"), *[c.alias(n) for n, c in (texts | flags | numbers).items()], wrong.alias("_wrong"), (given("class") & given("asset_class")).alias("_both"), F.array(*map(given, INCREMENTS)).alias("_given"))
     bad, low = F.lit(False), F.lit(False)
-    for n in INCREMENTS:
-        bad, low = bad | ((_kind("v", n) != "VOID") & (numbers[n].isNull() | (numbers[n] < 0))), low | (numbers[n] <= 0)
-    one, other = _text("v", "class"), _text("v", "asset_class")
-    both = (_kind("v", "class") != "VOID") & (_kind("v", "asset_class") != "VOID")
-    kind = F.coalesce(one, other)
-    reason = first_reason(
-        ("invalid_json", ~F.col("_json")),
-        ("assets_array_required", ~F.col("_array")),
-        ("asset_object_required", ~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))),
-        ("conflicting_asset_class", both & ~one.eqNullSafe(other)),
-        ("invalid_required_text", ~required(kind)),
-        ("unsupported_asset_class", kind != "us_equity"),
-        ("invalid_native_uuid", uuid_text(_text("v", "id")).isNull()),
-        ("invalid_required_text", ~(required(_text("v", "exchange")) & required(_text("v", "symbol")) & required(_text("v", "status")))),
-        ("invalid_boolean", wrong),
+    for i, n in enumerate(INCREMENTS):
+        bad, low = bad | (F.col("_given")[i] & (F.col(n).isNull() | (F.col(n) < 0))), low | (F.col(n) <= 0)
+    rows = rows.withColumns({"native_id": uuid_text(F.col("_id")), "_kind": F.coalesce("_one", "_other")})
+    reason = F.coalesce("_shape", first_reason(
+        ("conflicting_asset_class", F.col("_both") & ~F.col("_one").eqNullSafe(F.col("_other"))),
+        ("invalid_required_text", ~required(F.col("_kind"))),
+        ("unsupported_asset_class", F.col("_kind") != "us_equity"),
+        ("invalid_native_uuid", F.col("native_id").isNull()),
+        ("invalid_required_text", ~(required(F.col("exchange")) & required(F.col("symbol")) & required(F.col("status")))),
+        ("invalid_boolean", F.col("_wrong")),
         ("invalid_decimal", bad),
         ("nonpositive_increment", low),
-    )
-    columns = {"native_id": uuid_text(_text("v", "id")), "symbol": _text("v", "symbol"), "exchange": _text("v", "exchange"), "status": _text("v", "status"), **flags, **numbers}
-    each = rows.select("import_id", "nth", reason.alias("_reason"), *[c.alias(n) for n, c in columns.items()])
+    ))
+    columns = ("native_id", "symbol", "exchange", "status", *flags, *numbers)
+    each = rows.select("import_id", "nth", reason.alias("_reason"), *columns)
     right = F.when(F.col("_reason").isNull(), 1)
     again = (F.count(right).over(Window.partitionBy("import_id", "native_id")) > 1) | (F.count(right).over(Window.partitionBy("import_id", "symbol", "exchange")) > 1)
     final = F.coalesce("_reason", F.when(again, "ambiguous_asset_identity"))

@@ -155,8 +155,10 @@ IDENTITY = ("cusip", "old_cusip", "new_cusip", "isin")
 
 def uuid_text(text: Column) -> Column:
     """A UUID in lower case with hyphens, from any of its usual forms; null where a text is none."""
-    bare = F.replace(F.regexp_replace(F.lower(text), r"^(urn:uuid:)?\{?([0-9a-f-]+)\}?$", "$2"), F.lit("-"), F.lit(""))
-    return F.when(bare.rlike("^[0-9a-f]{32}$"), F.regexp_replace(bare, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+    low = F.lower(text)
+    bare = F.replace(F.regexp_replace(low, r"^(urn:uuid:)?\{?([0-9a-f-]+)\}?$", "$2"), F.lit("-"), F.lit(""))
+    usual = low.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z")  # is its own result, and spares the rest
+    return F.when(usual, low).when(bare.rlike("^[0-9a-f]{32}$"), F.regexp_replace(bare, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
 
 
 def actions(pages: DataFrame) -> DataFrame:
