@@ -53,11 +53,12 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_
     rows = both.unionByName(other, allowMissingColumns=True).withColumn("_part", part)
     order = F.struct("_at", "_value")
     days = rows.select(key, "_part", "_at", "_value").groupBy(key, "_part").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), order)).alias("_last"))
-    carried = days.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.last("_last", ignorenulls=True).over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before")).where("_before IS NOT NULL")
+    # What came before is a first row of its day, not a join, which would deal all left rows out once more.
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = days.select(key, "_part", F.lit(None).cast(dict(rows.dtypes)["_at"]).alias("_at"), F.lit(0).alias("_side"), before.alias("_value")).where("_value IS NOT NULL")
     inside = Window.partitionBy(key, "_part").orderBy("_at", "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("_in", F.last("_value", ignorenulls=True).over(inside)).where("_side = 1")
-    found = found.join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_part").eqNullSafe(F.col("_p")), "left")
-    return found.withColumn(out, F.coalesce("_in", "_before")).drop("_at", "_side", "_value", "_part", "_in", "_before", "_k", "_p")
+    found = rows.unionByName(carried, allowMissingColumns=True).withColumn(out, F.last("_value", ignorenulls=True).over(inside)).where("_side = 1")
+    return found.drop("_at", "_side", "_value", "_part")
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:

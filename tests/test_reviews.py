@@ -4,7 +4,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from chronolake.operators import reviews
+from chronolake.operators import bitemporal, reviews
 from tests.test_assurance import REVIEW, T, recorded, review, world
 from tests.test_queries import spark  # noqa: F401
 
@@ -38,3 +38,14 @@ def test_refused_and_repeated_reviews_beside_those_taken(spark):  # noqa: F811
     assert got == [("2", "refused", "availability_is_not_recording_time"), ("2", "same", ""), ("2", "same", ""), ("3", "refused", "evidence_digest_differs"), ("3", "refused", "review_changed"), ("5", "refused", "another_review_at_this_time"), ("6", "new", ""), ("6", "new", ""), ("7", "new", ""), ("7", "refused", "use_not_permitted")]
     sizes = recorded(spark, rows, first).groupBy("review_sha256").agg(F.count("*").alias("n")).collect()
     assert sum(r.n for r in sizes) == len(rows) and {len(r.review_sha256) for r in sizes} == {64}
+
+
+def test_as_of_joins_deal_the_left_rows_once(spark):  # noqa: F811
+    """Earlier days come as rows beside the others, nulls of key and time included; a join would deal all left rows out again."""
+    day = lambda n: T + timedelta(n)
+    left = spark.createDataFrame([(k, at, i) for k in ("a", "b", None) for i, at in enumerate((day(0), day(2), day(2.5), day(9), None))], "k string, at timestamp, i int")
+    right = spark.createDataFrame([("a", day(1), 1), ("a", day(2.25), 2), ("a", day(2.4), None), (None, day(3), 3), ("c", day(0), 4), ("a", None, 5)], "k string, known timestamp, v int")
+    found = bitemporal.as_of_join(left, right, "k", "at", "known", "v", "got")
+    assert found.columns == ["k", "at", "i", "got"] and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {"a": [None, 1, 2, 2, None], "b": [None] * 5, None: [None, None, None, 3, None]}
+    assert {(r.k, r.i): r.got for r in found.collect()} == {(k, i): v for k, vs in want.items() for i, v in enumerate(vs)}
